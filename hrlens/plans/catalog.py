@@ -215,3 +215,135 @@ SELECT DISTINCT "column", value FROM (
 WHERE value IS NOT NULL AND trim(value) <> ''""")
 def q_category_options(spark, d):
     return seg.category_options(O(spark, d), ["Department", "JobRole", "OverTime", "Region"])
+
+
+# ---------------------------------------------------------------- profiling (Q*) and cleaning
+
+from ..operators import clean as cl  # noqa: E402
+from ..operators import profile as pf  # noqa: E402
+from ..sources.proxies import DUP_SQL, bad_label_view, duplicates_view  # noqa: E402
+
+O_SCHEMA = [("id", "bigint"), ("Attrition", "string"), ("Department", "string"),
+            ("JobRole", "string"), ("Region", "string"), ("OverTime", "string"), ("Age", "int"),
+            ("MonthlyIncome", "int"), ("YearsAtCompany", "int"), ("TotalWorkingYears", "int"),
+            ("YearsInCurrentRole", "int"), ("YearsWithCurrManager", "int"),
+            ("YearsSinceLastPromotion", "int"), ("NumCompaniesWorked", "int"),
+            ("JobSatisfaction", "int"), ("EnvironmentSatisfaction", "int"),
+            ("RelationshipSatisfaction", "int"), ("WorkLifeBalance", "int"),
+            ("StandardHours", "int"), ("n_lines", "bigint"), ("qty", "double"),
+            ("max_discount", "double")]
+O_NUM = [c for c, t in O_SCHEMA if t != "string" and c != "id"]
+O_STR = [c for c, t in O_SCHEMA if t == "string"]
+
+
+def _miss(c: str, t: str) -> str:
+    return f"({c} IS NULL OR isnan({c}))" if t == "double" else f"{c} IS NULL"
+
+
+@register("dataset_summary", f"""
+WITH d AS ({DUP_SQL}),
+dd AS (SELECT * EXCLUDE (src) FROM d)
+SELECT count(*) AS rows, {len(O_SCHEMA)} AS columns,
+       CAST({' + '.join(f"count(*) FILTER (WHERE {_miss(c, t)})" for c, t in O_SCHEMA)} AS BIGINT) AS missing_values,
+       (SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dd)) AS BIGINT) FROM dd) AS duplicate_rows
+FROM dd""")
+def q_dataset_summary(spark, d):
+    return pf.dataset_summary(duplicates_view(O(spark, d)).drop("src"))
+
+
+@register("schema_overview", " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS non_null_count, "
+    f"count(DISTINCT {c}) AS unique_values FROM o" for i, (c, t) in enumerate(O_SCHEMA)))
+def q_schema_overview(spark, d):
+    return pf.schema_overview(O(spark, d))
+
+
+@register("missing_report", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {_miss(c, t)}) AS missing FROM o"
+    for c, t in O_SCHEMA) + ") m WHERE missing > 0")
+def q_missing_report(spark, d):
+    return pf.missing_report(O(spark, d))
+
+
+@register("duplicate_report", f"""
+WITH d AS ({DUP_SQL}), dd AS (SELECT * EXCLUDE (src) FROM d)
+SELECT CAST((SELECT count(*) FROM dd) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dd)) AS BIGINT) AS duplicate_rows,
+       CAST((SELECT count(*) - count(DISTINCT id) - max(CASE WHEN id IS NULL THEN 1 ELSE 0 END) FROM dd) AS BIGINT) AS duplicate_ids""")
+def q_duplicate_report(spark, d):
+    return pf.duplicate_report(duplicates_view(O(spark, d)).drop("src"), "id")
+
+
+@register("dedup_keep_first", f"""
+WITH d AS ({DUP_SQL})
+SELECT * EXCLUDE (src, rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY src) AS rn FROM d) t WHERE rn = 1""")
+def q_dedup_keep_first(spark, d):
+    return cl.handle_duplicates(duplicates_view(O(spark, d)), "id", ["src"])
+
+
+@register("constant_columns", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(min(CAST({c} AS VARCHAR)) AS VARCHAR) AS value, "
+    f"count(DISTINCT CAST({c} AS VARCHAR)) AS nd FROM o" for c, t in O_SCHEMA if t != "double")
+    + ") x WHERE nd = 1")
+def q_constant_columns(spark, d):
+    # Doubles are left out: their text form differs between engines.
+    o = O(spark, d)
+    return pf.constant_columns(o.drop(*[c for c, t in O_SCHEMA if t == "double"]))
+
+
+ORACLE["constant_columns"] = ORACLE["constant_columns"].replace(
+    "SELECT * FROM (SELECT '", "SELECT \"column\", value FROM (SELECT '", 1)
+
+IQR_COLS = ["Age", "MonthlyIncome", "YearsAtCompany", "TotalWorkingYears", "NumCompaniesWorked",
+            "qty", "n_lines"]
+
+
+@register("iqr_outliers", "WITH " + ",\n".join(
+    f"""s_{c} AS (SELECT '{c}' AS "column", min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
+        quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3,
+        count(DISTINCT {c}) AS unique_values, count(*) AS n FROM o)"""
+    for c in IQR_COLS) + "\n" + " UNION ALL ".join(
+    f"""SELECT "column", min, max, q1, q3, round_even(q1 - 1.5e0 * (q3 - q1), 6) AS iqr_lower,
+        round_even(q3 + 1.5e0 * (q3 - q1), 6) AS iqr_upper,
+        (SELECT count(*) FROM o WHERE {c} < q1 - 1.5e0 * (q3 - q1) OR {c} > q3 + 1.5e0 * (q3 - q1)) AS outlier_count,
+        round_even((SELECT count(*) FROM o WHERE {c} < q1 - 1.5e0 * (q3 - q1) OR {c} > q3 + 1.5e0 * (q3 - q1)) * 100e0 / n, 2) AS outlier_pct,
+        unique_values FROM s_{c}""" for c in IQR_COLS))
+def q_iqr_outliers(spark, d):
+    return pf.iqr_outliers(O(spark, d), IQR_COLS + ["NotAColumn"])
+
+
+@register("describe_numeric", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS count, round_even(avg({c}::DOUBLE), 6) AS mean,
+        round_even(stddev_samp({c}::DOUBLE), 6) AS std, min({c})::DOUBLE AS min,
+        quantile_cont({c}::DOUBLE, 0.25) AS p25, quantile_cont({c}::DOUBLE, 0.5) AS p50,
+        quantile_cont({c}::DOUBLE, 0.75) AS p75, max({c})::DOUBLE AS max FROM o""" for c in O_NUM))
+def q_describe_numeric(spark, d):
+    return pf.describe_numeric(O(spark, d), O_NUM)
+
+
+@register("category_counts", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS count FROM o WHERE {c} IS NOT NULL GROUP BY {c}"""
+    for c in O_STR))
+def q_category_counts(spark, d):
+    return pf.category_counts(O(spark, d), O_STR)
+
+
+@register("cardinality_ranking", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS unique_values FROM o""" for c in O_STR))
+def q_cardinality_ranking(spark, d):
+    return pf.cardinality_ranking(O(spark, d), O_STR)
+
+
+@register("bad_labels", """
+WITH b AS (SELECT * REPLACE (CASE WHEN id % 97 = 0 THEN 'Maybe' ELSE Attrition END AS Attrition) FROM o)
+SELECT Attrition, count(*) AS rows FROM b
+WHERE Attrition IS NULL OR Attrition NOT IN ('Yes', 'No') GROUP BY Attrition""")
+def q_bad_labels(spark, d):
+    return cl.unexpected_labels(bad_label_view(O(spark, d)))
+
+
+@register("encode_target", """
+SELECT id, CAST(CASE WHEN Attrition = 'Yes' THEN 1 WHEN Attrition = 'No' THEN 0 END AS INTEGER) AS Attrition_label
+FROM o""")
+def q_encode_target(spark, d):
+    return cl.encode_target(O(spark, d)).select("id", "Attrition_label")

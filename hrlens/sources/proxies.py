@@ -135,3 +135,25 @@ def with_views(body: str, score: bool = False) -> str:
     if body[:4].upper() == "WITH":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def duplicates_view(o: DataFrame) -> DataFrame:
+    """O plus exact copies (id % 50 = 0) and id collisions with another Department.
+
+    ``src`` is the ingest order: 0 originals, 1 exact copies, 2 collisions.
+    """
+    base = o.withColumn("src", F.lit(0))
+    sel = o.filter(F.col("id") % 50 == 0)
+    return (base.unionByName(sel.withColumn("src", F.lit(1)))
+                .unionByName(sel.withColumn("Department", F.lit("OTHER")).withColumn("src", F.lit(2))))
+
+
+def bad_label_view(o: DataFrame) -> DataFrame:
+    """O with Attrition replaced by "Maybe" where id % 97 = 0."""
+    return o.withColumn("Attrition", F.when(F.col("id") % 97 == 0, F.lit("Maybe"))
+                        .otherwise(F.col("Attrition")))
+
+
+DUP_SQL = """SELECT *, 0 AS src FROM o
+UNION ALL SELECT *, 1 AS src FROM o WHERE id % 50 = 0
+UNION ALL SELECT * REPLACE ('OTHER' AS Department), 2 AS src FROM o WHERE id % 50 = 0"""
