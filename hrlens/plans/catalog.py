@@ -347,3 +347,303 @@ SELECT id, CAST(CASE WHEN Attrition = 'Yes' THEN 1 WHEN Attrition = 'No' THEN 0
 FROM o""")
 def q_encode_target(spark, d):
     return cl.encode_target(O(spark, d)).select("id", "Attrition_label")
+
+
+# ---------------------------------------------------------------- encoding and features (T*, A1)
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions.exprs import r as _round  # noqa: E402
+from ..operators import encode as enc  # noqa: E402
+from ..operators import features as fe  # noqa: E402
+
+FIT_WHERE = "id % 5 <> 0 AND JobRole <> '5-LOW'"
+NOMINAL_O = ["Department", "JobRole", "OverTime", "Region"]
+SCALE_O = ["Age", "MonthlyIncome", "TotalWorkingYears", "YearsAtCompany", "NumCompaniesWorked"]
+PASS_O = ["JobSatisfaction", "EnvironmentSatisfaction", "WorkLifeBalance"]
+
+
+def O_train(o):
+    return o.filter((F.col("id") % 5 != 0) & (F.col("JobRole") != "5-LOW"))
+
+
+# categories as observed on the fit rows (the oracle states them; Spark learns them)
+_CATS = {"Department": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+         "JobRole": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"],
+         "OverTime": ["No", "Yes"],
+         "Region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}
+_ONEHOT_SQL = ", ".join(f"CAST(coalesce({c} = '{v}', false) AS DOUBLE) AS \"{c}_{v}\""
+                        for c, vals in _CATS.items() for v in vals[1:])
+
+
+@register("one_hot", f"SELECT id, {_ONEHOT_SQL} FROM o")
+def q_one_hot(spark, d):
+    o = O(spark, d)
+    st = enc.fit_one_hot(O_train(o), NOMINAL_O)
+    return o.select("id", *enc.one_hot_columns(st))
+
+
+_MOM = ", ".join(f"avg({c}::DOUBLE) AS m_{c}, stddev_pop({c}::DOUBLE) AS s_{c}" for c in SCALE_O)
+_SCALED = ", ".join(
+    f"round_even(({c} - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1e0 ELSE s_{c} END, 6) AS {c}"
+    for c in SCALE_O)
+
+
+@register("standardise", f"""
+WITH mom AS (SELECT {_MOM} FROM o WHERE {FIT_WHERE})
+SELECT id, {_SCALED} FROM o CROSS JOIN mom""")
+def q_standardise(spark, d):
+    o = O(spark, d)
+    st = enc.fit_scaler(O_train(o), SCALE_O)
+    return o.select("id", *enc.scaled_columns(st)).select(
+        "id", *[_round(c).alias(c) for c in SCALE_O])
+
+
+@register("transform_features", f"""
+WITH mom AS (SELECT {_MOM} FROM o WHERE {FIT_WHERE})
+SELECT id, Attrition, {_ONEHOT_SQL}, {_SCALED},
+       {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PASS_O)}
+FROM o CROSS JOIN mom""")
+def q_transform_features(spark, d):
+    o = O(spark, d)
+    st = enc.fit_encoder(O_train(o), NOMINAL_O, SCALE_O + PASS_O, scale=SCALE_O)
+    out = enc.transform_features(o, st, keep=["id", "Attrition"])
+    return out.select(*[_round(c).alias(c) if c in SCALE_O else F.col(f"`{c}`")
+                        for c in out.columns])
+
+
+@register("role_median_state", f"""
+SELECT JobRole, median(MonthlyIncome::DOUBLE) AS role_median_income
+FROM o WHERE {FIT_WHERE} AND JobRole IS NOT NULL GROUP BY JobRole""")
+def q_role_median_state(spark, d):
+    return fe.fit_feature_state(O_train(O(spark, d))).medians
+
+
+_FE_SQL = f"""
+WITH med AS (SELECT JobRole, median(MonthlyIncome::DOUBLE) AS med FROM o
+             WHERE {FIT_WHERE} AND JobRole IS NOT NULL GROUP BY JobRole),
+x AS (SELECT o.*, med.med,
+        CASE WHEN YearsAtCompany < 1 THEN 1 ELSE YearsAtCompany END AS yac,
+        CASE WHEN TotalWorkingYears < 1 THEN 1 ELSE TotalWorkingYears END AS twy,
+        CASE WHEN NumCompaniesWorked < 1 THEN 1 ELSE NumCompaniesWorked END AS ncw
+      FROM o LEFT JOIN med ON o.JobRole = med.JobRole)
+SELECT id,
+  round_even(YearsSinceLastPromotion / nullif(yac, 0)::DOUBLE, 6) AS promotion_stagnation_ratio,
+  round_even(YearsInCurrentRole / nullif(yac, 0)::DOUBLE, 6) AS role_tenure_share,
+  round_even(YearsWithCurrManager / nullif(yac, 0)::DOUBLE, 6) AS manager_tenure_share,
+  round_even(MonthlyIncome / nullif(med, 0), 6) AS income_vs_role_median,
+  round_even(MonthlyIncome / nullif(twy, 0)::DOUBLE, 6) AS compensation_per_experience,
+  round_even((coalesce(JobSatisfaction, 0) + coalesce(EnvironmentSatisfaction, 0)
+    + coalesce(RelationshipSatisfaction, 0) + coalesce(WorkLifeBalance, 0))::DOUBLE
+    / nullif((JobSatisfaction IS NOT NULL)::INT + (EnvironmentSatisfaction IS NOT NULL)::INT
+    + (RelationshipSatisfaction IS NOT NULL)::INT + (WorkLifeBalance IS NOT NULL)::INT, 0), 6) AS avg_satisfaction_score,
+  CAST(coalesce(OverTime = 'Yes' AND WorkLifeBalance <= 2, false) AS INTEGER) AS burnout_risk_flag,
+  round_even(TotalWorkingYears / nullif(ncw, 0)::DOUBLE, 6) AS job_stability_index
+FROM x"""
+
+
+@register("engineered_features", _FE_SQL)
+def q_engineered_features(spark, d):
+    o = O(spark, d)
+    out = fe.apply_features(o, fe.fit_feature_state(O_train(o)))
+    return out.select("id", *[F.col(c) if c == "burnout_risk_flag" else _round(c).alias(c)
+                              for c in fe.ENGINEERED])
+
+
+# ---------------------------------------------------------------- evaluation metrics (M*) on view C
+
+from ..operators import metrics as mt  # noqa: E402
+
+
+def _score(name, sql):
+    return register(name, sql, score=True)
+
+
+_CM_SQL = """SELECT model, count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn,
+  count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp, count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn,
+  count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp, avg((p - y) * (p - y)) AS brier FROM c GROUP BY model"""
+
+# Mann-Whitney form with average ranks: an independent check of the running-sum AUC.
+_AUC_SQL = """SELECT model, (sum(CASE WHEN y = 1 THEN rk END) - P * (P + 1) / 2e0) / (P * N)::DOUBLE AS roc_auc
+  FROM (SELECT model, y, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2e0 AS rk,
+               sum(y) OVER (PARTITION BY model) AS P, sum(1 - y) OVER (PARTITION BY model) AS N FROM c) t
+  GROUP BY model, P, N"""
+
+_AP_SQL = """SELECT model, sum(pos * tp / (tp + fp)::DOUBLE) / max(P) AS pr_auc FROM (
+    SELECT model, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS P
+    FROM (SELECT model, p, sum(y) AS pos, sum(1 - y) AS neg FROM c GROUP BY model, p) d
+    WINDOW w AS (PARTITION BY model ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) t
+  GROUP BY model"""
+
+_MET_SQL = f"""cm AS ({_CM_SQL}),
+m AS (SELECT model, tn, fp, fn, tp, brier,
+  (tp + tn) / (tn + fp + fn + tp)::DOUBLE AS accuracy,
+  coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision,
+  coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall,
+  coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1,
+  (coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) + coalesce(tn / nullif(tn + fp, 0)::DOUBLE, 0))
+    / nullif((tp + fn > 0)::INT + (tn + fp > 0)::INT, 0) AS balanced_accuracy,
+  CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0e0
+       ELSE (tp * tn - fp * fn)::DOUBLE / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) END AS mcc
+  FROM cm),
+auc AS ({_AUC_SQL}), ap AS ({_AP_SQL})"""
+
+_MET6 = ["accuracy", "precision", "recall", "f1", "balanced_accuracy", "mcc"]
+
+
+@_score("confusion", f"SELECT model, tn, fp, fn, tp, round_even(brier, 6) AS brier FROM ({_CM_SQL}) x")
+def q_confusion(spark, d):
+    return mt.confusion(C(spark, d)).withColumn("brier", _round("brier"))
+
+
+@_score("scalar_metrics", f"""WITH {_MET_SQL}
+SELECT m.model, tn, fp, fn, tp, {', '.join(f'round_even({c}, 6) AS {c}' for c in _MET6)},
+       round_even(brier, 6) AS brier_score, round_even(roc_auc, 6) AS roc_auc, round_even(pr_auc, 6) AS pr_auc
+FROM m JOIN auc ON m.model = auc.model JOIN ap ON m.model = ap.model""")
+def q_scalar_metrics(spark, d):
+    m = mt.scalar_metrics(C(spark, d))
+    return m.select("model", "tn", "fp", "fn", "tp",
+                    *[_round(c).alias(c) for c in _MET6 + ["brier_score", "roc_auc", "pr_auc"]])
+
+
+@_score("roc_auc", f"SELECT model, round_even(roc_auc, 9) AS roc_auc FROM ({_AUC_SQL}) x")
+def q_roc_auc(spark, d):
+    return mt.roc_auc(C(spark, d)).select("model", _round("roc_auc", 9).alias("roc_auc"))
+
+
+@_score("avg_precision", f"SELECT model, round_even(pr_auc, 9) AS pr_auc FROM ({_AP_SQL}) x")
+def q_avg_precision(spark, d):
+    return mt.average_precision(C(spark, d)).select("model", _round("pr_auc", 9).alias("pr_auc"))
+
+
+_CUM_SQL = """cum AS (SELECT model, p AS s, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+    sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N
+  FROM (SELECT model, p, sum(y) AS pos, sum(1 - y) AS neg FROM c GROUP BY model, p) d
+  WINDOW w AS (PARTITION BY model ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@_score("roc_points", f"""WITH {_CUM_SQL}
+SELECT model, round_even(s, 6) AS threshold, round_even(fp / nullif(N, 0)::DOUBLE, 6) AS fpr,
+       round_even(tp / nullif(P, 0)::DOUBLE, 6) AS tpr FROM cum
+UNION ALL SELECT DISTINCT model, 'inf'::DOUBLE, 0e0, 0e0 FROM c""")
+def q_roc_points(spark, d):
+    pts = mt.roc_points(C(spark, d))
+    return pts.select("model", _round("threshold").alias("threshold"), _round("fpr").alias("fpr"),
+                      _round("tpr").alias("tpr"))
+
+
+@_score("pr_points", f"""WITH {_CUM_SQL}
+SELECT model, round_even(s, 6) AS threshold, round_even(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision,
+       round_even(coalesce(tp / nullif(P, 0)::DOUBLE, 1), 6) AS recall FROM cum
+UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 1e0, 0e0 FROM c""")
+def q_pr_points(spark, d):
+    pts = mt.pr_points(C(spark, d))
+    return pts.select("model", _round("threshold").alias("threshold"),
+                      _round("precision").alias("precision"), _round("recall").alias("recall"))
+
+
+@_score("calibration", """
+SELECT model, bin, count(*) AS n, round_even(avg(y::DOUBLE), 6) AS fraction_positive,
+       round_even(avg(p), 6) AS mean_predicted
+FROM (SELECT model, y, p, (p > 1 * 0.1e0)::INT + (p > 2 * 0.1e0)::INT + (p > 3 * 0.1e0)::INT
+        + (p > 4 * 0.1e0)::INT + (p > 5 * 0.1e0)::INT + (p > 6 * 0.1e0)::INT + (p > 7 * 0.1e0)::INT
+        + (p > 8 * 0.1e0)::INT + (p > 9 * 0.1e0)::INT AS bin FROM c) t
+GROUP BY model, bin""")
+def q_calibration(spark, d):
+    cal = mt.calibration(C(spark, d))
+    return cal.select("model", "bin", "n", _round("fraction_positive").alias("fraction_positive"),
+                      _round("mean_predicted").alias("mean_predicted"))
+
+
+def _opt_sql(method: str) -> str:
+    score = ("coalesce(2 * tp / nullif(pp + P, 0)::DOUBLE, 0)" if method == "f1" else
+             "tp / greatest(P, 1)::DOUBLE + (N - (pp - tp)) / greatest(N, 1)::DOUBLE - 1")
+    return f"""WITH cand AS (
+  SELECT DISTINCT model, least(greatest(round_even(p * 10000e0, 0), 100e0), 9900e0) / 10000e0 AS t FROM c
+  UNION SELECT DISTINCT model, 0.05e0 FROM c UNION SELECT DISTINCT model, 0.95e0 FROM c),
+tot AS (SELECT model, sum(y) AS P, sum(1 - y) AS N FROM c GROUP BY model),
+ev AS (SELECT cand.model, t, count(c.p) AS pp, coalesce(sum(c.y), 0) AS tp
+       FROM cand LEFT JOIN c ON c.model = cand.model AND c.p >= cand.t GROUP BY cand.model, t),
+sc AS (SELECT ev.model, t, coalesce(2 * tp / nullif(pp + P, 0)::DOUBLE, 0) AS f1,
+         coalesce(tp / nullif(pp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(P, 0)::DOUBLE, 0) AS recall,
+         {score} AS score
+       FROM ev JOIN tot ON ev.model = tot.model)
+SELECT model, t AS threshold, round_even(f1, 6) AS f1, round_even(precision, 6) AS precision,
+       round_even(recall, 6) AS recall, round_even(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, t) AS rn FROM sc) x WHERE rn = 1"""
+
+
+def _opt_q(method):
+    def q(spark, d):
+        o = mt.optimal_threshold(C(spark, d), method=method)
+        return o.select("model", "threshold", *[_round(c).alias(c) for c in
+                                                ("f1", "precision", "recall", "score")])
+    return q
+
+
+_score("optimal_threshold_f1", _opt_sql("f1"))(_opt_q("f1"))
+_score("optimal_threshold_youden", _opt_sql("youden"))(_opt_q("youden"))
+
+
+@_score("threshold_table", f"""
+WITH th AS (SELECT k / 100e0 AS threshold FROM range(10, 91, 5) t(k)),
+cm AS (SELECT model, threshold, count(*) FILTER (WHERE y = 0 AND p < threshold) AS tn,
+  count(*) FILTER (WHERE y = 0 AND p >= threshold) AS fp, count(*) FILTER (WHERE y = 1 AND p < threshold) AS fn,
+  count(*) FILTER (WHERE y = 1 AND p >= threshold) AS tp FROM c CROSS JOIN th GROUP BY model, threshold)
+SELECT model, threshold, round_even(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision,
+  round_even(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall,
+  round_even(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) AS f1,
+  round_even((coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) + coalesce(tn / nullif(tn + fp, 0)::DOUBLE, 0))
+    / nullif((tp + fn > 0)::INT + (tn + fp > 0)::INT, 0), 6) AS balanced_accuracy
+FROM cm""")
+def q_threshold_table(spark, d):
+    t = mt.threshold_table(C(spark, d))
+    return t.select("model", "threshold", *[_round(c).alias(c) for c in
+                                            ("precision", "recall", "f1", "balanced_accuracy")])
+
+
+def _split_c(spark, d):
+    c = C(spark, d)
+    return c.filter(F.col("id") % 5 != 0), c.filter(F.col("id") % 5 == 0)
+
+
+_OVERFIT_SQL = f"""
+c_tr AS (SELECT * FROM c WHERE id % 5 <> 0), c_te AS (SELECT * FROM c WHERE id % 5 = 0),
+tr AS ({_AUC_SQL.replace('FROM c)', 'FROM c_tr)')}),
+te AS ({_AUC_SQL.replace('FROM c)', 'FROM c_te)')}),
+g AS (SELECT tr.model, round_even(tr.roc_auc, 4) AS train_roc_auc, round_even(te.roc_auc, 4) AS test_roc_auc,
+        round_even(tr.roc_auc - te.roc_auc, 4) AS roc_auc_gap FROM tr JOIN te ON tr.model = te.model)"""
+_OVERFIT_CLASS = ("CASE WHEN roc_auc_gap < 0.02e0 THEN 'Excellent' WHEN roc_auc_gap < 0.05e0 THEN 'Minor Overfit' "
+                  "WHEN roc_auc_gap < 0.10e0 THEN 'Moderate Overfit' ELSE 'Severe Overfit' END")
+
+
+@_score("overfit_report", f"WITH {_OVERFIT_SQL} SELECT *, {_OVERFIT_CLASS} AS overfit_class FROM g")
+def q_overfit_report(spark, d):
+    tr, te = _split_c(spark, d)
+    return mt.overfit_report(tr, te)
+
+
+@_score("metrics_comparison", f"""WITH {_MET_SQL}
+SELECT m.model, {', '.join(f'round_even({c}, 4) AS {c}' for c in ['accuracy', 'precision', 'recall', 'f1'])},
+  round_even(roc_auc, 4) AS roc_auc, round_even(pr_auc, 4) AS pr_auc,
+  round_even(balanced_accuracy, 4) AS balanced_accuracy, round_even(mcc, 4) AS mcc
+FROM m JOIN auc ON m.model = auc.model JOIN ap ON m.model = ap.model""")
+def q_metrics_comparison(spark, d):
+    return mt.metrics_comparison(C(spark, d))
+
+
+@_score("best_model", f"""WITH {_MET_SQL}, {_OVERFIT_SQL},
+cmp AS (SELECT m.model, round_even(roc_auc, 4) AS roc_auc, round_even(f1, 4) AS f1, round_even(recall, 4) AS recall
+        FROM m JOIN auc ON m.model = auc.model),
+j AS (SELECT cmp.*, coalesce(g.roc_auc_gap, 0e0) AS roc_auc_gap FROM cmp LEFT JOIN g ON cmp.model = g.model),
+w AS (SELECT * FROM j ORDER BY roc_auc DESC, f1 DESC, recall DESC, roc_auc_gap ASC, model DESC LIMIT 1)
+SELECT model, roc_auc, f1, recall, roc_auc_gap,
+  printf('%s selected: highest test ROC-AUC (%.4f); F1 %.4f%s; recall %.4f%s; train-test ROC-AUC gap %.4f.',
+    model, roc_auc, f1, CASE WHEN f1 >= (SELECT max(f1) FROM j) THEN ' (best)' ELSE '' END,
+    recall, CASE WHEN recall >= (SELECT max(recall) FROM j) THEN ' (highest)' ELSE '' END, roc_auc_gap) AS rationale
+FROM w""")
+def q_best_model(spark, d):
+    c = C(spark, d)
+    tr, te = _split_c(spark, d)
+    cmp = mt.metrics_comparison(c)
+    return mt.best_model(cmp, mt.overfit_report(tr, te))
