@@ -647,3 +647,127 @@ def q_best_model(spark, d):
     tr, te = _split_c(spark, d)
     cmp = mt.metrics_comparison(c)
     return mt.best_model(cmp, mt.overfit_report(tr, te))
+
+
+# ---------------------------------------------------------------- correlation
+
+from ..operators import correlation as corr  # noqa: E402
+
+CORR_COLS = ["Age", "MonthlyIncome", "YearsAtCompany", "TotalWorkingYears", "YearsInCurrentRole",
+             "YearsWithCurrManager", "YearsSinceLastPromotion", "NumCompaniesWorked",
+             "JobSatisfaction", "EnvironmentSatisfaction", "RelationshipSatisfaction",
+             "WorkLifeBalance", "n_lines", "qty", "max_discount"]
+
+
+def _nan_null(e: str) -> str:
+    return f"CASE WHEN isnan({e}) THEN NULL ELSE {e} END"
+
+
+@register("corr_with_label_top12", f"""
+SELECT feature, round_even(r, 6) AS r FROM (
+  {' UNION ALL '.join(f"SELECT '{c}' AS feature, {_nan_null(f'corr({c}::DOUBLE, ({Y})::DOUBLE)')} AS r FROM o" for c in CORR_COLS)}
+) t ORDER BY abs(r) DESC NULLS LAST, feature LIMIT 12""")
+def q_corr_with_label_top12(spark, d):
+    out = corr.correlation_with_label(O(spark, d), CORR_COLS)
+    return out.select("feature", _round("r").alias("r"))
+
+
+@register("corr_matrix", " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {i} AS ia, {j} AS ib, round_even({_nan_null(f'corr({a}::DOUBLE, {b}::DOUBLE)')}, 6) AS r FROM o"
+    for i, a in enumerate(CORR_COLS) for j, b in enumerate(CORR_COLS) if i < j))
+def q_corr_matrix(spark, d):
+    return corr.correlation_pairs(O(spark, d), CORR_COLS).withColumn("r", _round("r"))
+
+
+@register("redundant_pairs", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round_even(corr({a}::DOUBLE, {b}::DOUBLE), 4) AS correlation, "
+    f"{i} AS ia, {j} AS ib, corr({a}::DOUBLE, {b}::DOUBLE) AS r0 FROM o"
+    for i, a in enumerate(CORR_COLS) for j, b in enumerate(CORR_COLS) if i < j)
+    + ") t WHERE abs(r0) >= 0.92 AND NOT isnan(r0)")
+def q_redundant_pairs(spark, d):
+    return corr.redundant_pairs(O(spark, d), CORR_COLS)
+
+
+ORACLE["redundant_pairs"] = ORACLE["redundant_pairs"].replace(
+    "SELECT * FROM (SELECT '", "SELECT feature_a, feature_b, correlation, ia, ib FROM (SELECT '", 1)
+
+
+# ---------------------------------------------------------------- splits (X*) and class weights
+
+from ..operators import split as sp  # noqa: E402
+
+H1 = "(id * 7919) % 10007"
+H2 = "(id * 104729) % 10009"
+
+
+def _lab(o):
+    return o.select("id", F.when(F.col("Attrition") == "Yes", 1).otherwise(0).alias("label"))
+
+
+# Quotas in SQL: test total ceil(0.2 n); train allocated by floor + largest remainder (ties by label).
+def _split_sql(src: str, h: str) -> str:
+    return f"""
+src AS ({src}),
+cnt AS (SELECT label, count(*) AS n_c FROM src GROUP BY label),
+tot AS (SELECT sum(n_c) AS n, sum(n_c) - ceil(0.2e0 * sum(n_c)) AS n_train FROM cnt),
+alloc AS (SELECT label, n_c, n_c * n_train / n::DOUBLE AS cont, floor(n_c * n_train / n::DOUBLE) AS fl, n_train
+          FROM cnt CROSS JOIN tot),
+need AS (SELECT n_train - sum(fl) AS k FROM alloc GROUP BY n_train),
+ranked_rem AS (SELECT *, row_number() OVER (ORDER BY cont - fl DESC, label) AS rr FROM alloc),
+quota AS (SELECT label, n_c - (fl + CASE WHEN rr <= (SELECT k FROM need) THEN 1 ELSE 0 END) AS q FROM ranked_rem),
+rk AS (SELECT src.*, row_number() OVER (PARTITION BY label ORDER BY {h}, id) AS r FROM src),
+sp AS (SELECT rk.*, CASE WHEN r <= q THEN 'test' ELSE 'train' END AS split FROM rk JOIN quota USING (label))"""
+
+
+_LAB_SQL = f"SELECT id, {Y} AS label FROM o"
+
+
+@register("stratified_split_sizes", f"""WITH {_split_sql(_LAB_SQL, H1)}
+SELECT split, label, count(*) AS n, sum(id) AS sum_id FROM sp GROUP BY split, label""")
+def q_stratified_split_sizes(spark, d):
+    s = sp.stratified_split(_lab(O(spark, d)), "label", ["id"], h=F.expr(H1), hash_range=10007,
+                            rows_per_bucket=2000)
+    return s.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
+
+
+@register("validation_split_sizes", f"""WITH {_split_sql(_LAB_SQL, H1)},
+{_split_sql("SELECT id, label FROM sp WHERE split = 'train'", H2).replace('src AS', 'src2 AS', 1)
+  .replace('FROM src', 'FROM src2').replace('cnt', 'cnt2').replace('tot', 'tot2').replace('alloc', 'alloc2')
+  .replace('need', 'need2').replace('ranked_rem', 'rr2').replace('quota', 'quota2')
+  .replace('rk AS', 'rk2 AS').replace('FROM rk ', 'FROM rk2 ').replace('sp AS (SELECT rk.*', 'sp2 AS (SELECT rk2.*')
+  .replace('src.*', 'src2.*')}
+SELECT split, label, count(*) AS n, sum(id) AS sum_id FROM sp2 GROUP BY split, label""")
+def q_validation_split_sizes(spark, d):
+    s = sp.stratified_split(_lab(O(spark, d)), "label", ["id"], h=F.expr(H1), hash_range=10007)
+    tr = s.filter(F.col("split") == "train").drop("split")
+    v = sp.stratified_split(tr, "label", ["id"], h=F.expr(H2), hash_range=10009)
+    return v.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
+
+
+@register("fold_sizes", f"""
+WITH src AS ({_LAB_SQL}),
+cnt AS (SELECT label, count(*) AS n_c FROM src GROUP BY label),
+off AS (SELECT label, coalesce(sum(n_c) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM cnt),
+rk AS (SELECT src.*, row_number() OVER (PARTITION BY label ORDER BY {H2}, id) AS r FROM src)
+SELECT CAST((o + r - 1) % 5 AS INTEGER) AS fold, label, count(*) AS n, sum(id) AS sum_id
+FROM rk JOIN off USING (label) GROUP BY 1, 2""")
+def q_fold_sizes(spark, d):
+    f = sp.stratified_folds(_lab(O(spark, d)), "label", ["id"], k=5, h=F.expr(H2), hash_range=10009,
+                            rows_per_bucket=1500)
+    return f.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
+
+
+@register("background_sample", f"SELECT id, Age, MonthlyIncome FROM o ORDER BY {H1}, id LIMIT 120")
+def q_background_sample(spark, d):
+    return sp.background_sample(O(spark, d).select("id", "Age", "MonthlyIncome"), ["id"], 120,
+                                order=F.expr(H1))
+
+
+@register("class_weights", f"""
+WITH c AS (SELECT {Y} AS label, count(*) AS count FROM o WHERE {FIT_WHERE} GROUP BY 1)
+SELECT label, count, (SELECT sum(count) FROM c) / ((SELECT count(*) FROM c) * count)::DOUBLE AS weight,
+  (SELECT sum(count) FILTER (WHERE label = 0) FROM c) / greatest((SELECT coalesce(sum(count) FILTER (WHERE label = 1), 0) FROM c), 1)::DOUBLE AS scale_pos_weight
+FROM c""")
+def q_class_weights(spark, d):
+    lab = O_train(O(spark, d)).select(F.when(F.col("Attrition") == "Yes", 1).otherwise(0).alias("label"))
+    return sp.class_weights(lab)
