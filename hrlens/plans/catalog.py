@@ -771,3 +771,133 @@ FROM c""")
 def q_class_weights(spark, d):
     lab = O_train(O(spark, d)).select(F.when(F.col("Attrition") == "Yes", 1).otherwise(0).alias("label"))
     return sp.class_weights(lab)
+
+
+# ---------------------------------------------------------------- validation (I2, I3) and scoring
+
+from ..operators import score as sc  # noqa: E402
+from ..operators import validate as va  # noqa: E402
+
+INPUT_O = ["Department", "JobRole", "OverTime", "Age", "MonthlyIncome", "YearsAtCompany",
+           "TotalWorkingYears", "YearsInCurrentRole", "YearsWithCurrManager",
+           "YearsSinceLastPromotion", "NumCompaniesWorked", "JobSatisfaction",
+           "EnvironmentSatisfaction", "RelationshipSatisfaction", "WorkLifeBalance"]
+NOMINAL_IN = ["Department", "JobRole", "OverTime"]
+
+
+def _issues_sql() -> str:
+    """The I2 rules for view O written out in SQL (rule numbers follow the rule order)."""
+    parts, k = [], 0
+
+    def add(field, msg, cond):
+        nonlocal k
+        m = msg.replace("'", "''")
+        parts.append(f"SELECT id, {k} AS rule, '{field}' AS field, '{m}' AS message, 'error' AS severity "
+                     f"FROM o WHERE coalesce({cond}, false)")
+        k += 1
+
+    strs = {"Department", "JobRole", "OverTime"}
+    for f in INPUT_O:
+        add(f, va.MSG_REQUIRED, f"{f} IS NULL" + (f" OR trim({f}) = ''" if f in strs else ""))
+    for c in va.LIKERT_1_4:
+        if c in INPUT_O:
+            add(c, va.MSG_LIKERT, f"{c} < 1 OR {c} > 4")
+    add("Age", va.MSG_AGE, f"Age < {va.AGE_MIN} OR Age > {va.AGE_MAX}")
+    add("MonthlyIncome", va.MSG_INCOME, "MonthlyIncome <= 0")
+    for left, right, msg in va.TENURE_RULES:
+        add(left, msg, f"{left} > {right}")
+    add("OverTime", va.MSG_OVERTIME, "OverTime IS NOT NULL AND OverTime NOT IN ('Yes', 'No')")
+    for f in NOMINAL_IN:
+        add(f, va.MSG_CATEGORY, f"trim({f}) = ''")
+    return " UNION ALL ".join(parts)
+
+
+@register("validation_issues", _issues_sql())
+def q_validation_issues(spark, d):
+    return va.validation_issues(O(spark, d), "id", INPUT_O, NOMINAL_IN)
+
+
+@register("validation_issues_capped", f"""
+WITH iss AS ({_issues_sql()}),
+per AS (SELECT id, count(*) AS n FROM iss GROUP BY id),
+first20 AS (SELECT id, n, row_number() OVER (ORDER BY id) AS rowpos,
+                   sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+            FROM (SELECT * FROM per ORDER BY id LIMIT 20) p),
+kept AS (SELECT * FROM first20 WHERE cum - n < 20)
+SELECT CAST(iss.id AS VARCHAR) || '.' || field AS field, message, severity,
+       CAST(rowpos * 1000 + row_number() OVER (PARTITION BY iss.id ORDER BY rule) - 1 AS BIGINT) AS seq
+FROM iss JOIN kept ON iss.id = kept.id
+UNION ALL
+SELECT 'rows', 'Additional row errors omitted.', 'warning', CAST(1000000000 AS BIGINT)
+FROM (SELECT max(cum) AS t FROM kept) x WHERE t >= 20""")
+def q_validation_issues_capped(spark, d):
+    return va.validate_batch(O(spark, d), "id", INPUT_O, NOMINAL_IN)
+
+
+# A fixed linear model over view O's columns (the weights are parameters of the query).
+SCORE_MODEL = sc.LinearModel(-1.25, {
+    "Age": -0.021, "MonthlyIncome": -0.00011, "YearsAtCompany": -0.043, "TotalWorkingYears": 0.017,
+    "NumCompaniesWorked": 0.088, "JobSatisfaction": -0.19, "EnvironmentSatisfaction": -0.23,
+    "RelationshipSatisfaction": -0.11, "YearsSinceLastPromotion": 0.061, "YearsInCurrentRole": -0.035,
+    "YearsWithCurrManager": -0.029, "n_lines": 0.052, "burnout_risk_flag": 0.74,
+    "compensation_per_experience": -0.00002})
+
+
+def _featured_o(spark, d):
+    o = O(spark, d)
+    return fe.apply_features(o, fe.fit_feature_state(O_train(o)))
+
+
+_FE_O_SQL = _FE_SQL.replace("SELECT id,\n", "SELECT o_id AS id,\n", 1)
+_LOGIT_SQL = f"{SCORE_MODEL.intercept}e0 + " + " + ".join(
+    f"({w!r}e0) * CAST({f} AS DOUBLE)" if "e" not in repr(w) else f"({w!r}) * CAST({f} AS DOUBLE)"
+    for f, w in SCORE_MODEL.weights.items())
+_FEATURED_SQL = f"""fx AS (
+  SELECT o.*, CAST(coalesce(OverTime = 'Yes' AND WorkLifeBalance <= 2, false) AS INTEGER) AS burnout_risk_flag,
+         MonthlyIncome / (CASE WHEN TotalWorkingYears < 1 THEN 1 ELSE TotalWorkingYears END)::DOUBLE AS compensation_per_experience
+  FROM o)"""
+
+
+@register("score_batch", f"""WITH {_FEATURED_SQL},
+pz AS (SELECT id, 1e0 / (1e0 + exp(-({_LOGIT_SQL}))) AS p FROM fx)
+SELECT id AS EmployeeID, round_even(p, 4) AS AttritionProbability,
+  CASE WHEN p >= 0.5e0 THEN 'Yes' ELSE 'No' END AS PredictedAttrition,
+  CASE WHEN p >= 0.6e0 THEN 'High' WHEN p >= 0.4e0 THEN 'Elevated' WHEN p >= 0.25e0 THEN 'Moderate' ELSE 'Low' END AS RiskTier,
+  round_even(abs(p - 0.5e0) * 2e0, 4) AS ConfidenceScore
+FROM pz""")
+def q_score_batch(spark, d):
+    return sc.prediction_frame(sc.predict_linear(_featured_o(spark, d), SCORE_MODEL, "id"), "id")
+
+
+@register("tier_counts", f"""WITH {_FEATURED_SQL},
+pz AS (SELECT 1e0 / (1e0 + exp(-({_LOGIT_SQL}))) AS p FROM fx)
+SELECT CASE WHEN p >= 0.6e0 THEN 'High' WHEN p >= 0.4e0 THEN 'Elevated' WHEN p >= 0.25e0 THEN 'Moderate' ELSE 'Low' END AS RiskTier,
+       count(*) AS count FROM pz GROUP BY 1""")
+def q_tier_counts(spark, d):
+    pred = sc.prediction_frame(sc.predict_linear(_featured_o(spark, d), SCORE_MODEL, "id"), "id")
+    return seg.tier_counts(pred)
+
+
+_FEATS = list(SCORE_MODEL.weights)
+
+
+@register("linear_contributions_top12", f"""WITH {_FEATURED_SQL},
+bg AS (SELECT * FROM fx ORDER BY {H1}, id LIMIT 120),
+mu AS (SELECT {', '.join(f'round_even(avg(CAST({f} AS DOUBLE)), 6) AS m_{f}' for f in _FEATS)} FROM bg),
+phi AS ({' UNION ALL '.join(
+    f"SELECT id, '{f}' AS feature, ({SCORE_MODEL.weights[f]!r}) * (CAST({f} AS DOUBLE) - m_{f}) AS shap_value, "
+    f"CAST({f} AS DOUBLE) AS feature_value FROM fx CROSS JOIN mu" for f in _FEATS)}),
+base AS (SELECT {SCORE_MODEL.intercept!r} + {' + '.join(f'({SCORE_MODEL.weights[f]!r}) * m_{f}' for f in _FEATS)} AS b FROM mu),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(shap_value) DESC, feature) AS rank FROM phi)
+SELECT id, rank, feature, round_even(shap_value, 6) AS shap_value, feature_value,
+  CASE WHEN shap_value >= 0 THEN 'Increases risk' ELSE 'Decreases risk' END AS direction,
+  round_even(b, 6) AS base_value
+FROM rk CROSS JOIN base WHERE rank <= 12""")
+def q_linear_contributions_top12(spark, d):
+    fx = _featured_o(spark, d)
+    from ..operators.split import background_sample
+    bg = background_sample(fx, ["id"], 120, order=F.expr(H1))
+    means = {k: round(v, 6) for k, v in sc.background_means(bg, _FEATS).items()}
+    out = sc.linear_contributions(fx, SCORE_MODEL, "id", means=means)
+    return out.select("id", "rank", "feature", _round("shap_value").alias("shap_value"), "feature_value",
+                      "direction", _round("base_value").alias("base_value"))
