@@ -1,10 +1,15 @@
 """Pearson correlations (A9), redundant pairs (A10) and the greedy redundancy
 resolution (L10).
 
-All pairs come from ONE aggregate pass: per pair ``covar_pop`` over rows where
-both values are present, divided (``try_divide``) by the two population
-standard deviations over the same rows.  This equals pandas' pairwise
-``corr`` and gives null (not an ANSI error) for a constant column.
+Two aggregate passes, whatever the number of pairs: pass 1 gets each
+column's mean, non-null count and range; pass 2 sums centred cross products.
+Columns without nulls share their per-column sums; a pair that involves a
+nullable column gets its own masked sums over rows where both are present
+(pandas' pairwise-complete rule).  Plain ``sum`` aggregates keep the
+per-row cost to a multiply-add per pair (about 4x cheaper than one
+``covar_pop`` per pair), and centring on the mean keeps the sums stable.  A
+constant column gives null (pandas gives NaN; Spark's ``corr`` would raise
+under ANSI).
 """
 
 from __future__ import annotations
@@ -12,36 +17,82 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import col, label01
+from ..functions.exprs import col, label01, lit_d
 
 
-def _pair_expr(a: str, b: str):
-    x, y = col(a).cast("double"), col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    sx = F.stddev_pop(F.when(both, x))
-    sy = F.stddev_pop(F.when(both, y))
-    return F.try_divide(F.covar_pop(x, y), sx * sy)
+def _moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict]:
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(columns):
+        x = col(c).cast("double")
+        aggs += [F.avg(x).alias(f"m{i}"), F.count(x).alias(f"n{i}"),
+                 (F.min(x) == F.max(x)).alias(f"k{i}")]
+    row = df.agg(*aggs).first()
+    return row["_n"], {c: (row[f"m{i}"], row[f"n{i}"], bool(row[f"k{i}"]))
+                       for i, c in enumerate(columns)}
+
+
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _pearson(n: str, sa: str, sb: str, saa: str, sbb: str, sab: str) -> str:
+    nd = f"CAST({n} AS DOUBLE)"
+    cov = f"({sab} / {nd} - ({sa} / {nd}) * ({sb} / {nd}))"
+    va = f"({saa} / {nd} - ({sa} / {nd}) * ({sa} / {nd}))"
+    vb = f"({sbb} / {nd} - ({sb} / {nd}) * ({sb} / {nd}))"
+    return f"CASE WHEN {va} > 0 AND {vb} > 0 THEN {cov} / sqrt({va} * {vb}) END"
+
+
+def _pairs_row(df: DataFrame, pairs: list[tuple[str, str]], columns: Sequence[str]) -> tuple[DataFrame, dict]:
+    """One row holding r for every requested pair (column ``r{i}``).
+
+    The few hundred aggregate expressions are written as SQL text: building
+    them as Column objects one py4j call at a time costs more than the job.
+    """
+    n, mom = _moments(df, columns)
+    dense = {c for c in columns if mom[c][1] == n}
+    pos = {c: i for i, c in enumerate(columns)}
+    centred = df.select(*[(col(c).cast("double") - lit_d(mom[c][0] if mom[c][0] is not None else 0.0))
+                          .alias(f"d{pos[c]}") for c in columns])
+    aggs, exprs = [], {}
+    for c in sorted(dense, key=pos.get):
+        k = pos[c]
+        aggs += [f"sum(d{k}) AS s{k}", f"sum(d{k} * d{k}) AS ss{k}"]
+    for i, (a, b) in enumerate(pairs):
+        ka, kb = pos[a], pos[b]
+        if mom[a][2] or mom[b][2] or mom[a][0] is None or mom[b][0] is None:
+            exprs[i] = "CAST(NULL AS DOUBLE)"
+        elif a in dense and b in dense:
+            aggs.append(f"sum(d{ka} * d{kb}) AS p{i}")
+            exprs[i] = _pearson(str(n), f"s{ka}", f"s{kb}", f"ss{ka}", f"ss{kb}", f"p{i}")
+        else:
+            both = f"d{ka} IS NOT NULL AND d{kb} IS NOT NULL"
+            da, db = f"CASE WHEN {both} THEN d{ka} END", f"CASE WHEN {both} THEN d{kb} END"
+            aggs += [f"count_if({both}) AS n{i}", f"sum({da}) AS a{i}", f"sum({db}) AS b{i}",
+                     f"sum({da} * {da}) AS aa{i}", f"sum({db} * {db}) AS bb{i}", f"sum({da} * {db}) AS p{i}"]
+            exprs[i] = _pearson(f"n{i}", f"a{i}", f"b{i}", f"aa{i}", f"bb{i}", f"p{i}")
+    row = centred.agg(*[F.expr(a) for a in aggs]) if aggs else df.sparkSession.range(1)
+    return row.selectExpr(*[f"{e} AS r{i}" for i, e in exprs.items()]), mom
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A9 long form: (a, b, ia, ib, r) for every unordered pair a < b in list order."""
-    pairs = list(combinations(range(len(columns)), 2))
-    row = df.agg(*[_pair_expr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"),
-                 F.lit(i).alias("ia"), F.lit(j).alias("ib"), F.col(f"c{i}_{j}").alias("r"))
-        for i, j in pairs]))
-    return row.select(stacked.alias("p")).select("p.*")
+    idx = list(combinations(range(len(columns)), 2))
+    pairs = [(columns[i], columns[j]) for i, j in idx]
+    row, _ = _pairs_row(df, pairs, columns)
+    items = ", ".join(f"'{columns[i]}', '{columns[j]}', {i}, {j}, r{k}" for k, (i, j) in enumerate(idx))
+    return row.selectExpr(f"stack({len(idx)}, {items}) AS (a, b, ia, ib, r)")
 
 
 def correlation_with_label(df: DataFrame, columns: Sequence[str], target: str = "Attrition",
                            positive: str = "Yes", top: int | None = 12) -> DataFrame:
     """R of each numeric column with the 0/1 label, ordered by |r| desc (top-k)."""
     lab = df.select(*[col(c) for c in columns], label01(target, positive).alias("_label"))
-    row = lab.agg(*[_pair_expr(c, "_label").alias(c) for c in columns])
+    row, _ = _pairs_row(lab, [(c, "_label") for c in columns], [*columns, "_label"])
+    row = row.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)])
     out = (row.unpivot([], list(columns), "feature", "r")
               .orderBy(F.desc_nulls_last(F.abs("r")), "feature"))
     return out.limit(top) if top else out
