@@ -121,6 +121,17 @@ def average_precision(scores: DataFrame, by: Sequence[str] = ("model",), label:
         safe_div(F.sum(F.col("pos") * prec), F.max("P")).alias("pr_auc"))
 
 
+def curve_metrics(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
+                  score: str = "p") -> DataFrame:
+    """M3 + M4 from ONE cumulative table: (group, roc_auc, pr_auc)."""
+    c = cumulative(scores, by, label, score)
+    num = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / lit_d(2.0)))
+    prec = F.col("tp") / (F.col("tp") + F.col("fp")).cast("double")
+    return c.groupBy(*by).agg(
+        safe_div(num, F.max("P").cast("double") * F.max("N")).alias("roc_auc"),
+        safe_div(F.sum(F.col("pos") * prec), F.max("P")).alias("pr_auc"))
+
+
 def roc_points(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
                score: str = "p") -> DataFrame:
     """M6: (threshold, fpr, tpr) per distinct score, plus the (inf, 0, 0) start point."""
@@ -235,8 +246,7 @@ def scalar_metrics(scores: DataFrame, by: Sequence[str] = ("model",), label: str
                    score: str = "p", threshold: float = 0.5) -> DataFrame:
     """M2/M5 + M3/M4: the eight comparison metrics and the Brier score per group."""
     m = metrics_from_confusion(confusion(scores, by, label, score, threshold), by)
-    return (m.join(roc_auc(scores, by, label, score), list(by))
-             .join(average_precision(scores, by, label, score), list(by)))
+    return m.join(curve_metrics(scores, by, label, score), list(by))
 
 
 def metrics_comparison(scores: DataFrame, by: str = "model", label: str = "y", score: str = "p",

@@ -98,7 +98,9 @@ def linear_contributions(df: DataFrame, model: LinearModel, id_col: str,
     if means is None:
         bg = background if background is not None else background_sample(df, [id_col], n_background, seed)
         means = background_means(bg, feats)
-    base = model.intercept + sum(model.weights[f] * means[f] for f in feats)
+    base = model.intercept
+    for f in feats:                      # left to right, like SQL's a + b + c
+        base = base + model.weights[f] * means[f]
     items = F.array(*[
         F.struct(F.coalesce(-F.abs(lit_d(model.weights[f]) * (col(f).cast("double") - lit_d(means[f]))),
                             F.lit(float("inf"))).alias("k"),

@@ -889,9 +889,9 @@ phi AS ({' UNION ALL '.join(
     f"CAST({f} AS DOUBLE) AS feature_value FROM fx CROSS JOIN mu" for f in _FEATS)}),
 base AS (SELECT {SCORE_MODEL.intercept!r} + {' + '.join(f'({SCORE_MODEL.weights[f]!r}) * m_{f}' for f in _FEATS)} AS b FROM mu),
 rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(shap_value) DESC, feature) AS rank FROM phi)
-SELECT id, rank, feature, round_even(shap_value, 6) AS shap_value, feature_value,
+SELECT id, rank, feature, shap_value, feature_value,
   CASE WHEN shap_value >= 0 THEN 'Increases risk' ELSE 'Decreases risk' END AS direction,
-  round_even(b, 6) AS base_value
+  b AS base_value
 FROM rk CROSS JOIN base WHERE rank <= 12""")
 def q_linear_contributions_top12(spark, d):
     fx = _featured_o(spark, d)
@@ -899,5 +899,4 @@ def q_linear_contributions_top12(spark, d):
     bg = background_sample(fx, ["id"], 120, order=F.expr(H1))
     means = {k: round(v, 6) for k, v in sc.background_means(bg, _FEATS).items()}
     out = sc.linear_contributions(fx, SCORE_MODEL, "id", means=means)
-    return out.select("id", "rank", "feature", _round("shap_value").alias("shap_value"), "feature_value",
-                      "direction", _round("base_value").alias("base_value"))
+    return out.select("id", "rank", "feature", "shap_value", "feature_value", "direction", "base_value")
