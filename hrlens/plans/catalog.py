@@ -900,3 +900,40 @@ def q_linear_contributions_top12(spark, d):
     means = {k: round(v, 6) for k, v in sc.background_means(bg, _FEATS).items()}
     out = sc.linear_contributions(fx, SCORE_MODEL, "id", means=means)
     return out.select("id", "rank", "feature", "shap_value", "feature_value", "direction", "base_value")
+
+
+# ---------------------------------------------------------------- models (L*, M15): rows-only checks
+
+from ..plans import modeling as ml  # noqa: E402
+from ..plans import pipelines as pl  # noqa: E402
+
+ML_NUMERIC = ["Age", "MonthlyIncome", "YearsAtCompany", "TotalWorkingYears", "YearsInCurrentRole",
+              "YearsWithCurrManager", "YearsSinceLastPromotion", "NumCompaniesWorked",
+              "JobSatisfaction", "EnvironmentSatisfaction", "RelationshipSatisfaction", "n_lines"]
+ML_NOMINAL = ["Department", "JobRole", "OverTime", "Region"]
+
+
+def _labelled(spark, d):
+    o = O(spark, d)
+    return o.withColumn("label", F.when(F.col("Attrition") == "Yes", 1).otherwise(0))
+
+
+@register("rf_importance")
+def q_rf_importance(spark, d):
+    train = sp.hash_split(_labelled(spark, d), ["id"]).filter(F.col("split") == "train")
+    return ml.rf_importance(train, ML_NOMINAL, ML_NUMERIC, "label", num_trees=100, max_depth=10)
+
+
+@register("model_comparison")
+def q_model_comparison(spark, d):
+    s = sp.stratified_split(_labelled(spark, d), "label", ["id"])
+    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    _, comparison, _ = ml.run_training(train, test, ML_NOMINAL, ML_NUMERIC, "id", folds=3)
+    return comparison
+
+
+@register("selected_features")
+def q_selected_features(spark, d):
+    res = pl.run_feature_engineering(O(spark, d), "id", ML_NOMINAL, ML_NUMERIC, num_trees=100, max_depth=10)
+    rows = [(f, f not in res["dropped"]) for f in ML_NOMINAL + ML_NUMERIC + fe.ENGINEERED]
+    return spark.createDataFrame(rows, "feature string, selected boolean")

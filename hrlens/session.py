@@ -33,12 +33,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
+def checkpoint_dir(spark: SparkSession, allow_local: bool | None = None) -> str:
     """Shared folder for lineage cuts, read from ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the operator of the cluster (a shared
-    file system).  Only when ``allow_local`` is true (tests, local runs) is a
-    fresh temporary folder created and registered.
+    file system).  Only when it is unset AND the session runs in local mode
+    (tests, local runs; or ``allow_local=True``) is a fresh temporary folder
+    created and registered.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -49,6 +54,8 @@ def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
         return conf_dir
     if current:
         return current
+    if allow_local is None:
+        allow_local = _is_local(spark)
     if not allow_local:
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder "
@@ -59,12 +66,12 @@ def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
     return local
 
 
-def cut_lineage(df: DataFrame, allow_local: bool = False) -> DataFrame:
+def cut_lineage(df: DataFrame, allow_local: bool | None = None) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never ``localCheckpoint``."""
     checkpoint_dir(df.sparkSession, allow_local=allow_local)
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str, allow_local: bool = False) -> str:
+def scratch_path(spark: SparkSession, name: str, allow_local: bool | None = None) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark, allow_local=allow_local), "tables", name)
