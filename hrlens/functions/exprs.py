@@ -124,3 +124,15 @@ def status_label(target: ColumnOrName, positive: str = "Yes", negative: str = "N
 def r(c: ColumnOrName, digits: int = 6) -> Column:
     """Half-even rounding of a double (numpy / pandas ``round``)."""
     return F.bround(col(c).cast("double"), digits)
+
+
+def score_label(c: ColumnOrName, low: str, high: str, levels: int = 4) -> Column:
+    """1 → "1 — <low>", top level → "<levels> — <high>", others their number."""
+    c = col(c)
+    return (F.when(c == 1, F.lit(f"1 — {low}")).when(c == levels, F.lit(f"{levels} — {high}"))
+             .when(c.isNotNull(), c.cast("string")))
+
+
+def feature_tag(name: ColumnOrName, engineered: list[str]) -> Column:
+    """T17: "Engineered" for derived feature names, else "Base"."""
+    return F.when(col(name).isin(engineered), F.lit("Engineered")).otherwise(F.lit("Base"))

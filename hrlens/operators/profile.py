@@ -224,3 +224,25 @@ def column_verification(df: DataFrame, small: int = 10, show: int = 5) -> DataFr
     return out.select("position", "column", "dtype",
                       F.coalesce("unique_values", F.lit(0)).cast("long").alias("unique_values"),
                       sample.alias("sample_values")).orderBy("position")
+
+
+def schema_check(df: DataFrame, registry: dict[str, str]) -> DataFrame:
+    """Q14: registry (column → role) against the table's schema (full outer join):
+    status is ``ok``, ``missing`` (registered, absent) or ``unregistered``."""
+    spark = df.sparkSession
+    reg = spark.createDataFrame(list(registry.items()), "column string, role string")
+    actual = spark.createDataFrame(list(df.dtypes), "column string, dtype string")
+    return (reg.join(actual, "column", "full")
+               .select("column", "role", "dtype",
+                       F.when(F.col("dtype").isNull(), "missing").when(F.col("role").isNull(), "unregistered")
+                        .otherwise("ok").alias("status"))
+               .orderBy("column"))
+
+
+def column_groups(df: DataFrame, groups: dict[str, list[str]], approx: bool = False) -> DataFrame:
+    """Q15: domain group → column with dtype and distinct count (joined to Q2)."""
+    spark = df.sparkSession
+    g = spark.createDataFrame([(grp, c) for grp, cols in groups.items() for c in cols],
+                              "group string, column string")
+    return (g.join(schema_overview(df, approx).select("column", "dtype", "unique_values"), "column", "left")
+             .select("group", "column", "dtype", "unique_values").orderBy("group", "column"))

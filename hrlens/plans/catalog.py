@@ -937,3 +937,75 @@ def q_selected_features(spark, d):
     res = pl.run_feature_engineering(O(spark, d), "id", ML_NOMINAL, ML_NUMERIC, num_trees=100, max_depth=10)
     rows = [(f, f not in res["dropped"]) for f in ML_NOMINAL + ML_NUMERIC + fe.ENGINEERED]
     return spark.createDataFrame(rows, "feature string, selected boolean")
+
+
+# ---------------------------------------------------------------- labels, long forms, schema
+
+from ..functions.exprs import display_name, score_label, status_label  # noqa: E402
+
+
+@register("status_labels", """
+SELECT id, CASE WHEN Attrition = 'Yes' THEN 'Left' WHEN Attrition = 'No' THEN 'Stayed' END AS Status,
+  CASE WHEN JobSatisfaction = 1 THEN '1 — Low' WHEN JobSatisfaction = 4 THEN '4 — High'
+       WHEN JobSatisfaction IS NOT NULL THEN CAST(JobSatisfaction AS VARCHAR) END AS JobSatisfactionLabel,
+  CASE WHEN WorkLifeBalance = 1 THEN '1 — Poor' WHEN WorkLifeBalance = 4 THEN '4 — Good'
+       WHEN WorkLifeBalance IS NOT NULL THEN CAST(WorkLifeBalance AS VARCHAR) END AS WorkLifeBalanceLabel
+FROM o""")
+def q_status_labels(spark, d):
+    o = O(spark, d)
+    return o.select("id", status_label("Attrition").alias("Status"),
+                    score_label("JobSatisfaction", "Low", "High").alias("JobSatisfactionLabel"),
+                    score_label("WorkLifeBalance", "Poor", "Good").alias("WorkLifeBalanceLabel"))
+
+
+_M8 = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "balanced_accuracy", "mcc"]
+
+
+@_score("metrics_long", f"""WITH {_MET_SQL},
+cmp AS (SELECT m.model, {', '.join(f'round_even({c}, 4) AS {c}' for c in ['accuracy', 'precision', 'recall', 'f1', 'roc_auc', 'pr_auc', 'balanced_accuracy', 'mcc'])}
+        FROM m JOIN auc ON m.model = auc.model JOIN ap ON m.model = ap.model)
+{' UNION ALL '.join(f"SELECT upper(substr(model, 1, 1)) || substr(model, 2) AS model, '{c}' AS Metric, {c} AS Score FROM cmp" for c in _M8)}""")
+def q_metrics_long(spark, d):
+    cmp = mt.metrics_comparison(C(spark, d))
+    long = cmp.unpivot(["model"], _M8, "Metric", "Score")
+    return long.select(display_name("model").alias("model"), "Metric", "Score")
+
+
+REGISTRY_O = {"id": "id", "Attrition": "target", "Department": "nominal", "JobRole": "nominal",
+              "OverTime": "nominal", "Age": "continuous", "MonthlyIncome": "continuous",
+              "YearsAtCompany": "continuous", "TotalWorkingYears": "continuous",
+              "YearsInCurrentRole": "continuous", "YearsWithCurrManager": "continuous",
+              "YearsSinceLastPromotion": "continuous", "NumCompaniesWorked": "continuous",
+              "JobSatisfaction": "ordinal", "EnvironmentSatisfaction": "ordinal",
+              "RelationshipSatisfaction": "ordinal", "WorkLifeBalance": "ordinal",
+              "StandardHours": "drop", "Education": "ordinal", "StockOptionLevel": "ordinal"}
+
+
+@register("schema_check", "SELECT \"column\", role, dtype, CASE WHEN dtype IS NULL THEN 'missing' "
+          "WHEN role IS NULL THEN 'unregistered' ELSE 'ok' END AS status FROM (VALUES "
+          + ", ".join(f"('{c}', '{r}')" for c, r in REGISTRY_O.items()) + ") r(\"column\", role) FULL JOIN (VALUES "
+          + ", ".join(f"('{c}', '{t}')" for c, t in O_SCHEMA) + ") a(\"column\", dtype) USING (\"column\")")
+def q_schema_check(spark, d):
+    return pf.schema_check(O(spark, d), REGISTRY_O)
+
+
+GROUPS_O = {"Demographics": ["Age", "Region"], "Job": ["Department", "JobRole", "OverTime"],
+            "Compensation": ["MonthlyIncome"],
+            "Tenure": ["YearsAtCompany", "TotalWorkingYears", "YearsInCurrentRole", "YearsWithCurrManager",
+                       "YearsSinceLastPromotion", "NumCompaniesWorked"],
+            "Satisfaction": ["JobSatisfaction", "EnvironmentSatisfaction", "RelationshipSatisfaction",
+                             "WorkLifeBalance"]}
+_TYPES_O = dict(O_SCHEMA)
+
+
+@register("column_groups", " UNION ALL ".join(
+    f"SELECT '{g}' AS \"group\", '{c}' AS \"column\", '{_TYPES_O[c]}' AS dtype, count(DISTINCT {c}) AS unique_values FROM o"
+    for g, cols in GROUPS_O.items() for c in cols))
+def q_column_groups(spark, d):
+    return pf.column_groups(O(spark, d), GROUPS_O)
+
+
+@register("column_verification")
+def q_column_verification(spark, d):
+    # rows-only: the sample text follows Spark's number formatting
+    return pf.column_verification(O(spark, d))

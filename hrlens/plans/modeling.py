@@ -11,8 +11,9 @@
 * Evaluation (M15) reuses the aggregate metrics in ``operators.metrics`` on a
   long (model, id, y, p) score table.
 
-Training data is cached once (``MEMORY_AND_DISK``, recomputable from
-lineage after an executor loss) because every fold and grid point reads it.
+Training data is checkpointed once (reliable checkpoint in
+``spark.checkpoint.dir``) because every fold and grid point reads it; the
+checkpoint survives executor loss and truncates the plan.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
