@@ -102,10 +102,24 @@ def duplicate_report(df: DataFrame, id_col: str, exclude: Sequence[str] = ()) ->
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
-    """Q7: columns with exactly one distinct non-null value, and that value."""
-    return (long_table(df, df.columns).groupBy("column")
-            .agg(F.count_distinct("value").alias("_d"), F.min("value").alias("value"))
-            .filter(F.col("_d") == 1).select("column", "value").orderBy("column"))
+    """Q7: columns with exactly one distinct non-null value, and that value.
+
+    "One distinct non-null value" is ``min == max`` over the non-null values,
+    so this is a single aggregate pass, reduced map-side, with no shuffle of
+    distinct values.  The value is compared in the column's own type, then
+    shown as text.
+    """
+    aggs = []
+    for i, c in enumerate(df.columns):
+        aggs += [F.min(col(c)).alias(f"lo{i}"), F.max(col(c)).alias(f"hi{i}")]
+    row = df.agg(*aggs)
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("column"), (F.col(f"lo{i}") == F.col(f"hi{i}")).alias("const"),
+                 F.col(f"lo{i}").cast("string").alias("value"))
+        for i, c in enumerate(df.columns)])
+    return (row.select(F.explode(pairs).alias("p")).select("p.*")
+               .filter(F.coalesce(F.col("const"), F.lit(False)))
+               .select("column", "value").orderBy("column"))
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5,
