@@ -32,7 +32,7 @@ def class_rank(df: DataFrame, cls: str, h: Column, tiebreak: Sequence[str],
                max_classes: int = 10_000) -> tuple[DataFrame, dict]:
     """Adds ``_rank`` (1-based rank within ``cls`` by (h, tiebreak)) and returns class counts."""
     data = df.withColumn("_h", h)
-    counts = {r[0]: r[1] for r in data.groupBy(cls).count().collect()}
+    counts = {r[0]: r[1] for r in data.groupBy(cls).count().limit(max_classes + 1).collect()}
     if len(counts) > max_classes:
         raise ValueError(f"{len(counts)} classes: stratify on a low-cardinality label")
     widths = []

@@ -1,6 +1,7 @@
 """Running-sum metrics against brute force on small score tables, and
 invariance under repartitioning."""
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from hrlens.operators import metrics as mt
@@ -69,3 +70,19 @@ def test_calibration_bins_right_closed(spark):
                                "model string, y int, p double")
     bins = {r.bin: r.n for r in mt.calibration(df).collect()}
     assert bins == {0: 2, 1: 1, 9: 1}
+
+
+def test_scores_outside_unit_interval_stay_exact(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 300)
+    p = np.round(rng.normal(0, 3, 300) + y, 2)          # margins, many outside [0, 1]
+    df = spark.createDataFrame([("m", int(a), float(b)) for a, b in zip(y, p)], "model string, y int, p double")
+    assert mt.roc_auc(df).first().roc_auc == pytest.approx(brute_auc(y, p), abs=1e-12)
+    assert mt.average_precision(df).first().pr_auc == pytest.approx(brute_ap(y, p), abs=1e-12)
+
+
+def test_stratified_split_rejects_high_cardinality_label(spark):
+    from hrlens.operators import split as sp
+    df = spark.range(50).withColumn("label", F.col("id"))
+    with pytest.raises(ValueError):
+        sp.class_rank(df, "label", F.col("id"), ["id"], hash_range=100, max_classes=10)
