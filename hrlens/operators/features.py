@@ -48,7 +48,7 @@ def fit_feature_state(train: DataFrame, role_col: str = "JobRole",
 def apply_features(df: DataFrame, state: FeatureState,
                    satisfaction: Sequence[str] = SATISFACTION_COLUMNS,
                    wlb_threshold: int = BURNOUT_WLB_THRESHOLD,
-                   broadcast_max_rows: int = 1_000_000) -> DataFrame:
+                   broadcast_max_rows: int = 200_000) -> DataFrame:
     """The eight derived columns (null-preserving clips, null on a zero median)."""
     yac = clip_lower("YearsAtCompany", 1)
     total = clip_lower("TotalWorkingYears", 1)

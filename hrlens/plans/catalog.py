@@ -1009,3 +1009,24 @@ def q_column_groups(spark, d):
 def q_column_verification(spark, d):
     # rows-only: the sample text follows Spark's number formatting
     return pf.column_verification(O(spark, d))
+
+
+_FE_CTES = _FE_SQL[:_FE_SQL.index("SELECT id,\n")].rstrip()
+_SAT = ["JobSatisfaction", "EnvironmentSatisfaction", "RelationshipSatisfaction", "WorkLifeBalance"]
+
+
+@register("feature_sanity_rates", f"""{_FE_CTES},
+f AS (SELECT ({Y})::DOUBLE AS y,
+        CAST(coalesce(OverTime = 'Yes' AND WorkLifeBalance <= 2, false) AS INTEGER) AS b,
+        ({' + '.join(f'coalesce({c}, 0)' for c in _SAT)})::DOUBLE
+          / nullif({' + '.join(f'({c} IS NOT NULL)::INT' for c in _SAT)}, 0) AS s,
+        MonthlyIncome / nullif(med, 0) AS m FROM x)
+SELECT round_even(avg(CASE WHEN b = 0 THEN y END) * 100e0, 6) AS no_burnout_pct,
+       round_even(avg(CASE WHEN b = 1 THEN y END) * 100e0, 6) AS burnout_pct,
+       round_even(avg(CASE WHEN s <= 2 THEN y END) * 100e0, 6) AS low_satisfaction_pct,
+       round_even(avg(CASE WHEN s >= 3.5 THEN y END) * 100e0, 6) AS high_satisfaction_pct,
+       round_even(avg(CASE WHEN m < 1.0 THEN y END) * 100e0, 6) AS below_role_median_pct,
+       round_even(avg(CASE WHEN m >= 1.0 THEN y END) * 100e0, 6) AS at_or_above_role_median_pct
+FROM f""")
+def q_feature_sanity_rates(spark, d):
+    return seg.feature_sanity_rates(_featured_o(spark, d))
