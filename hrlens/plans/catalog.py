@@ -1030,3 +1030,14 @@ SELECT round_even(avg(CASE WHEN b = 0 THEN y END) * 100e0, 6) AS no_burnout_pct,
 FROM f""")
 def q_feature_sanity_rates(spark, d):
     return seg.feature_sanity_rates(_featured_o(spark, d))
+
+
+@register("lr_top_features")
+def q_lr_top_features(spark, d):
+    """L12 over a trained logistic regression (rows-only: coefficients come from the fit)."""
+    s = sp.stratified_split(_labelled(spark, d), "label", ["id"])
+    train = s.filter(F.col("split") == "train")
+    prepared = ml.prepare(train, "label", ["id"], 3, 42)
+    spec = [m for m in ml.model_specs(prepared.count()) if m.name == "logistic_regression"][0]
+    tm = ml.train_single_model(spec, prepared, ML_NOMINAL, ML_NUMERIC, folds=3)
+    return ml.feature_importance(tm, top_n=15)
