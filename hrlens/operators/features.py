@@ -76,3 +76,18 @@ def with_engineered_features(train: DataFrame, df: DataFrame, **kw) -> DataFrame
     """T16 convenience: fit on ``train``, apply to ``df``."""
     return apply_features(df, fit_feature_state(train), **kw)
 
+
+
+def engineered_feature_catalog(spark) -> DataFrame:
+    """Q16: name and formula of each derived feature (a small static table)."""
+    rows = [
+        ("promotion_stagnation_ratio", "YearsSinceLastPromotion / max(YearsAtCompany, 1)"),
+        ("role_tenure_share", "YearsInCurrentRole / max(YearsAtCompany, 1)"),
+        ("manager_tenure_share", "YearsWithCurrManager / max(YearsAtCompany, 1)"),
+        ("income_vs_role_median", "MonthlyIncome / median MonthlyIncome of the JobRole (train rows)"),
+        ("compensation_per_experience", "MonthlyIncome / max(TotalWorkingYears, 1)"),
+        ("avg_satisfaction_score", "mean of the non-null satisfaction columns"),
+        ("burnout_risk_flag", f"OverTime = 'Yes' and WorkLifeBalance <= {BURNOUT_WLB_THRESHOLD}"),
+        ("job_stability_index", "TotalWorkingYears / max(NumCompaniesWorked, 1)"),
+    ]
+    return spark.createDataFrame(rows, "feature string, formula string")

@@ -81,3 +81,17 @@ def run_feature_engineering(df: DataFrame, id_col: str, nominal: Sequence[str],
                                             "redundant_pairs": pairs}, f"{out_dir}/selected_features")
     return {"featured": featured, "importance": imp, "pairs": pairs, "dropped": dropped,
             "selected": selected, "state": state}
+
+
+def decision_log(spark, report: dict) -> DataFrame:
+    """Q17: the preprocessing report as one row per step (step, detail)."""
+    rows = [
+        ("input", f"{report['input_columns']} columns"),
+        ("deduplicate", f"{report['rows_after_dedup']} rows kept; duplicates {report['duplicates']}"),
+        ("missing", f"{sum(report['missing'].values())} missing cells in {len(report['missing'])} columns"),
+        ("drop", ", ".join(report["dropped_columns"]) or "none"),
+        ("clean", f"{report['cleaned_columns']} columns"),
+        ("outliers", f"{sum(o['outlier_count'] for o in report['outliers'])} flagged (diagnostic only)"),
+        ("encode", f"{report['preprocessed_columns']} columns, {len(report['output_features'])} features"),
+    ]
+    return spark.createDataFrame(rows, "step string, detail string")

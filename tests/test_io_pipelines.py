@@ -54,3 +54,10 @@ def test_preprocessing_pipeline(spark):
     assert report["duplicates"]["duplicate_ids"] > 0
     assert "StandardHours" in report["dropped_columns"]
     assert pre.columns[:3] == ["id", "Attrition", "Attrition_label"]
+    log = pl.decision_log(spark, report)
+    assert log.count() == 7
+
+
+def test_feature_catalog(spark):
+    from hrlens.operators import features as fe
+    assert [r.feature for r in fe.engineered_feature_catalog(spark).collect()] == fe.ENGINEERED
