@@ -7,15 +7,18 @@ and the smoke entry point.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "hrlens") -> SparkSession:
-    """A local session configured like the cluster jobs expect (AQE on, no UI)."""
+                  app: str = "hrlens", checkpoint: str | None = None) -> SparkSession:
+    """A local session configured like the cluster jobs expect (AQE on, no UI).
+
+    ``checkpoint`` becomes ``spark.checkpoint.dir``.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -28,50 +31,43 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
-def checkpoint_dir(spark: SparkSession, allow_local: bool | None = None) -> str:
-    """Shared folder for lineage cuts, read from ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder for lineage cuts and intermediate tables: ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the operator of the cluster (a shared
-    file system).  Only when it is unset AND the session runs in local mode
-    (tests, local runs; or ``allow_local=True``) is a fresh temporary folder
-    created and registered.
+    On a cluster the setting is required (a file system that all executors share).  Only a
+    ``local[...]`` session without it, where driver and executors are one process, gets a fresh
+    temporary folder.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(shared)
+        return shared
     current = sc.getCheckpointDir()
-    if conf_dir:
-        if not current:
-            sc.setCheckpointDir(conf_dir)
-        return conf_dir
     if current:
         return current
-    if allow_local is None:
-        allow_local = _is_local(spark)
-    if not allow_local:
+    if not re.match(r"local(\[|$)", sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder "
             "(it is needed to cut lineage safely)")
-    local = tempfile.mkdtemp(prefix="hrlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    sc.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="hrlens-ckpt-"))
+    return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, allow_local: bool | None = None) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never ``localCheckpoint``."""
-    checkpoint_dir(df.sparkSession, allow_local=allow_local)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: it survives the loss of an executor."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str, allow_local: bool | None = None) -> str:
+def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark, allow_local=allow_local), "tables", name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
