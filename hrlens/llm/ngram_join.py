@@ -42,7 +42,8 @@ BAND_RATIO = 1.5
 EMPTY_PRICE = 40.0  # rows that one unskipped empty signature is taken to cost
 THIN_PRICE = 10.0   # the same for the signature of a one-element segment
 BLOCK = 1024        # members of a signature's group that one task compares with one another
-NEAREST = 2
+NEAREST = 3         # partners that a member asks for in the first pass, in each of its ...
+ASKED = 2           # ... largest groups
 
 
 def max_difference(n1: int, n2: int, num: int, den: int) -> int:
@@ -184,7 +185,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     streamed in blocks of ``BLOCK`` holders, so none is ever held whole; holders that belong to a
     group longer than a block keep the signature as its name.
     """
-    names = ["grp", "blk", "nblk", "uid"]
+    names = ["grp", "blk", "size", "uid"]
     seen: set[tuple] = set()
 
     def flush(sig: np.ndarray, uid: np.ndarray) -> list[tuple]:
@@ -194,20 +195,17 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not many.any():
             return []
         keep = np.repeat(many, size)
-        gid = np.repeat(np.arange(len(size)), size)[keep]
         u = uid[keep]
         starts = np.concatenate(([0], np.cumsum(size[many])))
         name = mix(np.add.reduceat(mix(u.view(U) + U(3)), starts[:-1])).view(np.int64)
         local = np.repeat(np.arange(len(name)), size[many])
         blk = (np.arange(len(u)) - np.repeat(starts[:-1], size[many])) // BLOCK
-        nblk = -(-size[many] // BLOCK)
         fresh = np.array([x not in seen for x in name.tolist()])
         seen.update(name[fresh].tolist())
         if len(seen) > 2_000_000:
             seen.clear()
         use = fresh[local]
-        del gid
-        return [name[local][use], blk[use], nblk[local][use], u[use]]
+        return [name[local][use], blk[use], size[many][local][use], u[use]]
 
     tail_s, tail_u = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
@@ -236,17 +234,19 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
 def _near_pairs(num: int, den: int, nearest: int | None):
     """Rows sorted by (grp, b1, b2) -> candidate pairs (a, b) that the bitmaps can't rule out.
 
-    ``nearest``: only that many partners per member (those with the smallest lower bound);
+    ``nearest``: only that many partners per asking member (those with the smallest lower bound);
     None: all that remain.  Members with the same ``root`` are never paired.
     """
     def pairs(rows: list[np.ndarray], maps: list[bytes], b1: int, b2: int) -> tuple[np.ndarray, np.ndarray]:
-        uid, blk, n, root = rows
+        uid, blk, n, root, asks = rows
         words = np.array([len(x) // 8 for x in maps])
         a_out, b_out = [], []
         for w in np.unique(words):
             # members with this width against those at least as wide, folded to it
-            left = np.flatnonzero(words == w)
+            left = np.flatnonzero((words == w) & asks)
             right = np.flatnonzero(words >= w)
+            if not len(left):
+                continue
             fold = np.stack([_fold(np.frombuffer(maps[i], U), w) for i in right])
             mine = np.stack([np.frombuffer(maps[i], U) for i in left])
             for x, i in enumerate(left):
@@ -272,7 +272,7 @@ def _near_pairs(num: int, den: int, nearest: int | None):
         tail: pa.Table | None = None
 
         def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = [table[c].to_numpy() for c in ("grp", "b1", "b2", "uid", "blk", "n", "root")]
+            cols = [table[c].to_numpy() for c in ("grp", "b1", "b2", "uid", "blk", "n", "root", "asks")]
             maps = table["map"].to_pylist()
             g, b1, b2 = cols[:3]
             cut = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1]), [True])))
@@ -325,14 +325,8 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
-                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id`` and ``links`` = the number of
-    verified links that joined the component's distinct texts.
-
-    Documents link when the Jaccard similarity of their distinct ``k``-word shingles is at least
-    ``num / den``; components are those of the whole link graph.
-    """
+def _resolve(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Per input row: doc_id, tkey (md5 of the text), n_shingles, root, component_id, links."""
     arrow = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.string()), ("n", pa.int64()),
                        ("rep", pa.int64()), ("sigs", pa.list_(pa.int64())), ("map", pa.binary())])
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.col(text_col)).alias("tkey"),
@@ -342,7 +336,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
         "uid long, doc_id long, tkey string, n long, rep long, sigs array<long>, map binary"), "ngram-sets")
     sigs = table.filter("uid = rep and n > 0").select(F.explode("sigs").alias("sig"), "uid")
     groups = staged(sigs.repartition("sig").sortWithinPartitions("sig", "uid")
-                    .mapInArrow(_groups, "grp long, blk long, nblk long, uid long").distinct(), "ngram-groups")
+                    .mapInArrow(_groups, "grp long, blk long, size long, uid long").distinct(), "ngram-groups")
     facts = table.filter("uid = rep and n > 0").select("uid", "n", "map")
     member = facts.join(groups.select("uid").distinct(), "uid", "left_semi")
     texts = staged(table.filter("uid = rep").select("uid", "tkey")
@@ -353,17 +347,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     def candidates(roots: DataFrame | None, nearest: int | None) -> DataFrame:
         rows = groups.join(member, "uid")
         if roots is None:
-            rows = rows.withColumn("root", F.col("uid"))
+            # a set has no more groups than signatures
+            mine = groups.groupBy("uid").agg(F.slice(F.sort_array(F.collect_list(F.struct("size", "grp")), False), 1, ASKED)["grp"].alias("mine"))
+            rows = (rows.join(mine, "uid").withColumn("root", F.col("uid"))
+                    .withColumn("asks", F.array_contains("mine", F.col("grp"))).drop("mine"))
         else:
             rows = rows.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
             open_groups = (rows.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
                            .filter("r0 <> r1").select("grp"))
-            rows = rows.join(open_groups, "grp", "left_semi")
+            rows = rows.join(open_groups, "grp", "left_semi").withColumn("asks", F.lit(True))
         rows = rows.select(
-            "grp", "uid", "blk", "n", "root", "map",
-            F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)).alias("other")).select(
+            "grp", "uid", "blk", "n", "root", "map", "asks",
+            F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK))).alias("other")).select(
             "grp", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"),
-            "uid", "blk", "n", "root", "map")
+            "uid", "blk", "n", "root", "map", "asks")
         return (rows.repartition("grp", "b1", "b2").sortWithinPartitions("grp", "b1", "b2", "uid")
                 .mapInArrow(_near_pairs(num, den, nearest), "a long, b long").distinct())
 
@@ -384,22 +381,43 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     more = components(across, "ngram-cc2").select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = (roots.join(more, "root", "left").select(F.col("node").alias("rep"), F.coalesce("top", "root").alias("root"))
              .unionByName(more.select(F.col("root").alias("rep"), F.col("top").alias("root"))).dropDuplicates(["rep"]))
-    rows = (table.select("doc_id", "n", "rep").join(final, "rep", "left")
-            .select("doc_id", "n", F.coalesce("root", "rep").alias("root")))
+    rows = (table.select("doc_id", "tkey", "n", "rep").join(final, "rep", "left")
+            .select("doc_id", "tkey", "n", F.coalesce("root", "rep").alias("root")))
     counted = (links.select(F.col("a").alias("rep")).join(final, "rep", "left")
                .groupBy(F.coalesce("root", "rep").alias("root")).agg(F.count("*").alias("links")))
     smallest = (rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
                 .join(counted, "root", "left").select("root", "component_id", F.coalesce("links", F.lit(0).cast("long")).alias("links")))
     return (rows.join(smallest, "root")
-            .select("doc_id", F.col("n").alias("n_shingles"), "component_id", "links"))
+            .select("doc_id", "tkey", F.col("n").alias("n_shingles"), "root", "component_id", "links"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay when every component keeps its smallest id.
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
+                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id`` and ``links`` = the number of
+    verified links that joined the component's distinct texts.
 
-    A row repeated with the same id stays once; rows without an id stay when their component has
-    no id at all.
+    Documents link when the Jaccard similarity of their distinct ``k``-word shingles is at least
+    ``num / den``; components are those of the whole link graph.
     """
-    parts = jaccard_components(docs, k, num, den)
-    keep = parts.filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["doc_id"])
+    return _resolve(docs, k, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id", "links")
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when every component keeps one document: that with its
+    smallest id, or without any id the one with the smallest md5.  A row repeated with one id stays
+    once."""
+    parts = staged(_resolve(docs, k, num, den, id_col, text_col), "ngram-parts")
+    ids = parts.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("times"))
+    key = F.col(id_col).cast("long")
+    kept = docs.join(ids.filter("times = 1"), key == F.col("keep_id"), "left_semi")
+    again = ids.filter("times > 1")
+    if not again.isEmpty():  # the texts are read again only if an id occurs twice
+        kept = kept.unionByName(docs.join(again, key == F.col("keep_id"), "left_semi").dropDuplicates([id_col]))
+    nameless = parts.filter("component_id is null").groupBy("root").agg(F.min(F.coalesce("tkey", F.lit(""))).alias("keep_key"))
+    if not nameless.isEmpty():
+        kept = kept.unionByName(
+            docs.filter(key.isNull())
+            .join(nameless, F.coalesce(F.md5(F.col(text_col)), F.lit("")) == F.col("keep_key"), "left_semi")
+            .dropDuplicates([text_col]))
+    return kept
