@@ -264,12 +264,14 @@ def _calibrate(scored: DataFrame) -> tuple[float, dict[tuple[str, int], float]]:
               .agg(F.percentile_approx("ce", [0.5, 0.95], 1000).alias("q"), F.count("*").alias("m")))
     accepted: dict[tuple[str, int], float] = {}
     for r in limits.collect():  # languages x length classes
-        accepted[r["best"], r["b"]] = r["q"][0] + REJECT_SPREAD * (r["q"][1] - r["q"][0]) + REJECT_MARGIN
+        accepted[r["best"], r["b"]] = (r["q"][0] + REJECT_SPREAD * (r["q"][1] - r["q"][0])
+                                       + REJECT_MARGIN + SHORT_MARGIN / 2 ** (r["b"] / 2))
     return TEMPERATURES[int(np.argmax(gain))], accepted
 
 
 REJECT_SPREAD = 4.0   # times the distance from the median to the 95th percentile
-REJECT_MARGIN = 0.35  # nats per symbol
+REJECT_MARGIN = 1.0   # nats per symbol
+SHORT_MARGIN = 4.0    # the same over the square root of the length
 
 
 def _limit(accepted: dict[tuple[str, int], float], lang: str, size: int) -> float:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrlens.llm.store import staged
+from hrlens.llm.store import free_name, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -68,24 +68,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         **shape) -> DataFrame:
     """``docs`` with a struct column ``mix``: ``size, source_size, target, copies, taken``."""
-    name = "mix"
-    while name in docs.columns:
-        name += "_"
+    name, g = free_name(docs, "mix"), free_name(docs, "goal")
     size = word_count(F.col(text_col).cast("string"))
     sums = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(size).alias("source_size"))
-    goal = staged(targets(sums, **shape), "mix-targets").select(F.struct("source", "source_size", "target").alias("goal"))
+    goal = staged(targets(sums, **shape), "mix-targets").select(F.struct("source", "source_size", "target").alias(g))
     if goal.count() <= BROADCAST_SOURCES:
         goal = F.broadcast(goal)  # at most BROADCAST_SOURCES rows
-    joined = docs.join(goal, F.col(source_col).cast("string").eqNullSafe(F.col("goal.source")))
-    rate = F.when(F.col("goal.source_size") > 0, F.col("goal.target") / F.col("goal.source_size")).otherwise(0.0)
+    joined = docs.join(goal, F.col(source_col).cast("string").eqNullSafe(F.col(g)["source"]))
+    known, target = F.col(g)["source_size"], F.col(g)["target"]
+    rate = F.when(known > 0, target / known).otherwise(0.0)
     extra = coin(F.col(id_col), F.col(text_col), seed) < rate - F.floor(rate)
     copies = (F.floor(rate) + extra.cast("long")).cast("int")
-    return joined.withColumn(name, F.struct(size.alias("size"), F.col("goal.source_size"), F.col("goal.target"),
-                                            copies.alias("copies"), (size * copies).alias("taken"))).drop("goal")
+    return joined.withColumn(name, F.struct(size.alias("size"), known.alias("source_size"), target.alias("target"),
+                                            copies.alias("copies"), (size * copies).alias("taken"))).drop(g)
 
 
 def emit(docs: DataFrame, **shape) -> DataFrame:
     """Every document as often as the mix takes it, with the columns of ``docs``."""
     rows = mix(docs, **shape)
     name = rows.columns[-1]
-    return (rows.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(f"{name}.copies")))).drop(name))
+    return (rows.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(name)["copies"]))).drop(name))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrlens.llm.store import components, staged
+from hrlens.llm.store import components, free_name, staged
 from hrlens.llm.textkit import U, long_list, mix, shingle_sets, slices
 
 BAND_RATIO = 1.5
@@ -408,16 +408,18 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     smallest id, or without any id the one with the smallest md5.  A row repeated with one id stays
     once."""
     parts = staged(_resolve(docs, k, num, den, id_col, text_col), "ngram-parts")
-    ids = parts.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("times"))
+    name, times = free_name(docs, "keep"), free_name(docs, "times")
+    ids = parts.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(times))
     key = F.col(id_col).cast("long")
-    kept = docs.join(ids.filter("times = 1"), key == F.col("keep_id"), "left_semi")
-    again = ids.filter("times > 1")
+    kept = docs.join(ids.filter(F.col(times) == 1), key == F.col(name), "left_semi")
+    again = ids.filter(F.col(times) > 1)
     if not again.isEmpty():  # the texts are read again only if an id occurs twice
-        kept = kept.unionByName(docs.join(again, key == F.col("keep_id"), "left_semi").dropDuplicates([id_col]))
-    nameless = parts.filter("component_id is null").groupBy("root").agg(F.min(F.coalesce("tkey", F.lit(""))).alias("keep_key"))
+        kept = kept.unionByName(docs.join(again, key == F.col(name), "left_semi").dropDuplicates([id_col]))
+    nameless = (parts.filter("component_id is null").groupBy("root").agg(F.min(F.coalesce("tkey", F.lit(""))).alias(name))
+                .select(name).distinct())
     if not nameless.isEmpty():
         kept = kept.unionByName(
             docs.filter(key.isNull())
-            .join(nameless, F.coalesce(F.md5(F.col(text_col)), F.lit("")) == F.col("keep_key"), "left_semi")
+            .join(nameless, F.coalesce(F.md5(F.col(text_col)), F.lit("")) == F.col(name), "left_semi")
             .dropDuplicates([text_col]))
     return kept

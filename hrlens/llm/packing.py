@@ -2,8 +2,8 @@
 
 Every document's ids end with one end id; only documents longer than a sequence are cut.  Pieces
 are dealt into groups of bounded size by a hash of their row number.  A group is packed by best fit
-in decreasing order; then a local search empties its least filled bin by moves, one-for-one and
-two-for-one exchanges with other underfull bins.  Every accepted exchange shifts tokens from the
+in decreasing order; then a local search empties its least filled bins by moves, one-for-one and
+two-for-one exchanges with fuller, underfull bins.  Every accepted exchange shifts tokens from the
 emptier to the fuller bin, which raises the sum of squared fills, so the search ends.  The loosest
 bins of all groups are then dealt into fewer groups and packed again, until one group remains.
 
@@ -30,9 +30,11 @@ from hrlens.llm.textkit import slices
 from hrlens.llm.tokens import tokenizer
 
 SIZE = 4096
-GROUP = 8192     # pieces that one task packs together
+GROUP = 4096     # pieces that one task packs together
 LOOSE = 16       # one bin in so many goes on to the next round
 END_ID = 1
+DONORS = 16      # emptiest bins that the local search lets give
+REACH = 512      # emptiest of the fuller bins that they exchange with (moves see all of them)
 SLICE = 4_000_000
 
 
@@ -90,72 +92,85 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
 
 
 def improve(lengths: np.ndarray, bins: list[list[int]], size: int) -> list[list[int]]:
-    """Local search: empties the least filled bin into the others while exchanges raise the sum
-    of squared fills; stops at the lower bound or when no exchange is left."""
-    bins = [list(b) for b in bins]
+    """Local search: exchanges shift tokens from an emptier to a fuller bin, the emptiest bins
+    giving first, until a bin is empty and goes; ends at the lower bound or when none of the
+    ``DONORS`` emptiest bins has an exchange left that raises the sum of squared fills."""
+    state = _Search(lengths, bins, size)
     least = -(-int(lengths.sum()) // size)
-    while len(bins) > least:
-        fill = np.array([lengths[b].sum() for b in bins])
-        e = int(fill.argmin())
-        free = size - fill
-        open_bins = [i for i in np.flatnonzero(free > 0).tolist() if i != e]
-        while bins[e] and open_bins and _exchange(lengths, bins, free, e, open_bins):
-            pass
-        if bins[e]:
-            break
-        bins.pop(e)
-    return bins
-
-
-def _exchange(lengths: np.ndarray, bins: list[list[int]], free: np.ndarray, e: int, others: list[int]) -> bool:
-    """One move or exchange that takes the most tokens out of bin ``e``."""
-    mine = sorted(bins[e], key=lambda i: (-lengths[i], i))
-    room = free[others]
-    for i in mine:  # move: into the tightest bin that has room
-        fit = np.flatnonzero(room >= lengths[i])
-        if len(fit):
-            b = others[int(fit[room[fit].argmin()])]
-            bins[e].remove(i)
-            bins[b].append(i)
-            free[b] -= lengths[i]
-            free[e] += lengths[i]
-            return True
-    theirs = np.array([j for b in others for j in bins[b]])
-    home = np.array([b for b in others for _ in bins[b]])
-    best: tuple[int, list[int], list[int], int] | None = None
-
-    def offer(gain: np.ndarray, give: list[int], take) -> None:
-        nonlocal best
-        ok = (gain > 0) & (gain <= free[home])
-        if ok.any():
-            k = int(np.where(ok, gain, 0).argmax())
-            if best is None or gain[k] > best[0]:
-                best = (int(gain[k]), give, [int(theirs[k]), *take], int(home[k]))
-
-    for i in mine:                                   # one for one
-        offer(lengths[i] - lengths[theirs], [i], [])
-    for x in range(len(mine)):                       # two of this bin for one
-        for y in range(x + 1, len(mine)):
-            offer(lengths[mine[x]] + lengths[mine[y]] - lengths[theirs], [mine[x], mine[y]], [])
-    for i in mine:                                   # one for two of the other bin
-        for b in others:
-            held = np.array(bins[b])
-            if len(held) < 2:
-                continue
-            two = lengths[held][:, None] + lengths[held][None, :]
-            gain = np.where(np.triu(np.ones_like(two, bool), 1), lengths[i] - two, 0)
-            gain = np.where(gain <= free[b], gain, 0)
-            k = int(gain.argmax())
-            if gain.flat[k] > 0 and (best is None or gain.flat[k] > best[0]):
-                best = (int(gain.flat[k]), [i], [int(held[k // len(held)]), int(held[k % len(held)])], b)
-    if best is None:
-        return False
-    gain, give, take, b = best
-    bins[e] = [i for i in bins[e] if i not in give] + take
-    bins[b] = [j for j in bins[b] if j not in take] + give
-    free[e] += gain
-    free[b] -= gain
-    return True
+    while len(state.bins) > least and any(state.exchange(d) for d in np.argsort(-state.free, kind="stable")[:DONORS].tolist()):
+        pass
+    return state.bins
+
+
+class _Search:
+    """Bins with, for each, its pieces and pairs of pieces as arrays."""
+
+    def __init__(self, lengths: np.ndarray, bins: list[list[int]], size: int) -> None:
+        self.lengths, self.bins = lengths, [list(b) for b in bins]
+        self.free = size - np.array([lengths[b].sum() for b in bins])
+        self.single: list[np.ndarray] = []
+        self.double: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in self.bins:
+            self.single.append(np.array(b))
+            self.double.append(self._pairs(b))
+
+    def _pairs(self, held: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.triu_indices(len(held), 1)
+        own = np.array(held, np.int64)
+        return own[x], own[y]
+
+    def _set(self, b: int, held: list[int], free: int) -> None:
+        self.bins[b], self.free[b] = held, free
+        self.single[b], self.double[b] = np.array(held, np.int64), self._pairs(held)
+
+    def exchange(self, d: int) -> bool:
+        """The move, or else the exchange, that takes the most tokens out of bin ``d``."""
+        lengths, free = self.lengths, self.free
+        others = np.flatnonzero((free > 0) & (free <= free[d]))
+        others = others[others != d]
+        if not len(others):
+            return False
+        mine = sorted(self.bins[d], key=lambda i: (-lengths[i], i))
+        room = free[others]
+        for i in mine:  # move: into the tightest bin that has room
+            fit = np.flatnonzero(room >= lengths[i])
+            if len(fit):
+                return self._swap(d, int(others[fit[room[fit].argmin()]]), [i], [])
+        if len(others) > REACH:
+            others = others[np.argsort(-room, kind="stable")[:REACH]]
+        theirs = np.concatenate([self.single[b] for b in others])
+        home = np.repeat(others, [len(self.single[b]) for b in others])
+        one = np.concatenate([self.double[b][0] for b in others])
+        two = np.concatenate([self.double[b][1] for b in others])
+        pair_home = np.repeat(others, [len(self.double[b][0]) for b in others])
+        best: tuple[int, int, list[int], list[int]] = (0, -1, [], [])
+
+        def offer(give: list[int], taken: np.ndarray, where: np.ndarray, take) -> None:
+            nonlocal best
+            gain = lengths[give].sum() - taken
+            gain = np.where(gain <= free[where], gain, 0)
+            if len(gain):
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (int(gain[k]), int(where[k]), give, take(k))
+
+        single, pair = lengths[theirs], lengths[one] + lengths[two]
+        for x, i in enumerate(mine):
+            offer([i], single, home, lambda k: [int(theirs[k])])                    # one for one
+            offer([i], pair, pair_home, lambda k: [int(one[k]), int(two[k])])       # one for two of theirs
+            for j in mine[x + 1:]:
+                offer([i, j], single, home, lambda k: [int(theirs[k])])             # two for one
+        return best[0] > 0 and self._swap(d, best[1], best[2], best[3])
+
+    def _swap(self, d: int, b: int, give: list[int], take: list[int]) -> bool:
+        gain = int(self.lengths[give].sum() - self.lengths[take].sum())
+        self._set(b, [j for j in self.bins[b] if j not in take] + give, int(self.free[b]) - gain)
+        self._set(d, [i for i in self.bins[d] if i not in give] + take, int(self.free[d]) + gain)
+        if not self.bins[d]:
+            for part in (self.bins, self.single, self.double):
+                part.pop(d)
+            self.free = np.delete(self.free, d)
+        return True
 
 
 def _pack(size: int, turn: int, last: bool):

@@ -22,6 +22,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _rank(node: Column, salt: int) -> Column:
     return F.struct(F.xxhash64(node, F.lit(salt)).alias("h"), node.alias("v"))
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hrlens.llm.store import free_name
+
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)?"
 
@@ -75,9 +77,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
     found = active.groupBy("url", "t").agg(
         F.count_if(~F.col("allow")).alias("n_block"), F.count_if("allow").alias("n_allow"),
         F.sort_array(F.collect_set(F.concat("list", F.lit(" "), "key"))).alias("rules"))
-    name = "url_filter"
-    while name in captures.columns:
-        name += "_"
+    name = free_name(captures, "url_filter")
     rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row"))
     row_url, row_time = F.col("row").getField(url_col).cast("string"), F.col("row").getField(time_col)
     none = F.lit(0).cast("long")
