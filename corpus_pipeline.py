@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrlens.llm import langid, line_dedup, mixing, ngram_join, packing
-from hrlens.llm.store import staged
+from hrlens.llm.store import free_name, staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines spread over many sources out of the texts; no document is dropped."""
-    out = line_dedup.remove_spread_lines(docs, report="found__")
-    changed = F.col("found__.n_removed") > 0
-    return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("found__")
+    name = free_name(docs, "found")
+    out = line_dedup.remove_spread_lines(docs, report=name)
+    changed = F.col(name)["n_removed"] > 0
+    return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
