@@ -87,13 +87,13 @@ OVERFIT_ELSE = "Severe Overfit"
 
 
 def risk_tier(p: ColumnOrName) -> Column:
-    """p ≥ .60 High, ≥ .40 Elevated, ≥ .25 Moderate, else Low."""
+    """p ≥ .60 High, ≥ .40 Elevated, ≥ .25 Moderate, else Low; null stays null."""
     p = col(p)
     expr = None
     for cut, name in RISK_TIERS[:-1]:
         cond = p >= lit_d(cut)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return expr.otherwise(F.lit(RISK_TIERS[-1][1]))
+    return expr.when(p.isNotNull(), F.lit(RISK_TIERS[-1][1]))
 
 
 def confidence(p: ColumnOrName) -> Column:
@@ -102,12 +102,13 @@ def confidence(p: ColumnOrName) -> Column:
 
 
 def overfit_class(gap: ColumnOrName) -> Column:
+    """Class of an unrounded train-test gap; null stays null."""
     g = col(gap)
     expr = None
     for cut, name in OVERFIT_CLASSES:
         cond = g < lit_d(cut)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return expr.otherwise(F.lit(OVERFIT_ELSE))
+    return expr.when(g.isNotNull(), F.lit(OVERFIT_ELSE))
 
 
 def display_name(c: ColumnOrName) -> Column:

@@ -44,9 +44,12 @@ def unexpected_labels(df: DataFrame, target: str = "Attrition",
 
 def assert_target_values(df: DataFrame, target: str = "Attrition",
                          allowed: Sequence[str] = ("Yes", "No")) -> None:
-    bad = [r[target] for r in unexpected_labels(df, target, allowed).limit(20).collect()]
-    if bad:
-        raise ValueError(f"Unexpected target values {bad}. Expected {sorted(allowed)}.")
+    bad = unexpected_labels(df, target, allowed)
+    shown = [r[target] for r in bad.limit(20).collect()]
+    if shown:
+        values, rows = bad.agg(F.count(F.lit(1)), F.sum("rows")).first()
+        more = f", {values - len(shown)} more" if values > len(shown) else ""
+        raise ValueError(f"{rows} rows have {values} labels outside {sorted(allowed)}: {shown}{more}")
 
 
 def clean_raw_data(df: DataFrame, drop: Sequence[str], target: str = "Attrition",
@@ -66,5 +69,5 @@ def encode_target(df: DataFrame, target: str = "Attrition", positive: str = "Yes
     mapped = F.when(t == positive, 1).when(t == negative, 0)
     if strict:
         mapped = F.coalesce(mapped, F.raise_error(
-            F.lit("Target encoding produced null values; check class labels.")).cast("int"))
+            F.lit("A label is neither the positive nor the negative class.")).cast("int"))
     return df.withColumn(name, mapped.cast("int"))

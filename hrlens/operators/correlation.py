@@ -23,10 +23,16 @@ from pyspark.sql import functions as F
 from ..functions.exprs import col, label01, lit_d
 
 
+def _present(c: str) -> Column:
+    """The value as a double; NaN counts as missing, as in pandas."""
+    x = col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict]:
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(columns):
-        x = col(c).cast("double")
+        x = _present(c)
         aggs += [F.avg(x).alias(f"m{i}"), F.count(x).alias(f"n{i}"),
                  (F.min(x) == F.max(x)).alias(f"k{i}")]
     row = df.agg(*aggs).first()
@@ -55,7 +61,7 @@ def _pairs_row(df: DataFrame, pairs: list[tuple[str, str]], columns: Sequence[st
     n, mom = _moments(df, columns)
     dense = {c for c in columns if mom[c][1] == n}
     pos = {c: i for i, c in enumerate(columns)}
-    centred = df.select(*[(col(c).cast("double") - lit_d(mom[c][0] if mom[c][0] is not None else 0.0))
+    centred = df.select(*[(_present(c) - lit_d(mom[c][0] if mom[c][0] is not None else 0.0))
                           .alias(f"d{pos[c]}") for c in columns])
     aggs, exprs = [], {}
     for c in sorted(dense, key=pos.get):
@@ -99,28 +105,29 @@ def correlation_with_label(df: DataFrame, columns: Sequence[str], target: str =
 
 
 def redundant_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.92) -> DataFrame:
-    """A10: upper-triangle pairs with |r| ≥ threshold (tested unrounded), r rounded to 4."""
+    """A10: upper-triangle pairs with |r| ≥ threshold (tested unrounded), |r| rounded to 4."""
     p = correlation_pairs(df, columns)
     return (p.filter(F.abs("r") >= threshold)
              .select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"),
-                     F.bround("r", 4).alias("correlation"), "ia", "ib")
+                     F.bround(F.abs("r"), 4).alias("correlation"), "ia", "ib")
              .orderBy("ia", "ib"))
 
 
-def resolve_redundancy(pairs: list[tuple[str, str]], importance: dict[str, float]) -> list[str]:
-    """Greedy over pairs in order; skip a pair touching a dropped feature; drop the
-    less important side (ties keep both; a missing importance counts as 0.0).
+def redundancy_decisions(pairs: list[tuple[str, str, float]], importance: dict[str, float]) -> list[dict]:
+    """Greedy over (a, b, |r|) in order; skip a pair touching a dropped feature; drop the
+    less important side (ties keep both; a missing importance counts as 0.0).  One dict per drop:
+    dropped_feature, kept_feature, correlation, dropped_importance, kept_importance, reason.
 
     Sequential by definition, and its input is the handful of flagged pairs
     (at most k²/2 for k features), so it runs on the driver over that small list.
     """
-    dropped: list[str] = []
-    for a, b in pairs:
-        if a in dropped or b in dropped:
+    gone: dict[str, dict] = {}
+    for a, b, r in pairs:
+        weight = {f: importance.get(f, 0.0) for f in (a, b)}
+        if a in gone or b in gone or weight[a] == weight[b]:
             continue
-        ia, ib = importance.get(a, 0.0), importance.get(b, 0.0)
-        if ia < ib:
-            dropped.append(a)
-        elif ib < ia:
-            dropped.append(b)
-    return dropped
+        low, high = sorted((a, b), key=weight.get)
+        gone[low] = {"dropped_feature": low, "kept_feature": high, "correlation": r,
+                     "dropped_importance": weight[low], "kept_importance": weight[high],
+                     "reason": f"|r| {r:.4f} with {high}; importance {weight[low]:.6f} < {weight[high]:.6f}"}
+    return list(gone.values())

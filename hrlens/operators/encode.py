@@ -6,8 +6,8 @@ population std per column) from the training rows only; applying is a single
 projection, so encoding never shuffles.  The category list defines output
 columns, so it is collected to the driver; its size is checked against
 ``max_categories`` (a wide one-hot is bounded by the schema it produces).
-For very high-cardinality columns use ``pyspark.ml.feature.StringIndexer`` +
-``OneHotEncoder`` vectors instead.
+Models that meet wider columns take ``vector_encoder`` (StringIndexer and
+OneHotEncoder: one sparse vector column whatever the number of categories).
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     """Fail with the list of absent columns (driver-side set difference)."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Expected feature columns not found: {missing}")
+        raise ValueError(f"The table has no columns {missing}")
 
 
 @dataclass
@@ -56,14 +58,25 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = 10_
     ])).alias("k")).select("k.*").filter(F.col("category").isNotNull()).distinct()
     n = long.count()
     if n > max_categories:
-        raise ValueError(f"{n} categories exceed max_categories={max_categories}; "
-                         "use StringIndexer + OneHotEncoder vectors for such columns")
+        raise ValueError(f"{n} categories would become as many columns (max_categories={max_categories}); "
+                         "use vector_encoder for such columns")
     cats: dict[str, list[str]] = {c: [] for c in columns}
     for r in long.collect():
         cats[r["column"]].append(r["category"])
     return OneHotState({c: sorted(v) for c, v in cats.items()})
 
 
+def vector_encoder(columns: Sequence[str], output: str = "nominal_vector") -> Pipeline:
+    """T3 for any cardinality: an unfitted pipeline to one sparse vector, the smallest category of each
+    column dropped; unknown and null values go to a slot of their own."""
+    idx = [f"{c}__idx" for c in columns]
+    hot = [f"{c}__hot" for c in columns]
+    return Pipeline(stages=[
+        StringIndexer(inputCols=list(columns), outputCols=idx, handleInvalid="keep", stringOrderType="alphabetDesc"),
+        OneHotEncoder(inputCols=idx, outputCols=hot, dropLast=True, handleInvalid="keep"),
+        VectorAssembler(inputCols=hot, outputCol=output)])
+
+
 def one_hot_columns(state: OneHotState) -> list[Column]:
     """T3 apply: ``col_cat`` doubles; unknown and null encode as all zeros (drop='first')."""
     return [F.coalesce(col(c) == F.lit(v), F.lit(False)).cast("double").alias(f"{c}_{v}")
@@ -101,28 +114,49 @@ def scaled_columns(state: ScalerState) -> list[Column]:
 
 @dataclass
 class EncoderState:
+    """``fill``: numeric column → value for missing entries (the train mean); every such column also has a 0/1
+    indicator.  Without ``fill`` nulls stay null (T5)."""
     nominal: OneHotState
     scaler: ScalerState | None
     passthrough: list[str]
+    fill: dict[str, float] = field(default_factory=dict)
 
     def output_names(self) -> list[str]:
         scaled = list(self.scaler.moments) if self.scaler else []
-        return self.nominal.output_names() + scaled + self.passthrough
+        return self.nominal.output_names() + scaled + self.passthrough + [f"{c}_missing" for c in self.fill]
+
+
+def missing_or(c: str) -> Column:
+    """The value as a double; null and NaN are missing."""
+    x = col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def fit_fill(train: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
+    """Train mean of every numeric column that has a missing entry in train (0 if all are missing)."""
+    row = train.agg(*[F.avg(missing_or(c)).alias(f"m{i}") for i, c in enumerate(numeric)],
+                    *[F.count_if(missing_or(c).isNull()).alias(f"n{i}") for i, c in enumerate(numeric)]).first()
+    return {c: row[f"m{i}"] or 0.0 for i, c in enumerate(numeric) if row[f"n{i}"]}
 
 
 def fit_encoder(train: DataFrame, nominal: Sequence[str], numeric: Sequence[str],
-                scale: Sequence[str] | None = None) -> EncoderState:
-    """T5 fit: one-hot on ``nominal``; ``scale`` (subset of numeric) standardised; rest passthrough."""
+                scale: Sequence[str] | None = None, impute: bool = False) -> EncoderState:
+    """T5 fit: one-hot on ``nominal``; ``scale`` (subset of numeric) standardised; rest passthrough.
+    ``impute`` learns the null policy of the models (mean and indicator)."""
     scale = [c for c in (scale or []) if c in numeric]
     return EncoderState(fit_one_hot(train, nominal),
                         fit_scaler(train, scale) if scale else None,
-                        [c for c in numeric if c not in scale])
+                        [c for c in numeric if c not in scale], fit_fill(train, numeric) if impute else {})
 
 
 def transform_features(df: DataFrame, state: EncoderState, keep: Sequence[str] = ()) -> DataFrame:
     """T5/T6 apply: ``keep`` columns (id, target, label…), then one-hots, scaled, passthrough."""
+    if state.fill:
+        df = df.withColumns({f"{c}_missing": missing_or(c).isNull().cast("double") for c in state.fill})
+        df = df.withColumns({c: F.coalesce(missing_or(c), lit_d(v)) for c, v in state.fill.items()})
     cols = [col(k) for k in keep] + one_hot_columns(state.nominal)
     if state.scaler:
         cols += scaled_columns(state.scaler)
     cols += [col(c).cast("double").alias(c) for c in state.passthrough]
+    cols += [F.col(f"{c}_missing") for c in state.fill]
     return df.select(*cols)

@@ -16,12 +16,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip_lower, col, row_mean, safe_div
+from ..session import cut_lineage
+from .quantile import quantiles, value_counts
 from .segments import SATISFACTION_COLUMNS
 
 ENGINEERED = ["promotion_stagnation_ratio", "role_tenure_share", "manager_tenure_share",
               "income_vs_role_median", "compensation_per_experience", "avg_satisfaction_score",
               "burnout_risk_flag", "job_stability_index"]
 
+#: base columns that each derived feature is computed from
+INPUTS_OF = {
+    "promotion_stagnation_ratio": ["YearsSinceLastPromotion", "YearsAtCompany"],
+    "role_tenure_share": ["YearsInCurrentRole", "YearsAtCompany"],
+    "manager_tenure_share": ["YearsWithCurrManager", "YearsAtCompany"],
+    "income_vs_role_median": ["MonthlyIncome", "JobRole"],
+    "compensation_per_experience": ["MonthlyIncome", "TotalWorkingYears"],
+    "avg_satisfaction_score": list(SATISFACTION_COLUMNS),
+    "burnout_risk_flag": ["OverTime", "WorkLifeBalance"],
+    "job_stability_index": ["TotalWorkingYears", "NumCompaniesWorked"],
+}
+
 # Fixed values from the reference configuration.
 BURNOUT_WLB_THRESHOLD = 2
 CORRELATION_THRESHOLD = 0.92
@@ -38,10 +52,10 @@ class FeatureState:
 def fit_feature_state(train: DataFrame, role_col: str = "JobRole",
                       income_col: str = "MonthlyIncome") -> FeatureState:
     """A1: exact (interpolated) median income per non-null role, on training rows."""
-    med = (train.filter(col(role_col).isNotNull())
-                .groupBy(col(role_col).alias(role_col))
-                .agg(F.median(col(income_col).cast("double")).alias("role_median_income")))
-    med = med.persist()
+    roles = train.filter(col(role_col).isNotNull())
+    counts = value_counts(roles, [income_col], [role_col])
+    q = quantiles(counts, [role_col], [0.5]).select(role_col, F.col("q")[0].alias("role_median_income"))
+    med = cut_lineage(roles.select(role_col).distinct().join(q, role_col, "left"))
     return FeatureState(med, med.count(), role_col, income_col)
 
 

@@ -6,14 +6,17 @@ sums over scores in descending order.  They never use one window over the
 whole table: rows are first reduced to one row per distinct score (partial
 aggregation), then
 
-* scores are cut into ``2**20`` fixed-width buckets on [0, 1]; per-bucket
-  totals (≤ 2**20 + 1 rows per group) give, with a small window, the counts
-  strictly above each bucket;
+* the distinct scores are cut at quantiles taken from the data into ``BUCKETS``
+  buckets of about equal size, wherever the scores lie; per-bucket totals
+  (≤ ``BUCKETS`` rows per group) give, with a small window, the counts strictly
+  above each bucket;
 * inside each (group, bucket) a window adds the local running sum.
 
-The result is exact for any number of distinct scores, and the windows run in
-parallel over buckets.  Scores outside [0, 1] fall into the edge buckets
-(still exact, only less parallel).
+The result is exact for any cut points and any number of distinct scores, and
+the windows run in parallel over buckets.
+
+A row without score (null or NaN) or without label has nothing to say about a
+curve or a confusion: ``scored`` leaves it out, for all metrics alike.
 
 The threshold search (M9) works on the 1e-4 grid the reference rounds its
 candidates to, so it needs at most ~10k rows per group whatever the input size.
@@ -27,8 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, div0, lit_d, overfit_class, r, safe_div
+from ..session import cut_lineage
+from .quantile import bucketed
 
-BUCKETS = 1 << 20
+BUCKETS = 1024
 
 # Fixed values used by the reference's threshold routines.
 THRESHOLD_GRID = [k / 100 for k in range(10, 91, 5)]          # 0.10 … 0.90 step 0.05
@@ -41,12 +46,18 @@ def _cnt(cond: Column) -> Column:
     return F.count_if(cond)
 
 
+def scored(scores: DataFrame, label: str, score: str) -> DataFrame:
+    """The rows with a label and a number as score."""
+    p = col(score).cast("double")
+    return scores.filter(p.isNotNull() & ~F.isnan(p) & col(label).isNotNull())
+
+
 def confusion(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
               score: str = "p", threshold: float = 0.5, pred: str | None = None) -> DataFrame:
     """M1/M8: TN, FP, FN, TP per group; prediction = score ≥ threshold (or a given column)."""
     y = col(label)
     yhat = col(pred) if pred else (col(score) >= lit_d(threshold)).cast("int")
-    return (scores.groupBy(*by).agg(
+    return (scored(scores, label, score).groupBy(*by).agg(
         _cnt((y == 0) & (yhat == 0)).alias("tn"), _cnt((y == 0) & (yhat == 1)).alias("fp"),
         _cnt((y == 1) & (yhat == 0)).alias("fn"), _cnt((y == 1) & (yhat == 1)).alias("tp"),
         F.avg((col(score).cast("double") - y.cast("double")) ** 2).alias("brier"))
@@ -75,7 +86,7 @@ def metrics_from_confusion(cm: DataFrame, by: Sequence[str] = ("model",)) -> Dat
 def _distinct_scores(scores: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
     """One row per (group, distinct score): positives and negatives at that score."""
     y = col(label).cast("long")
-    return scores.groupBy(*by, col(score).cast("double").alias("s")).agg(
+    return scored(scores, label, score).groupBy(*by, col(score).cast("double").alias("s")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
@@ -83,12 +94,12 @@ def cumulative(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "
                score: str = "p") -> DataFrame:
     """Per (group, distinct score s): pos, neg and tp/fp = counts with score ≥ s, plus P, N.
 
-    Exact two-level running sum (bucket totals + in-bucket window), see module doc.
+    Exact two-level running sum (bucket totals + in-bucket window), see module doc.  The cut
+    points are ``BUCKETS - 1`` numbers per table, shared by all groups.
     """
     by = list(by)
-    d = _distinct_scores(scores, by, label, score)
-    d = d.withColumn("b", F.least(F.greatest(F.floor(F.col("s") * BUCKETS), F.lit(0)),
-                                  F.lit(BUCKETS)).cast("long"))
+    d = cut_lineage(_distinct_scores(scores, by, label, score))  # read three times from here
+    d = bucketed(d, "s", "b", BUCKETS)
     t = d.groupBy(*by, "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     above = Window.partitionBy(*by).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -158,6 +169,7 @@ def pr_points(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "y
 def calibration(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
                 score: str = "p", n_bins: int = CALIBRATION_BINS) -> DataFrame:
     """M7: uniform bins, right-closed inner edges (bin = number of edges below p); empty bins absent."""
+    scores = scored(scores, label, score)
     p = col(score).cast("double")
     step = 1.0 / n_bins
     binid = sum(((p > F.lit(i) * lit_d(step)).cast("int") for i in range(1, n_bins)), F.lit(0))
@@ -184,7 +196,7 @@ def optimal_threshold(scores: DataFrame, by: Sequence[str] = ("model",), label:
     by = list(by)
     p = col(score).cast("double")
     y = col(label).cast("long")
-    base = scores.select(*by, p.alias("p"), y.alias("y")).filter(F.col("p").isNotNull())
+    base = scored(scores, label, score).select(*by, p.alias("p"), y.alias("y"))
     slots = (base.groupBy(*by, F.least(F.greatest(_grid_slot(F.col("p")), F.lit(CLIP_LOW - 1)),
                                        F.lit(CLIP_HIGH + 1)).cast("long").alias("k"))
              .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
@@ -228,16 +240,23 @@ def threshold_table(scores: DataFrame, by: Sequence[str] = ("model",), label: st
                     score: str = "p", thresholds: Sequence[float] = THRESHOLD_GRID) -> DataFrame:
     """Precision, recall, F1, balanced accuracy at each fixed threshold.
 
-    The threshold list is a fixed small literal (17 rows by default), so the
-    cross join only widens rows inside each task before partial aggregation.
+    Each row is counted once, in the slot of the highest threshold it reaches; running sums over
+    the (number of thresholds + 1) slots of a group give all confusions.
     """
-    spark = scores.sparkSession
-    tdf = F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
-    y, p = col(label), col(score).cast("double")
-    yhat = p >= F.col("threshold")
-    cm = scores.crossJoin(tdf).groupBy(*by, "threshold").agg(
-        _cnt((y == 0) & ~yhat).alias("tn"), _cnt((y == 0) & yhat).alias("fp"),
-        _cnt((y == 1) & ~yhat).alias("fn"), _cnt((y == 1) & yhat).alias("tp"))
+    by = list(by)
+    cuts = sorted({float(t) for t in thresholds})
+    p, y = col(score).cast("double"), col(label)
+    slot = sum(((p >= lit_d(t)).cast("int") for t in cuts), F.lit(0))
+    slots = (scored(scores, label, score).groupBy(*by, slot.alias("slot"))
+             .agg(_cnt(y == 1).alias("pos"), _cnt(y == 0).alias("neg")))
+    # one row per group: counts by slot, then one row per threshold
+    at = {i: (F.sum(F.when(F.col("slot") > i, F.col("pos")).otherwise(0)), F.sum(F.when(F.col("slot") > i, F.col("neg")).otherwise(0)))
+          for i in range(len(cuts))}
+    wide = slots.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.array(*[
+        F.struct(lit_d(t).alias("threshold"), at[i][0].alias("tp"), at[i][1].alias("fp")) for i, t in enumerate(cuts)]).alias("rows"))
+    cm = wide.select(*by, "P", "N", F.explode("rows").alias("r")).select(
+        *by, F.col("r.threshold").alias("threshold"), (F.col("N") - F.col("r.fp")).alias("tn"), F.col("r.fp").alias("fp"),
+        (F.col("P") - F.col("r.tp")).alias("fn"), F.col("r.tp").alias("tp"))
     m = metrics_from_confusion(cm, [*by, "threshold"])
     return m.select(*by, "threshold", "precision", "recall", "f1", "balanced_accuracy")
 
@@ -259,20 +278,25 @@ def metrics_comparison(scores: DataFrame, by: str = "model", label: str = "y", s
 
 
 def overfit_report(train_scores: DataFrame, test_scores: DataFrame, by: str = "model",
-                   label: str = "y", score: str = "p") -> DataFrame:
-    """Train AUC, test AUC, gap (4 dp) and its class per model."""
-    tr = roc_auc(train_scores, [by], label, score).withColumnRenamed("roc_auc", "train_roc_auc")
-    te = roc_auc(test_scores, [by], label, score).withColumnRenamed("roc_auc", "test_roc_auc")
-    gap = F.bround(F.col("train_roc_auc") - F.col("test_roc_auc"), 4)
-    return (tr.join(te, by, "full")
-              .select(by, r("train_roc_auc", 4).alias("train_roc_auc"),
-                      r("test_roc_auc", 4).alias("test_roc_auc"), gap.alias("roc_auc_gap"),
-                      overfit_class(gap).alias("overfit_class")))
-
-
-def best_model(comparison: DataFrame, gaps: DataFrame | None = None, by: str = "model") -> DataFrame:
-    """Max by (ROC-AUC, F1, recall, −gap; missing gap = 0) plus a computed rationale."""
-    c = comparison
+                   label: str = "y", score: str = "p", threshold: float = 0.5, digits: int | None = 4) -> DataFrame:
+    """Train and test AUC, their gap, its class (of the unrounded gap), and train and test F1."""
+    def side(scores: DataFrame, name: str) -> DataFrame:
+        f1 = metrics_from_confusion(confusion(scores, [by], label, score, threshold), [by])
+        return roc_auc(scores, [by], label, score).join(f1.select(by, "f1"), by).select(
+            by, F.col("roc_auc").alias(f"{name}_roc_auc"), F.col("f1").alias(f"{name}_f1"))
+
+    gap = F.col("train_roc_auc") - F.col("test_roc_auc")
+    shown = (lambda c: c) if digits is None else (lambda c: r(c, digits))
+    return (side(train_scores, "train").join(side(test_scores, "test"), by, "full")
+            .select(by, *[shown(F.col(c)).alias(c) for c in ("train_roc_auc", "test_roc_auc")],
+                    shown(gap).alias("roc_auc_gap"), overfit_class(gap).alias("overfit_class"),
+                    *[shown(F.col(c)).alias(c) for c in ("train_f1", "test_f1")]))
+
+
+def best_model(metrics: DataFrame, gaps: DataFrame | None = None, by: str = "model", digits: int = 4) -> DataFrame:
+    """Max by (ROC-AUC, F1, recall, −gap; missing gap = 0) over unrounded metrics, plus a
+    computed rationale; the numbers shown are rounded to ``digits``."""
+    c = metrics
     if gaps is not None:
         c = c.join(gaps.select(by, "roc_auc_gap"), by, "left")
     else:
@@ -282,11 +306,12 @@ def best_model(comparison: DataFrame, gaps: DataFrame | None = None, by: str = "
                    (-F.col("roc_auc_gap")).alias("d"), F.col(by).alias("m"))
     stats = c.agg(F.max(key).alias("w"), F.max("f1").alias("best_f1"), F.max("recall").alias("best_recall"))
     won = c.join(stats, F.col(by) == F.col("w.m"))
+    shown = {k: F.bround(k, digits) for k in ("roc_auc", "f1", "recall", "roc_auc_gap")}
     text = F.format_string(
         "%s selected: highest test ROC-AUC (%.4f); F1 %.4f%s; recall %.4f%s; train-test ROC-AUC gap %.4f.",
-        F.col(by), F.col("roc_auc"), F.col("f1"),
+        F.col(by), shown["roc_auc"], shown["f1"],
         F.when(F.col("f1") >= F.col("best_f1"), F.lit(" (best)")).otherwise(F.lit("")),
-        F.col("recall"),
+        shown["recall"],
         F.when(F.col("recall") >= F.col("best_recall"), F.lit(" (highest)")).otherwise(F.lit("")),
-        F.col("roc_auc_gap"))
-    return won.select(by, "roc_auc", "f1", "recall", "roc_auc_gap", text.alias("rationale"))
+        shown["roc_auc_gap"])
+    return won.select(by, *[v.alias(k) for k, v in shown.items()], text.alias("rationale"))

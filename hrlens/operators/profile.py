@@ -5,10 +5,8 @@ aggregate it with a single shuffle keyed by column (or column, value).  This
 avoids one scan per column and the row-multiplying Expand that many
 ``count(distinct)`` aggregates in one ``agg`` would produce.
 
-Exact quantiles (``percentile``) keep a value→count map per column: fine for
-the integer-coded, bounded-domain columns this library profiles; pass
-``approx=True`` for high-cardinality doubles to switch to
-``percentile_approx``.
+Quantiles are exact and come from value counts and running sums
+(``operators.quantile``); no column's values are gathered in one task.
 """
 
 from __future__ import annotations
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import col, is_missing, lit_d, r
+from .quantile import quantiles, value_counts
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -44,10 +43,6 @@ def long_table(df: DataFrame, columns: Sequence[str], value_type: str = "string"
               .select(*keep, "_kv.column", "_kv.value"))
 
 
-def _pct(x: Column, q: float, approx: bool) -> Column:
-    return F.percentile_approx(x, lit_d(q), 10000) if approx else F.percentile(x, lit_d(q))
-
-
 def duplicate_rows(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Rows that repeat an earlier full row (pandas ``duplicated().sum()``, nulls equal).
 
@@ -60,12 +55,22 @@ def duplicate_rows(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
-    """Q1: rows, columns, total missing cells, duplicate rows — one row."""
-    miss = sum((F.sum(is_missing(f.name, f.dataType.typeName()).cast("long")) for f in df.schema.fields),
-               F.lit(0).cast("long"))
-    stats = df.agg(F.count(F.lit(1)).alias("rows"), miss.alias("missing_values"))
-    return (stats.crossJoin(duplicate_rows(df))
-            .select("rows", F.lit(len(df.columns)).alias("columns"), "missing_values", "duplicate_rows"))
+    """Q1: one row per column (position, column, dtype, missing) with the table's rows, columns, total
+    missing cells and duplicate rows beside it.
+
+    Everything comes from the table reduced to its distinct rows and their counts: one shuffle, one
+    scan, and a row that holds a third of the table is one row per task.
+    """
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0).cast("long")
+    wide = groups.agg(F.coalesce(F.sum("_n"), zero).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), zero).alias("duplicate_rows"),
+                      *[F.coalesce(F.sum(F.when(is_missing(c, t), F.col("_n"))), zero).alias(f"_m{i}") for i, (c, t) in enumerate(types.items())])
+    per = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"_m{i}").alias("missing"))
+                    for i, (c, t) in enumerate(df.dtypes)])
+    total = sum((F.col(f"_m{i}") for i in range(len(types))), zero)
+    return wide.select("rows", "duplicate_rows", total.alias("missing_values"), F.explode(per).alias("p")).select(
+        "p.*", "rows", F.lit(len(types)).alias("columns"), "missing_values", "duplicate_rows")
 
 
 def schema_overview(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -91,13 +96,13 @@ def assert_no_missing(df: DataFrame) -> None:
     """``validate_no_missing_values``: raise listing columns with nulls."""
     bad = {r_["column"]: r_["missing"] for r_ in missing_report(df).collect()}
     if bad:
-        raise ValueError(f"Unexpected missing values found: {bad}")
+        raise ValueError(f"Columns with missing values (and how many): {bad}")
 
 
 def duplicate_report(df: DataFrame, id_col: str, exclude: Sequence[str] = ()) -> DataFrame:
     """Q4: full-row duplicates and id collisions (a null id is one value)."""
     ids = df.agg((F.count(F.lit(1)) - F.count_distinct(col(id_col))
-                  - F.max(col(id_col).isNull().cast("int"))).cast("long").alias("duplicate_ids"))
+                  - F.coalesce(F.max(col(id_col).isNull().cast("int")), F.lit(0))).cast("long").alias("duplicate_ids"))
     return duplicate_rows(df, exclude).crossJoin(ids)
 
 
@@ -107,7 +112,7 @@ def constant_columns(df: DataFrame) -> DataFrame:
     "One distinct non-null value" is ``min == max`` over the non-null values,
     so this is a single aggregate pass, reduced map-side, with no shuffle of
     distinct values.  The value is compared in the column's own type, then
-    shown as text.
+    shown as text (a floating number with six decimals).
     """
     aggs = []
     for i, c in enumerate(df.columns):
@@ -115,35 +120,29 @@ def constant_columns(df: DataFrame) -> DataFrame:
     row = df.agg(*aggs)
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), (F.col(f"lo{i}") == F.col(f"hi{i}")).alias("const"),
-                 F.col(f"lo{i}").cast("string").alias("value"))
-        for i, c in enumerate(df.columns)])
+                 (F.col(f"lo{i}").try_cast("decimal(38, 6)") if t in ("double", "float") else F.col(f"lo{i}"))
+                 .cast("string").alias("value"))
+        for i, (c, t) in enumerate(df.dtypes)])
     return (row.select(F.explode(pairs).alias("p")).select("p.*")
                .filter(F.coalesce(F.col("const"), F.lit(False)))
                .select("column", "value").orderBy("column"))
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5,
-                 approx: bool = False) -> DataFrame:
-    """Q10: IQR fences and outlier counts per numeric column (absent columns skipped).
-
-    Pass 1 aggregates quartiles per column; pass 2 joins the (one row per
-    column) fences back and counts.  ``outlier_pct`` is over all rows.
-    """
+def iqr_outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
+    """Q10: IQR fences and outlier counts per numeric column (absent columns skipped), all from the
+    value counts per column.  ``outlier_pct`` is over all rows."""
     cols = [c for c in columns if c in df.columns]
-    long = long_table(df, cols, "double")
-    stats = long.groupBy("column").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        _pct(F.col("value"), 0.25, approx).alias("q1"), _pct(F.col("value"), 0.75, approx).alias("q3"),
-        F.count_distinct("value").alias("unique_values"))
+    counts = value_counts(df, cols, missing=True)
+    present = counts.filter(F.col("value").isNotNull())
     m = lit_d(multiplier)
-    stats = stats.select("*", (F.col("q1") - m * (F.col("q3") - F.col("q1"))).alias("iqr_lower"),
-                         (F.col("q3") + m * (F.col("q3") - F.col("q1"))).alias("iqr_upper"))
-    n = df.agg(F.count(F.lit(1)).alias("_rows"))
-    counts = (long.join(stats.select("column", "iqr_lower", "iqr_upper"), "column")
-              .groupBy("column")
-              .agg(F.count_if((F.col("value") < F.col("iqr_lower")) |
-                              (F.col("value") > F.col("iqr_upper"))).alias("outlier_count")))
-    return (stats.join(counts, "column").crossJoin(n)
+    q1, q3 = F.col("q1"), F.col("q3")
+    fences = quantiles(present, ["column"], [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).select(
+        "*", (q1 - m * (q3 - q1)).alias("iqr_lower"), (q3 + m * (q3 - q1)).alias("iqr_upper"))
+    x = F.col("value")
+    out = (x < F.col("iqr_lower")) | (x > F.col("iqr_upper"))
+    return (counts.join(fences, "column").groupBy("column", "q1", "q3", "iqr_lower", "iqr_upper")
+            .agg(F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("unique_values"),
+                 F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0)).cast("long").alias("outlier_count"), F.sum("n").alias("_rows"))
             .select("column", "min", "max", "q1", "q3", r("iqr_lower").alias("iqr_lower"),
                     r("iqr_upper").alias("iqr_upper"), "outlier_count",
                     F.bround(F.col("outlier_count") * lit_d(100.0) / F.col("_rows"), 2).alias("outlier_pct"),
@@ -151,16 +150,20 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5,
             .orderBy("column"))
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
-                     approx: bool = False) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Q11: ``describe().T`` — count, mean, sample std, min, quartiles, max per column."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    v = F.col("value")
-    return (long_table(df, cols, "double").groupBy("column").agg(
-        F.count(v).alias("count"), r(F.avg(v)).alias("mean"), r(F.stddev_samp(v)).alias("std"),
-        F.min(v).alias("min"), _pct(v, 0.25, approx).alias("p25"), _pct(v, 0.5, approx).alias("p50"),
-        _pct(v, 0.75, approx).alias("p75"), F.max(v).alias("max"))
-        .orderBy("column"))
+    counts = value_counts(df, cols)
+    v, n = F.col("value"), F.col("n")
+    mean = counts.groupBy("column").agg(F.sum("n").alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    spread = counts.join(mean.select("column", "mean"), "column").groupBy("column").agg(
+        F.sum((v - F.col("mean")) ** 2 * n).alias("ss"))
+    q = quantiles(counts, ["column"], [0.25, 0.5, 0.75])
+    return (mean.join(spread, "column").join(q, "column")
+            .select("column", "count", r("mean").alias("mean"),
+                    r(F.sqrt(F.try_divide(F.col("ss"), (F.col("count") - 1).cast("double")))).alias("std"), "min",
+                    F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+            .orderBy("column"))
 
 
 def category_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -258,5 +261,6 @@ def column_groups(df: DataFrame, groups: dict[str, list[str]], approx: bool = Fa
     spark = df.sparkSession
     g = spark.createDataFrame([(grp, c) for grp, cols in groups.items() for c in cols],
                               "group string, column string")
-    return (g.join(schema_overview(df, approx).select("column", "dtype", "unique_values"), "column", "left")
+    named = [c for c in df.columns if any(c in cols for cols in groups.values())]
+    return (g.join(schema_overview(df.select(*named), approx).select("column", "dtype", "unique_values"), "column", "left")
              .select("group", "column", "dtype", "unique_values").orderBy("group", "column"))

@@ -3,9 +3,12 @@
 Scoring is shuffle-free: a projection for a linear model (weights as
 literals), or ``PipelineModel.transform`` for any Spark ML model.  The
 explanation is computed for ALL rows at once with the linear-SHAP formula
-φ_j = w_j·(x_j − mean_bg(x_j)), base = b + Σ_j w_j·mean_bg(x_j), so
-base + Σφ = the row's logit.  The background means are one aggregate over
-a bounded sample (X4).
+φ_j = w_j·(x_j − mean(x_j)), base = b + Σ_j w_j·mean(x_j), so
+base + Σφ = the row's logit.  The means are one aggregate over the whole
+background table (the training rows); a sample is the caller's choice.
+
+A row whose probability is null (a feature is null) has no prediction, tier
+or confidence, and a null contribution has no direction.
 """
 
 from __future__ import annotations
@@ -17,10 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, confidence, lit_d, risk_tier
-from .split import background_sample
 
 DEFAULT_THRESHOLD = 0.5
-DEFAULT_BACKGROUND = 120
 DEFAULT_TOP_N = 12
 
 
@@ -74,19 +75,18 @@ def prediction_frame(pred: DataFrame, id_col: str) -> DataFrame:
     p = F.col("probability")
     return pred.select(
         F.col(id_col).alias("EmployeeID"), F.bround(p, 4).alias("AttritionProbability"),
-        F.when(F.col("prediction") == 1, "Yes").otherwise("No").alias("PredictedAttrition"),
+        F.when(F.col("prediction") == 1, "Yes").when(F.col("prediction") == 0, "No").alias("PredictedAttrition"),
         risk_tier(p).alias("RiskTier"), F.bround(confidence(p), 4).alias("ConfidenceScore"))
 
 
 def background_means(background: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Mean of each model-space feature over the (bounded) background sample."""
+    """Mean of each model-space feature over all rows of ``background``."""
     row = background.agg(*[F.avg(col(f).cast("double")).alias(f) for f in features]).first()
     return {f: (row[f] if row[f] is not None else 0.0) for f in features}
 
 
 def linear_contributions(df: DataFrame, model: LinearModel, id_col: str,
-                         background: DataFrame | None = None, n_background: int = DEFAULT_BACKGROUND,
-                         seed: int = 42, top_n: int | None = DEFAULT_TOP_N,
+                         background: DataFrame | None = None, top_n: int | None = DEFAULT_TOP_N,
                          means: dict[str, float] | None = None) -> DataFrame:
     """Per id, the top-``top_n`` features by |φ| (ties by name):
     (id, rank, feature, shap_value, feature_value, direction, base_value).
@@ -96,8 +96,7 @@ def linear_contributions(df: DataFrame, model: LinearModel, id_col: str,
     """
     feats = list(model.weights)
     if means is None:
-        bg = background if background is not None else background_sample(df, [id_col], n_background, seed)
-        means = background_means(bg, feats)
+        means = background_means(df if background is None else background, feats)
     base = model.intercept
     for f in feats:                      # left to right, like SQL's a + b + c
         base = base + model.weights[f] * means[f]
@@ -115,5 +114,5 @@ def linear_contributions(df: DataFrame, model: LinearModel, id_col: str,
               .select(id_col, (F.col("pos") + 1).alias("rank"), "c.feature", "c.shap_value",
                       "c.feature_value",
                       F.when(F.col("c.shap_value") >= 0, "Increases risk")
-                       .otherwise("Decreases risk").alias("direction"),
+                       .when(F.col("c.shap_value") < 0, "Decreases risk").alias("direction"),
                       lit_d(base).alias("base_value")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import band, band_index, col, label01, lit_d, r
+from .quantile import quantiles, value_counts
 
 # Fixed values that must equal the reference's band definitions.
 INCOME_EDGES = [0, 3000, 5000, 7500, 10000, 20000]
@@ -116,59 +117,57 @@ def crosstab(df: DataFrame, key: str, target: str = "Attrition", positive: str =
 def group_medians(df: DataFrame, columns: Sequence[str] = ("Age", "MonthlyIncome"),
                   target: str = "Attrition", positive: str = "Yes") -> DataFrame:
     """Exact (interpolated) medians of ``columns`` per 0/1 label."""
-    return (df.groupBy(label01(target, positive).alias("label"))
-              .agg(*[F.median(col(c).cast("double")).alias(f"median_{c}") for c in columns])
-              .orderBy("label"))
+    y = label01(target, positive)
+    counts = value_counts(df.select(y.alias("label"), *[col(c) for c in columns]), list(columns), ["label"])
+    q = quantiles(counts, ["label", "column"], [0.5])
+    return (q.groupBy("label").agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(f"median_{c}") for c in columns])
+            .orderBy("label"))
 
 
 def histogram_density(df: DataFrame, column: str, target: str = "Attrition",
                       bins: int = 20) -> DataFrame:
-    """``bins`` equal-width bins over each class's own range, density-normalised.
+    """``bins`` equal-width bins over each class's own range, density-normalised, empty bins
+    included.
 
-    Matplotlib's rule: the last bin is closed; a constant class uses the
-    range [v-0.5, v+0.5].  Per-class bounds are a one-row-per-class table
-    (bounded by the class count) joined back; AQE turns the join into a
-    broadcast from the measured size of that table.
+    Matplotlib's rule: the last bin is closed; a constant class uses the range [v-0.5, v+0.5].  The
+    rows are first reduced to value counts per class, so no row of the table is joined.
     """
-    x = col(column).cast("double")
-    data = df.select(col(target).alias("cls"), x.alias("x")).filter(
-        F.col("cls").isNotNull() & F.col("x").isNotNull())
-    bounds = data.groupBy("cls").agg(F.min("x").alias("lo0"), F.max("x").alias("hi0"),
-                                     F.count(F.lit(1)).alias("n"))
+    counts = value_counts(df.filter(col(target).isNotNull()).select(col(target).alias("cls"), col(column)), [column], ["cls"])
+    bounds = counts.groupBy("cls").agg(F.min("value").alias("lo0"), F.max("value").alias("hi0"), F.sum("n").alias("n"))
+    flat = F.col("lo0") == F.col("hi0")
     bounds = bounds.select(
-        "cls", "n",
-        F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - lit_d(0.5)).otherwise(F.col("lo0")).alias("lo"),
-        F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + lit_d(0.5)).otherwise(F.col("hi0")).alias("hi"))
+        "cls", F.col("n").alias("total"),
+        F.when(flat, F.col("lo0") - lit_d(0.5)).otherwise(F.col("lo0")).alias("lo"),
+        F.when(flat, F.col("hi0") + lit_d(0.5)).otherwise(F.col("hi0")).alias("hi"))
     w = (F.col("hi") - F.col("lo")) / lit_d(bins)
-    binned = data.join(bounds, "cls").select(
-        "cls", "n", "lo", w.alias("w"),
-        F.least(F.floor((F.col("x") - F.col("lo")) / w), F.lit(bins - 1)).cast("int").alias("bin"))
-    return (binned.groupBy("cls", "bin", "n", "lo", "w").agg(F.count(F.lit(1)).alias("count"))
+    bounds = bounds.select("cls", "total", "lo", w.alias("w"))
+    own = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("w")), F.lit(bins - 1)).cast("int")
+    filled = counts.join(bounds, "cls").groupBy("cls", own.alias("bin")).agg(F.sum("n").alias("count"))
+    every = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return (every.join(filled, ["cls", "bin"], "left")
+            .withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
             .select(F.col("cls").alias(target), "bin",
                     r(F.col("lo") + F.col("bin") * F.col("w")).alias("bin_left"),
                     r(F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("bin_right"),
-                    "count",
-                    r(F.col("count") / (F.col("n") * F.col("w"))).alias("density"))
+                    "count", r(F.col("count") / (F.col("total") * F.col("w"))).alias("density"))
             .orderBy(target, "bin"))
 
 
 def box_stats(df: DataFrame, column: str, target: str = "Attrition",
               positive: str = "Yes", negative: str = "No", whis: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers (extreme points inside the 1.5·IQR fences), flier count per status."""
+    """Quartiles, whiskers (extreme points inside the 1.5·IQR fences), flier count per status,
+    all from the value counts per status."""
     status = F.when(col(target) == positive, "Left").when(col(target) == negative, "Stayed")
-    data = df.select(status.alias("Status"), col(column).cast("double").alias("x")).filter(
-        F.col("Status").isNotNull() & F.col("x").isNotNull())
-    q = data.groupBy("Status").agg(
-        F.percentile("x", lit_d(0.25)).alias("q1"), F.percentile("x", lit_d(0.5)).alias("median"),
-        F.percentile("x", lit_d(0.75)).alias("q3"))
+    counts = value_counts(df.select(status.alias("Status"), col(column)).filter(F.col("Status").isNotNull()), [column], ["Status"])
+    q = quantiles(counts, ["Status"], [0.25, 0.5, 0.75]).select(
+        "Status", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.select("*", (F.col("q1") - lit_d(whis) * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                  (F.col("q3") + lit_d(whis) * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
-    return (data.join(q, "Status")
-            .groupBy("Status", "q1", "median", "q3")
-            .agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-                 F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-                 F.count_if(~inside).alias("n_fliers"))
+    x = F.col("value")
+    inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
+    return (counts.join(q, "Status").groupBy("Status", "q1", "median", "q3")
+            .agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
+                 F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_fliers"))
             .orderBy("Status"))
 
 
@@ -184,22 +183,53 @@ def mean_score_by_dimension(df: DataFrame, target: str = "Attrition",
 def kpi_row(df: DataFrame, target: str = "Attrition", positive: str = "Yes",
             negative: str = "No", overtime: str = "OverTime", tenure: str = "YearsAtCompany",
             department: str = "Department", role: str = "JobRole") -> DataFrame:
-    """The dashboard KPIs in one aggregate pass (one row)."""
-    t = col(target)
+    """The dashboard KPIs (one row).
+
+    The table is reduced to one row of sums per (department, role), so the distinct counts see those
+    few rows and the full rows are never expanded.
+    """
+    t, y = col(target), label01(target, positive)
     nulls = sum((F.sum(col(c).isNull().cast("long")) for c in df.columns), F.lit(0).cast("long"))
-    return df.agg(
-        F.count(F.lit(1)).alias("headcount"),
-        F.count_if(t == positive).alias("leavers"),
-        F.count_if(t == negative).alias("stayers"),
-        r(F.avg(label01(target, positive)) * lit_d(100.0)).alias("attrition_pct"),
-        r(F.avg(F.when(col(overtime) == "Yes", label01(target, positive))) * lit_d(100.0))
-        .alias("overtime_attrition_pct"),
-        r(F.avg(col(tenure))).alias("mean_tenure"),
-        F.count_distinct(col(department)).alias("departments"),
-        F.count_distinct(col(role)).alias("roles"),
-        nulls.alias("total_nulls"),
-        F.lit(len(df.columns)).alias("columns"),
-    )
+    ot = col(overtime) == "Yes"
+    part = df.groupBy(col(department).alias("d"), col(role).alias("r")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(t == positive).alias("left"), F.count_if(t == negative).alias("stayed"),
+        F.sum(y).alias("y"), F.count_if(ot).alias("ot"), F.sum(F.when(ot, y)).alias("oty"),
+        F.sum(col(tenure)).alias("tenure"), F.count(col(tenure)).alias("tn"), nulls.alias("nulls"))
+    share = lambda a, b: r(F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double")) * lit_d(100.0))
+    zero = F.lit(0).cast("long")
+    return part.agg(
+        F.coalesce(F.sum("n"), zero).alias("headcount"), F.coalesce(F.sum("left"), zero).alias("leavers"),
+        F.coalesce(F.sum("stayed"), zero).alias("stayers"), share("y", "n").alias("attrition_pct"),
+        share("oty", "ot").alias("overtime_attrition_pct"),
+        r(F.try_divide(F.sum("tenure").cast("double"), F.sum("tn").cast("double"))).alias("mean_tenure"),
+        F.count_distinct("d").alias("departments"), F.count_distinct("r").alias("roles"),
+        F.coalesce(F.sum("nulls"), zero).alias("total_nulls"), F.lit(len(df.columns)).alias("columns"))
+
+
+def headline_figures(df: DataFrame, departments: tuple[str, str], target: str = "Attrition",
+                     positive: str = "Yes") -> DataFrame:
+    """The figures behind the headline statements, long form (figure, value).
+
+    ``departments``: the two whose rates are compared.  Rates are percentages.
+    """
+    y = label01(target, positive).cast("double")
+
+    def rate(cond: Column | None = None) -> Column:
+        return F.avg(y if cond is None else F.when(cond, y)) * lit_d(100.0)
+
+    first, second = (rate(col("Department") == d) for d in departments)
+    ot, no_ot = rate(col("OverTime") == "Yes"), rate(col("OverTime") == "No")
+    figures = {
+        "overall_rate": rate(), "leavers": F.sum(y), "employees": F.count(F.lit(1)).cast("double"),
+        "first_department_rate": first, "second_department_rate": second, "department_gap_pp": first - second,
+        "overtime_rate": ot, "no_overtime_rate": no_ot, "overtime_ratio": F.try_divide(ot, no_ot),
+        "lowest_income_band_rate": rate(band("MonthlyIncome", INCOME_EDGES, INCOME_LABELS) == INCOME_LABELS[0]),
+        "poor_work_life_rate": rate(col("WorkLifeBalance") == 1), "low_satisfaction_rate": rate(col("JobSatisfaction") == 1),
+        "youngest_band_rate": rate(band("Age", AGE_EDGES, AGE_LABELS) == AGE_LABELS[0])}
+    wide = df.agg(*[r(v).alias(k) for k, v in figures.items()]).unpivot([], list(figures), "figure", "value")
+    med = group_medians(df, ["Age"], target, positive)
+    name = F.when(F.col("label") == 1, "median_leaver_age").otherwise("median_stayer_age")
+    return wide.unionByName(med.select(name.alias("figure"), r("median_Age").alias("value")))
 
 
 def feature_sanity_rates(featured: DataFrame, target: str = "Attrition",
@@ -261,6 +291,13 @@ def explorer_filter(df: DataFrame, departments: Sequence[str] | None = None,
     return out.select(*display) if display else out
 
 
+def explorer_bounds(df: DataFrame, columns: Sequence[str] = ("Age", "MonthlyIncome")) -> DataFrame:
+    """the default range of each numeric filter (column, low, high)."""
+    wide = df.agg(*[f(col(c)).cast("double").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"lo_{c}").alias("low"), F.col(f"hi_{c}").alias("high")) for c in columns])
+    return wide.select(F.explode(rows).alias("x")).select("x.*")
+
+
 def category_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """distinct non-blank values per column, long form (column, value) sorted.
 

@@ -2,24 +2,30 @@
 
 Membership is a function of the row key (a hash), never of partitioning or
 RNG state, so every recomputation after an executor loss gives the same
-split.  Exact per-class quotas need each row's rank within its class by
-(hash, key).  A class can hold most of the table, so the rank is never a
-window over a whole class: the hash range is cut into buckets sized from the
-class counts (≈ ``rows_per_bucket`` rows each), bucket sizes give every
-bucket a start rank, and ``row_number`` runs only inside (class, bucket).
+split.  Exact per-class sizes need the (hash, key) of a few ranks per class:
+the quota-th row for a split, the fold borders for folds.  They are found by
+counting rows per class and hash prefix, again inside the border prefixes
+only, until those hold few rows; the table is then split by comparing each
+row with its class's borders.  No row of the table is shuffled or sorted.
+
+A null label is a class of its own, so no row is lost.  Rows repeated with
+one key stay on one side.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import col
+from ..functions.exprs import col, lit_d
+from ..session import cut_lineage
 
 HASH_RANGE = 1 << 62
+LEVEL_BITS = 12          # bits of the hash that one counting pass resolves
+SMALL_PREFIX = 200_000   # rows of a border prefix that are ranked directly
+BROADCAST_CLASSES = 100_000
 
 
 def key_hash(cols: Sequence[str], seed: int = 42) -> Column:
@@ -27,95 +33,124 @@ def key_hash(cols: Sequence[str], seed: int = 42) -> Column:
     return F.xxhash64(*[col(c) for c in cols], F.lit(seed)).bitwiseAND(F.lit(HASH_RANGE - 1))
 
 
-def class_rank(df: DataFrame, cls: str, h: Column, tiebreak: Sequence[str],
-               hash_range: int = HASH_RANGE, rows_per_bucket: int = 1_000_000,
-               max_classes: int = 10_000) -> tuple[DataFrame, dict]:
-    """Adds ``_rank`` (1-based rank within ``cls`` by (h, tiebreak)) and returns class counts."""
-    data = df.withColumn("_h", h)
-    counts = {r[0]: r[1] for r in data.groupBy(cls).count().limit(max_classes + 1).collect()}
-    if len(counts) > max_classes:
-        raise ValueError(f"{len(counts)} classes: stratify on a low-cardinality label")
-    widths = []
-    for c, n in counts.items():
-        nb = max(1, min(1 << 20, math.ceil(n / rows_per_bucket)))
-        widths.append((c, -(-hash_range // nb)))
-    spark = df.sparkSession
-    cls_type = dict(data.dtypes)[cls]
-    wdf = spark.createDataFrame(widths, f"{cls} {cls_type}, _width long")
-    data = data.join(F.broadcast(wdf), cls, "left").withColumn(
-        "_bucket", F.expr("_h div _width")).drop("_width")
-    bsize = data.groupBy(cls, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
-    w = Window.partitionBy(cls).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bsize.select(cls, "_bucket", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy(cls, "_bucket").orderBy("_h", *tiebreak)
-    ranked = (data.join(starts, [cls, "_bucket"])
-                  .withColumn("_rank", F.col("_start") + F.row_number().over(inner))
-                  .drop("_start", "_bucket", "_h"))
-    return ranked, counts
-
-
-def _approximate_mode(counts: dict, n_draws: int) -> dict:
-    """Integer allocation proportional to class sizes; largest remainders get the
-    leftovers (ties by class order, where the reference draws at random)."""
-    n = sum(counts.values())
-    keys = sorted(counts, key=lambda k: (k is None, k))
-    cont = {k: counts[k] * n_draws / n for k in keys}
-    out = {k: math.floor(cont[k]) for k in keys}
-    need = n_draws - sum(out.values())
-    for k in sorted(keys, key=lambda k: -(cont[k] - out[k])):
-        if need <= 0:
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """``cls, n``: one row per class, the null class included."""
+    return df.groupBy(col(label).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_quotas(counts: DataFrame, test_size: float = 0.2) -> DataFrame:
+    """``cls, rank``: test rows per class.  The total is ceil(test_size·n); train rows are allotted
+    by floor and largest remainder (ties by class, null last).  One row per class is windowed."""
+    every = Window.partitionBy(F.lit(0))
+    n = F.sum("n").over(every)
+    n_train = n - F.ceil(lit_d(test_size) * n)
+    c = counts.select("cls", "n", n_train.alias("n_train"), (F.col("n") * n_train / n).alias("share"))
+    c = c.withColumn("low", F.floor("share"))
+    by_rest = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("share") - F.col("low")), F.asc_nulls_last("cls"))
+    c = c.select("cls", "n", "low", (F.row_number().over(by_rest) <= F.col("n_train") - F.sum("low").over(every)).alias("more"))
+    return c.select("cls", (F.col("n") - F.col("low") - F.col("more").cast("long")).alias("rank"))
+
+
+def _small(classes: DataFrame) -> DataFrame:
+    """A table with a few rows per class, marked for broadcast if that is few indeed."""
+    return F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
+
+
+def rank_borders(df: DataFrame, label: str, h: Column, key: Sequence[str], ranks: DataFrame,
+                 hash_range: int = HASH_RANGE, small: int = SMALL_PREFIX) -> DataFrame:
+    """``cls, borders``: for each class the sorted (hash, key…) structs of the rows at the given
+    ranks (``ranks``: cls, rank; ranks start at 1, others are ignored)."""
+    keys = [f"k{i}" for i in range(len(key))]
+    rows = df.select(col(label).alias("cls"), h.alias("h"), *[col(c).alias(k) for c, k in zip(key, keys)])
+    bits = max(1, (hash_range - 1).bit_length())
+    # a state: the rank-th row of a class is the left-th row with this hash prefix
+    state = ranks.filter("rank > 0").select("cls", "rank", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("left"))
+    shift = bits
+    while True:
+        at = F.shiftright("h", shift) if shift < 63 else F.lit(0).cast("long")
+        inside = rows.withColumn("prefix", at)
+        marks = _small(state.select(F.col("cls").alias("c"), F.col("prefix").alias("p")).distinct())
+        inside = inside.join(marks, F.col("cls").eqNullSafe(F.col("c")) & (F.col("prefix") == F.col("p")), "left_semi")
+        if shift == 0:
             break
-        out[k] += 1
-        need -= 1
-    return out
-
-
-def split_quotas(counts: dict, test_size: float = 0.2) -> dict:
-    """Per-class test rows: total ceil(test_size·n), train allocated by approximate mode."""
-    n = sum(counts.values())
-    n_test = math.ceil(test_size * n)
-    train = _approximate_mode(counts, n - n_test)
-    return {k: counts[k] - train[k] for k in counts}
+        most = inside.groupBy("cls", "prefix").count().agg(F.max("count")).first()[0]
+        if most is None or most <= small:
+            break
+        down = max(0, shift - LEVEL_BITS)
+        counts = inside.groupBy("cls", "prefix", F.shiftright("h", down).alias("next")).agg(F.count(F.lit(1)).alias("n"))
+        run = Window.partitionBy("cls", "prefix").orderBy("next")
+        counts = counts.withColumn("upto", F.sum("n").over(run))  # at most 2^LEVEL_BITS rows per prefix
+        state = (state.join(counts.withColumnRenamed("cls", "c").withColumnRenamed("prefix", "p"),
+                            F.col("cls").eqNullSafe(F.col("c")) & (F.col("prefix") == F.col("p")))
+                 .filter((F.col("left") <= F.col("upto")) & (F.col("left") > F.col("upto") - F.col("n")))
+                 .select("cls", "rank", F.col("next").alias("prefix"), (F.col("left") - F.col("upto") + F.col("n")).alias("left")))
+        state = cut_lineage(state)
+        shift = down
+    groups = inside.groupBy("cls", "prefix", "h", *keys).agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("cls", "prefix").orderBy("h", *keys)
+    ordered = groups.withColumn("upto", F.sum("n").over(run))
+    ordered = ordered.withColumnRenamed("cls", "c").withColumnRenamed("prefix", "p")
+    hit = state.join(ordered, F.col("cls").eqNullSafe(F.col("c")) & (F.col("prefix") == F.col("p"))).filter(
+        (F.col("left") <= F.col("upto")) & (F.col("left") > F.col("upto") - F.col("n")))
+    return hit.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("h", *keys))).alias("borders"))
+
+
+def _past(df: DataFrame, label: str, h: Column, key: Sequence[str], borders: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` joined with its class's borders, and the number of borders before each row."""
+    b = _small(cut_lineage(borders.withColumnRenamed("cls", "_cls").withColumnRenamed("borders", "_borders")))
+    joined = df.join(b, col(label).eqNullSafe(F.col("_cls")), "left")
+    own = F.struct(h.alias("h"), *[col(c).alias(f"k{i}") for i, c in enumerate(key)])
+    return joined, F.coalesce(F.size(F.filter("_borders", lambda x: x < own)), F.lit(0))
 
 
 def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
                      seed: int = 42, h: Column | None = None, hash_range: int = HASH_RANGE,
-                     split_col: str = "split", rows_per_bucket: int = 1_000_000) -> DataFrame:
+                     split_col: str = "split", small: int = SMALL_PREFIX) -> DataFrame:
     """X1 exact mode: per-class quotas, the test rows being the quota smallest (hash, key)."""
     h = key_hash(key, seed) if h is None else h
-    ranked, counts = class_rank(df, label, h, key, hash_range, rows_per_bucket)
-    quotas = split_quotas(counts, test_size)
-    qdf = df.sparkSession.createDataFrame(list(quotas.items()),
-                                          f"{label} {dict(df.dtypes)[label]}, _quota long")
-    return (ranked.join(F.broadcast(qdf), label, "left")
-                  .withColumn(split_col, F.when(F.col("_rank") <= F.col("_quota"), "test")
-                              .otherwise("train"))
-                  .drop("_rank", "_quota"))
+    quotas = split_quotas(class_counts(df, label), test_size)
+    borders = rank_borders(df, label, h, key, quotas, hash_range, small)
+    joined, past = _past(df, label, h, key, borders)
+    has = F.col("_borders").isNotNull()
+    return (joined.withColumn(split_col, F.when(has & (past == 0), "test").otherwise("train"))
+            .drop("_cls", "_borders"))
 
 
 def hash_split(df: DataFrame, key: Sequence[str], test_size: float = 0.2, seed: int = 42,
                split_col: str = "split") -> DataFrame:
-    """X1 hash mode: no shuffle at all; sizes are approximate."""
+    """X1 hash mode: no extra pass over the table; sizes are approximate."""
     cut = int(test_size * 10000)
     return df.withColumn(split_col, F.when(F.pmod(key_hash(key, seed), F.lit(10000)) < cut, "test")
                          .otherwise("train"))
 
 
+def fold_ranks(counts: DataFrame, k: int) -> DataFrame:
+    """``cls, rank``: the last rank of each fold but the last, so that class by class the folds
+    have the sizes of dealing the sorted classes round-robin, one after another."""
+    before = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("cls")).rowsBetween(Window.unboundedPreceding, -1)
+    c = counts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    f = c.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    # rows r = 1..n with (off + r - 1) mod k = fold
+    skip = F.pmod(F.col("fold") - F.col("off"), F.lit(k))
+    size = F.greatest(F.floor((F.col("n") - skip + (k - 1)) / k), F.lit(0))
+    upto = Window.partitionBy("cls").orderBy("fold").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return f.select("cls", "fold", F.sum(size).over(upto).alias("rank"))
+
+
 def stratified_folds(df: DataFrame, label: str, key: Sequence[str], k: int = 5, seed: int = 7,
                      h: Column | None = None, hash_range: int = HASH_RANGE,
-                     fold_col: str = "fold", rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """fold = (class offset + rank in class − 1) mod k, which reproduces the
-    reference's per-class fold sizes (labels sorted, dealt round-robin)."""
+                     fold_col: str = "fold", small: int = SMALL_PREFIX) -> DataFrame:
+    """Each class's rows in (hash, key) order, cut into ``k`` runs of the round-robin sizes."""
     h = key_hash(key, seed) if h is None else h
-    ranked, counts = class_rank(df, label, h, key, hash_range, rows_per_bucket)
-    offset, acc = [], 0
-    for c in sorted(counts, key=lambda c: (c is None, c)):
-        offset.append((c, acc))
-        acc += counts[c]
-    odf = df.sparkSession.createDataFrame(offset, f"{label} {dict(df.dtypes)[label]}, _off long")
-    return (ranked.join(F.broadcast(odf), label, "left")
-                  .withColumn(fold_col, F.pmod(F.col("_off") + F.col("_rank") - 1, F.lit(k)).cast("int"))
-                  .drop("_rank", "_off"))
+    ends = fold_ranks(class_counts(df, label), k)
+    borders = rank_borders(df, label, h, key, ends.filter(F.col("fold") < k - 1).select("cls", "rank"), hash_range, small)
+    # folds that get no row of a small class have rank 0 or repeat a rank: count them as passed
+    joined, past = _past(df, label, h, key, borders)
+    shape = ends.filter(F.col("fold") < k - 1).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("fold", "rank"))).alias("_ends"))
+    shape = shape.withColumnRenamed("cls", "_c")
+    out = joined.join(_small(shape), col(label).eqNullSafe(F.col("_c")), "left")
+    empty = F.size(F.filter("_ends", lambda e: e["rank"] == 0))
+    return out.withColumn(fold_col, (past + empty).cast("int")).drop("_cls", "_borders", "_c", "_ends")
 
 
 def background_sample(df: DataFrame, key: Sequence[str], n: int = 120, seed: int = 42,
@@ -138,5 +173,5 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str = "label", weight_col: str = "weight") -> DataFrame:
     """Attach the balanced weight (computed on ``df`` itself, i.e. on train)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label, "left")
+    w = class_weights(df, label).select(F.col(label).alias("_c"), F.col("weight").alias(weight_col))
+    return df.join(_small(w), col(label).eqNullSafe(F.col("_c")), "left").drop("_c")

@@ -2,9 +2,9 @@
 
 Each rule becomes ``when(bad, struct(rule, field, message, severity))``;
 the array of issues is filtered and exploded.  No Python runs per row.
-Comparisons follow the reference's ``int(value)`` truncation: values are
-read as ``cast(try_cast(v as double) as int)``, and a present value that is
-not a number gets its own issue instead of an exception.
+Comparisons follow ``int(value)`` truncation, done on doubles so that no
+value can overflow, and a present value that is not a finite number gets its
+own issue instead of an exception.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import col
+from ..functions.exprs import col, lit_d
 
 # Fixed values that must equal the reference's validation rules.
 AGE_MIN, AGE_MAX = 18, 70
-MAX_BATCH_ERRORS = 20
+MAX_BATCH_ERRORS = 20  # where an upload form stops; the library's default is the whole report
 LIKERT_1_4 = ["EnvironmentSatisfaction", "JobInvolvement", "JobSatisfaction",
               "RelationshipSatisfaction", "WorkLifeBalance"]
 MSG_REQUIRED = "Required field is missing."
@@ -43,18 +43,26 @@ MSG_EMPTY = "Upload contains no data rows."
 MSG_OMITTED = "Additional row errors omitted."
 
 
+def _value(df: DataFrame, c: str) -> Column:
+    """The value as a finite double, else null."""
+    text = isinstance(df.schema[c].dataType, T.StringType)
+    x = F.trim(col(c)).try_cast("double") if text else col(c).cast("double")
+    return F.when(F.abs(x) < lit_d(float("inf")), x)
+
+
 def _num(df: DataFrame, c: str) -> Column:
-    """``int(value)``: numeric columns cast (truncating); strings parsed, non-numbers → null."""
-    dt = df.schema[c].dataType
-    if isinstance(dt, T.StringType):
-        return F.try_cast(F.trim(col(c)), "double").cast("int")
-    return col(c).cast("int")
+    """``int(value)`` as a double; non-numbers → null."""
+    x = _value(df, c)
+    return x - x % lit_d(1.0)
 
 
 def _not_number(df: DataFrame, c: str) -> Column | None:
-    if isinstance(df.schema[c].dataType, T.StringType):
-        v = F.trim(col(c))
-        return (v != "") & F.try_cast(v, "double").isNull()
+    """A present value that is no finite number; impossible for integer columns."""
+    dt = df.schema[c].dataType
+    if isinstance(dt, T.StringType):
+        return (F.trim(col(c)) != "") & _value(df, c).isNull()
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return col(c).isNotNull() & _value(df, c).isNull()
     return None
 
 
@@ -85,11 +93,13 @@ def issue_array(df: DataFrame, input_columns: Sequence[str], nominal: Sequence[s
             add(f, MSG_REQUIRED, F.lit(True))
     ranges = [(c, 1, 4, MSG_LIKERT) for c in LIKERT_1_4] + [
         ("Education", 1, 5, MSG_EDUCATION), ("StockOptionLevel", 0, 3, MSG_STOCK)]
+    tenure = list(dict.fromkeys(f for left, right, _ in TENURE_RULES for f in (left, right)))
+    for c in [*(r[0] for r in ranges), "PerformanceRating", "Age", "MonthlyIncome", *tenure]:
+        nn = _not_number(df, c) if c in present else None
+        if nn is not None:
+            add(c, MSG_NOT_NUMBER, nn)
     for c, lo, hi, msg in ranges:
         if c in present:
-            nn = _not_number(df, c)
-            if nn is not None:
-                add(c, MSG_NOT_NUMBER, nn)
             x = _num(df, c)
             add(c, msg, (x < lo) | (x > hi))
     if "PerformanceRating" in present:
@@ -118,45 +128,47 @@ def validation_issues(df: DataFrame, id_col: str, input_columns: Sequence[str],
               .select(id_col, "i.rule", "i.field", "i.message", "i.severity"))
 
 
+REPORT_SCHEMA = "field string, message string, severity string, seq long, omitted long"
+
+
 def validate_batch(df: DataFrame, id_col: str, input_columns: Sequence[str],
-                   nominal: Sequence[str], max_errors: int = MAX_BATCH_ERRORS) -> DataFrame:
-    """Missing columns → one error; empty → one error; else issues of the rows
-    (in id order) up to the one where the running error count reaches ``max_errors``,
-    labelled ``<id>.<field>``, plus a warning when the cap is hit.
-
-    Every issue is an error, so at most ``max_errors`` rows can be needed: their
-    (id, issue count) pairs are taken with ``orderBy(id).limit`` (TakeOrdered, no
-    global sort) — a result bounded by ``max_errors`` — and the cut row is found
-    from those; the issues themselves stay a projection over the table.
+                   nominal: Sequence[str], max_errors: int | None = None) -> DataFrame:
+    """Missing columns → one error; empty → one error; else every issue of every row, labelled
+    ``<id>.<field>``; ``seq`` is the issue's rule.
+
+    With ``max_errors``, the report stops after the row (in id order) that reaches that many errors,
+    ``seq`` orders it, and a warning carries the number of issues left out.  The cut row is found
+    from at most ``max_errors`` (id, count) pairs (``orderBy(id).limit``: no global sort).
     """
     spark = df.sparkSession
-    schema = "field string, message string, severity string, seq long"
     missing = [c for c in input_columns if c not in df.columns]
     if missing:
-        return spark.createDataFrame([("columns", MSG_MISSING_COLUMNS + ", ".join(missing), "error", 0)],
-                                     schema)
-    if df.limit(1).count() == 0:
-        return spark.createDataFrame([("rows", MSG_EMPTY, "error", 0)], schema)
-    per_row = df.select(col(id_col).alias("_id"),
-                        F.size(issue_array(df, input_columns, nominal)).alias("_n")).filter(F.col("_n") > 0)
-    first = per_row.orderBy("_id").limit(max_errors).collect()
-    kept, total = [], 0
-    for pos, row in enumerate(first, start=1):
+        return spark.createDataFrame([("columns", MSG_MISSING_COLUMNS + ", ".join(missing), "error", 0, None)], REPORT_SCHEMA)
+    if df.isEmpty():
+        return spark.createDataFrame([("rows", MSG_EMPTY, "error", 0, None)], REPORT_SCHEMA)
+    found = df.select(col(id_col).alias("_id"), issue_array(df, input_columns, nominal).alias("_iss"))
+    label = F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.lit("."), F.col("i.field")).alias("field")
+    none = F.lit(None).cast("long").alias("omitted")
+    if max_errors is None:
+        return found.select("_id", F.explode("_iss").alias("i")).select(
+            label, F.col("i.message").alias("message"), F.col("i.severity").alias("severity"),
+            F.col("i.rule").cast("long").alias("seq"), none)
+    per_row = found.select("_id", F.size("_iss").alias("_n")).filter(F.col("_n") > 0)
+    kept, shown = [], 0
+    for pos, row in enumerate(per_row.orderBy("_id").limit(max_errors).collect(), start=1):
         kept.append((row["_id"], pos))
-        total += row["_n"]
-        if total >= max_errors:
+        shown += row["_n"]
+        if shown >= max_errors:
             break
-    id_type = dict(df.dtypes)[id_col]
     if not kept:
-        return spark.createDataFrame([], schema)
-    pos_df = spark.createDataFrame(kept, f"_id {id_type}, _rowpos long")
-    issues = (df.select(col(id_col).alias("_id"), issue_array(df, input_columns, nominal).alias("_iss"))
-                .join(F.broadcast(pos_df), "_id")
-                .select("_rowpos", "_id", F.posexplode("_iss").alias("_k", "i"))
-                .select(F.concat(F.col("_id").cast("string"), F.lit("."), F.col("i.field")).alias("field"),
-                        F.col("i.message").alias("message"), F.col("i.severity").alias("severity"),
-                        (F.col("_rowpos") * 1000 + F.col("_k")).cast("long").alias("seq")))
-    if total >= max_errors:
-        warn = spark.createDataFrame([("rows", MSG_OMITTED, "warning", 10**9)], schema)
-        issues = issues.unionByName(warn)
+        return spark.createDataFrame([], REPORT_SCHEMA)
+    order = spark.createDataFrame(kept, f"_id {dict(df.dtypes)[id_col]}, _rowpos long")  # at most max_errors rows
+    issues = (found.join(F.broadcast(order), "_id").select("_rowpos", "_id", F.posexplode("_iss").alias("_k", "i"))
+              .select(label, F.col("i.message").alias("message"), F.col("i.severity").alias("severity"),
+                      (F.col("_rowpos") * 1000 + F.col("_k")).cast("long").alias("seq"), none))
+    if shown >= max_errors:
+        total = per_row.agg(F.sum("_n").alias("n"))
+        issues = issues.unionByName(total.select(
+            F.lit("rows").alias("field"), F.lit(MSG_OMITTED).alias("message"), F.lit("warning").alias("severity"),
+            F.lit(10**9).cast("long").alias("seq"), (F.col("n") - F.lit(shown)).cast("long").alias("omitted")))
     return issues

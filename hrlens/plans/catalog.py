@@ -117,7 +117,7 @@ def q_group_medians(spark, d):
 
 
 @register("histogram_density", """
-WITH data AS (SELECT Attrition AS cls, CAST(MonthlyIncome AS DOUBLE) AS x FROM o
+WITH data AS (SELECT Attrition AS cls, CAST(CASE WHEN id % 1000 = 7 THEN MonthlyIncome * 50 ELSE MonthlyIncome END AS DOUBLE) AS x FROM o
               WHERE Attrition IS NOT NULL AND MonthlyIncome IS NOT NULL),
 b0 AS (SELECT cls, min(x) AS lo0, max(x) AS hi0, count(*) AS n FROM data GROUP BY cls),
 b AS (SELECT cls, n, CASE WHEN lo0 = hi0 THEN lo0 - 0.5e0 ELSE lo0 END AS lo,
@@ -126,11 +126,14 @@ binned AS (SELECT d.cls, n, lo, (hi - lo) / 20e0 AS w,
                   CAST(least(floor((x - lo) / ((hi - lo) / 20e0)), 19) AS INTEGER) AS bin
            FROM data d JOIN b ON d.cls = b.cls)
 SELECT cls AS Attrition, bin, round_even(lo + bin * w, 6) AS bin_left,
-       round_even(lo + (bin + 1) * w, 6) AS bin_right, count(*) AS count,
-       round_even(count(*) / (n * w), 6) AS density
-FROM binned GROUP BY cls, bin, n, lo, w""")
+       round_even(lo + (bin + 1) * w, 6) AS bin_right, coalesce(c, 0) AS count,
+       round_even(coalesce(c, 0) / (n * w), 6) AS density
+FROM (SELECT cls, n, lo, (hi - lo) / 20e0 AS w, CAST(k AS INTEGER) AS bin FROM b CROSS JOIN range(20) r(k)) e
+LEFT JOIN (SELECT cls, bin, count(*) AS c FROM binned GROUP BY cls, bin) f USING (cls, bin)""")
 def q_histogram_density(spark, d):
-    return seg.histogram_density(O(spark, d), "MonthlyIncome")
+    """Few incomes far up leave bins empty; they are part of the result."""
+    o = O(spark, d).withColumn("MonthlyIncome", F.when(F.col("id") % 1000 == 7, F.col("MonthlyIncome") * 50).otherwise(F.col("MonthlyIncome")))
+    return seg.histogram_density(o, "MonthlyIncome")
 
 
 @register("box_stats", """
@@ -192,6 +195,28 @@ def q_headline_extremes(spark, d):
     return seg.headline_extremes(O(spark, d))
 
 
+@register("headline_figures", f"""
+WITH r AS (SELECT avg({Y}) * 100e0 AS overall_rate, sum({Y})::DOUBLE AS leavers, count(*)::DOUBLE AS employees,
+  avg(CASE WHEN Department = 'BUILDING' THEN {Y} END) * 100e0 AS first_department_rate,
+  avg(CASE WHEN Department = 'MACHINERY' THEN {Y} END) * 100e0 AS second_department_rate,
+  avg(CASE WHEN OverTime = 'Yes' THEN {Y} END) * 100e0 AS overtime_rate, avg(CASE WHEN OverTime = 'No' THEN {Y} END) * 100e0 AS no_overtime_rate,
+  avg(CASE WHEN MonthlyIncome >= 0 AND MonthlyIncome < 3000 THEN {Y} END) * 100e0 AS lowest_income_band_rate,
+  avg(CASE WHEN WorkLifeBalance = 1 THEN {Y} END) * 100e0 AS poor_work_life_rate, avg(CASE WHEN JobSatisfaction = 1 THEN {Y} END) * 100e0 AS low_satisfaction_rate,
+  avg(CASE WHEN Age >= 18 AND Age < 25 THEN {Y} END) * 100e0 AS youngest_band_rate,
+  median(CASE WHEN {Y} = 1 THEN Age END) AS median_leaver_age, median(CASE WHEN {Y} = 0 THEN Age END) AS median_stayer_age FROM o),
+f AS (SELECT *, first_department_rate - second_department_rate AS department_gap_pp, overtime_rate / no_overtime_rate AS overtime_ratio FROM r)
+SELECT figure, round_even(v, 6) AS value FROM (UNPIVOT f ON COLUMNS(*) INTO NAME figure VALUE v) u""")
+def q_headline_figures(spark, d):
+    return seg.headline_figures(O(spark, d), ("BUILDING", "MACHINERY"))
+
+
+@register("explorer_bounds", """
+SELECT 'Age' AS "column", min(Age)::DOUBLE AS low, max(Age)::DOUBLE AS high FROM o
+UNION ALL SELECT 'MonthlyIncome', min(MonthlyIncome)::DOUBLE, max(MonthlyIncome)::DOUBLE FROM o""")
+def q_explorer_bounds(spark, d):
+    return seg.explorer_bounds(O(spark, d))
+
+
 @register("explorer_filter", """
 SELECT id, Age, Department, JobRole, MonthlyIncome, OverTime, JobSatisfaction, WorkLifeBalance, Attrition
 FROM o
@@ -219,6 +244,8 @@ def q_category_options(spark, d):
 
 # ---------------------------------------------------------------- profiling (Q*) and cleaning
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from ..operators import clean as cl  # noqa: E402
 from ..operators import profile as pf  # noqa: E402
 from ..sources.proxies import DUP_SQL, bad_label_view, duplicates_view  # noqa: E402
@@ -240,13 +267,17 @@ def _miss(c: str, t: str) -> str:
     return f"({c} IS NULL OR isnan({c}))" if t == "double" else f"{c} IS NULL"
 
 
+_MISSING_SUM = " + ".join(f"count(*) FILTER (WHERE {_miss(c, t)})" for c, t in O_SCHEMA)
+
+
 @register("dataset_summary", f"""
 WITH d AS ({DUP_SQL}),
-dd AS (SELECT * EXCLUDE (src) FROM d)
-SELECT count(*) AS rows, {len(O_SCHEMA)} AS columns,
-       CAST({' + '.join(f"count(*) FILTER (WHERE {_miss(c, t)})" for c, t in O_SCHEMA)} AS BIGINT) AS missing_values,
-       (SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dd)) AS BIGINT) FROM dd) AS duplicate_rows
-FROM dd""")
+dd AS (SELECT * EXCLUDE (src) FROM d),
+t AS (SELECT count(*) AS rows, CAST({_MISSING_SUM} AS BIGINT) AS missing_values,
+             CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dd)) AS BIGINT) AS duplicate_rows FROM dd)
+""" + " UNION ALL ".join(
+    f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS dtype, (SELECT count(*) FROM dd WHERE {_miss(c, t)}) AS missing,
+rows, {len(O_SCHEMA)} AS columns, missing_values, duplicate_rows FROM t""" for i, (c, t) in enumerate(O_SCHEMA)))
 def q_dataset_summary(spark, d):
     return pf.dataset_summary(duplicates_view(O(spark, d)).drop("src"))
 
@@ -281,18 +312,16 @@ def q_dedup_keep_first(spark, d):
     return cl.handle_duplicates(duplicates_view(O(spark, d)), "id", ["src"])
 
 
-@register("constant_columns", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", CAST(min(CAST({c} AS VARCHAR)) AS VARCHAR) AS value, "
-    f"count(DISTINCT CAST({c} AS VARCHAR)) AS nd FROM o" for c, t in O_SCHEMA if t != "double")
-    + ") x WHERE nd = 1")
-def q_constant_columns(spark, d):
-    # Doubles are left out: their text form differs between engines.
-    o = O(spark, d)
-    return pf.constant_columns(o.drop(*[c for c, t in O_SCHEMA if t == "double"]))
+def _const_text(c: str, t: str) -> str:
+    return f"CAST(min(CAST({c} AS DECIMAL(38, 6))) AS VARCHAR)" if t == "double" else f"CAST(min({c}) AS VARCHAR)"
 
 
-ORACLE["constant_columns"] = ORACLE["constant_columns"].replace(
-    "SELECT * FROM (SELECT '", "SELECT \"column\", value FROM (SELECT '", 1)
+@register("constant_columns", "WITH k AS (SELECT *, 0.125e0 AS rate FROM o) SELECT \"column\", value FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {_const_text(c, t)} AS value, count(DISTINCT {c}) AS nd FROM k"
+    for c, t in [*O_SCHEMA, ("rate", "double")]) + ") x WHERE nd = 1")
+def q_constant_columns(spark, d):
+    return pf.constant_columns(O(spark, d).withColumn("rate", F.lit(0.125)))
+
 
 IQR_COLS = ["Age", "MonthlyIncome", "YearsAtCompany", "TotalWorkingYears", "NumCompaniesWorked",
             "qty", "n_lines"]
@@ -356,20 +385,51 @@ from pyspark.sql import functions as F  # noqa: E402
 from ..functions.exprs import r as _round  # noqa: E402
 from ..operators import encode as enc  # noqa: E402
 from ..operators import features as fe  # noqa: E402
+from ..operators import split as sp  # noqa: E402
+
+H1 = "(id * 7919) % 10007"
+H2 = "(id * 104729) % 10009"
+
+
+def _lab(o):
+    return o.select("id", F.when(F.col("Attrition") == "Yes", 1).otherwise(0).alias("label"))
+
+
+# Quotas in SQL: test total ceil(0.2 n); train allocated by floor + largest remainder (ties by label).
+def _split_sql(src: str, h: str) -> str:
+    return f"""
+src AS ({src}),
+cnt AS (SELECT label, count(*) AS n_c FROM src GROUP BY label),
+tot AS (SELECT sum(n_c) AS n, sum(n_c) - ceil(0.2e0 * sum(n_c)) AS n_train FROM cnt),
+alloc AS (SELECT label, n_c, n_c * n_train / n::DOUBLE AS cont, floor(n_c * n_train / n::DOUBLE) AS fl, n_train
+          FROM cnt CROSS JOIN tot),
+need AS (SELECT n_train - sum(fl) AS k FROM alloc GROUP BY n_train),
+ranked_rem AS (SELECT *, row_number() OVER (ORDER BY cont - fl DESC, label) AS rr FROM alloc),
+quota AS (SELECT label, n_c - (fl + CASE WHEN rr <= (SELECT k FROM need) THEN 1 ELSE 0 END) AS q FROM ranked_rem),
+rk AS (SELECT src.*, row_number() OVER (PARTITION BY label ORDER BY {h}, id) AS r FROM src),
+sp AS (SELECT rk.*, CASE WHEN r <= q THEN 'test' ELSE 'train' END AS split FROM rk JOIN quota USING (label))"""
+
+
+_LAB_SQL = f"SELECT id, {Y} AS label FROM o"
 
-FIT_WHERE = "id % 5 <> 0 AND JobRole <> '5-LOW'"
+
+#: fitted state is learned on the rows of the X1 train split (CTE ``tr`` in the oracles)
+FIT_SQL = f"""{_split_sql(_LAB_SQL, H1)},
+tr AS (SELECT o.* FROM o JOIN sp ON o.id = sp.id WHERE sp.split = 'train')"""
 NOMINAL_O = ["Department", "JobRole", "OverTime", "Region"]
 SCALE_O = ["Age", "MonthlyIncome", "TotalWorkingYears", "YearsAtCompany", "NumCompaniesWorked"]
 PASS_O = ["JobSatisfaction", "EnvironmentSatisfaction", "WorkLifeBalance"]
 
 
 def O_train(o):
-    return o.filter((F.col("id") % 5 != 0) & (F.col("JobRole") != "5-LOW"))
+    lab = o.withColumn("label", F.when(F.col("Attrition") == "Yes", 1).otherwise(0))
+    s = sp.stratified_split(lab, "label", ["id"], h=F.expr(H1), hash_range=10007)
+    return s.filter(F.col("split") == "train").drop("split", "label")
 
 
 # categories as observed on the fit rows (the oracle states them; Spark learns them)
 _CATS = {"Department": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
-         "JobRole": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"],
+         "JobRole": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
          "OverTime": ["No", "Yes"],
          "Region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}
 _ONEHOT_SQL = ", ".join(f"CAST(coalesce({c} = '{v}', false) AS DOUBLE) AS \"{c}_{v}\""
@@ -390,7 +450,7 @@ _SCALED = ", ".join(
 
 
 @register("standardise", f"""
-WITH mom AS (SELECT {_MOM} FROM o WHERE {FIT_WHERE})
+WITH {FIT_SQL}, mom AS (SELECT {_MOM} FROM tr)
 SELECT id, {_SCALED} FROM o CROSS JOIN mom""")
 def q_standardise(spark, d):
     o = O(spark, d)
@@ -400,7 +460,7 @@ def q_standardise(spark, d):
 
 
 @register("transform_features", f"""
-WITH mom AS (SELECT {_MOM} FROM o WHERE {FIT_WHERE})
+WITH {FIT_SQL}, mom AS (SELECT {_MOM} FROM tr)
 SELECT id, Attrition, {_ONEHOT_SQL}, {_SCALED},
        {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PASS_O)}
 FROM o CROSS JOIN mom""")
@@ -413,15 +473,16 @@ def q_transform_features(spark, d):
 
 
 @register("role_median_state", f"""
+WITH {FIT_SQL}
 SELECT JobRole, median(MonthlyIncome::DOUBLE) AS role_median_income
-FROM o WHERE {FIT_WHERE} AND JobRole IS NOT NULL GROUP BY JobRole""")
+FROM tr WHERE JobRole IS NOT NULL GROUP BY JobRole""")
 def q_role_median_state(spark, d):
     return fe.fit_feature_state(O_train(O(spark, d))).medians
 
 
 _FE_SQL = f"""
-WITH med AS (SELECT JobRole, median(MonthlyIncome::DOUBLE) AS med FROM o
-             WHERE {FIT_WHERE} AND JobRole IS NOT NULL GROUP BY JobRole),
+WITH {FIT_SQL}, med AS (SELECT JobRole, median(MonthlyIncome::DOUBLE) AS med FROM tr
+             WHERE JobRole IS NOT NULL GROUP BY JobRole),
 x AS (SELECT o.*, med.med,
         CASE WHEN YearsAtCompany < 1 THEN 1 ELSE YearsAtCompany END AS yac,
         CASE WHEN TotalWorkingYears < 1 THEN 1 ELSE TotalWorkingYears END AS twy,
@@ -607,22 +668,46 @@ def _split_c(spark, d):
     return c.filter(F.col("id") % 5 != 0), c.filter(F.col("id") % 5 == 0)
 
 
+def _f1_sql(src: str) -> str:
+    return (f"SELECT model, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1 FROM (SELECT model, "
+            f"count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp, count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn, "
+            f"count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp FROM {src} GROUP BY model) z")
+
+
 _OVERFIT_SQL = f"""
 c_tr AS (SELECT * FROM c WHERE id % 5 <> 0), c_te AS (SELECT * FROM c WHERE id % 5 = 0),
-tr AS ({_AUC_SQL.replace('FROM c)', 'FROM c_tr)')}),
-te AS ({_AUC_SQL.replace('FROM c)', 'FROM c_te)')}),
-g AS (SELECT tr.model, round_even(tr.roc_auc, 4) AS train_roc_auc, round_even(te.roc_auc, 4) AS test_roc_auc,
-        round_even(tr.roc_auc - te.roc_auc, 4) AS roc_auc_gap FROM tr JOIN te ON tr.model = te.model)"""
+tr AS ({_AUC_SQL.replace('FROM c)', 'FROM c_tr)')}), trf AS ({_f1_sql('c_tr')}),
+te AS ({_AUC_SQL.replace('FROM c)', 'FROM c_te)')}), tef AS ({_f1_sql('c_te')}),
+g AS (SELECT tr.model, tr.roc_auc AS train_roc_auc, te.roc_auc AS test_roc_auc, tr.roc_auc - te.roc_auc AS roc_auc_gap,
+             trf.f1 AS train_f1, tef.f1 AS test_f1
+      FROM tr JOIN te ON tr.model = te.model JOIN trf ON tr.model = trf.model JOIN tef ON tr.model = tef.model)"""
 _OVERFIT_CLASS = ("CASE WHEN roc_auc_gap < 0.02e0 THEN 'Excellent' WHEN roc_auc_gap < 0.05e0 THEN 'Minor Overfit' "
                   "WHEN roc_auc_gap < 0.10e0 THEN 'Moderate Overfit' ELSE 'Severe Overfit' END")
 
 
-@_score("overfit_report", f"WITH {_OVERFIT_SQL} SELECT *, {_OVERFIT_CLASS} AS overfit_class FROM g")
+@_score("overfit_report", f"""WITH {_OVERFIT_SQL}
+SELECT model, {', '.join(f'round_even({c}, 4) AS {c}' for c in ['train_roc_auc', 'test_roc_auc', 'roc_auc_gap', 'train_f1', 'test_f1'])},
+       {_OVERFIT_CLASS} AS overfit_class FROM g""")
 def q_overfit_report(spark, d):
     tr, te = _split_c(spark, d)
     return mt.overfit_report(tr, te)
 
 
+def _null_scores(spark, d):
+    p = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 7 == 1, F.lit(float("nan"))).otherwise(F.col("p"))
+    return C(spark, d).withColumn("p", p)
+
+
+@_score("metrics_with_null_scores", f"""WITH {_MET_SQL.replace('FROM c ', 'FROM cn ').replace('FROM c)', 'FROM cn)')
+                                              .replace('cm AS (', 'cn AS (SELECT * FROM c WHERE id % 7 > 1), cm AS (', 1)}
+SELECT m.model, tn, fp, fn, tp, round_even(brier, 6) AS brier_score, round_even(roc_auc, 6) AS roc_auc, round_even(pr_auc, 6) AS pr_auc
+FROM m JOIN auc ON m.model = auc.model JOIN ap ON m.model = ap.model""")
+def q_metrics_with_null_scores(spark, d):
+    """Null and NaN scores are left out of every metric alike."""
+    m = mt.scalar_metrics(_null_scores(spark, d))
+    return m.select("model", "tn", "fp", "fn", "tp", *[_round(c).alias(c) for c in ("brier_score", "roc_auc", "pr_auc")])
+
+
 @_score("metrics_comparison", f"""WITH {_MET_SQL}
 SELECT m.model, {', '.join(f'round_even({c}, 4) AS {c}' for c in ['accuracy', 'precision', 'recall', 'f1'])},
   round_even(roc_auc, 4) AS roc_auc, round_even(pr_auc, 4) AS pr_auc,
@@ -633,20 +718,19 @@ def q_metrics_comparison(spark, d):
 
 
 @_score("best_model", f"""WITH {_MET_SQL}, {_OVERFIT_SQL},
-cmp AS (SELECT m.model, round_even(roc_auc, 4) AS roc_auc, round_even(f1, 4) AS f1, round_even(recall, 4) AS recall
-        FROM m JOIN auc ON m.model = auc.model),
-j AS (SELECT cmp.*, coalesce(g.roc_auc_gap, 0e0) AS roc_auc_gap FROM cmp LEFT JOIN g ON cmp.model = g.model),
-w AS (SELECT * FROM j ORDER BY roc_auc DESC, f1 DESC, recall DESC, roc_auc_gap ASC, model DESC LIMIT 1)
+j AS (SELECT m.model, auc.roc_auc, m.f1, m.recall, coalesce(g.roc_auc_gap, 0e0) AS roc_auc_gap
+      FROM m JOIN auc ON m.model = auc.model LEFT JOIN g ON m.model = g.model),
+w AS (SELECT * FROM j ORDER BY roc_auc DESC, f1 DESC, recall DESC, roc_auc_gap ASC, model DESC LIMIT 1),
+s AS (SELECT model, round_even(roc_auc, 4) AS roc_auc, round_even(f1, 4) AS f1, round_even(recall, 4) AS recall,
+             round_even(roc_auc_gap, 4) AS roc_auc_gap, f1 AS f1_raw, recall AS recall_raw FROM w)
 SELECT model, roc_auc, f1, recall, roc_auc_gap,
   printf('%s selected: highest test ROC-AUC (%.4f); F1 %.4f%s; recall %.4f%s; train-test ROC-AUC gap %.4f.',
-    model, roc_auc, f1, CASE WHEN f1 >= (SELECT max(f1) FROM j) THEN ' (best)' ELSE '' END,
-    recall, CASE WHEN recall >= (SELECT max(recall) FROM j) THEN ' (highest)' ELSE '' END, roc_auc_gap) AS rationale
-FROM w""")
+    model, roc_auc, f1, CASE WHEN f1_raw >= (SELECT max(f1) FROM j) THEN ' (best)' ELSE '' END,
+    recall, CASE WHEN recall_raw >= (SELECT max(recall) FROM j) THEN ' (highest)' ELSE '' END, roc_auc_gap) AS rationale
+FROM s""")
 def q_best_model(spark, d):
-    c = C(spark, d)
     tr, te = _split_c(spark, d)
-    cmp = mt.metrics_comparison(c)
-    return mt.best_model(cmp, mt.overfit_report(tr, te))
+    return mt.best_model(mt.scalar_metrics(C(spark, d)), mt.overfit_report(tr, te, digits=None))
 
 
 # ---------------------------------------------------------------- correlation
@@ -679,55 +763,33 @@ def q_corr_matrix(spark, d):
     return corr.correlation_pairs(O(spark, d), CORR_COLS).withColumn("r", _round("r"))
 
 
-@register("redundant_pairs", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round_even(corr({a}::DOUBLE, {b}::DOUBLE), 4) AS correlation, "
-    f"{i} AS ia, {j} AS ib, corr({a}::DOUBLE, {b}::DOUBLE) AS r0 FROM o"
-    for i, a in enumerate(CORR_COLS) for j, b in enumerate(CORR_COLS) if i < j)
-    + ") t WHERE abs(r0) >= 0.92 AND NOT isnan(r0)")
-def q_redundant_pairs(spark, d):
-    return corr.redundant_pairs(O(spark, d), CORR_COLS)
-
-
-ORACLE["redundant_pairs"] = ORACLE["redundant_pairs"].replace(
-    "SELECT * FROM (SELECT '", "SELECT feature_a, feature_b, correlation, ia, ib FROM (SELECT '", 1)
+RED_COLS = [*CORR_COLS, "YearsToRetirement", "QtyKnown"]
 
 
-# ---------------------------------------------------------------- splits (X*) and class weights
+def _more_numbers(o):
+    """O with a column that runs against Age (r = -1) and one with NaN entries."""
+    return o.withColumn("YearsToRetirement", 65 - F.col("Age")).withColumn(
+        "QtyKnown", F.when(F.col("id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("qty") + F.col("id") % 3))
 
-from ..operators import split as sp  # noqa: E402
-
-H1 = "(id * 7919) % 10007"
-H2 = "(id * 104729) % 10009"
-
-
-def _lab(o):
-    return o.select("id", F.when(F.col("Attrition") == "Yes", 1).otherwise(0).alias("label"))
-
-
-# Quotas in SQL: test total ceil(0.2 n); train allocated by floor + largest remainder (ties by label).
-def _split_sql(src: str, h: str) -> str:
-    return f"""
-src AS ({src}),
-cnt AS (SELECT label, count(*) AS n_c FROM src GROUP BY label),
-tot AS (SELECT sum(n_c) AS n, sum(n_c) - ceil(0.2e0 * sum(n_c)) AS n_train FROM cnt),
-alloc AS (SELECT label, n_c, n_c * n_train / n::DOUBLE AS cont, floor(n_c * n_train / n::DOUBLE) AS fl, n_train
-          FROM cnt CROSS JOIN tot),
-need AS (SELECT n_train - sum(fl) AS k FROM alloc GROUP BY n_train),
-ranked_rem AS (SELECT *, row_number() OVER (ORDER BY cont - fl DESC, label) AS rr FROM alloc),
-quota AS (SELECT label, n_c - (fl + CASE WHEN rr <= (SELECT k FROM need) THEN 1 ELSE 0 END) AS q FROM ranked_rem),
-rk AS (SELECT src.*, row_number() OVER (PARTITION BY label ORDER BY {h}, id) AS r FROM src),
-sp AS (SELECT rk.*, CASE WHEN r <= q THEN 'test' ELSE 'train' END AS split FROM rk JOIN quota USING (label))"""
 
+@register("redundant_pairs", """WITH k AS (SELECT *, 65 - Age AS YearsToRetirement,
+  CASE WHEN id % 9 = 0 THEN NULL ELSE qty + id % 3 END AS QtyKnown FROM o)
+SELECT feature_a, feature_b, correlation, ia, ib FROM (""" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round_even(abs(corr({a}::DOUBLE, {b}::DOUBLE)), 4) AS correlation, "
+    f"{i} AS ia, {j} AS ib, corr({a}::DOUBLE, {b}::DOUBLE) AS r0 FROM k"
+    for i, a in enumerate(RED_COLS) for j, b in enumerate(RED_COLS) if i < j)
+    + ") t WHERE abs(r0) >= 0.92 AND NOT isnan(r0)")
+def q_redundant_pairs(spark, d):
+    return corr.redundant_pairs(_more_numbers(O(spark, d)), RED_COLS)
 
-_LAB_SQL = f"SELECT id, {Y} AS label FROM o"
 
+# ---------------------------------------------------------------- splits (X*) and class weights
 
 @register("stratified_split_sizes", f"""WITH {_split_sql(_LAB_SQL, H1)}
-SELECT split, label, count(*) AS n, sum(id) AS sum_id FROM sp GROUP BY split, label""")
+SELECT id, label, split FROM sp""")
 def q_stratified_split_sizes(spark, d):
-    s = sp.stratified_split(_lab(O(spark, d)), "label", ["id"], h=F.expr(H1), hash_range=10007,
-                            rows_per_bucket=2000)
-    return s.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
+    """The membership of every row."""
+    return sp.stratified_split(_lab(O(spark, d)), "label", ["id"], h=F.expr(H1), hash_range=10007, small=500)
 
 
 @register("validation_split_sizes", f"""WITH {_split_sql(_LAB_SQL, H1)},
@@ -736,25 +798,52 @@ def q_stratified_split_sizes(spark, d):
   .replace('need', 'need2').replace('ranked_rem', 'rr2').replace('quota', 'quota2')
   .replace('rk AS', 'rk2 AS').replace('FROM rk ', 'FROM rk2 ').replace('sp AS (SELECT rk.*', 'sp2 AS (SELECT rk2.*')
   .replace('src.*', 'src2.*')}
-SELECT split, label, count(*) AS n, sum(id) AS sum_id FROM sp2 GROUP BY split, label""")
+SELECT id, label, split FROM sp2""")
 def q_validation_split_sizes(spark, d):
+    """The membership of every train row in the validation carve-out."""
     s = sp.stratified_split(_lab(O(spark, d)), "label", ["id"], h=F.expr(H1), hash_range=10007)
     tr = s.filter(F.col("split") == "train").drop("split")
-    v = sp.stratified_split(tr, "label", ["id"], h=F.expr(H2), hash_range=10009)
-    return v.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
+    return sp.stratified_split(tr, "label", ["id"], h=F.expr(H2), hash_range=10009)
 
 
-@register("fold_sizes", f"""
-WITH src AS ({_LAB_SQL}),
+_NULL_LAB_SQL = f"SELECT id, CASE WHEN id % 10 <> 0 THEN {Y} END AS label FROM o"
+
+
+def _fold_sql(src: str) -> str:
+    return f"""
+WITH src AS ({src}),
 cnt AS (SELECT label, count(*) AS n_c FROM src GROUP BY label),
-off AS (SELECT label, coalesce(sum(n_c) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM cnt),
+off AS (SELECT label, n_c, coalesce(sum(n_c) OVER (ORDER BY label NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM cnt),
+size AS (SELECT label, f, greatest((n_c - ((f - o) % 5 + 5) % 5 + 4) // 5, 0) AS n FROM off CROSS JOIN range(5) r(f)),
+ends AS (SELECT label, f, sum(n) OVER (PARTITION BY label ORDER BY f) AS upto FROM size),
 rk AS (SELECT src.*, row_number() OVER (PARTITION BY label ORDER BY {H2}, id) AS r FROM src)
-SELECT CAST((o + r - 1) % 5 AS INTEGER) AS fold, label, count(*) AS n, sum(id) AS sum_id
-FROM rk JOIN off USING (label) GROUP BY 1, 2""")
+SELECT rk.id, rk.label, CAST(min(ends.f) AS INTEGER) AS fold
+FROM rk JOIN ends ON rk.label IS NOT DISTINCT FROM ends.label AND rk.r <= ends.upto GROUP BY rk.id, rk.label"""
+
+
+@register("fold_sizes", _fold_sql(_LAB_SQL))
 def q_fold_sizes(spark, d):
-    f = sp.stratified_folds(_lab(O(spark, d)), "label", ["id"], k=5, h=F.expr(H2), hash_range=10009,
-                            rows_per_bucket=1500)
-    return f.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
+    """The fold of every row."""
+    return sp.stratified_folds(_lab(O(spark, d)), "label", ["id"], k=5, h=F.expr(H2), hash_range=10009, small=300)
+
+
+def _null_lab(spark, d):
+    return _lab(O(spark, d)).withColumn("label", F.when(F.col("id") % 10 != 0, F.col("label")))
+
+
+@register("folds_with_null_labels", _fold_sql(_NULL_LAB_SQL))
+def q_folds_with_null_labels(spark, d):
+    """X2 on labels with nulls: no row is lost."""
+    return sp.stratified_folds(_null_lab(spark, d), "label", ["id"], k=5, h=F.expr(H2), hash_range=10009)
+
+
+@register("split_with_null_labels", f"""WITH {_split_sql(_NULL_LAB_SQL, H1)
+  .replace("ORDER BY cont - fl DESC, label)", "ORDER BY cont - fl DESC, label NULLS LAST)")
+  .replace("JOIN quota USING (label)", "JOIN quota ON rk.label IS NOT DISTINCT FROM quota.label")}
+SELECT id, label, split FROM sp""")
+def q_split_with_null_labels(spark, d):
+    """X1 on labels with nulls: the null class is split like the others."""
+    return sp.stratified_split(_null_lab(spark, d), "label", ["id"], h=F.expr(H1), hash_range=10007)
 
 
 @register("background_sample", f"SELECT id, Age, MonthlyIncome FROM o ORDER BY {H1}, id LIMIT 120")
@@ -764,7 +853,7 @@ def q_background_sample(spark, d):
 
 
 @register("class_weights", f"""
-WITH c AS (SELECT {Y} AS label, count(*) AS count FROM o WHERE {FIT_WHERE} GROUP BY 1)
+WITH {FIT_SQL}, c AS (SELECT {Y} AS label, count(*) AS count FROM tr GROUP BY 1)
 SELECT label, count, (SELECT sum(count) FROM c) / ((SELECT count(*) FROM c) * count)::DOUBLE AS weight,
   (SELECT sum(count) FILTER (WHERE label = 0) FROM c) / greatest((SELECT coalesce(sum(count) FILTER (WHERE label = 1), 0) FROM c), 1)::DOUBLE AS scale_pos_weight
 FROM c""")
@@ -817,6 +906,14 @@ def q_validation_issues(spark, d):
     return va.validation_issues(O(spark, d), "id", INPUT_O, NOMINAL_IN)
 
 
+@register("validation_batch", f"""
+SELECT CAST(id AS VARCHAR) || '.' || field AS field, message, severity, CAST(rule AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS omitted
+FROM ({_issues_sql()}) x""")
+def q_validation_batch(spark, d):
+    """The whole report."""
+    return va.validate_batch(O(spark, d), "id", INPUT_O, NOMINAL_IN)
+
+
 @register("validation_issues_capped", f"""
 WITH iss AS ({_issues_sql()}),
 per AS (SELECT id, count(*) AS n FROM iss GROUP BY id),
@@ -825,13 +922,54 @@ first20 AS (SELECT id, n, row_number() OVER (ORDER BY id) AS rowpos,
             FROM (SELECT * FROM per ORDER BY id LIMIT 20) p),
 kept AS (SELECT * FROM first20 WHERE cum - n < 20)
 SELECT CAST(iss.id AS VARCHAR) || '.' || field AS field, message, severity,
-       CAST(rowpos * 1000 + row_number() OVER (PARTITION BY iss.id ORDER BY rule) - 1 AS BIGINT) AS seq
+       CAST(rowpos * 1000 + row_number() OVER (PARTITION BY iss.id ORDER BY rule) - 1 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS omitted
 FROM iss JOIN kept ON iss.id = kept.id
 UNION ALL
-SELECT 'rows', 'Additional row errors omitted.', 'warning', CAST(1000000000 AS BIGINT)
+SELECT 'rows', 'Additional row errors omitted.', 'warning', CAST(1000000000 AS BIGINT), CAST((SELECT count(*) FROM iss) - t AS BIGINT)
 FROM (SELECT max(cum) AS t FROM kept) x WHERE t >= 20""")
 def q_validation_issues_capped(spark, d):
-    return va.validate_batch(O(spark, d), "id", INPUT_O, NOMINAL_IN)
+    """I3 as an upload form shows it: the cap is the feature, the warning says how much it hides."""
+    return va.validate_batch(O(spark, d), "id", INPUT_O, NOMINAL_IN, max_errors=va.MAX_BATCH_ERRORS)
+
+
+_TEXT_IN = [c for c in INPUT_O if c not in NOMINAL_IN]
+_TEXT_BAD = {1: "abc", 2: "1e12", 3: " ", 4: "-3.9", 5: "4.9"}
+
+
+def _text_case(c: str, k: int) -> str:
+    whens = " ".join(f"WHEN (id + {k}) % 50 = {i} THEN '{v}'" for i, v in _TEXT_BAD.items())
+    return f"CASE {whens} ELSE CAST({c} AS VARCHAR) END AS {c}"
+
+
+def _text_issues_sql() -> str:
+    num = lambda c: f"trunc(TRY_CAST(trim({c}) AS DOUBLE))"
+    rules = [(f, va.MSG_REQUIRED, f"{f} IS NULL OR trim({f}) = ''") for f in INPUT_O]
+    tenure = list(dict.fromkeys(f for a, b, _ in va.TENURE_RULES for f in (a, b)))
+    rules += [(c, va.MSG_NOT_NUMBER, f"trim({c}) <> '' AND TRY_CAST(trim({c}) AS DOUBLE) IS NULL")
+              for c in [*[x for x in va.LIKERT_1_4 if x in INPUT_O], "Age", "MonthlyIncome", *tenure]]
+    rules += [(c, va.MSG_LIKERT, f"{num(c)} < 1 OR {num(c)} > 4") for c in va.LIKERT_1_4 if c in INPUT_O]
+    rules += [("Age", va.MSG_AGE, f"{num('Age')} < {va.AGE_MIN} OR {num('Age')} > {va.AGE_MAX}"),
+              ("MonthlyIncome", va.MSG_INCOME, f"{num('MonthlyIncome')} <= 0")]
+    rules += [(a, msg, f"{num(a)} > {num(b)}") for a, b, msg in va.TENURE_RULES]
+    rules += [("OverTime", va.MSG_OVERTIME, "OverTime NOT IN ('Yes', 'No')")] + [(f, va.MSG_CATEGORY, f"trim({f}) = ''") for f in NOMINAL_IN]
+    return " UNION ALL ".join(
+        f"SELECT id, {k} AS rule, '{f}' AS field, '{m.replace(chr(39), chr(39) * 2)}' AS message, 'error' AS severity FROM x WHERE coalesce({cond}, false)"
+        for k, (f, m, cond) in enumerate(rules))
+
+
+@register("validation_of_text_columns", f"""WITH x AS (SELECT id, {', '.join(NOMINAL_IN)},
+  {', '.join(_text_case(c, k) for k, c in enumerate(_TEXT_IN))} FROM o)
+{_text_issues_sql()}""")
+def q_validation_of_text_columns(spark, d):
+    """I2 on an upload whose numbers are text, some of them bad, huge, blank or fractional."""
+    o = O(spark, d)
+    cols = []
+    for k, c in enumerate(_TEXT_IN):
+        v = F.col(c).cast("string")
+        for i, bad in _TEXT_BAD.items():
+            v = F.when((F.col("id") + k) % 50 == i, bad).otherwise(v)
+        cols.append(v.alias(c))
+    return va.validation_issues(o.select("id", *NOMINAL_IN, *cols), "id", INPUT_O, NOMINAL_IN)
 
 
 # A fixed linear model over view O's columns (the weights are parameters of the query).
@@ -869,6 +1007,29 @@ def q_score_batch(spark, d):
     return sc.prediction_frame(sc.predict_linear(_featured_o(spark, d), SCORE_MODEL, "id"), "id")
 
 
+@register("score_rows_with_nulls", f"""WITH {_FEATURED_SQL.replace('SELECT o.*,', "SELECT o.* REPLACE (CASE WHEN id % 6 <> 0 THEN Age END AS Age),")},
+pz AS (SELECT id, 1e0 / (1e0 + exp(-({_LOGIT_SQL}))) AS p FROM fx)
+SELECT id AS EmployeeID, round_even(p, 4) AS AttritionProbability,
+  CASE WHEN p >= 0.5e0 THEN 'Yes' WHEN p < 0.5e0 THEN 'No' END AS PredictedAttrition,
+  CASE WHEN p >= 0.6e0 THEN 'High' WHEN p >= 0.4e0 THEN 'Elevated' WHEN p >= 0.25e0 THEN 'Moderate' WHEN p IS NOT NULL THEN 'Low' END AS RiskTier,
+  round_even(abs(p - 0.5e0) * 2e0, 4) AS ConfidenceScore
+FROM pz""")
+def q_score_rows_with_nulls(spark, d):
+    """A row that cannot be scored has no label, tier or confidence, and is not dropped."""
+    fx = _featured_o(spark, d).withColumn("Age", F.when(F.col("id") % 6 != 0, F.col("Age")))
+    return sc.prediction_frame(sc.predict_linear(fx, SCORE_MODEL, "id"), "id")
+
+
+@register("contributions_add_up", "SELECT id, true AS adds_up FROM o")
+def q_contributions_add_up(spark, d):
+    """Base value plus all contributions is the row's logit."""
+    fx = _featured_o(spark, d)
+    parts = sc.linear_contributions(fx, SCORE_MODEL, "id", top_n=None).groupBy("id").agg(
+        (F.max("base_value") + F.sum("shap_value")).alias("z"))
+    logit = fx.select("id", SCORE_MODEL.logit().alias("logit"))
+    return logit.join(parts, "id").select("id", (F.abs(F.col("z") - F.col("logit")) < 1e-9).alias("adds_up"))
+
+
 @register("tier_counts", f"""WITH {_FEATURED_SQL},
 pz AS (SELECT 1e0 / (1e0 + exp(-({_LOGIT_SQL}))) AS p FROM fx)
 SELECT CASE WHEN p >= 0.6e0 THEN 'High' WHEN p >= 0.4e0 THEN 'Elevated' WHEN p >= 0.25e0 THEN 'Moderate' ELSE 'Low' END AS RiskTier,
@@ -882,8 +1043,7 @@ _FEATS = list(SCORE_MODEL.weights)
 
 
 @register("linear_contributions_top12", f"""WITH {_FEATURED_SQL},
-bg AS (SELECT * FROM fx ORDER BY {H1}, id LIMIT 120),
-mu AS (SELECT {', '.join(f'round_even(avg(CAST({f} AS DOUBLE)), 6) AS m_{f}' for f in _FEATS)} FROM bg),
+mu AS (SELECT {', '.join(f'round_even(avg(CAST({f} AS DOUBLE)), 6) AS m_{f}' for f in _FEATS)} FROM fx),
 phi AS ({' UNION ALL '.join(
     f"SELECT id, '{f}' AS feature, ({SCORE_MODEL.weights[f]!r}) * (CAST({f} AS DOUBLE) - m_{f}) AS shap_value, "
     f"CAST({f} AS DOUBLE) AS feature_value FROM fx CROSS JOIN mu" for f in _FEATS)}),
@@ -895,9 +1055,7 @@ SELECT id, rank, feature, shap_value, feature_value,
 FROM rk CROSS JOIN base WHERE rank <= 12""")
 def q_linear_contributions_top12(spark, d):
     fx = _featured_o(spark, d)
-    from ..operators.split import background_sample
-    bg = background_sample(fx, ["id"], 120, order=F.expr(H1))
-    means = {k: round(v, 6) for k, v in sc.background_means(bg, _FEATS).items()}
+    means = {k: round(v, 6) for k, v in sc.background_means(fx, _FEATS).items()}
     out = sc.linear_contributions(fx, SCORE_MODEL, "id", means=means)
     return out.select("id", "rank", "feature", "shap_value", "feature_value", "direction", "base_value")
 
@@ -909,8 +1067,11 @@ from ..plans import pipelines as pl  # noqa: E402
 
 ML_NUMERIC = ["Age", "MonthlyIncome", "YearsAtCompany", "TotalWorkingYears", "YearsInCurrentRole",
               "YearsWithCurrManager", "YearsSinceLastPromotion", "NumCompaniesWorked",
-              "JobSatisfaction", "EnvironmentSatisfaction", "RelationshipSatisfaction", "n_lines"]
+              "JobSatisfaction", "EnvironmentSatisfaction", "RelationshipSatisfaction", "WorkLifeBalance",
+              "n_lines", "qty", "max_discount"]
 ML_NOMINAL = ["Department", "JobRole", "OverTime", "Region"]
+#: Forest size of the registered model queries (a parameter; the library's default is 300 trees, depth 30).
+ML_FOREST = {"num_trees": 100, "max_depth": 10}
 
 
 def _labelled(spark, d):
@@ -920,23 +1081,36 @@ def _labelled(spark, d):
 
 @register("rf_importance")
 def q_rf_importance(spark, d):
-    train = sp.hash_split(_labelled(spark, d), ["id"]).filter(F.col("split") == "train")
-    return ml.rf_importance(train, ML_NOMINAL, ML_NUMERIC, "label", num_trees=100, max_depth=10)
+    """L9 over every row of the exact train split."""
+    train = sp.stratified_split(_labelled(spark, d), "label", ["id"]).filter(F.col("split") == "train")
+    return ml.rf_importance(train, ML_NOMINAL, ML_NUMERIC, "label", **ML_FOREST)
+
+
+@register("rf_importance_total", "SELECT 1e0 AS total")
+def q_rf_importance_total(spark, d):
+    """Impurity importances add up to one."""
+    train = _labelled(spark, d).filter("label is not null")
+    imp = ml.rf_importance(train, ML_NOMINAL, ML_NUMERIC, "label", num_trees=5, max_depth=5)
+    return imp.agg(F.round(F.sum("importance"), 3).alias("total"))
+
+
+def _features(spark, d):
+    return pl.run_feature_engineering(O(spark, d), "id", ML_NOMINAL, ML_NUMERIC, **ML_FOREST)
 
 
 @register("model_comparison")
 def q_model_comparison(spark, d):
-    s = sp.stratified_split(_labelled(spark, d), "label", ["id"])
-    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
-    _, comparison, _ = ml.run_training(train, test, ML_NOMINAL, ML_NUMERIC, "id", folds=3)
-    return comparison
+    """L8 + M15 on the selected features: five folds, the short grid."""
+    return pl.run_evaluation(_features(spark, d), ML_NOMINAL, "id", folds=5, full_grid=False)["comparison"]
 
 
 @register("selected_features")
 def q_selected_features(spark, d):
-    res = pl.run_feature_engineering(O(spark, d), "id", ML_NOMINAL, ML_NUMERIC, num_trees=100, max_depth=10)
+    """Every candidate, whether it is kept, and why it is not."""
+    res = _features(spark, d)
     rows = [(f, f not in res["dropped"]) for f in ML_NOMINAL + ML_NUMERIC + fe.ENGINEERED]
-    return spark.createDataFrame(rows, "feature string, selected boolean")
+    why = pl.decisions_table(spark, res["decisions"]).withColumnRenamed("dropped_feature", "feature")
+    return spark.createDataFrame(rows, "feature string, selected boolean").join(why, "feature", "left")
 
 
 # ---------------------------------------------------------------- labels, long forms, schema
@@ -1034,10 +1208,27 @@ def q_feature_sanity_rates(spark, d):
 
 @register("lr_top_features")
 def q_lr_top_features(spark, d):
-    """L12 over a trained logistic regression (rows-only: coefficients come from the fit)."""
-    s = sp.stratified_split(_labelled(spark, d), "label", ["id"])
-    train = s.filter(F.col("split") == "train")
-    prepared = ml.prepare(train, "label", ["id"], 3, 42)
-    spec = [m for m in ml.model_specs(prepared.count()) if m.name == "logistic_regression"][0]
-    tm = ml.train_single_model(spec, prepared, ML_NOMINAL, ML_NUMERIC, folds=3)
-    return ml.feature_importance(tm, top_n=15)
+    """L12 over a logistic regression tuned with five folds (rows-only: coefficients come from the fit)."""
+    train = sp.stratified_split(_labelled(spark, d), "label", ["id"]).filter(F.col("split") == "train")
+    prepared = ml.prepare(train, "label", ["id"], 5)
+    spec = [m for m in ml.model_specs(full_grid=False) if m.name == "logistic_regression"][0]
+    return ml.feature_importance(ml.train_single_model(spec, prepared, ML_NOMINAL, ML_NUMERIC, folds=5), top_n=15)
+
+
+@register("preprocessed_table", f"""WITH d AS ({DUP_SQL}),
+u AS (SELECT * EXCLUDE (src, rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src) AS rn FROM d) t WHERE rn = 1),
+mom AS (SELECT avg(MonthlyIncome::DOUBLE) AS m, stddev_pop(MonthlyIncome::DOUBLE) AS s FROM u)
+SELECT id, Attrition, CAST({Y} AS INTEGER) AS Attrition_label,
+  {', '.join(f"CAST(coalesce(Region = '{v}', false) AS DOUBLE) AS \"Region_{v}\"" for v in _CATS['Region'][1:])},
+  round_even((MonthlyIncome - m) / s, 6) AS MonthlyIncome, CAST(Age AS DOUBLE) AS Age FROM u CROSS JOIN mom""")
+def q_preprocessed_table(spark, d):
+    """T7 (with Q5, Q6, Q8, T1–T6): the output of the preprocessing pipeline on a table with duplicates."""
+    o = O(spark, d)
+    pre, _ = pl.run_preprocessing(duplicates_view(o), "id", ["src"], ["StandardHours"], ["Region"], ["MonthlyIncome", "Age"], scale=["MonthlyIncome"])
+    return pre.withColumn("MonthlyIncome", _round("MonthlyIncome"))
+
+
+@register("cleaned_table", "SELECT * EXCLUDE (StandardHours, WorkLifeBalance, qty, max_discount) FROM o")
+def q_cleaned_table(spark, d):
+    """Q9: drop, no-missing check, label check."""
+    return cl.clean_raw_data(O(spark, d), ["StandardHours", "WorkLifeBalance", "qty", "max_discount"])

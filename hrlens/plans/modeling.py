@@ -1,34 +1,33 @@
 """Model training, tuning, importance and evaluation on Spark ML.
 
-* L1: the fitted encoder (one-hot + scaling projection) becomes a
-  ``SQLTransformer`` stage, followed by ``VectorAssembler`` and the
-  classifier, so one ``PipelineModel`` holds the whole scoring path and
-  saves/loads as a unit (S7).
-* L2–L5: logistic regression, decision tree, random forest, gradient-boosted
-  trees, each with balanced class weights (L6) through ``weightCol``.
-* L7: ``CrossValidator`` over a deterministic stratified ``foldCol`` (X2),
-  area under ROC; the best candidate is refit on all training rows.
-* Evaluation (M15) reuses the aggregate metrics in ``operators.metrics`` on a
-  long (model, id, y, p) score table.
-
-Training data is checkpointed once (reliable checkpoint in
-``spark.checkpoint.dir``) because every fold and grid point reads it; the
-checkpoint survives executor loss and truncates the plan.
+* L1: the fitted encoder (null policy, one-hot, scaling as one projection) becomes a
+  ``SQLTransformer`` stage, followed by ``VectorAssembler`` and the classifier, so one
+  ``PipelineModel`` holds the whole scoring path and saves/loads as a unit (S7).
+* Null policy of all models: a missing number is replaced by the train mean, and every column that
+  had one in train gets a 0/1 indicator; a missing category is the all-zero code.  No row is left out.
+* L2–L5: logistic regression, decision tree, random forest, gradient-boosted trees, each with
+  balanced class weights (L6) through ``weightCol``.
+* L7: grid search over a deterministic stratified ``fold`` column (X2), area under ROC.  Encoder,
+  null policy and class weights are fitted on each fold's training rows only; the encoded fold is
+  written once and every grid point reads it.  The best candidate is refitted on all training rows.
+* Evaluation (M15): every row is scored once by every model into one table
+  (model, id, split, y, p), and all metrics are aggregates of that table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import encode as enc
@@ -45,26 +44,37 @@ def _lit(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _number(c: str, state: enc.EncoderState) -> str:
+    x = f"nanvl(CAST({_q(c)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+    return f"coalesce({x}, {state.fill[c]!r}D)" if c in state.fill else f"coalesce({x}, 0D)"
+
+
 def encoder_sql(state: enc.EncoderState) -> str:
-    """The fitted T3/T4 projection as a SQL statement over ``__THIS__``."""
+    """The fitted projection as a SQL statement over ``__THIS__``.
+
+    A column without missing entries in train that has one when scored gets 0 (the mean, if scaled).
+    """
     parts = []
     for c, vals in state.nominal.categories.items():
         for v in vals[1:]:
-            parts.append(f"CAST(coalesce({_q(c)} = {_lit(v)}, false) AS DOUBLE) AS {_q(f'{c}_{v}')}")
+            parts.append(f"CAST(coalesce({_q(c)} = {_lit(v)}, false) AS DOUBLE) AS {_q(f'{c}_{v}__h')}")
     if state.scaler:
         for c, (m, s) in state.scaler.moments.items():
             scale = 1.0 if not s else s
-            parts.append(f"(CAST({_q(c)} AS DOUBLE) - ({(m or 0.0)!r})) / ({scale!r}) AS {_q(c + '__s')}")
+            x = f"nanvl(CAST({_q(c)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+            parts.append(f"coalesce(({x} - ({(m or 0.0)!r}D)) / ({scale!r}D), 0D) AS {_q(c + '__s')}")
     for c in state.passthrough:
-        parts.append(f"CAST({_q(c)} AS DOUBLE) AS {_q(c + '__p')}")
+        parts.append(f"{_number(c, state)} AS {_q(c + '__p')}")
+    for c in state.fill:
+        parts.append(f"CAST({_q(c)} IS NULL OR isnan(CAST({_q(c)} AS DOUBLE)) AS DOUBLE) AS {_q(c + '__m')}")
     return "SELECT *, " + ", ".join(parts) + " FROM __THIS__"
 
 
 def encoded_columns(state: enc.EncoderState) -> list[str]:
-    cols = state.nominal.output_names()
+    cols = [f"{c}__h" for c in state.nominal.output_names()]
     if state.scaler:
         cols += [c + "__s" for c in state.scaler.moments]
-    return cols + [c + "__p" for c in state.passthrough]
+    return cols + [c + "__p" for c in state.passthrough] + [c + "__m" for c in state.fill]
 
 
 def feature_names(state: enc.EncoderState) -> list[str]:
@@ -72,6 +82,11 @@ def feature_names(state: enc.EncoderState) -> list[str]:
     return state.output_names()
 
 
+def encoder_stages(state: enc.EncoderState) -> list:
+    return [SQLTransformer(statement=encoder_sql(state)),
+            VectorAssembler(inputCols=encoded_columns(state), outputCol="features")]
+
+
 @dataclass
 class ModelSpec:
     name: str
@@ -80,26 +95,30 @@ class ModelSpec:
     scale: bool = False
 
 
-def model_specs(n_train: int, full_grid: bool = False, seed: int = 42) -> list[ModelSpec]:
-    """L2–L5.  ``full_grid`` reproduces the reference's grids where Spark has the
-    parameter (the solver axis of LR collapses: one optimum); the default is a
-    reduced grid for routine runs."""
+def model_specs(full_grid: bool = True, seed: int = 42) -> list[ModelSpec]:
+    """L2–L5.  The default grids are the reference's wherever Spark has the parameter: the solver of
+    LR collapses (one optimum), depth "none" is 30 (the most Spark grows), and a tree's share of
+    columns is ``featureSubsetStrategy``.  ``full_grid=False`` is a short grid for trial runs.
+
+    LR's inverse strength C is kept as ``C`` in the grid; ``regParam`` is 1 / (C · rows) of the rows
+    a candidate is fitted on.
+    """
+    pick = (lambda full, short: full) if full_grid else (lambda full, short: short)
     lr = LogisticRegression(labelCol="label", weightCol="weight", featuresCol="features",
                             elasticNetParam=0.0, standardization=False, maxIter=2000)
-    cs = [0.01, 0.1, 1.0, 10.0] if full_grid else [0.1, 10.0]
-    lr_grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * max(n_train, 1)) for c in cs]).build()
+    lr_grid = [{"C": c} for c in pick([0.01, 0.1, 1.0, 10.0], [0.1, 10.0])]
     dt = DecisionTreeClassifier(labelCol="label", weightCol="weight", seed=seed)
-    dt_grid = (ParamGridBuilder().addGrid(dt.maxDepth, [3, 5, 8, 12, 30] if full_grid else [3, 5])
-               .addGrid(dt.minInstancesPerNode, [1, 5, 10] if full_grid else [1]).build())
+    dt_grid = (ParamGridBuilder().addGrid(dt.maxDepth, pick([3, 5, 8, 12, 30], [3, 5]))
+               .addGrid(dt.minInstancesPerNode, pick([1, 5, 10], [1])).build())
     rf = RandomForestClassifier(labelCol="label", weightCol="weight", seed=seed)
-    rf_grid = (ParamGridBuilder().addGrid(rf.numTrees, [100, 200, 300] if full_grid else [50])
-               .addGrid(rf.maxDepth, [5, 10, 30] if full_grid else [8])
-               .addGrid(rf.featureSubsetStrategy, ["sqrt", "log2"] if full_grid else ["sqrt"]).build())
+    rf_grid = (ParamGridBuilder().addGrid(rf.numTrees, pick([100, 200, 300], [50]))
+               .addGrid(rf.maxDepth, pick([5, 10, 30], [8]))
+               .addGrid(rf.featureSubsetStrategy, pick(["sqrt", "log2"], ["sqrt"])).build())
     gbt = GBTClassifier(labelCol="label", weightCol="weight", seed=seed)
-    gbt_grid = (ParamGridBuilder().addGrid(gbt.maxIter, [100, 200, 300] if full_grid else [30])
-                .addGrid(gbt.maxDepth, [3, 5, 7] if full_grid else [3])
-                .addGrid(gbt.stepSize, [0.01, 0.05, 0.1] if full_grid else [0.1])
-                .addGrid(gbt.subsamplingRate, [0.8, 1.0] if full_grid else [0.8]).build())
+    gbt_grid = (ParamGridBuilder().addGrid(gbt.maxIter, pick([100, 200, 300], [20]))
+                .addGrid(gbt.maxDepth, pick([3, 5, 7], [3])).addGrid(gbt.stepSize, pick([0.01, 0.05, 0.1], [0.1]))
+                .addGrid(gbt.subsamplingRate, pick([0.8, 1.0], [0.8]))
+                .addGrid(gbt.featureSubsetStrategy, pick(["0.8", "all"], ["all"])).build())
     return [ModelSpec("logistic_regression", lr, lr_grid, scale=True),
             ModelSpec("decision_tree", dt, dt_grid), ModelSpec("random_forest", rf, rf_grid),
             ModelSpec("gradient_boosting", gbt, gbt_grid)]
@@ -112,115 +131,136 @@ class TrainedModel:
     encoder: enc.EncoderState
     cv_auc: float
     best_params: dict
+    n_rows: int = 0
 
 
-def prepare(train: DataFrame, label: str, key: Sequence[str], folds: int, seed: int) -> DataFrame:
-    """Balanced weights (on train) + deterministic stratified folds, checkpointed once.
+def prepare(train: DataFrame, label: str, key: Sequence[str], folds: int, seed: int = 7) -> DataFrame:
+    """The training rows with deterministic stratified folds, checkpointed once.
 
-    Every fold and grid point re-reads this table; a reliable checkpoint (in
-    ``spark.checkpoint.dir``) both survives executor loss and truncates the
-    logical plan, which keeps the optimizer's constraint inference from
-    exploding over the wide encoded projection.
+    Every fold and grid point re-reads this table; a reliable checkpoint (in ``spark.checkpoint.dir``)
+    survives executor loss and keeps the optimizer's constraint inference from exploding over the
+    wide encoded projection.
     """
-    w = with_class_weight(train, label, "weight")
-    f = stratified_folds(w, label, list(key), k=folds, seed=seed)
-    return cut_lineage(f)
+    return cut_lineage(stratified_folds(train, label, list(key), k=folds, seed=seed))
+
+
+def _params(spec: ModelSpec, candidate: dict, n: int) -> dict:
+    if "C" in candidate:
+        return {spec.estimator.regParam: 1.0 / (candidate["C"] * max(n, 1))}
+    return candidate
+
+
+def _encoded(spec: ModelSpec, rows: DataFrame, nominal: Sequence[str], numeric: Sequence[str],
+             label: str) -> tuple[enc.EncoderState, list, DataFrame, int]:
+    """Encoder fitted on ``rows`` and the rows encoded, weighted and checkpointed."""
+    state = enc.fit_encoder(rows, nominal, numeric, scale=list(numeric) if spec.scale else None, impute=True)
+    stages = encoder_stages(state)
+    data = cut_lineage(PipelineModel(stages=stages).transform(with_class_weight(rows, label, "weight"))
+                       .select(label, "weight", "features"))
+    return state, stages, data, data.count()
 
 
 def train_single_model(spec: ModelSpec, train: DataFrame, nominal: Sequence[str],
                        numeric: Sequence[str], label: str = "label", folds: int = 5,
                        parallelism: int = 4) -> TrainedModel:
-    """L1 + L7: fit the encoder on train, grid search with stratified CV (ROC-AUC), refit best."""
-    state = enc.fit_encoder(train, nominal, numeric, scale=list(numeric) if spec.scale else None)
-    encode = SQLTransformer(statement=encoder_sql(state))
-    assemble = VectorAssembler(inputCols=encoded_columns(state), outputCol="features")
+    """L1 + L7: grid search with stratified CV (mean ROC-AUC over ``fold`` 0..folds-1), then the best
+    candidate (ties: the first) fitted on all rows of ``train``."""
     spec.estimator.setLabelCol(label).setFeaturesCol("features")
-    encoded = encode.transform(train)
-    inner = Pipeline(stages=[assemble, spec.estimator])
     evaluator = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                               metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=inner, estimatorParamMaps=spec.grid or [{}], evaluator=evaluator,
-                        foldCol="fold", parallelism=parallelism, seed=42)
-    cvm = cv.fit(encoded)
-    best = max(range(len(cvm.avgMetrics)), key=lambda i: (cvm.avgMetrics[i], -i))
-    params = {p.name: v for p, v in (spec.grid[best] if spec.grid else {}).items()}
-    full = PipelineModel(stages=[encode, *cvm.bestModel.stages])
-    return TrainedModel(spec.name, full, state, float(cvm.avgMetrics[best]), params)
-
-
-def score_table(model: TrainedModel, df: DataFrame, id_col: str, label: str = "label") -> DataFrame:
-    """(model, id, y, p) for any fitted pipeline."""
+    grid = spec.grid or [{}]
+    total = [0.0] * len(grid)
+    for fold in range(folds):
+        inside = train.filter(F.col("fold") != fold)
+        state, stages, data, n = _encoded(spec, inside, nominal, numeric, label)
+        held = cut_lineage(PipelineModel(stages=stages).transform(train.filter(F.col("fold") == fold)).select(label, "features"))
+
+        def score(candidate: dict) -> float:
+            return evaluator.evaluate(spec.estimator.fit(data, _params(spec, candidate, n)).transform(held))
+
+        with ThreadPool(parallelism) as pool:
+            for i, x in enumerate(pool.map(score, grid)):
+                total[i] += x / folds
+    best = max(range(len(grid)), key=lambda i: (total[i], -i))
+    state, stages, data, n = _encoded(spec, train, nominal, numeric, label)
+    fitted = spec.estimator.fit(data, _params(spec, grid[best], n))
+    params = {getattr(p, "name", p): v for p, v in grid[best].items()}
+    return TrainedModel(spec.name, PipelineModel(stages=[*stages, fitted]), state, float(total[best]), params, n)
+
+
+def score_table(model: TrainedModel, df: DataFrame, id_col: str, label: str = "label",
+                keep: Sequence[str] = ()) -> DataFrame:
+    """(model, id, y, p) and ``keep`` for any fitted pipeline."""
     out = model.model.transform(df)
     return out.select(F.lit(model.name).alias("model"), F.col(id_col).alias("id"),
                       F.col(label).cast("int").alias("y"),
-                      vector_to_array("probability")[1].alias("p"))
-
+                      vector_to_array("probability")[1].alias("p"), *keep)
+
+
+def score_all(models: Sequence[TrainedModel], df: DataFrame, id_col: str, label: str = "label",
+              keep: Sequence[str] = ("split",)) -> DataFrame:
+    """Every row scored once by every model, written to the shared folder."""
+    parts = [score_table(m, df, id_col, label, keep) for m in models]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return cut_lineage(out)
+
+
+def comparison_table(scores: DataFrame, models: Sequence[TrainedModel] | None = None) -> DataFrame:
+    """M13 + M12 (+ CV results) from a score table with ``split`` train / test, unrounded."""
+    m = mt.scalar_metrics(scores, ["model", "split"])
+    test = m.filter("split = 'test'").drop("split")
+    train = m.filter("split = 'train'").select("model", F.col("roc_auc").alias("train_roc_auc"), F.col("f1").alias("train_f1"))
+    gap = F.col("train_roc_auc") - F.col("roc_auc")
+    out = test.join(train, "model", "left").withColumn("roc_auc_gap", gap).withColumn("overfit_class", mt.overfit_class(gap))
+    if models is not None:
+        rows = [(t.name, t.cv_auc, str(sorted(t.best_params.items()))) for t in models]
+        out = out.join(scores.sparkSession.createDataFrame(rows, "model string, cv_roc_auc double, best_params string"), "model")
+    return out
+
+
+def run_training(table: DataFrame, nominal: Sequence[str], numeric: Sequence[str], id_col: str,
+                 label: str = "label", folds: int = 5, full_grid: bool = True,
+                 models: Sequence[str] | None = None, seed: int = 42) -> tuple[list[TrainedModel], DataFrame]:
+    """Train every model on the rows with ``split`` = 'train' and score all rows once.
+
+    Returns the models and the score table (model, id, y, p, split).
+    """
+    prepared = prepare(table.filter(F.col("split") == "train"), label, [id_col], folds)
+    trained = [train_single_model(spec, prepared, nominal, numeric, label, folds)
+               for spec in model_specs(full_grid, seed) if not models or spec.name in models]
+    return trained, score_all(trained, table, id_col, label)
 
-def run_training(train: DataFrame, test: DataFrame, nominal: Sequence[str], numeric: Sequence[str],
-                 id_col: str, label: str = "label", folds: int = 5, full_grid: bool = False,
-                 models: Sequence[str] | None = None, seed: int = 42):
-    """L8 + M15: train every spec, score train and test, compare.
 
-    Returns (trained models, comparison DataFrame, long test score table).
-    The comparison has CV AUC, train/test ROC-AUC, gap, overfit class and the
-    eight test metrics, sorted by test ROC-AUC.
-    """
-    prepared = prepare(train, label, [id_col], folds, seed)
-    n_train = prepared.count()
-    trained, test_scores, train_scores = [], None, None
-    for spec in model_specs(n_train, full_grid, seed):
-        if models and spec.name not in models:
-            continue
-        tm = train_single_model(spec, prepared, nominal, numeric, label, folds)
-        trained.append(tm)
-        te = score_table(tm, test, id_col, label)
-        tr = score_table(tm, prepared, id_col, label)
-        test_scores = te if test_scores is None else test_scores.unionByName(te)
-        train_scores = tr if train_scores is None else train_scores.unionByName(tr)
-    spark = train.sparkSession
-    cv = spark.createDataFrame([(t.name, t.cv_auc, str(sorted(t.best_params.items()))) for t in trained],
-                               "model string, cv_roc_auc double, best_params string")
-    comparison = (mt.metrics_comparison(test_scores)
-                  .join(mt.overfit_report(train_scores, test_scores).drop("test_roc_auc"), "model")
-                  .join(cv.withColumn("cv_roc_auc", F.bround("cv_roc_auc", 4)), "model")
-                  .orderBy(F.desc("roc_auc"), "model"))
-    return trained, comparison, test_scores
+def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
+    """|coefficient| (linear) or impurity importance (trees) per vector slot."""
+    values = model.coefficients.toArray() if hasattr(model, "coefficients") else model.featureImportances.toArray()
+    return [(n, abs(float(v))) for n, v in zip(names, values)]
 
 
 def feature_importance(model: TrainedModel, top_n: int | None = 15) -> DataFrame:
-    """|coefficient| (linear) or impurity importance (trees), ranked, top-n."""
-    clf = model.model.stages[-1]
-    names = feature_names(model.encoder)
-    if hasattr(clf, "coefficients"):
-        vals = [abs(v) for v in clf.coefficients.toArray().tolist()]
-    else:
-        vals = clf.featureImportances.toArray().tolist()
+    """Importance per encoded feature, ranked, top-n."""
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame(list(zip(names, [float(v) for v in vals])), "feature string, importance double")
+    rows = importances(model.model.stages[-1], feature_names(model.encoder))
+    df = SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
     df = df.orderBy(F.desc("importance"), "feature")
     df = df.limit(top_n) if top_n else df
-    from pyspark.sql import Window
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
 
 def rf_importance(train: DataFrame, nominal: Sequence[str], numeric: Sequence[str],
                   label: str = "label", num_trees: int = 300, max_depth: int = 30,
                   seed: int = 42) -> DataFrame:
-    """Random-forest impurity importance of every encoded feature, desc, 6 dp.
+    """Random-forest impurity importance of every encoded feature over all rows, desc, 6 dp.
 
-    Importance is keyed by encoded names (a nominal column appears as its
-    one-hot slots), as in the reference.
+    Importance is keyed by encoded names (a nominal column appears as its one-hot slots), as in the
+    reference; a column with missing entries also has its indicator.
     """
-    state = enc.fit_encoder(train, nominal, numeric)
-    data = cut_lineage(with_class_weight(enc.transform_features(train, state, keep=[label]), label, "weight"))
-    names = state.output_names()
-    vec = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip")
-    rf = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=num_trees,
-                                maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt")
-    model = rf.fit(vec.transform(data))
-    imp = model.featureImportances.toArray().tolist()
-    spark = train.sparkSession
-    return (spark.createDataFrame([(n, float(round(v, 6))) for n, v in zip(names, imp)],
-                                  "feature string, importance double")
+    spec = ModelSpec("random_forest", RandomForestClassifier(
+        labelCol=label, weightCol="weight", numTrees=num_trees, maxDepth=max_depth, seed=seed,
+        featureSubsetStrategy="sqrt"))
+    state, _, data, _ = _encoded(spec, train, nominal, numeric, label)
+    rows = [(n, round(v, 6)) for n, v in importances(spec.estimator.fit(data), state.output_names())]
+    return (train.sparkSession.createDataFrame(rows, "feature string, importance double")
             .orderBy(F.desc("importance"), "feature"))

@@ -8,11 +8,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.encode import OneHotState, ScalerState
+from ..operators.features import FeatureState
 
 # The employee table's declared schema (explicit: no inference pass over the file).
 EMPLOYEE_SCHEMA = T.StructType([
@@ -83,12 +85,17 @@ def write_json_doc(spark: SparkSession, doc: dict, path: str) -> None:
 
 
 def read_json_doc(spark: SparkSession, path: str, default: dict | None = None) -> dict:
-    """S4 scan; a missing document gives ``default`` (e.g. threshold 0.5)."""
+    """S4 scan of one metadata document, indented or not; a path that does not exist gives
+    ``default`` (e.g. threshold 0.5), anything else unreadable is an error."""
     try:
-        rows = spark.read.text(path).collect()
-    except Exception:
-        return dict(default or {})
-    return json.loads(rows[0][0]) if rows else dict(default or {})
+        parts = [r[0] for r in spark.read.text(path, wholetext=True).collect() if r[0].strip()]
+    except AnalysisException as e:
+        if default is not None and e.getCondition() == "PATH_NOT_FOUND":
+            return dict(default)
+        raise
+    if len(parts) != 1:
+        raise ValueError(f"{path} holds {len(parts)} documents, expected one")
+    return json.loads(parts[0])
 
 
 def load_threshold(spark: SparkSession, path: str, default: float = 0.5) -> float:
@@ -118,6 +125,17 @@ def load_scaler(spark: SparkSession, path: str) -> ScalerState:
     return ScalerState({r["column"]: (r["mean"], r["std"]) for r in spark.read.parquet(path).collect()})
 
 
+def save_feature_state(state: FeatureState, path: str) -> None:
+    """The fitted role medians."""
+    state.medians.write.mode("overwrite").parquet(path)
+
+
+def load_feature_state(spark: SparkSession, path: str, role_col: str = "JobRole",
+                       income_col: str = "MonthlyIncome") -> FeatureState:
+    medians = spark.read.parquet(path)
+    return FeatureState(medians, medians.count(), role_col, income_col)
+
+
 def save_model(model, path: str) -> None:
     """``PipelineModel`` persistence (encoder stage included)."""
     model.write().overwrite().save(path)

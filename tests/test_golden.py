@@ -41,8 +41,8 @@ def test_overfit_class(spark, gap, label):
     assert spark.range(1).select(overfit_class(F.lit(gap))).first()[0] == label
 
 
-def test_split_quotas_match_published_sizes():
+def test_split_quotas_match_published_sizes(spark):
     from hrlens.operators.split import split_quotas
     # 1,470 rows, 237 positives → 294 test rows with 47 positives (1,176 train)
-    q = split_quotas({0: 1233, 1: 237}, 0.2)
-    assert q == {0: 247, 1: 47}
+    q = split_quotas(spark.createDataFrame([(0, 1233), (1, 237)], "cls int, n long"), 0.2)
+    assert {r["cls"]: r["rank"] for r in q.collect()} == {0: 247, 1: 47}

@@ -24,6 +24,15 @@ def test_parquet_csv_json_roundtrip(spark):
     io.write_json_doc(spark, {"optimal_threshold": 0.7844}, f"{d}/eval")
     assert io.load_threshold(spark, f"{d}/eval") == 0.7844
     assert io.load_threshold(spark, f"{d}/missing") == 0.5
+    import json
+    with open(f"{d}/indented.json", "w") as fh:
+        json.dump({"optimal_threshold": 0.25, "models": [{"name": "a"}]}, fh, indent=2)
+    assert io.load_threshold(spark, f"{d}/indented.json") == 0.25
+    with open(f"{d}/broken.json", "w") as fh:
+        fh.write("{")
+    import pytest
+    with pytest.raises(ValueError):
+        io.load_threshold(spark, f"{d}/broken.json")
 
 
 def test_permissive_csv_routes_bad_rows(spark):
@@ -47,8 +56,11 @@ def test_preprocessing_pipeline(spark):
     from hrlens.sources.proxies import duplicates_view
     dup = duplicates_view(C.O(spark, SF_SMALL)).filter(F.col("WorkLifeBalance").isNotNull()) \
         .filter(F.col("qty").isNotNull())
+    out = tempfile.mkdtemp(prefix="hrlens-pre-")
     pre, report = pl.run_preprocessing(dup, "id", ["src"], ["StandardHours"], ["Department", "OverTime"],
-                                       ["Age", "MonthlyIncome"], scale=["MonthlyIncome"])
+                                       ["Age", "MonthlyIncome"], scale=["MonthlyIncome"], out_dir=out)
+    assert set(io.load_scaler(spark, f"{out}/state/scaler").moments) == {"MonthlyIncome"}
+    assert io.load_one_hot(spark, f"{out}/state/categories").categories.keys() == {"Department", "OverTime"}
     n_ids = dup.select("id").distinct().count()
     assert pre.count() == n_ids == report["rows_after_dedup"]
     assert report["duplicates"]["duplicate_ids"] > 0

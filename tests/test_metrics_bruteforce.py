@@ -81,8 +81,32 @@ def test_scores_outside_unit_interval_stay_exact(spark):
     assert mt.average_precision(df).first().pr_auc == pytest.approx(brute_ap(y, p), abs=1e-12)
 
 
-def test_stratified_split_rejects_high_cardinality_label(spark):
+def test_stratified_split_takes_a_label_of_many_classes(spark):
     from hrlens.operators import split as sp
-    df = spark.range(50).withColumn("label", F.col("id"))
-    with pytest.raises(ValueError):
-        sp.class_rank(df, "label", F.col("id"), ["id"], hash_range=100, max_classes=10)
+    df = spark.range(60).withColumn("label", F.col("id"))
+    out = sp.stratified_split(df, "label", ["id"])
+    assert out.count() == 60 and out.filter("split = 'test'").count() == 12
+
+
+def test_best_model_uses_unrounded_metrics(spark):
+    from hrlens.operators import metrics as mt
+    rows = [("a", 0.980025, 0.10, 0.5, 0.019975), ("b", 0.98, 0.90, 0.9, 0.01)]
+    df = spark.createDataFrame(rows, "model string, roc_auc double, f1 double, recall double, roc_auc_gap double")
+    won = mt.best_model(df.drop("roc_auc_gap"), df.select("model", "roc_auc_gap")).first()
+    assert won["model"] == "a"
+    from hrlens.functions.exprs import overfit_class, risk_tier
+    got = spark.createDataFrame([(0.019975,), (None,)], "g double").select(overfit_class("g").alias("o"), risk_tier("g").alias("t")).collect()
+    assert [tuple(r) for r in got] == [("Excellent", "Low"), (None, None)]
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+    from hrlens.operators.quantile import quantiles, value_counts
+    rng = np.random.default_rng(1)
+    rows = [(int(k), float(x)) for k, x in zip(rng.integers(0, 3, 4000), np.round(rng.lognormal(0, 3, 4000), 2))] + [(7, 5.0), (8, None)]
+    counts = value_counts(spark.createDataFrame(rows, "k int, x double"), ["x"], ["k"])
+    got = {r["k"]: r["q"] for r in quantiles(counts, ["k"], [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    for k in (0, 1, 2, 7):
+        want = np.quantile([x for j, x in rows if j == k], [0.0, 0.25, 0.5, 0.9, 1.0])
+        assert np.allclose(got[k], want, rtol=1e-12)
+    assert 8 not in got

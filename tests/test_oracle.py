@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as E
-from hrlens.plans.oracle_check import compare, duck_connect
+from oracle_check import compare, duck_connect
 from conftest import SF_SMALL
 
 NAMES = sorted(E.oracle_sql())

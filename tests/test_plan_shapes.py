@@ -26,11 +26,35 @@ def test_auc_has_no_single_partition_exchange(spark):
     assert "Window" in p
 
 
-def test_stratified_rank_windows_are_bucketed(spark):
-    df = C._labelled(spark, SF_SMALL).select("id", "label")
-    ranked, _ = sp.class_rank(df, "label", sp.key_hash(["id"]), ["id"])
-    p = plan(ranked)
-    assert "_bucket" in p and "SinglePartition" not in p
+def test_stratified_split_neither_sorts_nor_shuffles_the_table(spark):
+    df = spark.range(1000).withColumn("label", (F.col("id") % 7 == 0).cast("int"))
+    s = sp.stratified_split(df, "label", ["id"], small=100)
+    p = plan(s)
+    assert "Sort" not in p and "hashpartitioning" not in p and "Window" not in p
+    assert s.filter("split = 'test'").count() == 200
+
+
+def test_curve_buckets_follow_the_scores(spark):
+    """Scores of a rare event all lie near 0; they must still spread over many windows."""
+    df = spark.range(5000).select(F.lit("m").alias("model"), (F.col("id") % 11 == 0).cast("int").alias("y"),
+                                  (F.col("id") / 1e10).alias("p"))
+    from hrlens.operators.quantile import bucketed
+    assert bucketed(df, "p", "b").select("b").distinct().count() > 500
+    import numpy as np
+    y, p = zip(*[(r["y"], r["p"]) for r in df.collect()])
+    y, p = np.array(y), np.array(p)
+    gt = (p[y == 1][:, None] > p[y == 0][None, :]).mean()
+    assert abs(mt.roc_auc(df).first()["roc_auc"] - gt) < 1e-12
+
+
+def test_quantiles_move_no_raw_rows_by_class(spark):
+    from hrlens.operators import segments as seg
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (seg.box_stats(C.O(spark, SF_SMALL), "Age"), seg.histogram_density(C.O(spark, SF_SMALL), "MonthlyIncome")):
+            assert "parquet" not in plan(df).lower()  # only the checkpointed value counts are read
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_scoring_with_given_means_adds_no_shuffle(spark):

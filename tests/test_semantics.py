@@ -49,9 +49,11 @@ def test_constant_column_correlation_is_null(spark):
 
 
 def test_resolve_redundancy_greedy():
-    pairs = [("A", "B"), ("B", "C"), ("C", "D"), ("E", "F")]
+    pairs = [("A", "B", .95), ("B", "C", .94), ("C", "D", .93), ("E", "F", .99)]
     imp = {"A": 0.5, "B": 0.1, "C": 0.3, "D": 0.2, "E": 0.1, "F": 0.1}
-    assert corr.resolve_redundancy(pairs, imp) == ["B", "D"]
+    got = corr.redundancy_decisions(pairs, imp)
+    assert [(d["dropped_feature"], d["kept_feature"], d["correlation"]) for d in got] == [("B", "A", .95), ("D", "C", .93)]
+    assert got[0]["dropped_importance"] == 0.1 and got[0]["kept_importance"] == 0.5
 
 
 def test_dedup_hot_id_keeps_first(spark):
@@ -63,8 +65,8 @@ def test_dedup_hot_id_keeps_first(spark):
 
 def test_split_is_partition_invariant(spark):
     df = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(500)], "id long, label int")
-    a = sp.stratified_split(df, "label", ["id"], rows_per_bucket=40)
-    b = sp.stratified_split(df.repartition(7), "label", ["id"], rows_per_bucket=1000)
+    a = sp.stratified_split(df, "label", ["id"], small=40)
+    b = sp.stratified_split(df.repartition(7), "label", ["id"], small=1000)
     ta = sorted(r.id for r in a.filter("split = 'test'").collect())
     tb = sorted(r.id for r in b.filter("split = 'test'").collect())
     assert ta == tb and len(ta) == 100

@@ -1,9 +1,12 @@
 """Run the local oracle comparison: python tools_check.py [sf_dir] [name ...]"""
+import os
 import sys
-from hrlens.session import local_session
-from hrlens.plans.oracle_check import check
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "tests"))
 
 if __name__ == "__main__":
+    from hrlens.session import local_session
+    from oracle_check import check
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or None
     spark = local_session(8)
