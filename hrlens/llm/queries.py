@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from hrlens.llm import (ego_join, langid, line_dedup, main_text, mixing, ngram_join, packing, repetition, tool_calls,
                         url_filter)
+from hrlens.llm.store import library_on_workers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    library_on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

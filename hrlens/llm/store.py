@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import hrlens
 from hrlens.session import checkpoint_dir
 
 
+def library_on_workers(spark: SparkSession) -> None:
+    """Lets Python workers of this machine import the library when it is not installed: its folder
+    goes on the search path that Spark hands to them."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(hrlens.__file__)))
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
@@ -37,8 +49,8 @@ def _rank(node: Column, salt: int) -> Column:
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node with an edge.
 
-    Each round points every node at the neighbour (or itself) with the smallest salted hash and
-    contracts the edges along these pointers.  Hash order instead of id order makes the expected
+    Each round points every node at the neighbour (or itself) with the smallest salted hash, follows
+    the pointers a few steps and contracts the edges along them.  Hash order instead of id order makes the expected
     shrinkage a constant factor for any graph, chains included, so the rounds grow with the
     logarithm of the longest path.  All steps are aggregates and joins; nothing is collected.
     ``root`` is any node of the component, the same for all its nodes.
@@ -50,10 +62,15 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     while not live.isEmpty():
         salt += 1
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = staged(both.groupBy(F.col("a").alias("node"))
-                     .agg(F.min(_rank(F.col("b"), salt)).alias("m"))
-                     .select("node", F.least(F.col("m"), _rank(F.col("node"), salt))["v"].alias("to")),
-                     f"{label}-hop")
+        near = staged(both.groupBy(F.col("a").alias("node"))
+                      .agg(F.min(_rank(F.col("b"), salt)).alias("m"))
+                      .select("node", F.least(F.col("m"), _rank(F.col("node"), salt))["v"].alias("to")),
+                      f"{label}-near")
+        # pointers lead to smaller hashes, so following them ends; four steps in one go
+        hop = near
+        for _ in range(2):
+            hop = hop.join(hop.select(F.col("node").alias("to"), F.col("to").alias("on")), "to").select("node", F.col("on").alias("to"))
+        hop = staged(hop, f"{label}-hop")
         left = hop.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = hop.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         live = staged(live.join(left, "a").join(right, "b")
