@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrlens.llm import langid, line_dedup, mixing, ngram_join, packing
-from hrlens.llm.store import free_name, staged
+from hrlens.llm.store import free_name, library_on_workers, staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects (no letters, or unlike every language)."""
+    library_on_workers(spark)
     return langid.drop_rejected(docs)
 
 
@@ -30,6 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies: five words, Jaccard 0.8."""
+    library_on_workers(spark)
     return ngram_join.keep_one(docs, k=5, num=4, den=5)
 
 
@@ -40,6 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenises and packs into sequences of 4096; one row per piece."""
+    library_on_workers(spark)
     return packing.pack(docs)
 
 
