@@ -42,35 +42,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def _rank(node: Column, salt: int) -> Column:
-    return F.struct(F.xxhash64(node, F.lit(salt)).alias("h"), node.alias("v"))
+def _rank(node: Column) -> Column:
+    return F.struct(F.xxhash64(node, F.lit(1)).alias("h"), node.alias("v"))
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node with an edge.
 
-    Each round points every node at the neighbour (or itself) with the smallest salted hash, follows
-    the pointers a few steps and contracts the edges along them.  Hash order instead of id order makes the expected
-    shrinkage a constant factor for any graph, chains included, so the rounds grow with the
-    logarithm of the longest path.  All steps are aggregates and joins; nothing is collected.
-    ``root`` is any node of the component, the same for all its nodes.
+    Each round points every node at the neighbour (or itself) with the smallest hash and contracts
+    the edges along these pointers.  A star is done after two rounds, since its centre takes the
+    smallest hash of all; hash order instead of id order makes the expected shrinkage a constant
+    factor for chains too.  All steps are aggregates and joins; nothing is collected.  ``root`` is
+    any node of the component, the same for all its nodes.
     """
     live = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                   .filter("a <> b").distinct(), f"{label}-edges")
     found = None
-    salt = 0
     while not live.isEmpty():
-        salt += 1
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = staged(both.groupBy(F.col("a").alias("node"))
-                      .agg(F.min(_rank(F.col("b"), salt)).alias("m"))
-                      .select("node", F.least(F.col("m"), _rank(F.col("node"), salt))["v"].alias("to")),
-                      f"{label}-near")
-        # pointers lead to smaller hashes, so following them ends; four steps in one go
-        hop = near
-        for _ in range(2):
-            hop = hop.join(hop.select(F.col("node").alias("to"), F.col("to").alias("on")), "to").select("node", F.col("on").alias("to"))
-        hop = staged(hop, f"{label}-hop")
+        hop = staged(both.groupBy(F.col("a").alias("node")).agg(F.min(_rank(F.col("b"))).alias("m"))
+                     .select("node", F.least(F.col("m"), _rank(F.col("node")))["v"].alias("to")), f"{label}-hop")
         left = hop.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = hop.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         live = staged(live.join(left, "a").join(right, "b")
