@@ -41,6 +41,7 @@ from hrlens.llm.textkit import U, long_list, mix, shingle_sets, slices
 BAND_RATIO = 1.5
 EMPTY_PRICE = 40.0  # rows that one unskipped empty signature is taken to cost
 THIN_PRICE = 10.0   # the same for the signature of a one-element segment
+BROADCAST_KEYS = 200_000  # of 32 characters
 BLOCK = 1024        # members of a signature's group that one task compares with one another
 NEAREST = 3         # partners that a member asks for in the first pass, in each of its ...
 ASKED = 2           # ... largest groups
@@ -130,8 +131,9 @@ def _signatures(n: np.ndarray, h: np.ndarray, num: int, den: int) -> tuple[np.nd
 
 
 def bitmap_bits(n: np.ndarray) -> np.ndarray:
-    """Width of a set's parity bitmap: the power of two at or above ``2 n``, 64 at least."""
-    return 2 ** np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    """Width of a set's parity bitmap: the power of two at or above ``2 n`` for small sets and
+    ``0.75 n`` for large ones.  Unrelated sets then differ in well over H bits."""
+    return 2 ** np.ceil(np.log2(np.maximum(np.minimum(2 * n, 512), np.maximum(0.75 * n, 64)))).astype(np.int64)
 
 
 def _bitmaps(n: np.ndarray, doc: np.ndarray, h: np.ndarray) -> list[bytes]:
@@ -325,6 +327,12 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def _checked(keys: DataFrame) -> DataFrame:
+    """A table of keys, marked for broadcast if it has at most ``BROADCAST_KEYS`` rows; beyond that the
+    join shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _resolve(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Per input row: doc_id, tkey (md5 of the text), n_shingles, root, component_id, links."""
     arrow = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.string()), ("n", pa.int64()),
@@ -339,23 +347,28 @@ def _resolve(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
                     .mapInArrow(_groups, "grp long, blk long, size long, uid long").distinct(), "ngram-groups")
     facts = table.filter("uid = rep and n > 0").select("uid", "n", "map")
     member = facts.join(groups.select("uid").distinct(), "uid", "left_semi")
-    texts = staged(table.filter("uid = rep").select("uid", "tkey")
-                   .join(groups.select("uid").distinct(), "uid", "left_semi")
-                   .join(source.select("tkey", "text").dropDuplicates(["tkey"]), "tkey")
-                   .select("uid", "text"), "ngram-texts")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """``uid, text`` of the documents in ``pairs``, each text once."""
+        uids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+        keys = staged(table.filter("uid = rep").select("uid", "tkey").join(uids, "uid", "left_semi"), "ngram-keys")
+        wanted = _checked(keys.select("tkey").distinct())
+        text = source.select("tkey", "text").join(wanted, "tkey", "left_semi").dropDuplicates(["tkey"])
+        return staged(text.join(keys, "tkey").select("uid", "text"), "ngram-texts")
 
     def candidates(roots: DataFrame | None, nearest: int | None) -> DataFrame:
-        rows = groups.join(member, "uid")
         if roots is None:
             # a set has no more groups than signatures
-            mine = groups.groupBy("uid").agg(F.slice(F.sort_array(F.collect_list(F.struct("size", "grp")), False), 1, ASKED)["grp"].alias("mine"))
-            rows = (rows.join(mine, "uid").withColumn("root", F.col("uid"))
-                    .withColumn("asks", F.array_contains("mine", F.col("grp"))).drop("mine"))
+            mine = staged(groups.groupBy("uid").agg(
+                F.slice(F.sort_array(F.collect_list(F.struct("size", "grp")), False), 1, ASKED)["grp"].alias("mine")), "ngram-asks")
+            asked = mine.select(F.explode("mine").alias("grp")).distinct()
+            rows = (groups.join(asked, "grp", "left_semi").join(mine, "uid").withColumn("asks", F.array_contains("mine", F.col("grp"))).drop("mine")
+                    .join(member, "uid").withColumn("root", F.col("uid")))
         else:
-            rows = rows.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+            rows = groups.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
             open_groups = (rows.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
                            .filter("r0 <> r1").select("grp"))
-            rows = rows.join(open_groups, "grp", "left_semi").withColumn("asks", F.lit(True))
+            rows = rows.join(open_groups, "grp", "left_semi").withColumn("asks", F.lit(True)).join(member, "uid")
         rows = rows.select(
             "grp", "uid", "blk", "n", "root", "map", "asks",
             F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK))).alias("other")).select(
@@ -364,15 +377,17 @@ def _resolve(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         return (rows.repartition("grp", "b1", "b2").sortWithinPartitions("grp", "b1", "b2", "uid")
                 .mapInArrow(_near_pairs(num, den, nearest), "a long, b long").distinct())
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = staged(pairs, f"{label}-pairs")
+        texts = texts_of(pairs)
         both = (pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
                 .join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b"))
-        return both.mapInArrow(_verify(k, num, den), "a long, b long, linked boolean")
+        return staged(both.mapInArrow(_verify(k, num, den), "a long, b long, linked boolean"), label)
 
-    first = staged(verified(candidates(None, NEAREST)), "ngram-first")
+    first = verified(candidates(None, NEAREST), "ngram-first")
     roots = components(first.filter("linked").select("a", "b"), "ngram-cc")
     rest = candidates(roots, None).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = staged(verified(rest), "ngram-rest").filter("linked").select("a", "b")
+    second = verified(rest, "ngram-rest").filter("linked").select("a", "b")
     links = first.filter("linked").select("a", "b").unionByName(second)
     # the second pass only adds links between components of the first
     across = (second.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
@@ -408,13 +423,17 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     smallest id, or without any id the one with the smallest md5.  A row repeated with one id stays
     once."""
     parts = staged(_resolve(docs, k, num, den, id_col, text_col), "ngram-parts")
-    name, times = free_name(docs, "keep"), free_name(docs, "times")
-    ids = parts.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(times))
+    name = free_name(docs, "gone")
     key = F.col(id_col).cast("long")
-    kept = docs.join(ids.filter(F.col(times) == 1), key == F.col(name), "left_semi")
-    again = ids.filter(F.col(times) > 1)
-    if not again.isEmpty():  # the texts are read again only if an id occurs twice
-        kept = kept.unionByName(docs.join(again, key == F.col(name), "left_semi").dropDuplicates([id_col]))
+    # dropped ids are few beside the kept ones
+    gone = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    again = parts.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).count().filter("count > 1").select(name)
+    has_id = docs.filter(key.isNotNull())
+    if again.isEmpty():
+        kept = has_id.join(_checked(gone), key == F.col(name), "left_anti")
+    else:  # ids that occur more than once stay once
+        kept = (has_id.join(_checked(gone.unionByName(again)), key == F.col(name), "left_anti")
+                .unionByName(has_id.join(_checked(again), key == F.col(name), "left_semi").dropDuplicates([id_col])))
     nameless = (parts.filter("component_id is null").groupBy("root").agg(F.min(F.coalesce("tkey", F.lit(""))).alias(name))
                 .select(name).distinct())
     if not nameless.isEmpty():
