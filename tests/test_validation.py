@@ -1,5 +1,4 @@
 """I2 rules: a valid record, one negative case per rule, text columns, and the batch report."""
-import pytest
 from pyspark.sql import types as T
 
 from hrlens.operators import validate as va
