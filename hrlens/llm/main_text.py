@@ -19,7 +19,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +35,7 @@ OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "notices notification popup modal overlay alert sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar "
     "header masthead footer foot bottom copyright legal comment comments reply replies respond disqus discussion share sharing social "
-    "related recommended newsletter subscribe subscription signup login search pagination pager widget widgets tags tagcloud skip "
+    "related recommended recommendations trending popular teaser paywall donate newsletter subscribe subscription signup login search pagination pager widget widgets tags tagcloud skip "
     "hidden".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 CONTENT_WORDS = frozenset("article content main post story entry body text".split())
@@ -59,7 +59,6 @@ class Node:
     path: str
     other: bool           # stands in an element marked as something else than content
     content: bool = False
-    kept: int = 0
 
 
 @dataclass
@@ -68,7 +67,6 @@ class Block:
     text: str
     linked: int
     score: float = 0.0
-    parts: list = field(default_factory=list)
 
 
 def _marks(tag: str, attrs: str, inside: Node) -> tuple[bool, bool, str]:

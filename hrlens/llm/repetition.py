@@ -2,8 +2,10 @@
 
 One pass over whole texts.  Rolling hashes of word windows of several lengths mark repeated
 windows inside each document; a window of ``n`` words can only repeat where its first ``n - 1``
-words repeat, so every longer length looks at the survivors of the one before.  The measure is the
-share of word characters inside windows (or lines) that occurred earlier in the same document.
+words repeat, so every longer length looks at the survivors of the one before.  The measures are
+the share of word characters in lines that occurred earlier in the same document, and, outside of
+such lines, the share inside windows that occurred earlier.  A text with more than ``SYMBOL_LIMIT``
+markup symbols a word fails too.
 
 Defined cases: a null or blank text has no words and fails the base rule; ties, repeated rows and
 repeated ids are judged row by row; an empty table gives no rows; only the id and text columns
@@ -24,6 +26,7 @@ from hrlens.llm.textkit import U, mix, slices, span_hashes, windows, words
 # Published repetition limits (window length -> largest share of characters)
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.20
+SYMBOL_LIMIT = 0.1
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
@@ -74,6 +77,10 @@ def measure(s) -> dict[str, np.ndarray]:
     line_chars = np.concatenate(([0], np.cumsum(chars)))
     inside = line_chars[np.searchsorted(w.start, stop)] - line_chars[first]
     out["dup_line_chars"] = per_doc(doc[later], inside[later])
+    in_line = np.zeros(len(w.doc) + 1, np.int32)
+    np.add.at(in_line, first[later], 1)
+    np.add.at(in_line, np.searchsorted(w.start, stop[later]), -1)
+    fresh = np.cumsum(in_line[:-1]) == 0
 
     at, h = windows(w, 3)
     repeated, _ = _groups(mix(h + salt[w.doc[at]]))
@@ -88,7 +95,7 @@ def measure(s) -> dict[str, np.ndarray]:
         alive = np.zeros(len(w.doc), bool)
         alive[at[repeated]] = True
         if n in NGRAM_LIMITS:
-            hit = _covered(at[later], n, len(w.doc))
+            hit = _covered(at[later], n, len(w.doc)) & fresh
             out[f"dup_{n}gram_chars"] = per_doc(w.doc[hit], chars[hit])
     return out
 
@@ -111,7 +118,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fine = F.col("dup_line_chars") <= LINE_LIMIT * F.col("word_chars")
+    fine = (F.col("n_symbols") <= SYMBOL_LIMIT * F.col("n_words")) & (F.col("dup_line_chars") <= LINE_LIMIT * F.col("word_chars"))
     for n, limit in NGRAM_LIMITS.items():
         fine &= F.col(f"dup_{n}gram_chars") <= limit * F.col("word_chars")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)

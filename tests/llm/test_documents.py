@@ -32,14 +32,16 @@ def _quality(text):
                 seen.update(range(i, i + n))
         return seen
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-    later = [x for i, x in enumerate(lines) if x in lines[:i]]
+    again = [x in lines[:i] for i, x in enumerate(lines)]
+    later = [x for x, known in zip(lines, again) if known]
+    fresh = [not known for x, known in zip(lines, again) for _ in WORD.findall(x)]
     chars = sum(map(len, w))
     out = {"n_words": len(w), "word_chars": chars, "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_dup_lines": len(later),
            "n_repeat_words": len(cover(3, True)), "dup_line_chars": sum(len(x) for y in later for x in WORD.findall(y))}
     for n in repetition.NGRAM_LIMITS:
-        out[f"dup_{n}gram_chars"] = sum(len(w[i]) for i in cover(n, False))
+        out[f"dup_{n}gram_chars"] = sum(len(w[i]) for i in cover(n, False) if fresh[i])
     out["base_failed"] = len(w) < 50 or 100 * out["n_repeat_words"] > 50 * len(w)
-    out["kept"] = not out["base_failed"] and out["dup_line_chars"] <= 0.2 * chars and all(
+    out["kept"] = not out["base_failed"] and out["n_symbols"] <= 0.1 * len(w) and out["dup_line_chars"] <= 0.2 * chars and all(
         out[f"dup_{n}gram_chars"] <= x * chars for n, x in repetition.NGRAM_LIMITS.items())
     return out
 
