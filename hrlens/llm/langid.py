@@ -38,7 +38,7 @@ from hrlens.llm.textkit import U, mix
 ORDER = 4
 MODEL_ENTRIES = 1 << 20
 UNSEEN = 1.0 / 65536      # uniform share of a symbol below the unigrams
-SCORE_CHARS = 6_000_000   # characters scored together
+SCORE_CHARS = 3_000_000   # characters scored together
 COUNT_CHARS = 2_000_000
 FLUSH_GRAMS = 2_000_000   # distinct grams a counting task holds before it hands them on
 TEMPERATURES = [2.0 ** i for i in range(0, 8)]

@@ -35,7 +35,7 @@ LOOSE = 16       # one bin in so many goes on to the next round
 END_ID = 1
 DONORS = 16      # emptiest bins that the local search lets give
 REACH = 512      # emptiest of the fuller bins that they exchange with (moves see all of them)
-SLICE = 4_000_000
+SLICE = 2_500_000
 
 
 def _pieces(size: int, path: str | None, with_ids: bool):
