@@ -56,7 +56,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dims.append(0 if raw is None else len(v))
             out.append(raw if rep == uid else None)
             uid += 1
-        if len(first) > 500_000:
+        if len(first) > 50_000:
             first.clear()
         yield pa.RecordBatch.from_arrays(
             [pa.array(uids, pa.int64()), batch["vec_id"], batch["label"], pa.array(reps, pa.int64()),

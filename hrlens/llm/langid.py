@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -38,9 +39,9 @@ from hrlens.llm.textkit import U, mix
 ORDER = 4
 MODEL_ENTRIES = 1 << 20
 UNSEEN = 1.0 / 65536      # uniform share of a symbol below the unigrams
-SCORE_CHARS = 3_000_000   # characters scored together
-COUNT_CHARS = 2_000_000
-FLUSH_GRAMS = 2_000_000   # distinct grams a counting task holds before it hands them on
+RUN_CHARS = 1_000_000     # characters that a task handles together
+KNOWN_GRAMS = 500_000     # grams whose costs a task keeps
+FLUSH_GRAMS = 1_000_000   # distinct grams a counting task holds before it hands them on
 TEMPERATURES = [2.0 ** i for i in range(0, 8)]
 _letters: list[np.ndarray] = []
 
@@ -73,15 +74,14 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return doc, code, has
 
 
-def _runs(texts: pa.Array, chars: int) -> Iterator[tuple[int, list[str | None]]]:
-    values = texts.to_pylist()
+def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of whole texts of about ``RUN_CHARS`` bytes (one text at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     i = 0
-    while i < len(values):
-        j, held = i, 0
-        while j < len(values) and (j == i or held + len(values[j] or "") <= chars):
-            held += len(values[j] or "")
-            j += 1
-        yield i, values[i:j]
+    while i < len(texts):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + RUN_CHARS, side="right")))
+        yield i, texts[i:j].to_pylist()
         i = j
 
 
@@ -107,7 +107,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs = np.array(batch["lang"].to_pylist(), dtype=object)
-        for i, texts in _runs(batch["text"], COUNT_CHARS):
+        for i, texts in _runs(batch["text"]):
             doc, code, _ = symbols(texts)
             own = langs[i:i + len(texts)]
             for lang in sorted(set(own)):
@@ -146,6 +146,37 @@ class Model:
         return out
 
 
+class Scorer:
+    """A model with the costs of the grams it has met, bounded by ``KNOWN_GRAMS``."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.langs = model.langs
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.cost = np.zeros(0, U), np.zeros((len(self.langs), 0), np.float32)
+
+    def surprise(self, codes: np.ndarray) -> np.ndarray:
+        """As ``Model.surprise`` for sorted distinct codes."""
+        at = np.searchsorted(self.known, codes)
+        have = at < len(self.known)
+        have[have] = self.known[at[have]] == codes[have]
+        if have.all():
+            return self.cost[:, at]
+        new = codes[~have]
+        fresh = self.model.surprise(new)
+        out = np.empty((len(self.langs), len(codes)), np.float32)
+        out[:, have], out[:, ~have] = self.cost[:, at[have]], fresh
+        if len(self.known) + len(new) > KNOWN_GRAMS:
+            self._clear()
+            self.known, self.cost = codes[:KNOWN_GRAMS], out[:, :KNOWN_GRAMS].copy()
+        else:
+            place = np.searchsorted(self.known, new)
+            self.known, self.cost = np.insert(self.known, place, new), np.insert(self.cost, place, fresh, axis=1)
+        return out
+
+
 def _key(code: np.ndarray, order: int) -> np.ndarray:
     return mix(code * U(2 * ORDER + 1) + mix(np.full(1, order, U)))
 
@@ -208,7 +239,7 @@ def fit(train: DataFrame) -> Model:
     return Model(langs, arrays(gram_rows), arrays(ctx_rows))
 
 
-def cross_entropy(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cross_entropy(model: Model | Scorer, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nats per symbol, one row per language; number of symbols; has a letter)."""
     doc, code, has = symbols(texts)
     uniq, back = np.unique(code, return_inverse=True)
@@ -224,11 +255,11 @@ _COLS = "doc_id long, text_lang string, crc long, best string, ce double, own do
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = Scorer(shared.value)
         names = np.array([*model.langs, "und"], dtype=object)
         where = {x: i for i, x in enumerate(model.langs)}
         for batch in batches:
-            for i, texts in _runs(batch["text"], SCORE_CHARS):
+            for i, texts in _runs(batch["text"]):
                 ce, n, has = cross_entropy(model, texts)
                 rows = slice(i, i + len(texts))
                 best = np.where(has, ce.argmin(0) if len(ce) else 0, len(model.langs))
@@ -327,11 +358,12 @@ def drop_rejected(docs: DataFrame, folds: int = 4, held_fold: int = 2, id_col: s
 
     @arrow_udf("boolean")
     def accepts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = np.stack([limits[x] for x in shared.value.langs]) if limits else np.zeros((1, 64))
+        scorer = Scorer(shared.value)
+        table = np.stack([limits[x] for x in scorer.langs]) if limits else np.zeros((1, 64))
         for texts in batches:
             out = []
-            for _, part in _runs(texts, SCORE_CHARS):
-                ce, n, has = cross_entropy(shared.value, part)
+            for _, part in _runs(texts):
+                ce, n, has = cross_entropy(scorer, part)
                 size = np.floor(np.log2(np.maximum(n, 1))).astype(int)
                 best = ce.argmin(0) if len(ce) else np.zeros(len(part), int)
                 low = ce.min(0) if len(ce) else np.zeros(len(part))

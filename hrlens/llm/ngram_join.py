@@ -165,7 +165,7 @@ def _describe(k: int, num: int, den: int, arrow_schema: pa.Schema):
                 rep = uids.copy()
                 for i in full.tolist():
                     rep[i] = first.setdefault(key[i].tobytes(), int(uids[i]))
-                if len(first) > 1_000_000:
+                if len(first) > 200_000:
                     first.clear()
                 new = rep == uids
                 keep = new[doc]
@@ -204,7 +204,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blk = (np.arange(len(u)) - np.repeat(starts[:-1], size[many])) // BLOCK
         fresh = np.array([x not in seen for x in name.tolist()])
         seen.update(name[fresh].tolist())
-        if len(seen) > 2_000_000:
+        if len(seen) > 300_000:
             seen.clear()
         use = fresh[local]
         return [name[local][use], blk[use], size[many][local][use], u[use]]

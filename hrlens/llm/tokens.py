@@ -18,7 +18,7 @@ from hrlens.llm.textkit import Slice, U, _LOWER, span_hashes, words
 
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = "<|startoftext|>"
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 1_000_000
 JOINED = 1000
 _LETTER_OR_DIGIT = np.zeros(256, bool)
 _LETTER_OR_DIGIT[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
