@@ -9,9 +9,10 @@ equal segment accounts for one unit, a segment matched up to one deletion for tw
 
 The allocation is cost-based.  ``m`` and ``d`` minimise rows emitted plus the expected price of
 empty segments, which every set would share, and of one-element segments, which sets with a common
-passage share.  A set skips its empty segments as long as its other
-units still exceed ``H``; whether a segment is skipped depends on its content only, so of two
-similar sets either both index a shared segment, or one of them alone satisfies the pigeonhole.
+passage share.  A set leaves out its smallest segments as long as the units of the others exceed
+``H`` (a deletion segment counts two units with three elements or more, one with two, none below).
+Of two similar sets, the one that leaves out more satisfies the pigeonhole with its own segments,
+and the other one indexes these too, since a shared segment has the same size in both.
 
 A signature's holders are candidates.  They are never expanded into all pairs: a parity bitmap of
 each set bounds the true difference from below and drops pairs that cannot qualify, pairs already
@@ -39,8 +40,9 @@ from hrlens.llm.store import components, free_name, staged
 from hrlens.llm.textkit import U, long_list, mix, shingle_sets, slices
 
 BAND_RATIO = 1.5
-EMPTY_PRICE = 40.0  # rows that one unskipped empty signature is taken to cost
-THIN_PRICE = 10.0   # the same for the signature of a one-element segment
+EMPTY_PRICE = 100.0  # rows that one indexed empty segment is taken to cost
+THIN_PRICE = 5.0      # the same for a one-element segment
+SMALLEST = 3          # segments of so many elements are indexed in any case
 BROADCAST_KEYS = 200_000  # of 32 characters
 BLOCK = 1024        # members of a signature's group that one task compares with one another
 NEAREST = 3         # partners that a member asks for in the first pass, in each of its ...
@@ -61,6 +63,19 @@ def band_edges(num: int, den: int, top: int = 1 << 31) -> tuple[int, ...]:
     return tuple(edges)
 
 
+def _chance(n: int, m: int) -> tuple[float, float, float]:
+    """Chances that a segment of a set of ``n`` elements has 0, 1 and 2 of them."""
+    if m == 1:
+        return float(n == 0), float(n == 1), float(n == 2)
+    p0 = (1 - 1 / m) ** n
+    return p0, n * p0 / (m - 1), n * (n - 1) / 2 * p0 / (m - 1) ** 2
+
+
+def _short(mean: float, var: float, h: int) -> float:
+    """Chance (normal approximation) that units with this mean and variance do not exceed ``h``."""
+    return 0.5 * math.erfc((mean - h - 0.5) / math.sqrt(2 * var + 1e-9))
+
+
 @lru_cache(maxsize=None)
 def layout(band: int, num: int, den: int) -> tuple[int, int, int]:
     """(segments, segments with one-deletion neighbourhoods, H) for pairs whose larger set is in
@@ -70,18 +85,18 @@ def layout(band: int, num: int, den: int) -> tuple[int, int, int]:
     h = max_difference(high, high, num, den)
     best = None
     for d in range(0, min(h + 1, 8) + 1):
-        for slack in range(0, 2 + int(0.5 * h) + 1):
-            m = h + 1 - d + slack
+        for extra in range(0, 61):
+            m = h + 1 - d + (extra if h < 100 else extra * h // 100)
             if m < max(1, d):
                 continue
-            empties = m * (1 - 1 / m) ** low
-            over = 1.0 if slack == 0 and empties > 0.01 else math.exp(-max(0.0, slack + 1 - empties) ** 2 / (2 * empties + 1e-9))
-            thin = low * (1 - 1 / m) ** (low - 1) if m > 1 else float(low == 1)
-            cost = m + d * high / m + EMPTY_PRICE * empties * min(1.0, over) + THIN_PRICE * thin
+            p0, p1, p2 = _chance(low, m)
+            p3 = 1 - p0 - p1 - p2
+            pair, pair_var = 2 * p3 + p2, 4 * p3 + p2 - (2 * p3 + p2) ** 2
+            units = lambda p: ((m - d) * p + d * pair, (m - d) * p * (1 - p) + d * pair_var)  # noqa: B023, E731
+            cost = (m + d * high / m + EMPTY_PRICE * m * p0 * _short(*units(1 - p0), h)
+                    + THIN_PRICE * m * p1 * _short(*units(1 - p0 - p1), h))
             if best is None or cost < best[0] - 1e-9:
                 best = (cost, m, d)
-            if slack > 2 + 4 * empties:
-                break
     return best[1], best[2], h
 
 
@@ -111,16 +126,20 @@ def _signatures(n: np.ndarray, h: np.ndarray, num: int, den: int) -> tuple[np.nd
         full = np.flatnonzero(count)
         total[full] = np.add.reduceat(g[order], np.concatenate(([0], np.cumsum(count[full])[:-1])))
         salt = mix(np.arange(m, dtype=U) + U(int(b) << 32))
-        units = (count.reshape(-1, m) > 0).sum(1) + d
-        skip = units > diff
-        use = (count.reshape(-1, m) > 0) | ~skip[:, None]
-        use[:, :d] = True
+        held = count.reshape(-1, m)
+        plain = held[:, d:]
+        pair = 2 * (held[:, :d] >= 3).sum(1) + (held[:, :d] == 2).sum(1)
+        least = np.zeros(len(ids), np.int64)  # the smallest segment that is indexed
+        for c in range(1, SMALLEST + 1):
+            least[(plain >= c).sum(1) + pair > diff] = c
+        use = held >= least[:, None]
+        use[:, :d] = (held[:, :d] >= 2) | (least == 0)[:, None]
         use = use.ravel()
         owner = np.repeat(np.arange(len(ids)), m)
         owners.append(ids[owner[use]])
         sigs.append(mix(total[use] + np.tile(salt, len(ids))[use]))
         if d:
-            one = seg < d
+            one = (seg < d) & ((count[flat] >= 3) | (least[rep] == 0))
             owners.append(ids[rep[one]])
             sigs.append(mix(total[flat[one]] - g[one] + salt[seg[one]]))
     if not owners:
