@@ -33,35 +33,46 @@ from hrlens.llm.store import components, staged
 DIMS = 8         # leading principal directions of the grid
 INTERVAL = 2048  # vectors of one interval
 LEAF = 128
+HELD = 50_000    # vectors that a task collapses together
 SLACK = 1e-9     # rounding allowance when boxes are compared
 
 
+_ROWS = "uid long, vec_id long, rep long, label string, dim int, m long, vec binary"
+
+
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the rows and points equal vectors of one task at the first of them."""
+    """Numbers the rows, points equal vectors of one task at the first of them (``rep``), and hands on
+    each such vector once, with its copies counted in ``m``; ``m`` is null on the input's rows."""
     uid = TaskContext.get().partitionId() << 33
-    first: dict[tuple, int] = {}
+    held: dict[tuple, list[int]] = {}  # (label, vector) -> number of the first row, copies
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+
+    def vectors() -> pa.RecordBatch:
+        cols = list(zip(*((rep, None, rep, label, len(raw) // 8, m, raw) for (label, raw), (rep, m) in held.items())))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
     for batch in batches:
-        vecs, labels = batch["vec"].to_pylist(), batch["label"].to_pylist()
-        uids, reps, dims, out = [], [], [], []
-        for v, label in zip(vecs, labels):
-            rep, raw = uid, None
+        reps, start = [], uid
+        for v, label in zip(batch["vec"].to_pylist(), batch["label"].to_pylist()):
+            rep = uid
             if label is not None and v and None not in v:
                 x = np.array(v, np.float64)
                 norm = math.sqrt(float(x @ x)) if np.isfinite(x).all() else 0.0
                 if 0.0 < norm < math.inf:
-                    raw = x.astype("<f8").tobytes()
-                    rep = first.setdefault((label, raw), uid)
-            uids.append(uid)
+                    entry = held.setdefault((label, x.astype("<f8").tobytes()), [uid, 0])
+                    entry[1] += 1
+                    rep = entry[0]
             reps.append(rep)
-            dims.append(0 if raw is None else len(v))
-            out.append(raw if rep == uid else None)
             uid += 1
-        if len(first) > 50_000:
-            first.clear()
+        n = len(reps)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(uids, pa.int64()), batch["vec_id"], batch["label"], pa.array(reps, pa.int64()),
-             pa.array(dims, pa.int32()), pa.array(out, pa.binary())],
-            names=["uid", "vec_id", "label", "rep", "dim", "vec"])
+            [pa.array(range(start, uid), kinds[0]), batch["vec_id"], pa.array(reps, kinds[2]), *(pa.nulls(n, k) for k in kinds[3:])], names=names)
+        if len(held) > HELD:
+            yield vectors()
+    if held:
+        yield vectors()
 
 
 def _units(vecs: list[bytes]) -> np.ndarray:
@@ -251,15 +262,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     eps = math.sqrt(2 - 2 * least)
     table = staged(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"),
                                   F.col(label_col).cast("string").alias("label"))
-                   .mapInArrow(_collapse, "uid long, vec_id long, label string, rep long, dim int, vec binary"), "ego-rows")
-    usable = table.filter("dim > 0")
-    reps = usable.filter("uid = rep").select("uid", "label", "dim", "vec")
+                   .mapInArrow(_collapse, _ROWS), "ego-rows")
+    reps = table.filter("m is not null").select("uid", "label", "dim", "m", "vec")
     basis = principal_directions(reps)
-    copies = usable.groupBy("rep").agg(F.count("*").alias("m"))
     order = ["label", "dim", *(f"c{k}" for k in range(DIMS)), "uid"]
-    placed = reps.join(copies.withColumnRenamed("rep", "uid"), "uid").select("uid", "label", "dim", "m", "vec").mapInArrow(
+    placed = reps.mapInArrow(
         _place(basis, eps), "uid long, label string, dim int, m long, vec binary, " + ", ".join(f"c{k} int" for k in range(DIMS)))
-    blocks = staged(staged(placed, "ego-placed").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+    blocks = staged(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
         _intervals(basis), "block long, label string, dim int, lo array<double>, hi array<double>, uids binary, ms binary, vecs binary"),
         "ego-intervals")
     span = lambda lo, hi, more: F.sequence(F.floor((F.col(lo)[0] - more) / eps), F.floor((F.col(hi)[0] + more) / eps))
@@ -279,10 +288,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
                    .mapInArrow(_link(basis, least), "uid long, links long, mate long"), "ego-links")
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("uid").alias("a"), F.col("mate").alias("b")), "ego-cc")
-    facts = copies.join(links.withColumnRenamed("uid", "rep"), "rep", "left").join(
+    facts = reps.select(F.col("uid").alias("rep"), "m").join(links.withColumnRenamed("uid", "rep"), "rep", "left").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    rows = table.select("vec_id", "rep").join(facts, "rep", "left").select(
+    rows = table.filter("m is null").select("vec_id", "rep").join(facts, "rep", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "rep").alias("root"))
     smallest = rows.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     return rows.join(smallest, "root").select(
