@@ -18,7 +18,7 @@ from hrlens.llm.textkit import Slice, U, _LOWER, span_hashes, words
 
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = "<|startoftext|>"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
 JOINED = 1000
 _LETTER_OR_DIGIT = np.zeros(256, bool)
 _LETTER_OR_DIGIT[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -66,11 +66,10 @@ class WordTokenizer:
         base = len(self.ids)
         self.starts = np.concatenate((self.starts, base + np.cumsum(counts) - counts))
         self.ids = np.concatenate((self.ids, np.array([t for x in got for t in x], np.uint32)))
-        self.slot = np.concatenate((self.slot, len(self.counts) + np.arange(len(hashes))))
+        place = np.searchsorted(self.known, hashes)  # both sorted
+        self.slot = np.insert(self.slot, place, len(self.counts) + np.arange(len(hashes)))
+        self.known = np.insert(self.known, place, hashes)
         self.counts = np.concatenate((self.counts, counts))
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known, kind="stable")
-        self.known, self.slot = known[order], self.slot[order]
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.known):
