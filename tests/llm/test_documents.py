@@ -168,6 +168,18 @@ def test_line_dedup(spark):
     assert line_dedup.remove_spread_lines(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_whatever_the_share(spark):
+    common = ["Share this page with all of your friends", "All rights reserved by the owner"]
+    both = "\n".join(common)
+    rows = [(i, f"{both}\nOwn {i}", "en", f"s{i}") for i in range(12)]          # mostly boilerplate, each text once
+    rows += [(50, both, "en", "s0"), (51, f"{both}\nOn two", "en", "s1"), (52, f"{both}\nOn two", "en", "s2")]
+    rows += [(100 + i, f"A copied page\nwith three lines\n{common[0]}", "en", f"s{i}") for i in range(12)]
+    got = {r["doc_id"]: (r["text"], r["seen"]["n_removed"])
+           for r in line_dedup.remove_spread_lines(documents(spark, rows), report="seen").collect()}
+    want = {i: (f"Own {i}", 2) for i in range(12)} | {50: ("", 2), 51: ("On two", 2), 52: ("On two", 2)}
+    assert got == want | {100 + i: ("A copied page\nwith three lines", 1) for i in range(12)}
+
+
 def test_language_model_is_normalised(spark):
     docs = documents(spark, [(i, "abba baab abab " * 3, "x", "s") for i in range(5)] + [(9, "cdc dcd", "y", "s")])
     model = langid.fit(docs)
