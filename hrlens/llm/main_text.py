@@ -3,9 +3,13 @@
 A page is cut into text blocks, each with the path of block elements (and their class words) from
 the root.  Text length, punctuation and link text are summed per path.  Three ratios per path (text
 per node, punctuation per node, share of text outside links) are fused into one score, the scores
-are smoothed along the page, and blocks above the threshold select the content paths.  The smallest
-element that holds nearly all selected text is the content; its remaining blocks (headings, short
-paragraphs, lists) come with it unless they stand in an element that is marked as something else.
+are smoothed along the page, and blocks above the threshold select the content paths.  Where an
+``article`` or ``main`` holds a good part of the selected text, selection stays inside of these.  The
+content is the smallest element that holds all selected blocks, or the outermost element around it
+that is marked as content and holds no other article; all its blocks (headings, short paragraphs,
+lists, references) come with it unless they stand in an element that is marked as something else.
+Only where that element is the unmarked page itself, link lists before the first selected block are
+taken for navigation.
 
 Defined cases: a null or empty page gives an empty text; broken markup is read as far as it goes;
 character references are decoded; white space inside a block becomes one space; blocks are joined
@@ -39,6 +43,7 @@ OTHER_WORDS = frozenset(
     "hidden".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 CONTENT_WORDS = frozenset("article content main post story entry body text".split())
+PARTS = frozenset("p li td tr tbody table ul ol dl dd blockquote pre".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
                      "hr main menu nav ol p pre section table ul li dt dd".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -228,27 +233,31 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     least = max(mean - spread, 0.35 * max(b.score for b in own))
     good = {b.node.path for b in own if b.score >= least and score[b.node.path] >= 0.5 * least}
     chosen = [b for b in own if b.node.path in good] or [max(own, key=lambda b: b.score)]
-    marked = [b for b in chosen if any(n.content for n in _line(b.node))]
+    marked = [b for b in chosen if any(n.content and n.tag in ("article", "main") for n in _line(b.node))]
     if sum(len(b.text) for b in marked) >= 0.3 * sum(len(b.text) for b in chosen):
         chosen = marked
-    inside: dict[int, tuple[Node, int]] = {}
-    total = 0
-    for b in chosen:
-        total += len(b.text)
-        for n in _line(b.node):
-            node, have = inside.get(id(n), (n, 0))
-            inside[id(n)] = (node, have + len(b.text))
-    root = max((n for n, have in inside.values() if have >= 0.9 * total), key=lambda n: sum(1 for _ in _line(n)))
-    if root.tag in ("p", "li", "td", "tr", "ul", "ol", "dl", "dd", "blockquote", "pre") or re.fullmatch("h[1-6]", root.tag):
-        while root.parent is not None and root.tag in ("p", "li", "td", "tr", "tbody", "table", "ul", "ol", "dl", "dd", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"):
-            root = root.parent
-    for n in _line(root):  # an article may hold the chosen element and its heading
-        if n.tag in ("article", "main") and n.content:
+    shared = {id(n) for n in _line(chosen[0].node)}
+    for b in chosen[1:]:
+        shared &= {id(n) for n in _line(b.node)}
+    root = next(n for n in _line(chosen[0].node) if id(n) in shared)
+    while root.parent is not None and (root.tag in PARTS or re.fullmatch("h[1-6]", root.tag)):
+        root = root.parent
+    article = next((n for n in _line(root) if n.tag == "article"), None)
+    for n in [n for n in _line(root) if n.content and n.tag not in ("body", "html")]:
+        if article is None or not any(_apart(b.node, article, n) for b in own):
             root = n
-            break
-    ids = {id(b) for b in chosen}
-    return [b for b in own if id(b) in ids and any(n is root for n in _line(b.node))
-            or any(n is root for n in _line(b.node)) and (b.linked <= 0.6 * len(b.text) or root.tag == "article")]
+    inside = [b for b in own if any(n is root for n in _line(b.node))]
+    if root.content or root.tag not in ("body", "html", ""):
+        return inside
+    first = next(i for i, b in enumerate(inside) if b is chosen[0])
+    return [b for i, b in enumerate(inside) if i > first or b is chosen[0] or b.linked <= 0.6 * len(b.text)]
+
+
+def _apart(node: Node, article: Node, above: Node) -> bool:
+    """``node`` stands below ``above`` in another article than ``article``."""
+    line = list(_line(node))
+    return any(n is above for n in line) and not any(n is article for n in line) and any(
+        n.tag == "article" for n in line[:next(i for i, n in enumerate(line) if n is above)])
 
 
 def main_text(page: str | None) -> str:

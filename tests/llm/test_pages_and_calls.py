@@ -35,6 +35,21 @@ def test_main_text_of_layouts(page):
     assert mt.main_text(page) == "\n\n".join(ARTICLE)
 
 
+LINKS = "<ul>" + "".join(f'<li><a href="/{w}">{w} of the references</a></li>' for w in ("first", "second")) + "</ul>"
+REFERENCES = ["first of the references", "second of the references"]
+
+
+@pytest.mark.parametrize("page,more", [
+    (f'<body><nav>{MENU}</nav><div class="post"><h1>{ARTICLE[0]}</h1><div class="body">{BODY[len(ARTICLE[0]) + 9:]}</div></div>', []),
+    (f'<body><div>{MENU}</div><div><div>{BODY}{"<p>" + LONG * 20}</div><div><p>{LONG}</p></div></div>', [LONG * 20, LONG]),
+    (f'<body><div>{MENU}</div><div class="entry">{BODY}{LINKS}</div><div class="footer">{LINKS}</div>', REFERENCES),
+    (f'<body><div>{MENU}</div><div><div>{BODY}</div><div><p>{LONG}</p></div>{LINKS}</div>', [LONG, *REFERENCES]),
+    (f'<main><div class="post"><article>{BODY}</article></div><article><h2><a href="x">Another</a></h2></article></main>', []),
+])
+def test_main_text_is_whole(page, more):
+    assert mt.main_text(page) == "\n\n".join([*ARTICLE, *more])
+
+
 def test_main_text_of_odd_pages(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "just words"), (4, "u", "<p>a<p>b &amp &#x41;&bogus; <br>c"), (5, "u", "<nav>menu</nav>"),
              (6, "u", "<<<>>> <p <div> text. <"), (7, "u", "<script>never closed <p>x"), (7, "u", "<script>never closed <p>x"),
