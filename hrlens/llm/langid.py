@@ -5,11 +5,12 @@ run of other characters one boundary symbol).  Kneser-Ney needs nothing else: lo
 continuation counts, the number of distinct characters seen before a gram.  Counts are pre-reduced
 in each task and summed by Spark.
 
-Each language's model is a sorted array of gram hashes with discounted probabilities and one of
-context hashes with interpolation weights (one minus what the kept grams use, so the model stays
-normalised).  A gram stays in the model when its share of its language's events is at least
-``languages / MODEL_ENTRIES``; shares sum to one, so an order has at most ``MODEL_ENTRIES`` grams
-over all languages whatever the corpus size.  That is the bound of the broadcast.
+The model is a table of discounted probabilities by language and gram, and one of interpolation
+weights by language and context; every gram seen in training stays.  While an order has at most
+``MODEL_ENTRIES`` grams over all languages the tables are broadcast as sorted arrays of hashes.  A
+larger model stays in its tables: the distinct grams of the distinct texts, per slice of about
+``SLICE_BYTES``, are joined with it order by order (a gram with its suffix's cost, so no key has more
+rows than there are symbols), and each slice is scored beside the costs of its own grams.
 
 A text gets the language with the lowest cross-entropy per symbol.  Rejection is calibrated on
 the training texts by language and length class: a text whose cross-entropy lies far outside of
@@ -33,12 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hrlens.llm.store import staged
+from hrlens.llm.store import free_name, staged
 from hrlens.llm.textkit import U, mix
 
 ORDER = 4
 MODEL_ENTRIES = 1 << 20
 UNSEEN = 1.0 / 65536      # uniform share of a symbol below the unigrams
+SLICE_BYTES = 4_000_000   # bytes of distinct texts that are scored together when the model is joined
 RUN_CHARS = 1_000_000     # characters that a task handles together
 KNOWN_GRAMS = 500_000     # grams whose costs a task keeps
 FLUSH_GRAMS = 1_000_000   # distinct grams a counting task holds before it hands them on
@@ -189,57 +191,160 @@ def _look(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, default: float)
     return np.where(keys[i] == key, values[i], default)
 
 
-def fit(train: DataFrame) -> Model:
+@dataclass
+class Tables:
+    """The written model: per order from ``ORDER`` down ``(lang, k, v)`` of grams and of contexts."""
+
+    langs: list[str]
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    size: int             # grams of the longest order, which has the most
+
+
+def tables(train: DataFrame) -> Tables:
     """The model of ``train(text, lang)``; every row with both is counted whole."""
     counts = staged(train.filter("text is not null and lang is not null").select("text", "lang")
                     .mapInArrow(_count, "lang string, code long, n long")
                     .groupBy("lang", "code").agg(F.sum("n").alias("c")), "lang-grams")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    found = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     gram_rows, ctx_rows = [], []
     table = counts
     for order in range(ORDER, 0, -1):
         totals = (table.groupBy("lang").agg(
-            F.sum("c").alias("events"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
-            .withColumn("d", F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5))
-            .select("lang", "d", (F.col("events") * len(langs) / MODEL_ENTRIES).alias("least")))
+            F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
+            .select("lang", F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5).alias("d")))
         ctx = F.shiftrightunsigned("code", 16)
         ctx_totals = table.groupBy("lang", ctx.alias("ctx")).agg(F.sum("c").alias("tot"))
-        kept = (table.join(F.broadcast(totals), "lang").filter(F.col("c") >= F.col("least"))  # one row per language
-                .withColumn("ctx", ctx).join(ctx_totals, ["lang", "ctx"])
-                .select("lang", "code", "ctx", ((F.col("c") - F.col("d")) / F.col("tot")).alias("p")))
-        kept = staged(kept, f"lang-order{order}")
-        gram_rows.append(kept.select("lang", F.lit(order).alias("o"), F.col("code").alias("k"), F.col("p").alias("v")))
-        ctx_rows.append(kept.groupBy("lang", "ctx").agg((1 - F.sum("p")).alias("v"))
-                        .select("lang", F.lit(order).alias("o"), F.col("ctx").alias("k"), "v"))
+        grams = (table.join(F.broadcast(totals), "lang")  # one row per language
+                 .withColumn("ctx", ctx).join(ctx_totals, ["lang", "ctx"])
+                 .select("lang", "code", "ctx", ((F.col("c") - F.col("d")) / F.col("tot")).alias("p")))
+        grams = staged(grams, f"lang-order{order}")
+        gram_rows.append(grams.select("lang", F.col("code").alias("k"), F.col("p").alias("v")))
+        ctx_rows.append(grams.groupBy("lang", F.col("ctx").alias("k")).agg((1 - F.sum("p")).alias("v")))
         if order > 1:
             mask = (1 << (16 * (order - 1))) - 1
             table = staged(table.groupBy("lang", F.col("code").bitwiseAND(F.lit(mask)).alias("code"))
                            .agg(F.count("*").alias("c")), f"lang-cont{order - 1}")
+    return Tables(sorted(found), gram_rows, ctx_rows, sum(found.values()))
+
 
+def fit(train: DataFrame) -> Model:
+    """The whole model of ``train(text, lang)`` as arrays."""
+    return _arrays(tables(train))
+
+
+def _arrays(model: Tables) -> Model:
     def arrays(parts: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray]]:
-        by = {lang: ([], []) for lang in langs}
-        for part in parts:  # at most MODEL_ENTRIES rows each
+        by = {lang: ([], []) for lang in model.langs}
+        for order, part in zip(range(ORDER, 0, -1), parts):
             got = part.toArrow()
             lang = np.array(got["lang"].to_pylist(), dtype=object)
             key = got["k"].to_numpy().view(U)
             value = np.clip(got["v"].to_numpy(), 0.0, 1.0)
-            order = int(got["o"][0].as_py()) if got.num_rows else 1
-            for name in langs:
+            for name in model.langs:
                 mine = lang == name
                 by[name][0].append(_key(key[mine], order))
                 by[name][1].append(value[mine])
         out = []
-        for name in langs:
+        for name in model.langs:
             k = np.concatenate(by[name][0] or [np.zeros(0, U)])
             v = np.concatenate(by[name][1] or [np.zeros(0)]).astype(np.float32)
             at = np.argsort(k)
             out.append((k[at], v[at]))
         return out
 
-    return Model(langs, arrays(gram_rows), arrays(ctx_rows))
+    return Model(model.langs, arrays(model.grams), arrays(model.contexts))
+
+
+@dataclass
+class Costs:
+    """The costs of a slice's grams, sorted by code: one row per language."""
+
+    langs: list[str]
+    known: np.ndarray
+    cost: np.ndarray
+
+    def surprise(self, codes: np.ndarray) -> np.ndarray:
+        return self.cost[:, np.searchsorted(self.known, codes)]
 
 
-def cross_entropy(model: Model | Scorer, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slice_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slices = batch["slice"].to_numpy()
+        for i, texts in _runs(batch["text"]):
+            doc, code, _ = symbols(texts)
+            own = slices[i:i + len(texts)][doc]
+            for one in np.unique(own):
+                c = np.unique(code[own == one])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), one)), pa.array(c.view(np.int64))], names=["slice", "code"])
+
+
+def _gram_costs(codes: DataFrame, model: Tables) -> DataFrame:
+    """``code, cost`` of distinct 4-gram codes: -log p by language, as ``Model.surprise``."""
+    wanted = [codes]
+    for order in range(ORDER - 1, 0, -1):
+        mask = F.lit((1 << (16 * order)) - 1)
+        wanted.append(staged(wanted[-1].select(F.col("code").bitwiseAND(mask).alias("code")).distinct(), f"lang-want{order}"))
+
+    def by_language(table: DataFrame, name: str) -> DataFrame:
+        return table.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.greatest(
+            F.lit(0.0), F.least(F.lit(1.0), "v"))))).alias(name))
+
+    below = None
+    langs = F.array(*[F.lit(x) for x in model.langs])
+    for order in range(1, ORDER + 1):
+        rows = wanted[ORDER - order].withColumn("ctx", F.shiftrightunsigned("code", 16))
+        grams, contexts = by_language(model.grams[ORDER - order], "g"), by_language(model.contexts[ORDER - order], "w")
+        if order == 1:
+            contexts = F.broadcast(contexts)  # a single row
+            rows = rows.withColumn("low", F.array_repeat(F.lit(UNSEEN), len(model.langs)))
+        else:
+            rows = (rows.withColumn("rest", F.col("code").bitwiseAND(F.lit((1 << (16 * (order - 1))) - 1)))
+                    .join(below, "rest"))
+        p = F.zip_with(langs, "low", lambda lang, low: F.coalesce(F.element_at("g", lang), F.lit(0.0))
+                       + F.coalesce(F.element_at("w", lang), F.lit(1.0)) * low)
+        rows = (rows.join(grams.withColumnRenamed("k", "code"), "code", "left")
+                .join(contexts.withColumnRenamed("k", "ctx"), "ctx", "left").select("code", p.alias("p")))
+        below = staged(rows, f"lang-costs{order}").select(F.col("code").alias("rest"), F.col("p").alias("low"))
+    return below.select(F.col("rest").alias("code"), F.transform("low", lambda x: -F.log(F.greatest(x, F.lit(1e-12)))).cast("array<float>").alias("cost"))
+
+
+_TEXT_COLS = "tkey string, best string, ce double, gaps array<float>, n long, usable boolean"
+
+
+def _score_slice(langs: list[str]):
+    def run(texts: pa.Table, grams: pa.Table) -> pa.Table:
+        code = grams["code"].to_numpy().view(U)
+        cost = grams["cost"].combine_chunks().flatten().to_numpy().reshape(len(code), len(langs)).T if len(code) else np.zeros((len(langs), 0), np.float32)
+        at = np.argsort(code)
+        costs = Costs(langs, code[at], cost[:, at])
+        out = [pa.RecordBatch.from_arrays([batch["tkey"][i:i + len(part)], *_scores(costs, part)[0]],
+                                          names=["tkey", "best", "ce", "gaps", "n", "usable"])
+               for batch in texts.to_batches() for i, part in _runs(batch["text"])]
+        return pa.Table.from_batches(out, pa.schema([("tkey", pa.string()), ("best", pa.string()), ("ce", pa.float64()), (
+            "gaps", pa.list_(pa.float32())), ("n", pa.int64()), ("usable", pa.bool_())]))
+    return run
+
+
+def _score_by_join(rows: DataFrame, model: Tables) -> DataFrame:
+    """``rows`` scored as by ``_score``, against the model in its tables."""
+    texts = rows.filter("text is not null").select(F.md5("text").alias("tkey"), "text").groupBy("tkey").agg(F.first("text").alias("text"))
+    texts = staged(texts, "lang-texts")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.withColumn("slice", F.pmod(F.xxhash64("tkey"), F.lit(size // SLICE_BYTES + 1)))
+    grams = staged(texts.select("slice", "text").mapInArrow(_slice_grams, "slice long, code long").distinct(), "lang-slices")
+    costs = _gram_costs(staged(grams.select("code").distinct(), "lang-want"), model)
+    scored = (texts.groupBy("slice").cogroup(grams.join(costs, "code").groupBy("slice"))
+              .applyInArrow(_score_slice(model.langs), _TEXT_COLS))
+    where = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col("lang"))
+    return (rows.withColumn("tkey", F.md5("text")).join(staged(scored, "lang-text-scores"), "tkey", "left")
+            .select("doc_id", F.col("lang").alias("text_lang"), "crc", F.coalesce("best", F.lit("und")).alias("best"),
+                    F.coalesce("ce", F.lit(0.0)).alias("ce"),
+                    (F.col("ce") + F.when(where > 0, F.get("gaps", (where - 1).cast("int"))).cast("double")).alias("own"),
+                    "gaps", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("usable", F.lit(False)).alias("usable"), "tkey"))
+
+
+def cross_entropy(model: Model | Scorer | Costs, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nats per symbol, one row per language; number of symbols; has a letter)."""
     doc, code, has = symbols(texts)
     uniq, back = np.unique(code, return_inverse=True)
@@ -253,25 +358,31 @@ def cross_entropy(model: Model | Scorer, texts: list[str | None]) -> tuple[np.nd
 _COLS = "doc_id long, text_lang string, crc long, best string, ce double, own double, gaps array<float>, n long, usable boolean"
 
 
+def _scores(model: Scorer | Costs, texts: list[str | None]) -> tuple[list[pa.Array], np.ndarray]:
+    """(``best, ce, gaps, n, usable`` of the texts; nats per symbol, one row per language)."""
+    ce, n, has = cross_entropy(model, texts)
+    names = np.array([*model.langs, "und"], dtype=object)
+    best = np.where(has, ce.argmin(0) if len(ce) else 0, len(model.langs))
+    lowest = ce.min(0) if len(ce) else np.zeros(len(texts))
+    gaps = (ce - lowest).T.astype(np.float32)
+    off = np.arange(len(texts) + 1, dtype=np.int32) * len(model.langs)
+    return [pa.array(names[best], pa.string()), pa.array(lowest), pa.ListArray.from_arrays(pa.array(off), pa.array(gaps.ravel())),
+            pa.array(n.astype(np.int64)), pa.array(has)], ce
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Scorer(shared.value)
-        names = np.array([*model.langs, "und"], dtype=object)
         where = {x: i for i, x in enumerate(model.langs)}
         for batch in batches:
             for i, texts in _runs(batch["text"]):
-                ce, n, has = cross_entropy(model, texts)
+                (best, lowest, gaps, n, has), ce = _scores(model, texts)
                 rows = slice(i, i + len(texts))
-                best = np.where(has, ce.argmin(0) if len(ce) else 0, len(model.langs))
-                lowest = ce.min(0) if len(ce) else np.zeros(len(texts))
                 labels = batch["lang"][rows].to_pylist()
                 own = [float(ce[where[x], j]) if x in where else None for j, x in enumerate(labels)]
-                gaps = (ce - lowest).T.astype(np.float32)
-                off = np.arange(len(texts) + 1, dtype=np.int32) * len(model.langs)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"][rows], batch["lang"][rows], batch["crc"][rows], pa.array(names[best], pa.string()),
-                     pa.array(lowest), pa.array(own, pa.float64()),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(gaps.ravel())), pa.array(n.astype(np.int64)), pa.array(has)],
+                    [batch["doc_id"][rows], batch["lang"][rows], batch["crc"][rows], best, lowest, pa.array(own, pa.float64()),
+                     gaps, n, has],
                     names=["doc_id", "text_lang", "crc", "best", "ce", "own", "gaps", "n", "usable"])
     return run
 
@@ -314,7 +425,7 @@ def _limit(accepted: dict[tuple[str, int], float], lang: str, size: int) -> floa
     return own[near] + 0.25 * max(0, near - size)  # shorter than any calibrated: more tolerance
 
 
-def _limit_map(model: Model, accepted) -> Column:
+def _limit_map(model: Tables, accepted) -> Column:
     pairs = [x for lang in model.langs for size in range(0, 40)
              for x in (F.lit(f"{lang}\t{size}"), F.lit(_limit(accepted, lang, size)))]
     return F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(0.0))
@@ -333,9 +444,12 @@ def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str =
     Rows whose ``crc32(id) % folds`` is ``held_fold`` are predicted only.
     """
     rows = _prepare(docs, id_col, text_col, lang_col)
-    model = fit(rows.filter(F.col("crc") % folds != held_fold))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = staged(rows.mapInArrow(_score(shared), _COLS), "lang-scored")
+    model = tables(rows.filter(F.col("crc") % folds != held_fold))
+    if model.size <= MODEL_ENTRIES:
+        shared = docs.sparkSession.sparkContext.broadcast(_arrays(model))
+        scored = staged(rows.mapInArrow(_score(shared), _COLS), "lang-scored")
+    else:
+        scored = staged(_score_by_join(rows, model), "lang-scored")
     heat, accepted = _calibrate(scored.filter(F.col("crc") % folds != held_fold))
     spread = F.aggregate("gaps", F.lit(0.0), _adds(heat))
     limit = F.element_at(_limit_map(model, accepted), F.concat("best", F.lit("\t"), length_class(F.col("n")).cast("string")))
@@ -350,8 +464,16 @@ def drop_rejected(docs: DataFrame, folds: int = 4, held_fold: int = 2, id_col: s
                   text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows that language identification rejects, all columns as they were."""
     rows = _prepare(docs, id_col, text_col, lang_col)
-    model = fit(rows.filter(F.col("crc") % folds != held_fold))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = tables(rows.filter(F.col("crc") % folds != held_fold))
+    if model.size > MODEL_ENTRIES:
+        scored = staged(_score_by_join(rows, model), "lang-scored")
+        _, accepted = _calibrate(scored.filter(F.col("crc") % folds != held_fold))
+        limit = F.element_at(_limit_map(model, accepted), F.concat("best", F.lit("\t"), length_class(F.col("n")).cast("string")))
+        fine = scored.filter(F.col("usable") & (F.col("ce") <= limit)).select("tkey").distinct()
+        name = free_name(docs, "tkey")
+        return docs.withColumn(name, F.md5(F.col(text_col).cast("string"))).join(
+            fine.withColumnRenamed("tkey", name), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast(_arrays(model))
     train = rows.filter((F.col("crc") % folds != held_fold) & F.col("lang").isNotNull())
     _, accepted = _calibrate(staged(train.mapInArrow(_score(shared), _COLS), "lang-calibration"))
     limits = {lang: np.array([_limit(accepted, lang, size) for size in range(64)]) for lang in model.langs}

@@ -189,6 +189,33 @@ def test_language_model_is_normalised(spark):
     assert np.exp(-model.surprise(codes).astype(float)).sum(1) == pytest.approx([1, 1], abs=1e-3)
 
 
+def test_language_model_keeps_every_gram(spark, monkeypatch):
+    """A corpus over the size of the broadcast has the same model and the same results."""
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in small(spark).collect() if len(r["text"]) < 6000]
+    docs = documents(spark, rows + [(10_000 + k, *x[1:]) for k, x in enumerate(odd_rows())])
+    train = docs.filter("text is not null and lang is not null")
+    want = {x: set() for x in langid.fit(docs).langs}
+    for r in train.collect():
+        want[r["lang"]] |= set(langid.symbols([r["text"]])[1].tolist())
+
+    def results():
+        model = langid.tables(docs)
+        kept = {x: set() for x in model.langs}
+        for r in model.grams[0].collect():
+            kept[r["lang"]].add(r["k"] % 2 ** 64)
+        assert kept == want
+        found = sorted(((r["doc_id"], r["held_out"], r["lang_pred"], r["rejected"], r["score"], r["cross_entropy"] or -1.0)
+                        for r in langid.identify(docs).collect()), key=str)
+        return found, sorted(map(str, langid.drop_rejected(docs).collect()))
+
+    whole, stay = results()
+    monkeypatch.setattr(langid, "MODEL_ENTRIES", 100)
+    monkeypatch.setattr(langid, "SLICE_BYTES", 50_000)
+    joined, stay_too = results()
+    assert [x[:4] for x in joined] == [x[:4] for x in whole] and stay_too == stay
+    assert [y for x in joined for y in x[4:]] == pytest.approx([y for x in whole for y in x[4:]], abs=1e-4)
+
+
 def test_language_identification(spark):
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     odd = [(100_000 + k, *x[1:]) for k, x in enumerate(odd_rows())]
