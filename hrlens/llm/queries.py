@@ -67,8 +67,8 @@ SCHEMAS = {
 
 def tool_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) derived from whole conversations: every assistant turn is a call that may use
-    the assistant's call before, every user turn the result of the call before it.  A fifth of the
-    calls is recorded late, a few have broken arguments."""
+    the assistant's call before, every user turn the result of the call before it, any other turn a
+    result without a call.  A fifth of the calls is recorded late, a few have broken arguments."""
     ident = lambda back: F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), F.col("turn") - back)
     pick = F.crc32(ident(0))
     name = F.element_at(F.array(*[F.lit(x) for x in ("search", "lookup", "summarise", "draw")]), (pick % 4 + 1).cast("int"))
@@ -77,7 +77,8 @@ def tool_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = conversations.filter("role = 'assistant'").select(
         "conv_id", ident(0).alias("call_id"), (F.col("turn") + F.when(pick % 5 == 0, 4).otherwise(0)).alias("turn"),
         name.alias("name"), F.when(pick % 97 == 0, F.substring(args, 1, 20)).otherwise(args).alias("arguments"))
-    results = conversations.filter("role = 'user'").select("conv_id", ident(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = conversations.filter("role is null or role <> 'assistant'").select(
+        "conv_id", F.when(F.col("role") == "user", ident(1)).otherwise(F.concat(F.lit("other_"), ident(0))).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

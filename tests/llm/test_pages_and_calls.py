@@ -113,6 +113,16 @@ def test_order_is_topological_on_random_graphs(spark):
     assert all(step[c, f"c{i}"] > step[c, f"c{j}"] for c, i, j in edges)
 
 
+def test_every_role_reaches_the_links(spark):
+    turns = [(1, 0, "system", "be brief"), (1, 1, "user", "hello"), (1, 2, "assistant", "hi"), (1, 3, "user", "thanks"),
+             (1, 4, None, "no role"), (1, 5, "tool", "other")]
+    calls, results = queries.tool_events(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    assert [r["call_id"] for r in calls.collect()] == ["c1_2"]
+    assert {r["turn"]: r["call_id"] for r in results.collect()} == {0: "other_c1_0", 1: "c1_0", 3: "c1_2", 4: "other_c1_4", 5: "other_c1_5"}
+    linked = tool_calls.link(calls, results, queries.SCHEMAS).collect()
+    assert sorted(r["status"] for r in linked) == ["linked"] + ["orphan"] * 4
+
+
 def test_linking_of_nothing(spark):
     calls = spark.createDataFrame([], "conv_id long, call_id string, turn long, name string, arguments string")
     results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
