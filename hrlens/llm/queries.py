@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrlens.llm import (ego_join, langid, line_dedup, main_text, mixing, ngram_join, packing, repetition, tool_calls,
-                        url_filter)
+from hrlens.llm import (ego_join, langid, line_dedup, main_text, mixing, ngram_join, packing, periodic, repetition,
+                        token_counts, tool_calls, url_filter, whitening)
 from hrlens.llm.store import library_on_workers
 
 
@@ -129,10 +129,48 @@ def op10_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with periodic words planted: where the id's crc32 ``h`` is divisible by 10,
+    every word from ``a = g % n`` on becomes the word ``a + (i - a) % p``, with ``g = h div 10``."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"),
+                       F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("w"))
+    rows = rows.withColumn("a", F.when(F.size("w") > 0, F.col("g") % F.size("w")))
+    rows = rows.withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    word = lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    planted = F.array_join(F.transform("w", word), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.periodic_runs(planted_periods(_table(spark, sf_dir, "documents")))
+    better = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.aggregate("runs", none, better)
+    return (rows.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256")))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` fits a long up to some 10^6 vectors of this spread; it is null beyond (the operator's
+    decimal has no such bound)."""
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_epsilon_grid_join, op2_repetition_coverage, op3_tag_path_ratios, op4_best_fit_packing, op5_source_mixing,
-        op6_site_spread_lines, op7_ngram_jaccard_join, op8_tool_call_linking, op9_temporal_url_filter, op10_kneser_ney_langid)
+        op6_site_spread_lines, op7_ngram_jaccard_join, op8_tool_call_linking, op9_temporal_url_filter, op10_kneser_ney_langid,
+        op11_periodic_runs, op12_token_counts, op13_whitening)
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
