@@ -206,11 +206,16 @@ l AS (SELECT rid, coalesce('=' || source, 'null') AS site, unnest(lines) AS line
 spread AS (SELECT trim(line, {_BLANKS}) AS line FROM l WHERE trim(line, {_BLANKS}) <> ''
            GROUP BY 1 HAVING count(DISTINCT site) >= 10),
 m AS (SELECT l.*, s.line IS NOT NULL AS hit FROM l LEFT JOIN spread s ON trim(l.line, {_BLANKS}) = s.line),
-r AS (SELECT rid, count(*) FILTER (WHERE hit) AS n, coalesce(sum(length(line)) FILTER (WHERE hit), 0) AS gone,
-             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS rest FROM m GROUP BY rid),
-f AS (SELECT d.doc_id, d.text, d.lines, r.n > 0 AND 2 * r.gone < length(d.text) AS cut, r.n, r.rest FROM d LEFT JOIN r USING (rid))
-SELECT doc_id, coalesce(len(lines), 0) AS n_lines, CASE WHEN cut THEN n ELSE 0 END AS n_removed,
-       length(CASE WHEN cut THEN rest ELSE text END) AS n_chars, md5(CASE WHEN cut THEN rest ELSE text END) AS text_md5 FROM f""",
+k AS (SELECT d.text, min(coalesce('=' || source, 'null')) AS site, max(coalesce('=' || source, 'null')) AS last FROM d GROUP BY d.text),
+h AS (SELECT d.text, list({{'line': trim(m.line, {_BLANKS}), 'pos': m.pos}}) AS hits, sum(length(m.line)) AS gone
+      FROM m JOIN (SELECT text, min(rid) AS rid FROM d GROUP BY text) d USING (rid) WHERE m.hit GROUP BY d.text),
+g AS (SELECT h.text, k.site, unnest(h.hits) AS x, k.site < k.last AND h.gone >= 0.5 * length(h.text) AS copy FROM h JOIN k USING (text)),
+proven AS (SELECT x.line AS line FROM g GROUP BY 1 HAVING count(DISTINCT site) >= 10),
+cut AS (SELECT text, list(x.pos) AS pos FROM g WHERE NOT copy OR x.line IN (SELECT line FROM proven) GROUP BY text),
+f AS (SELECT d.doc_id, d.text, d.lines, c.pos, CASE WHEN c.pos IS NULL THEN d.text ELSE
+             coalesce(array_to_string([l FOR l, i IN d.lines IF NOT list_contains(c.pos, i)], chr(10)), '') END AS rest
+      FROM d LEFT JOIN cut c ON c.text = d.text)
+SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(pos), 0) AS n_removed, length(rest) AS n_chars, md5(rest) AS text_md5 FROM f""",
     "op9_temporal_url_filter": r"""
 WITH p AS (SELECT page_id, url, timestamp '2024-01-01' + to_days((page_id * 7919 % 365)::INT) + to_seconds(page_id % 86400) AS t,
                   lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
