@@ -48,6 +48,7 @@ class Fit:
     values: np.ndarray
     vectors: np.ndarray
     trace: float
+    widest: int   # no deviation is larger than this
 
     def usable(self, k: int) -> int:
         """Components among the first ``k`` that have variance."""
@@ -101,12 +102,15 @@ def fit(rows: DataFrame) -> tuple[Fit, BlockMatrix] | None:
     n = rows.count()
     if not n:
         return None
-    sums = [r["s"] for r in rows.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("s")).orderBy("pos").collect()]
+    dims = (rows.select(F.posexplode("x").alias("pos", "v")).groupBy("pos")
+            .agg(F.sum("v").alias("s"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("pos").collect())  # one row a dimension
+    sums = [r["s"] for r in dims]
+    widest = sum(max(n * r["high"] - r["s"], r["s"] - n * r["low"]) ** 2 for r in dims)
     centred = _blocks(rows, n, sums)
     scatter = _multiply(centred.transpose(), centred, _splits(n)).toLocalMatrix().toArray()
     cov = (scatter + scatter.T) / (2.0 * n)
     values, vectors = np.linalg.eigh(cov)
-    return Fit(n, sums, values[::-1], vectors[:, ::-1], float(np.trace(cov))), centred
+    return Fit(n, sums, values[::-1], vectors[:, ::-1], float(np.trace(cov)), widest), centred
 
 
 def project(centred: BlockMatrix, model: Fit, k: int, spark: SparkSession) -> DataFrame:
@@ -151,9 +155,9 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "vec_
     else:
         rows = rows.withColumn("z", F.array().cast("array<double>"))
     total = F.array(*[F.lit(s) for s in model.sums])
-    square = F.transform("x", lambda v, i: (v * model.n - F.get(total, i)).cast("decimal(19,0)"))
-    zero = F.lit(0).cast("decimal(38,0)")
-    deviation = F.aggregate(square, zero, lambda a, d: (a + d * d).cast("decimal(38,0)"))
+    kind = "decimal(38,0)" if model.widest >= 1 << 63 else "long"   # the sum is exact in both
+    centre = F.transform("x", lambda v, i: (v * model.n - F.get(total, i)).cast("decimal(19,0)" if kind != "long" else kind))
+    deviation = F.aggregate(centre, F.lit(0).cast(kind), lambda a, d: (a + d * d).cast(kind)).cast("decimal(38,0)")
     share = [float(v / model.trace) if model.trace > 0 else None for v in model.values[:top]]
     parts = F.array(*[F.struct(F.lit(j + 1).alias("component"), (F.get("z", F.lit(j)) if j < k else F.lit(None).cast("double")).alias("whitened"),
                                F.lit(share[j]).cast("double").alias("explained")) for j in range(top)])
