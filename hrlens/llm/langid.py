@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from hrlens.llm.store import free_name, staged
-from hrlens.llm.textkit import U, mix
+from hrlens.llm.textkit import U, give_back, gives_back, mix
 
 ORDER = 4
 MODEL_ENTRIES = 1 << 20
@@ -204,7 +204,7 @@ class Tables:
 def tables(train: DataFrame) -> Tables:
     """The model of ``train(text, lang)``; every row with both is counted whole."""
     counts = staged(train.filter("text is not null and lang is not null").select("text", "lang")
-                    .mapInArrow(_count, "lang string, code long, n long")
+                    .mapInArrow(gives_back(_count), "lang string, code long, n long")
                     .groupBy("lang", "code").agg(F.sum("n").alias("c")), "lang-grams")
     found = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     gram_rows, ctx_rows = [], []
@@ -332,7 +332,7 @@ def _score_by_join(rows: DataFrame, model: Tables) -> DataFrame:
     texts = staged(texts, "lang-texts")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = texts.withColumn("slice", F.pmod(F.xxhash64("tkey"), F.lit(size // SLICE_BYTES + 1)))
-    grams = staged(texts.select("slice", "text").mapInArrow(_slice_grams, "slice long, code long").distinct(), "lang-slices")
+    grams = staged(texts.select("slice", "text").mapInArrow(gives_back(_slice_grams), "slice long, code long").distinct(), "lang-slices")
     costs = _gram_costs(staged(grams.select("code").distinct(), "lang-want"), model)
     scored = (texts.groupBy("slice").cogroup(grams.join(costs, "code").groupBy("slice"))
               .applyInArrow(_score_slice(model.langs), _TEXT_COLS))
@@ -447,7 +447,7 @@ def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str =
     model = tables(rows.filter(F.col("crc") % folds != held_fold))
     if model.size <= MODEL_ENTRIES:
         shared = docs.sparkSession.sparkContext.broadcast(_arrays(model))
-        scored = staged(rows.mapInArrow(_score(shared), _COLS), "lang-scored")
+        scored = staged(rows.mapInArrow(gives_back(_score(shared)), _COLS), "lang-scored")
     else:
         scored = staged(_score_by_join(rows, model), "lang-scored")
     heat, accepted = _calibrate(scored.filter(F.col("crc") % folds != held_fold))
@@ -475,7 +475,7 @@ def drop_rejected(docs: DataFrame, folds: int = 4, held_fold: int = 2, id_col: s
             fine.withColumnRenamed("tkey", name), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(_arrays(model))
     train = rows.filter((F.col("crc") % folds != held_fold) & F.col("lang").isNotNull())
-    _, accepted = _calibrate(staged(train.mapInArrow(_score(shared), _COLS), "lang-calibration"))
+    _, accepted = _calibrate(staged(train.mapInArrow(gives_back(_score(shared)), _COLS), "lang-calibration"))
     limits = {lang: np.array([_limit(accepted, lang, size) for size in range(64)]) for lang in model.langs}
 
     @arrow_udf("boolean")
@@ -491,5 +491,6 @@ def drop_rejected(docs: DataFrame, folds: int = 4, held_fold: int = 2, id_col: s
                 low = ce.min(0) if len(ce) else np.zeros(len(part))
                 out.append(has & (low <= table[best, size]))
             yield pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+        give_back()
 
     return docs.filter(accepts(F.col(text_col).cast("string")))

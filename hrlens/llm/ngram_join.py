@@ -32,12 +32,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hrlens.llm.store import components, free_name, staged
-from hrlens.llm.textkit import U, long_list, mix, shingle_sets, slices
+from hrlens.llm.textkit import SLICE_BYTES, U, gives_back, long_list, mix, shingle_sets, slices
 
 BAND_RATIO = 1.5
 EMPTY_PRICE = 100.0  # rows that one indexed empty segment is taken to cost
@@ -321,28 +322,34 @@ def _near_pairs(num: int, den: int, nearest: int | None):
     return run
 
 
+def _shares(texts: pa.Array, k: int, num: int, den: int) -> Iterator[bool]:
+    """Whether texts 0 and 1, 2 and 3, ... have similar shingle sets."""
+    held: list[np.ndarray] = []
+    for s in slices(texts):
+        doc, h = shingle_sets(s, k)
+        n = np.bincount(doc, minlength=s.n)
+        e = np.cumsum(n)
+        held += [h[i:j] for i, j in zip(e - n, e)]
+        while len(held) >= 2:
+            x, y = held[0], held[1]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            yield both > 0 and den * both >= num * (len(x) + len(y) - both)
+            held = held[2:]
+
+
 def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch["a"].to_numpy(zero_copy_only=False), batch["b"].to_numpy(zero_copy_only=False)
-            ok = np.zeros(len(a), bool)
-            # both texts of a pair go through the same slicing, one pair after another
-            texts = pa.chunked_array([batch["ta"].cast(pa.large_string()), batch["tb"].cast(pa.large_string())]).combine_chunks()
-            order = np.arange(2 * len(a)).reshape(2, -1).T.ravel()
-            held: list[np.ndarray] = []
-            done = 0
-            for s in slices(texts.take(pa.array(order))):
-                doc, h = shingle_sets(s, k)
-                n = np.bincount(doc, minlength=s.n)
-                e = np.cumsum(n)
-                held += [h[i:j] for i, j in zip(e - n, e)]
-                while len(held) >= 2:
-                    x, y = held[0], held[1]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[done] = both > 0 and den * both >= num * (len(x) + len(y) - both)
-                    held = held[2:]
-                    done += 1
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ok)], names=["a", "b", "linked"])
+            ok: list[bool] = []
+            # runs of pairs of a bounded size, so that only these are copied side by side
+            upto = np.cumsum(pc.binary_length(batch["ta"]).to_numpy().astype(np.int64) + pc.binary_length(batch["tb"]).to_numpy())
+            while len(ok) < batch.num_rows:
+                i = len(ok)
+                done = int(upto[i - 1]) if i else 0
+                n = max(1, int(np.searchsorted(upto, done + SLICE_BYTES, side="right")) - i)
+                texts = pa.concat_arrays([batch[c].slice(i, n).cast(pa.large_string()) for c in ("ta", "tb")])
+                ok += _shares(texts.take(pa.array(np.arange(2 * n).reshape(2, -1).T.ravel())), k, num, den)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
     return run
 
 
@@ -352,18 +359,24 @@ def _checked(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def _order() -> Column:
+    """By id, rows without one last, then by the text's md5."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.coalesce("tkey", F.lit("")).alias("tkey"))
+
+
 def _resolve(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Per input row: doc_id, tkey (md5 of the text), n_shingles, root, component_id, links."""
+    """Per input row: doc_id, tkey (md5 of the text), n_shingles, root, component_id, links, and
+    ``first``, the smallest id and text of the component (``_order``)."""
     arrow = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.string()), ("n", pa.int64()),
                        ("rep", pa.int64()), ("sigs", pa.list_(pa.int64())), ("map", pa.binary())])
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.col(text_col)).alias("tkey"),
                          F.col(text_col).cast("string").alias("text"))
     table = staged(source.mapInArrow(
-        _describe(k, num, den, arrow),
+        gives_back(_describe(k, num, den, arrow)),
         "uid long, doc_id long, tkey string, n long, rep long, sigs array<long>, map binary"), "ngram-sets")
     sigs = table.filter("uid = rep and n > 0").select(F.explode("sigs").alias("sig"), "uid")
     groups = staged(sigs.repartition("sig").sortWithinPartitions("sig", "uid")
-                    .mapInArrow(_groups, "grp long, blk long, size long, uid long").distinct(), "ngram-groups")
+                    .mapInArrow(gives_back(_groups), "grp long, blk long, size long, uid long").distinct(), "ngram-groups")
     facts = table.filter("uid = rep and n > 0").select("uid", "n", "map")
     member = facts.join(groups.select("uid").distinct(), "uid", "left_semi")
 
@@ -394,14 +407,14 @@ def _resolve(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
             "grp", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"),
             "uid", "blk", "n", "root", "map", "asks")
         return (rows.repartition("grp", "b1", "b2").sortWithinPartitions("grp", "b1", "b2", "uid")
-                .mapInArrow(_near_pairs(num, den, nearest), "a long, b long").distinct())
+                .mapInArrow(gives_back(_near_pairs(num, den, nearest)), "a long, b long").distinct())
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         pairs = staged(pairs, f"{label}-pairs")
         texts = texts_of(pairs)
         both = (pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
                 .join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b"))
-        return staged(both.mapInArrow(_verify(k, num, den), "a long, b long, linked boolean"), label)
+        return staged(both.mapInArrow(gives_back(_verify(k, num, den)), "a long, b long, linked boolean"), label)
 
     first = verified(candidates(None, NEAREST), "ngram-first")
     roots = components(first.filter("linked").select("a", "b"), "ngram-cc")
@@ -419,10 +432,10 @@ def _resolve(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
             .select("doc_id", "tkey", "n", F.coalesce("root", "rep").alias("root")))
     counted = (links.select(F.col("a").alias("rep")).join(final, "rep", "left")
                .groupBy(F.coalesce("root", "rep").alias("root")).agg(F.count("*").alias("links")))
-    smallest = (rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-                .join(counted, "root", "left").select("root", "component_id", F.coalesce("links", F.lit(0).cast("long")).alias("links")))
+    smallest = (rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(_order()).alias("first"))
+                .join(counted, "root", "left").select("root", "component_id", "first", F.coalesce("links", F.lit(0).cast("long")).alias("links")))
     return (rows.join(smallest, "root")
-            .select("doc_id", "tkey", F.col("n").alias("n_shingles"), "root", "component_id", "links"))
+            .select("doc_id", "tkey", F.col("n").alias("n_shingles"), "root", "component_id", "links", "first"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
@@ -438,26 +451,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when every component keeps one document: that with its
-    smallest id, or without any id the one with the smallest md5.  A row repeated with one id stays
-    once."""
+    """The rows of ``docs`` that stay when every component keeps one document: the text with its
+    smallest id (several texts under that id: the smallest md5), or without any id the text with the
+    smallest md5.  Every text is judged by itself, also where ids repeat; rows that are equal in id
+    and text stay once."""
     parts = staged(_resolve(docs, k, num, den, id_col, text_col), "ngram-parts")
-    name = free_name(docs, "gone")
-    key = F.col(id_col).cast("long")
-    # dropped ids are few beside the kept ones
-    gone = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    again = parts.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).count().filter("count > 1").select(name)
-    has_id = docs.filter(key.isNotNull())
+    who, what = free_name(docs, "gone_id"), free_name(docs, "gone_text")
+    keys = parts.select(F.col("doc_id").alias(who), F.coalesce("tkey", F.lit("")).alias(what), (_order() == F.col("first")).alias("stays"))
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit(""))
+    same = key.eqNullSafe(F.col(who)) & (text == F.col(what))
+    # dropped and repeated documents are few beside the others
+    gone = keys.filter("not stays").select(who, what).distinct()
+    again = keys.filter("stays").groupBy(who, what).count().filter("count > 1").select(who, what)
     if again.isEmpty():
-        kept = has_id.join(_checked(gone), key == F.col(name), "left_anti")
-    else:  # ids that occur more than once stay once
-        kept = (has_id.join(_checked(gone.unionByName(again)), key == F.col(name), "left_anti")
-                .unionByName(has_id.join(_checked(again), key == F.col(name), "left_semi").dropDuplicates([id_col])))
-    nameless = (parts.filter("component_id is null").groupBy("root").agg(F.min(F.coalesce("tkey", F.lit(""))).alias(name))
-                .select(name).distinct())
-    if not nameless.isEmpty():
-        kept = kept.unionByName(
-            docs.filter(key.isNull())
-            .join(nameless, F.coalesce(F.md5(F.col(text_col)), F.lit("")) == F.col(name), "left_semi")
-            .dropDuplicates([text_col]))
-    return kept
+        return docs.join(_checked(gone), same, "left_anti")
+    return (docs.join(_checked(gone.unionByName(again)), same, "left_anti")
+            .unionByName(docs.join(_checked(again), same, "left_semi").dropDuplicates([id_col, text_col])))

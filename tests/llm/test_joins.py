@@ -156,3 +156,19 @@ def test_keep_one(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(
         [(3, text + " end"), (9, "quite another text of six words"), (None, "lonely words without any id"), (2, None)], key=str)
     assert ngram_join.keep_one(documents(spark, [])).count() == 0
+
+
+def test_keep_one_judges_every_text_of_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    c, d = (" ".join(f"{c}{i}" for i in range(40)) for c in "cd")
+    rows = [(1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (3, c, "en", "s"), (3, d, "en", "s"), (3, d, "en", "s"),
+            (4, d + " end", "en", "s"), (5, "", "en", "s"), (5, None, "en", "s"), (5, "", "en", "s")]
+    got = ngram_join.keep_one(documents(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(
+        [(1, a), (2, b), (3, c), (3, d), (5, ""), (5, None)], key=str)
+
+
+def test_keep_one_of_one_id_with_two_similar_texts(spark):
+    a = " ".join(f"w{i}" for i in range(90))
+    got = ngram_join.keep_one(documents(spark, [(7, a, "en", "s"), (7, a + " end", "en", "s"), (8, a, "en", "t")])).collect()
+    assert len(got) == 1 and got[0]["doc_id"] == 7
