@@ -33,6 +33,7 @@ SIZE = 4096
 GROUP = 4096     # pieces that one task packs together
 LOOSE = 16       # one bin in so many goes on to the next round
 END_ID = 1
+SLICE_BYTES = 500_000   # bytes of whole texts that are tokenised together
 DONORS = 16      # emptiest bins that the local search lets give
 REACH = 512      # emptiest of the fuller bins that they exchange with (moves see all of them)
 
@@ -43,7 +44,7 @@ def _pieces(size: int, path: str | None, with_ids: bool):
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             doc_ids = batch["doc_id"].to_pylist()
-            for s in slices(batch["text"]):
+            for s in slices(batch["text"], SLICE_BYTES):
                 ids, n = coder.ids_of(s)
                 total = n + 1
                 ends = np.cumsum(total)
