@@ -5,35 +5,36 @@
   ``PipelineModel`` holds the whole scoring path and saves/loads as a unit (S7).
 * Null policy of all models: a missing number is replaced by the train mean, and every column that
   had one in train gets a 0/1 indicator; a missing category is the all-zero code.  No row is left out.
-* L2–L5: logistic regression, decision tree, random forest, gradient-boosted trees, each with
-  balanced class weights (L6) through ``weightCol``.
+* L2–L5: logistic regression (Spark ML), decision tree, random forest and boosted trees
+  (``plans.trees``), each with class weights (L6).
 * L7: grid search over a deterministic stratified ``fold`` column (X2), area under ROC.  Encoder,
-  null policy and class weights are fitted on each fold's training rows only; the encoded fold is
-  written once and every grid point reads it.  The best candidate is refitted on all training rows.
+  null policy and class weights are fitted on each fold's training rows only; one written table holds
+  every row under all folds' encoders.  All candidates and folds of a model are searched together:
+  logistic regression in the same Newton passes, trees in the same level passes, and a grown ensemble
+  stands for all candidates that are cuts of it.  The best one is refitted on all training rows.
 * Evaluation (M15): every row is scored once by every model into one table
   (model, id, split, y, p), and all metrics are aggregates of that table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
+from itertools import product
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import encode as enc
 from ..operators import metrics as mt
 from ..operators.split import stratified_folds, with_class_weight
-from ..session import cut_lineage
+from ..session import cut_lineage, library_on_workers
+from . import logistic, trees
 
 
 def _q(c: str) -> str:
@@ -49,32 +50,34 @@ def _number(c: str, state: enc.EncoderState) -> str:
     return f"coalesce({x}, {state.fill[c]!r}D)" if c in state.fill else f"coalesce({x}, 0D)"
 
 
-def encoder_sql(state: enc.EncoderState) -> str:
-    """The fitted projection as a SQL statement over ``__THIS__``.
+def encoder_parts(state: enc.EncoderState) -> list[tuple[str, str]]:
+    """(SQL expression, column name) of every encoded column.
 
     A column without missing entries in train that has one when scored gets 0 (the mean, if scaled).
     """
     parts = []
     for c, vals in state.nominal.categories.items():
         for v in vals[1:]:
-            parts.append(f"CAST(coalesce({_q(c)} = {_lit(v)}, false) AS DOUBLE) AS {_q(f'{c}_{v}__h')}")
+            parts.append((f"CAST(coalesce({_q(c)} = {_lit(v)}, false) AS DOUBLE)", f"{c}_{v}__h"))
     if state.scaler:
         for c, (m, s) in state.scaler.moments.items():
             scale = 1.0 if not s else s
             x = f"nanvl(CAST({_q(c)} AS DOUBLE), CAST(NULL AS DOUBLE))"
-            parts.append(f"coalesce(({x} - ({(m or 0.0)!r}D)) / ({scale!r}D), 0D) AS {_q(c + '__s')}")
+            parts.append((f"coalesce(({x} - ({(m or 0.0)!r}D)) / ({scale!r}D), 0D)", c + "__s"))
     for c in state.passthrough:
-        parts.append(f"{_number(c, state)} AS {_q(c + '__p')}")
+        parts.append((_number(c, state), c + "__p"))
     for c in state.fill:
-        parts.append(f"CAST({_q(c)} IS NULL OR isnan(CAST({_q(c)} AS DOUBLE)) AS DOUBLE) AS {_q(c + '__m')}")
-    return "SELECT *, " + ", ".join(parts) + " FROM __THIS__"
+        parts.append((f"CAST({_q(c)} IS NULL OR isnan(CAST({_q(c)} AS DOUBLE)) AS DOUBLE)", c + "__m"))
+    return parts
+
+
+def encoder_sql(state: enc.EncoderState) -> str:
+    """The fitted projection as a SQL statement over ``__THIS__``."""
+    return "SELECT *, " + ", ".join(f"{e} AS {_q(c)}" for e, c in encoder_parts(state)) + " FROM __THIS__"
 
 
 def encoded_columns(state: enc.EncoderState) -> list[str]:
-    cols = [f"{c}__h" for c in state.nominal.output_names()]
-    if state.scaler:
-        cols += [c + "__s" for c in state.scaler.moments]
-    return cols + [c + "__p" for c in state.passthrough] + [c + "__m" for c in state.fill]
+    return [c for _, c in encoder_parts(state)]
 
 
 def feature_names(state: enc.EncoderState) -> list[str]:
@@ -89,39 +92,34 @@ def encoder_stages(state: enc.EncoderState) -> list:
 
 @dataclass
 class ModelSpec:
+    """A model and its grid; a candidate is a dict of the reference's parameter names."""
     name: str
-    estimator: object
-    grid: list = field(default_factory=list)
+    grid: list[dict] = field(default_factory=list)
     scale: bool = False
 
 
-def model_specs(full_grid: bool = True, seed: int = 42) -> list[ModelSpec]:
-    """L2–L5.  The default grids are the reference's wherever Spark has the parameter: the solver of
-    LR collapses (one optimum), depth "none" is 30 (the most Spark grows), and a tree's share of
-    columns is ``featureSubsetStrategy``.  ``full_grid=False`` is a short grid for trial runs.
+UNLIMITED = 30   # depth "none"
+
+
+def _grid(**axes) -> list[dict]:
+    return [dict(zip(axes, values)) for values in product(*axes.values())]
+
+
+def model_specs(full_grid: bool = True) -> list[ModelSpec]:
+    """L2–L5 with the reference's grids (4, 45, 54 and 108 candidates): the solver of the logistic
+    regression collapses (one optimum), and depth "none" is 30.
 
-    LR's inverse strength C is kept as ``C`` in the grid; ``regParam`` is 1 / (C · rows) of the rows
-    a candidate is fitted on.
+    ``full_grid=False`` is the grid of the registered queries: all candidates of logistic regression
+    and tree, and small forests and boosted ensembles (see README for the seconds a candidate).
     """
     pick = (lambda full, short: full) if full_grid else (lambda full, short: short)
-    lr = LogisticRegression(labelCol="label", weightCol="weight", featuresCol="features",
-                            elasticNetParam=0.0, standardization=False, maxIter=2000)
-    lr_grid = [{"C": c} for c in pick([0.01, 0.1, 1.0, 10.0], [0.1, 10.0])]
-    dt = DecisionTreeClassifier(labelCol="label", weightCol="weight", seed=seed)
-    dt_grid = (ParamGridBuilder().addGrid(dt.maxDepth, pick([3, 5, 8, 12, 30], [3, 5]))
-               .addGrid(dt.minInstancesPerNode, pick([1, 5, 10], [1])).build())
-    rf = RandomForestClassifier(labelCol="label", weightCol="weight", seed=seed)
-    rf_grid = (ParamGridBuilder().addGrid(rf.numTrees, pick([100, 200, 300], [50]))
-               .addGrid(rf.maxDepth, pick([5, 10, 30], [8]))
-               .addGrid(rf.featureSubsetStrategy, pick(["sqrt", "log2"], ["sqrt"])).build())
-    gbt = GBTClassifier(labelCol="label", weightCol="weight", seed=seed)
-    gbt_grid = (ParamGridBuilder().addGrid(gbt.maxIter, pick([100, 200, 300], [20]))
-                .addGrid(gbt.maxDepth, pick([3, 5, 7], [3])).addGrid(gbt.stepSize, pick([0.01, 0.05, 0.1], [0.1]))
-                .addGrid(gbt.subsamplingRate, pick([0.8, 1.0], [0.8]))
-                .addGrid(gbt.featureSubsetStrategy, pick(["0.8", "all"], ["all"])).build())
-    return [ModelSpec("logistic_regression", lr, lr_grid, scale=True),
-            ModelSpec("decision_tree", dt, dt_grid), ModelSpec("random_forest", rf, rf_grid),
-            ModelSpec("gradient_boosting", gbt, gbt_grid)]
+    return [ModelSpec("logistic_regression", _grid(C=[0.01, 0.1, 1.0, 10.0]), scale=True),
+            ModelSpec("decision_tree", _grid(max_depth=[3, 5, 8, 12, UNLIMITED], min_samples_split=[2, 10, 20], min_samples_leaf=[1, 5, 10])),
+            ModelSpec("random_forest", _grid(n_estimators=pick([100, 200, 300], [10, 20]), max_depth=pick([5, 10, UNLIMITED], [3, 5]),
+                                             min_samples_split=[2, 5, 10], max_features=["sqrt", "log2"])),
+            ModelSpec("gradient_boosting", _grid(n_estimators=pick([100, 200, 300], [5, 10]), max_depth=pick([3, 5, 7], [3]),
+                                                 learning_rate=pick([0.01, 0.05, 0.1], [0.1, 0.3]), subsample=[0.8, 1.0],
+                                                 colsample_bytree=[0.8, 1.0]))]
 
 
 @dataclass
@@ -132,6 +130,7 @@ class TrainedModel:
     cv_auc: float
     best_params: dict
     n_rows: int = 0
+    searched: list[tuple[dict, float]] = field(default_factory=list)
 
 
 def prepare(train: DataFrame, label: str, key: Sequence[str], folds: int, seed: int = 7) -> DataFrame:
@@ -144,48 +143,129 @@ def prepare(train: DataFrame, label: str, key: Sequence[str], folds: int, seed:
     return cut_lineage(stratified_folds(train, label, list(key), k=folds, seed=seed))
 
 
-def _params(spec: ModelSpec, candidate: dict, n: int) -> dict:
-    if "C" in candidate:
-        return {spec.estimator.regParam: 1.0 / (candidate["C"] * max(n, 1))}
-    return candidate
+def _spread(df: DataFrame) -> DataFrame:
+    """At least as many parts as cores: training reads a table many times, and a small written table
+    comes back as one part."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def _encoded(spec: ModelSpec, rows: DataFrame, nominal: Sequence[str], numeric: Sequence[str],
+def _encoded(scale: bool, rows: DataFrame, nominal: Sequence[str], numeric: Sequence[str],
              label: str) -> tuple[enc.EncoderState, list, DataFrame, int]:
     """Encoder fitted on ``rows`` and the rows encoded, weighted and checkpointed."""
-    state = enc.fit_encoder(rows, nominal, numeric, scale=list(numeric) if spec.scale else None, impute=True)
+    state = enc.fit_encoder(rows, nominal, numeric, scale=list(numeric) if scale else None, impute=True)
     stages = encoder_stages(state)
-    data = cut_lineage(PipelineModel(stages=stages).transform(with_class_weight(rows, label, "weight"))
-                       .select(label, "weight", "features"))
+    data = cut_lineage(_spread(PipelineModel(stages=stages).transform(with_class_weight(rows, label, "weight"))
+                               .select(label, "weight", "features")))
     return state, stages, data, data.count()
 
 
+def fold_table(train: DataFrame, states: dict[int, enc.EncoderState], label: str) -> DataFrame:
+    """``h`` (hash of the row), ``y, fold`` and the row under each state's encoder as ``x{fold}``,
+    written once; rows without label are left out."""
+    arrays = [f"array({', '.join(e for e, _ in encoder_parts(s))}) AS x{f}" for f, s in states.items()]
+    return cut_lineage(_spread(train.filter(F.col(label).isNotNull()).select(
+        F.xxhash64(*[F.col(_q(c)) for c in sorted(train.columns)]).alias("h"), F.col(label).cast("int").alias("y"),
+        F.col("fold").cast("int").alias("fold"), *[F.expr(a) for a in arrays])))
+
+
+def fold_weights(rows: DataFrame, folds: Sequence[int]) -> dict[int, tuple[tuple[float, float], float]]:
+    """Per fold, over the rows outside of it: balanced weights of the classes 0 and 1, and negatives
+    over positives (L6)."""
+    n: dict[tuple[int, int], int] = {(r["fold"], r["y"]): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
+    out = {}
+    for f in folds:
+        neg, pos = (sum(c for (g, y), c in n.items() if g != f and y == k) for k in (0, 1))
+        out[f] = ((neg + pos) / (2 * max(neg, 1)), (neg + pos) / (2 * max(pos, 1))), neg / max(pos, 1)
+    return out
+
+
+def tree_plan(name: str, grid: Sequence[dict], folds: Sequence[int], weights: dict, sizes: dict[int, int],
+              seed: int = 42) -> tuple[list[trees.Ensemble], list[trees.Cut]]:
+    """The ensembles that contain all candidates of a grid, per fold, and the candidates as cuts of them
+    (named by their place in the grid)."""
+    ensembles: list[trees.Ensemble] = []
+    cuts: list[trees.Cut] = []
+    for f in folds:
+        balanced, positive = weights[f]
+        where: dict[tuple, int] = {}
+        for i, c in enumerate(grid):
+            if name == "gradient_boosting":
+                key = (c["max_depth"], c["learning_rate"], c["subsample"], c["colsample_bytree"])
+                same = [d for d in grid if (d["max_depth"], d["learning_rate"], d["subsample"], d["colsample_bytree"]) == key]
+                e = trees.Ensemble("logistic", f, (1.0, positive), max(d["n_estimators"] for d in same), c["max_depth"], rate=c["learning_rate"],
+                                   rows=None if c["subsample"] >= 1 else c["subsample"],
+                                   columns=None if c["colsample_bytree"] >= 1 else c["colsample_bytree"], seed=seed)
+                cut = (c["n_estimators"], None, 0)
+            elif name == "random_forest":
+                key = (c["max_features"],)
+                some = math.sqrt(sizes[f]) if c["max_features"] == "sqrt" else math.log2(max(2, sizes[f]))
+                e = trees.Ensemble("gini", f, balanced, max(d["n_estimators"] for d in grid), max(d["max_depth"] for d in grid),
+                                   min(d["min_samples_split"] for d in grid), rows="poisson", columns=max(1, int(some)), seed=seed)
+                cut = (c["n_estimators"], c["max_depth"], c["min_samples_split"])
+            else:
+                key = (c["min_samples_leaf"],)
+                e = trees.Ensemble("gini", f, balanced, 1, max(d["max_depth"] for d in grid), min(d["min_samples_split"] for d in grid),
+                                   c["min_samples_leaf"], seed=seed)
+                cut = (1, c["max_depth"], c["min_samples_split"])
+            if key not in where:
+                where[key] = len(ensembles)
+                ensembles.append(e)
+            cuts.append(trees.Cut(str(i), where[key], *cut))
+    return ensembles, cuts
+
+
+def search(spec: ModelSpec, train: DataFrame, nominal: Sequence[str], numeric: Sequence[str], label: str = "label",
+           folds: int = 5, seed: int = 42) -> list[float]:
+    """Mean area under ROC over the folds of every candidate of ``spec.grid``, in its order."""
+    library_on_workers(train.sparkSession)
+    states = {f: enc.fit_encoder(train.filter(F.col("fold") != f), nominal, numeric, scale=list(numeric) if spec.scale else None, impute=True)
+              for f in range(folds)}
+    table = fold_table(train, states, label)
+    weights = fold_weights(table, range(folds))
+    if spec.name == "logistic_regression":
+        fits = logistic.fit_many(table, [(c["C"], f) for c in spec.grid for f in range(folds)], {f: w for f, (w, _) in weights.items()})
+        scores = logistic.held_out_scores(table, fits)
+        names = [repr(c["C"]) for c in spec.grid]
+    else:
+        bins = trees.binned(table, [f"x{f}" for f in range(folds)])
+        ensembles, cuts = tree_plan(spec.name, spec.grid, range(folds), weights, {f: len(s.output_names()) for f, s in states.items()}, seed)
+        scores = trees.held_out_scores(bins, ensembles, trees.grow(bins, ensembles), cuts)
+        names = [str(i) for i in range(len(spec.grid))]
+    auc: dict[str, float] = {}
+    for r in mt.roc_auc(scores, ["model", "fold"]).collect():   # candidates x folds
+        auc[r["model"]] = auc.get(r["model"], 0.0) + (r["roc_auc"] or 0.0) / folds
+    return [auc.get(n, 0.0) for n in names]
+
+
+def fit_candidate(spec: ModelSpec, candidate: dict, train: DataFrame, nominal: Sequence[str], numeric: Sequence[str],
+                  label: str = "label", seed: int = 42) -> tuple[PipelineModel, enc.EncoderState, int]:
+    """L1: one candidate fitted on all rows of ``train``, as a pipeline with its encoder."""
+    if spec.name == "logistic_regression":
+        state, stages, data, n = _encoded(True, train, nominal, numeric, label)
+        lr = LogisticRegression(labelCol=label, weightCol="weight", featuresCol="features", elasticNetParam=0.0,
+                                standardization=False, maxIter=2000, regParam=1.0 / (candidate["C"] * max(n, 1)))
+        return PipelineModel(stages=[*stages, lr.fit(data)]), state, n
+    library_on_workers(train.sparkSession)
+    state = enc.fit_encoder(train, nominal, numeric, impute=True)
+    whole = 1 << 20                                       # a fold that no row is in
+    table = fold_table(train.withColumn("fold", F.lit(0)), {whole: state}, label)
+    bins = trees.binned(table, [f"x{whole}"])
+    ensembles, cuts = tree_plan(spec.name, [candidate], [whole], fold_weights(table, [whole]), {whole: len(state.output_names())}, seed)
+    grown = trees.grow(bins, ensembles)[0]
+    model = trees.TreeModel.of(ensembles[0], grown, bins.edges[f"x{whole}"])
+    return PipelineModel(stages=[*encoder_stages(state), model]), state, table.count()
+
+
 def train_single_model(spec: ModelSpec, train: DataFrame, nominal: Sequence[str],
-                       numeric: Sequence[str], label: str = "label", folds: int = 5,
-                       parallelism: int = 4) -> TrainedModel:
+                       numeric: Sequence[str], label: str = "label", folds: int = 5, seed: int = 42) -> TrainedModel:
     """L1 + L7: grid search with stratified CV (mean ROC-AUC over ``fold`` 0..folds-1), then the best
     candidate (ties: the first) fitted on all rows of ``train``."""
-    spec.estimator.setLabelCol(label).setFeaturesCol("features")
-    evaluator = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                              metricName="areaUnderROC", numBins=0)
     grid = spec.grid or [{}]
-    total = [0.0] * len(grid)
-    for fold in range(folds):
-        inside = train.filter(F.col("fold") != fold)
-        state, stages, data, n = _encoded(spec, inside, nominal, numeric, label)
-        held = cut_lineage(PipelineModel(stages=stages).transform(train.filter(F.col("fold") == fold)).select(label, "features"))
-
-        def score(candidate: dict) -> float:
-            return evaluator.evaluate(spec.estimator.fit(data, _params(spec, candidate, n)).transform(held))
-
-        with ThreadPool(parallelism) as pool:
-            for i, x in enumerate(pool.map(score, grid)):
-                total[i] += x / folds
-    best = max(range(len(grid)), key=lambda i: (total[i], -i))
-    state, stages, data, n = _encoded(spec, train, nominal, numeric, label)
-    fitted = spec.estimator.fit(data, _params(spec, grid[best], n))
-    params = {getattr(p, "name", p): v for p, v in grid[best].items()}
-    return TrainedModel(spec.name, PipelineModel(stages=[*stages, fitted]), state, float(total[best]), params, n)
+    mean = search(spec, train, nominal, numeric, label, folds, seed)
+    best = max(range(len(grid)), key=lambda i: (mean[i], -i))
+    model, state, n = fit_candidate(spec, grid[best], train, nominal, numeric, label, seed)
+    return TrainedModel(spec.name, model, state, float(mean[best]), grid[best], n, list(zip(grid, mean)))
 
 
 def score_table(model: TrainedModel, df: DataFrame, id_col: str, label: str = "label",
@@ -228,8 +308,8 @@ def run_training(table: DataFrame, nominal: Sequence[str], numeric: Sequence[str
     Returns the models and the score table (model, id, y, p, split).
     """
     prepared = prepare(table.filter(F.col("split") == "train"), label, [id_col], folds)
-    trained = [train_single_model(spec, prepared, nominal, numeric, label, folds)
-               for spec in model_specs(full_grid, seed) if not models or spec.name in models]
+    trained = [train_single_model(spec, prepared, nominal, numeric, label, folds, seed)
+               for spec in model_specs(full_grid) if not models or spec.name in models]
     return trained, score_all(trained, table, id_col, label)
 
 
@@ -257,10 +337,9 @@ def rf_importance(train: DataFrame, nominal: Sequence[str], numeric: Sequence[st
     Importance is keyed by encoded names (a nominal column appears as its one-hot slots), as in the
     reference; a column with missing entries also has its indicator.
     """
-    spec = ModelSpec("random_forest", RandomForestClassifier(
-        labelCol=label, weightCol="weight", numTrees=num_trees, maxDepth=max_depth, seed=seed,
-        featureSubsetStrategy="sqrt"))
-    state, _, data, _ = _encoded(spec, train, nominal, numeric, label)
-    rows = [(n, round(v, 6)) for n, v in importances(spec.estimator.fit(data), state.output_names())]
+    forest = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=num_trees, maxDepth=max_depth, seed=seed,
+                                    featureSubsetStrategy="sqrt")
+    state, _, data, _ = _encoded(False, train, nominal, numeric, label)
+    rows = [(n, round(v, 6)) for n, v in importances(forest.fit(data), state.output_names())]
     return (train.sparkSession.createDataFrame(rows, "feature string, importance double")
             .orderBy(F.desc("importance"), "feature"))

@@ -7,6 +7,7 @@ and the smoke entry point.
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 
@@ -71,3 +72,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+
+
+def library_on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import the library when it is not installed: its folder goes on the search
+    path that Spark hands to them."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)

@@ -34,7 +34,7 @@ def test_default_folds_and_models(spark, trained):
     assert row["roc_auc"] == pytest.approx(mt.roc_auc(test).first()["roc_auc"])
     assert 0.01 <= ev["threshold"] <= 0.99
     assert len([x for x in ml.model_specs() if x.grid]) == 4
-    assert [len(x.grid) for x in ml.model_specs()] == [4, 15, 18, 108]
+    assert [len(x.grid) for x in ml.model_specs()] == [4, 45, 54, 108]
 
 
 def test_importance_ranks(spark, trained):
@@ -81,8 +81,7 @@ def test_encoder_and_weights_are_fitted_inside_each_fold(spark):
     """A category and a mean that only the held-out fold has must not show in the fold's encoder."""
     rows = [(i, i % 2, "odd" if i < 10 else "even" if i % 2 else "third", 1000.0 if i < 10 else float(i), 0 if i < 10 else 1) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, label int, kind string, x double, fold int")
-    spec = [m for m in ml.model_specs(full_grid=False) if m.name == "logistic_regression"][0]
-    state, stages, data, n = ml._encoded(spec, df.filter("fold <> 0"), ["kind"], ["x"], "label")
+    state, stages, data, n = ml._encoded(True, df.filter("fold <> 0"), ["kind"], ["x"], "label")
     assert state.nominal.categories == {"kind": ["even", "third"]} and n == 50
     assert state.scaler.moments["x"][0] == pytest.approx(sum(range(10, 60)) / 50)
     assert data.agg(F.sum("weight")).first()[0] == pytest.approx(50)
