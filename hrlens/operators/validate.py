@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from ..functions.exprs import col, lit_d
 
 # Fixed values that must equal the reference's validation rules.
@@ -132,28 +133,31 @@ REPORT_SCHEMA = "field string, message string, severity string, seq long, omitte
 
 
 def validate_batch(df: DataFrame, id_col: str, input_columns: Sequence[str],
-                   nominal: Sequence[str], max_errors: int | None = None) -> DataFrame:
+                   nominal: Sequence[str], max_errors: int | None = None, prefix: str = "") -> DataFrame:
     """Missing columns → one error; empty → one error; else every issue of every row, labelled
-    ``<id>.<field>``; ``seq`` is the issue's rule.
+    ``<prefix><id>.<field>``; ``seq`` is the issue's rule.  With row numbers as ids and the prefix
+    ``row_`` these are the labels of an upload (``sources.ordered``).
 
     With ``max_errors``, the report stops after the row (in id order) that reaches that many errors,
     ``seq`` orders it, and a warning carries the number of issues left out.  The cut row is found
-    from at most ``max_errors`` (id, count) pairs (``orderBy(id).limit``: no global sort).
+    from at most ``max_errors`` (id, count) pairs (``orderBy(id).limit``: no global sort).  The table is
+    read once; all else comes from the written rows that have issues.
     """
     spark = df.sparkSession
     missing = [c for c in input_columns if c not in df.columns]
     if missing:
         return spark.createDataFrame([("columns", MSG_MISSING_COLUMNS + ", ".join(missing), "error", 0, None)], REPORT_SCHEMA)
-    if df.isEmpty():
-        return spark.createDataFrame([("rows", MSG_EMPTY, "error", 0, None)], REPORT_SCHEMA)
     found = df.select(col(id_col).alias("_id"), issue_array(df, input_columns, nominal).alias("_iss"))
-    label = F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.lit("."), F.col("i.field")).alias("field")
+    label = F.concat(F.lit(prefix), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.lit("."), F.col("i.field")).alias("field")
     none = F.lit(None).cast("long").alias("omitted")
+    empty = spark.createDataFrame([("rows", MSG_EMPTY, "error", 0, None)], REPORT_SCHEMA)
     if max_errors is None:
-        return found.select("_id", F.explode("_iss").alias("i")).select(
+        return empty if df.isEmpty() else found.select("_id", F.explode("_iss").alias("i")).select(
             label, F.col("i.message").alias("message"), F.col("i.severity").alias("severity"),
             F.col("i.rule").cast("long").alias("seq"), none)
-    per_row = found.select("_id", F.size("_iss").alias("_n")).filter(F.col("_n") > 0)
+    # exploded, not filtered: rows without issues go without a condition on the rules' expression
+    issues = written(found.select("_id", F.posexplode("_iss").alias("_k", "i")), "issues")
+    per_row = issues.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
     kept, shown = [], 0
     for pos, row in enumerate(per_row.orderBy("_id").limit(max_errors).collect(), start=1):
         kept.append((row["_id"], pos))
@@ -161,14 +165,14 @@ def validate_batch(df: DataFrame, id_col: str, input_columns: Sequence[str],
         if shown >= max_errors:
             break
     if not kept:
-        return spark.createDataFrame([], REPORT_SCHEMA)
+        return empty if df.isEmpty() else spark.createDataFrame([], REPORT_SCHEMA)
     order = spark.createDataFrame(kept, f"_id {dict(df.dtypes)[id_col]}, _rowpos long")  # at most max_errors rows
-    issues = (found.join(F.broadcast(order), "_id").select("_rowpos", "_id", F.posexplode("_iss").alias("_k", "i"))
+    shown_issues = (issues.join(F.broadcast(order), "_id")
               .select(label, F.col("i.message").alias("message"), F.col("i.severity").alias("severity"),
                       (F.col("_rowpos") * 1000 + F.col("_k")).cast("long").alias("seq"), none))
     if shown >= max_errors:
-        total = per_row.agg(F.sum("_n").alias("n"))
-        issues = issues.unionByName(total.select(
+        total = issues.agg(F.count(F.lit(1)).alias("n"))
+        shown_issues = shown_issues.unionByName(total.select(
             F.lit("rows").alias("field"), F.lit(MSG_OMITTED).alias("message"), F.lit("warning").alias("severity"),
             F.lit(10**9).cast("long").alias("seq"), (F.col("n") - F.lit(shown)).cast("long").alias("omitted")))
-    return issues
+    return shown_issues

@@ -932,6 +932,74 @@ def q_validation_issues_capped(spark, d):
     return va.validate_batch(O(spark, d), "id", INPUT_O, NOMINAL_IN, max_errors=va.MAX_BATCH_ERRORS)
 
 
+# ---------------------------------------------------------------- rows in file order
+
+from ..sources import ordered  # noqa: E402
+from ..sources.proxies import table  # noqa: E402
+
+_FILE_ROWS = "SELECT o_orderkey AS rid, row_number() OVER () AS row_number FROM orders"
+
+
+def _numbered_o(spark, d):
+    """View O with each order's row number in its file."""
+    rows = ordered.with_row_numbers(table(spark, d, "orders")).select(F.col("o_orderkey").alias("id"), "row_number")
+    return O(spark, d).join(rows, "id")
+
+
+@register("rows_in_file_order", "SELECT o_orderkey, row_number() OVER () AS row_number FROM orders")
+def q_rows_in_file_order(spark, d):
+    """Ids 1..n of a table without an id column."""
+    return ordered.with_row_numbers(table(spark, d, "orders")).select("o_orderkey", "row_number")
+
+
+@register("validation_by_row", f"""WITH r AS ({_FILE_ROWS})
+SELECT 'row_' || row_number || '.' || field AS field, message, severity, CAST(rule AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS omitted
+FROM ({_issues_sql()}) x JOIN r ON x.id = r.rid""")
+def q_validation_by_row(spark, d):
+    """I3 with the labels of an upload: ``row_{i}.{field}``."""
+    return va.validate_batch(_numbered_o(spark, d), "row_number", INPUT_O, NOMINAL_IN, prefix="row_")
+
+
+@register("validation_by_row_capped", f"""
+WITH r AS ({_FILE_ROWS}),
+iss AS (SELECT r.row_number AS rn, rule, field, message, severity FROM ({_issues_sql()}) x JOIN r ON x.id = r.rid),
+per AS (SELECT rn, count(*) AS n FROM iss GROUP BY rn),
+first20 AS (SELECT rn, n, row_number() OVER (ORDER BY rn) AS rowpos,
+                   sum(n) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+            FROM (SELECT * FROM per ORDER BY rn LIMIT 20) p),
+kept AS (SELECT * FROM first20 WHERE cum - n < 20)
+SELECT 'row_' || iss.rn || '.' || field AS field, message, severity,
+       CAST(rowpos * 1000 + row_number() OVER (PARTITION BY iss.rn ORDER BY rule) - 1 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS omitted
+FROM iss JOIN kept ON iss.rn = kept.rn
+UNION ALL
+SELECT 'rows', 'Additional row errors omitted.', 'warning', CAST(1000000000 AS BIGINT), CAST((SELECT count(*) FROM iss) - t AS BIGINT)
+FROM (SELECT max(cum) AS t FROM kept) x WHERE t >= 20""")
+def q_validation_by_row_capped(spark, d):
+    """I3 as an upload form shows it, in file order: the cap is the feature."""
+    return va.validate_batch(_numbered_o(spark, d), "row_number", INPUT_O, NOMINAL_IN, max_errors=va.MAX_BATCH_ERRORS, prefix="row_")
+
+
+@register("dedup_first_in_file", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY rn) AS k FROM (SELECT *, row_number() OVER () AS rn FROM lineitem) x) y WHERE k = 1""")
+def q_dedup_first_in_file(spark, d):
+    """Q5: the first row per id in file order."""
+    rows = ordered.with_row_numbers(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    return cl.handle_duplicates(rows, "l_orderkey", ["row_number"])
+
+
+_SEEN = ["o_orderstatus", "o_orderpriority", "o_custkey"]
+
+
+@register("first_seen_values", "WITH r AS (SELECT *, row_number() OVER () AS rn FROM orders), v AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, min(rn) AS first_row FROM r WHERE {c} IS NOT NULL GROUP BY 2" for c in _SEEN)
+    + """) SELECT "column", seen, value, first_row FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY first_row) AS INTEGER) AS seen FROM v) x WHERE seen <= 5""")
+def q_first_seen_values(spark, d):
+    """Q13: the first five values of each column as they come in the file."""
+    return ordered.first_seen(ordered.with_row_numbers(table(spark, d, "orders").select(*_SEEN)), _SEEN)
+
+
 _TEXT_IN = [c for c in INPUT_O if c not in NOMINAL_IN]
 _TEXT_BAD = {1: "abc", 2: "1e12", 3: " ", 4: "-3.9", 5: "4.9"}
 

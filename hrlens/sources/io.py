@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators.encode import OneHotState, ScalerState
 from ..operators.features import FeatureState
+from ..session import cut_lineage
 
 # The employee table's declared schema (explicit: no inference pass over the file).
 EMPLOYEE_SCHEMA = T.StructType([
@@ -47,11 +48,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = EMPLOYEE_SCH
     return reader.schema(schema).csv(path)
 
 
+MSG_UNPARSEABLE = "Unparseable row: "
+
+
 def corrupt_rows(df: DataFrame) -> DataFrame:
-    """Rows that did not parse, as issues (field, message, severity)."""
-    return (df.filter(F.col("_corrupt_record").isNotNull())
+    """Rows that did not parse, as issues (field, message, severity).  ``df`` is written once, with
+    its data columns: Spark refuses to read a file's unparsed lines alone."""
+    return (cut_lineage(df).filter(F.col("_corrupt_record").isNotNull())
               .select(F.lit("row").alias("field"),
-                      F.concat(F.lit("Unparseable row: "), F.col("_corrupt_record")).alias("message"),
+                      F.concat(F.lit(MSG_UNPARSEABLE), F.col("_corrupt_record")).alias("message"),
                       F.lit("error").alias("severity")))
 
 

@@ -35,13 +35,52 @@ def test_parquet_csv_json_roundtrip(spark):
         io.load_threshold(spark, f"{d}/broken.json")
 
 
-def test_permissive_csv_routes_bad_rows(spark):
+def _bad_csv(n_files=1):
     d = tempfile.mkdtemp(prefix="hrlens-bad-")
-    with open(f"{d}/x.csv", "w") as fh:
-        fh.write("id,Age\n1,30\n2,notanumber\n")
+    for k in range(n_files):
+        with open(f"{d}/part-{k}.csv", "w") as fh:
+            fh.write("id,Age,OverTime\n" + "".join(
+                f"{1000 * k + i},{'notanumber' if i % 40 == 7 else 30 if i % 9 else 12},Yes\n" for i in range(200)))
+    return d
+
+
+def test_permissive_csv_routes_bad_rows(spark):
     from pyspark.sql.types import _parse_datatype_string
-    df = io.read_csv(spark, f"{d}/x.csv", _parse_datatype_string("id long, Age int"), mode="PERMISSIVE")
-    assert io.corrupt_rows(df.cache()).count() == 1
+    df = io.read_csv(spark, _bad_csv(), _parse_datatype_string("id long, Age int, OverTime string"), mode="PERMISSIVE")
+    bad = io.corrupt_rows(df)  # straight from the reader
+    assert bad.count() == 5 and bad.filter(F.col("message").startswith("Unparseable row: 7,notanumber")).count() == 1
+
+
+def test_upload_with_unreadable_lines(spark):
+    from pyspark.sql.types import _parse_datatype_string
+    from hrlens.sources import ordered
+    rows, rejected = ordered.read_upload(spark, _bad_csv(3), _parse_datatype_string("id long, Age int, OverTime string"))
+    assert rows.columns == ["id", "Age", "OverTime", "row_number"]
+    want = [(1000 * k + i, 200 * k + i + 1) for k in range(3) for i in range(200)]
+    good = sorted((r["id"], r["row_number"]) for r in rows.collect())
+    assert good == [(i, n) for i, n in want if i % 1000 % 40 != 7]
+    assert sorted((r["line"].split(",")[0], r["row_number"]) for r in rejected.collect()) == sorted((str(i), n) for i, n in want if i % 1000 % 40 == 7)
+    assert all(r["file"].endswith(f"part-{(r['row_number'] - 1) // 200}.csv") for r in rejected.collect())
+    report = ordered.upload_report(rows, rejected, ["Age", "OverTime"], []).collect()
+    fields = [r["field"] for r in report]
+    assert sorted(f for f in fields if "." not in f) == sorted(f"row_{n}" for i, n in want if i % 1000 % 40 == 7)
+    assert sorted(f for f in fields if "." in f) == sorted(f"row_{n}.Age" for i, n in want if i % 1000 % 9 == 0 and i % 1000 % 40 != 7)
+
+
+def test_row_numbers_of_many_files_and_parts(spark):
+    from hrlens.sources import ordered
+    d = tempfile.mkdtemp(prefix="hrlens-order-")
+    spark.range(0, 5000, 1, 7).write.parquet(f"{d}/p")
+    spark.range(0, 5000, 1, 7).write.csv(f"{d}/c")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")   # several parts a file
+    try:
+        for df in (spark.read.parquet(f"{d}/p"), spark.read.schema("id long").csv(f"{d}/c")):
+            got = ordered.with_row_numbers(df).collect()
+            assert sorted((r["row_number"], r["id"]) for r in got) == [(i + 1, i) for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert ordered.with_row_numbers(spark.read.parquet(f"{d}/p").limit(0)).count() == 0
 
 
 def test_state_roundtrip(spark):
