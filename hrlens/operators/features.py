@@ -59,31 +59,34 @@ def fit_feature_state(train: DataFrame, role_col: str = "JobRole",
     return FeatureState(med, med.count(), role_col, income_col)
 
 
-def apply_features(df: DataFrame, state: FeatureState,
+def apply_features(df: DataFrame, state: FeatureState | None,
                    satisfaction: Sequence[str] = SATISFACTION_COLUMNS,
                    wlb_threshold: int = BURNOUT_WLB_THRESHOLD,
-                   broadcast_max_rows: int = 200_000) -> DataFrame:
-    """The eight derived columns (null-preserving clips, null on a zero median)."""
+                   broadcast_max_rows: int = 200_000, features: Sequence[str] = ENGINEERED) -> DataFrame:
+    """The derived columns (null-preserving clips, null on a zero median).  ``features`` are
+    those that are needed; without ``income_vs_role_median`` no state is needed either."""
+    wanted = [f for f in ENGINEERED if f in features]
+    income = state.income_col if state else "MonthlyIncome"
     yac = clip_lower("YearsAtCompany", 1)
     total = clip_lower("TotalWorkingYears", 1)
     ncos = clip_lower("NumCompaniesWorked", 1)
-    lookup = state.medians
-    if state.n_roles <= broadcast_max_rows:
-        lookup = F.broadcast(lookup)
-    joined = df.join(lookup, state.role_col, "left")
+    joined = df
+    if "income_vs_role_median" in wanted:
+        lookup = F.broadcast(state.medians) if state.n_roles <= broadcast_max_rows else state.medians
+        joined = df.join(lookup, state.role_col, "left")
     burnout = F.coalesce((col("OverTime") == "Yes") & (col("WorkLifeBalance") <= wlb_threshold),
                          F.lit(False)).cast("int")
     derived = {
         "promotion_stagnation_ratio": safe_div("YearsSinceLastPromotion", yac),
         "role_tenure_share": safe_div("YearsInCurrentRole", yac),
         "manager_tenure_share": safe_div("YearsWithCurrManager", yac),
-        "income_vs_role_median": safe_div(state.income_col, "role_median_income"),
-        "compensation_per_experience": safe_div(state.income_col, total),
+        "income_vs_role_median": safe_div(income, "role_median_income"),
+        "compensation_per_experience": safe_div(income, total),
         "avg_satisfaction_score": row_mean(list(satisfaction)),
         "burnout_risk_flag": burnout,
         "job_stability_index": safe_div("TotalWorkingYears", ncos),
     }
-    return joined.withColumns(derived).drop("role_median_income").select(*df.columns, *ENGINEERED)
+    return joined.withColumns({f: derived[f] for f in wanted}).drop("role_median_income").select(*df.columns, *wanted)
 
 
 def with_engineered_features(train: DataFrame, df: DataFrame, **kw) -> DataFrame:
@@ -91,7 +94,6 @@ def with_engineered_features(train: DataFrame, df: DataFrame, **kw) -> DataFrame
     return apply_features(df, fit_feature_state(train), **kw)
 
 
-
 def engineered_feature_catalog(spark) -> DataFrame:
     """Q16: name and formula of each derived feature (a small static table)."""
     rows = [

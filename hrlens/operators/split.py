@@ -6,7 +6,9 @@ split.  Exact per-class sizes need the (hash, key) of a few ranks per class:
 the quota-th row for a split, the fold borders for folds.  They are found by
 counting rows per class and hash prefix, again inside the border prefixes
 only, until those hold few rows; the table is then split by comparing each
-row with its class's borders.  No row of the table is shuffled or sorted.
+row with its class's borders.  No row of the table is shuffled or sorted, and the
+table is read twice: once for the narrow copy (class, hash, key) that all
+counting works on, once to be split.
 
 A null label is a class of its own, so no row is lost.  Rows repeated with
 one key stay on one side.
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, lit_d
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 HASH_RANGE = 1 << 62
 LEVEL_BITS = 12          # bits of the hash that one counting pass resolves
@@ -33,9 +35,14 @@ def key_hash(cols: Sequence[str], seed: int = 42) -> Column:
     return F.xxhash64(*[col(c) for c in cols], F.lit(seed)).bitwiseAND(F.lit(HASH_RANGE - 1))
 
 
-def class_counts(df: DataFrame, label: str) -> DataFrame:
+def narrow_rows(df: DataFrame, label: str, h: Column, key: Sequence[str]) -> DataFrame:
+    """``cls, h, k0, k1…`` of every row, written once."""
+    return written(df.select(col(label).alias("cls"), h.alias("h"), *[col(c).alias(f"k{i}") for i, c in enumerate(key)]), "split-rows")
+
+
+def class_counts(rows: DataFrame) -> DataFrame:
     """``cls, n``: one row per class, the null class included."""
-    return df.groupBy(col(label).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n")))
 
 
 def split_quotas(counts: DataFrame, test_size: float = 0.2) -> DataFrame:
@@ -56,15 +63,13 @@ def _small(classes: DataFrame) -> DataFrame:
     return F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
 
 
-def rank_borders(df: DataFrame, label: str, h: Column, key: Sequence[str], ranks: DataFrame,
-                 hash_range: int = HASH_RANGE, small: int = SMALL_PREFIX) -> DataFrame:
-    """``cls, borders``: for each class the sorted (hash, key…) structs of the rows at the given
-    ranks (``ranks``: cls, rank; ranks start at 1, others are ignored)."""
-    keys = [f"k{i}" for i in range(len(key))]
-    rows = df.select(col(label).alias("cls"), h.alias("h"), *[col(c).alias(k) for c, k in zip(key, keys)])
+def rank_borders(rows: DataFrame, ranks: DataFrame, hash_range: int = HASH_RANGE, small: int = SMALL_PREFIX) -> DataFrame:
+    """``cls, borders``: for each class the sorted (hash, key…) structs of the ``narrow_rows`` at the
+    given ranks (``ranks``: cls, rank; ranks start at 1, others are ignored)."""
+    keys = rows.columns[2:]
     bits = max(1, (hash_range - 1).bit_length())
     # a state: the rank-th row of a class is the left-th row with this hash prefix
-    state = ranks.filter("rank > 0").select("cls", "rank", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("left"))
+    state = cut_lineage(ranks).filter("rank > 0").select("cls", "rank", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("left"))
     shift = bits
     while True:
         at = F.shiftright("h", shift) if shift < 63 else F.lit(0).cast("long")
@@ -108,8 +113,8 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_size: f
                      split_col: str = "split", small: int = SMALL_PREFIX) -> DataFrame:
     """X1 exact mode: per-class quotas, the test rows being the quota smallest (hash, key)."""
     h = key_hash(key, seed) if h is None else h
-    quotas = split_quotas(class_counts(df, label), test_size)
-    borders = rank_borders(df, label, h, key, quotas, hash_range, small)
+    rows = narrow_rows(df, label, h, key)
+    borders = rank_borders(rows, split_quotas(class_counts(rows), test_size), hash_range, small)
     joined, past = _past(df, label, h, key, borders)
     has = F.col("_borders").isNotNull()
     return (joined.withColumn(split_col, F.when(has & (past == 0), "test").otherwise("train"))
@@ -142,8 +147,9 @@ def stratified_folds(df: DataFrame, label: str, key: Sequence[str], k: int = 5,
                      fold_col: str = "fold", small: int = SMALL_PREFIX) -> DataFrame:
     """Each class's rows in (hash, key) order, cut into ``k`` runs of the round-robin sizes."""
     h = key_hash(key, seed) if h is None else h
-    ends = fold_ranks(class_counts(df, label), k)
-    borders = rank_borders(df, label, h, key, ends.filter(F.col("fold") < k - 1).select("cls", "rank"), hash_range, small)
+    rows = narrow_rows(df, label, h, key)
+    ends = cut_lineage(fold_ranks(class_counts(rows), k))
+    borders = rank_borders(rows, ends.filter(F.col("fold") < k - 1).select("cls", "rank"), hash_range, small)
     # folds that get no row of a small class have rank 0 or repeat a rank: count them as passed
     joined, past = _past(df, label, h, key, borders)
     shape = ends.filter(F.col("fold") < k - 1).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("fold", "rank"))).alias("_ends"))

@@ -1054,6 +1054,11 @@ def _featured_o(spark, d):
     return fe.apply_features(o, fe.fit_feature_state(O_train(o)))
 
 
+def _model_rows(spark, d):
+    """View O with the derived columns that ``SCORE_MODEL`` reads (none of them needs fitted state)."""
+    return fe.apply_features(O(spark, d), None, features=[f for f in SCORE_MODEL.weights if f in fe.INPUTS_OF])
+
+
 _FE_O_SQL = _FE_SQL.replace("SELECT id,\n", "SELECT o_id AS id,\n", 1)
 _LOGIT_SQL = f"{SCORE_MODEL.intercept}e0 + " + " + ".join(
     f"({w!r}e0) * CAST({f} AS DOUBLE)" if "e" not in repr(w) else f"({w!r}) * CAST({f} AS DOUBLE)"
@@ -1072,7 +1077,7 @@ SELECT id AS EmployeeID, round_even(p, 4) AS AttritionProbability,
   round_even(abs(p - 0.5e0) * 2e0, 4) AS ConfidenceScore
 FROM pz""")
 def q_score_batch(spark, d):
-    return sc.prediction_frame(sc.predict_linear(_featured_o(spark, d), SCORE_MODEL, "id"), "id")
+    return sc.prediction_frame(sc.predict_linear(_model_rows(spark, d), SCORE_MODEL, "id"), "id")
 
 
 @register("score_rows_with_nulls", f"""WITH {_FEATURED_SQL.replace('SELECT o.*,', "SELECT o.* REPLACE (CASE WHEN id % 6 <> 0 THEN Age END AS Age),")},
@@ -1084,14 +1089,14 @@ SELECT id AS EmployeeID, round_even(p, 4) AS AttritionProbability,
 FROM pz""")
 def q_score_rows_with_nulls(spark, d):
     """A row that cannot be scored has no label, tier or confidence, and is not dropped."""
-    fx = _featured_o(spark, d).withColumn("Age", F.when(F.col("id") % 6 != 0, F.col("Age")))
+    fx = _model_rows(spark, d).withColumn("Age", F.when(F.col("id") % 6 != 0, F.col("Age")))
     return sc.prediction_frame(sc.predict_linear(fx, SCORE_MODEL, "id"), "id")
 
 
 @register("contributions_add_up", "SELECT id, true AS adds_up FROM o")
 def q_contributions_add_up(spark, d):
     """Base value plus all contributions is the row's logit."""
-    fx = _featured_o(spark, d)
+    fx = _model_rows(spark, d)
     parts = sc.linear_contributions(fx, SCORE_MODEL, "id", top_n=None).groupBy("id").agg(
         (F.max("base_value") + F.sum("shap_value")).alias("z"))
     logit = fx.select("id", SCORE_MODEL.logit().alias("logit"))
@@ -1103,7 +1108,7 @@ pz AS (SELECT 1e0 / (1e0 + exp(-({_LOGIT_SQL}))) AS p FROM fx)
 SELECT CASE WHEN p >= 0.6e0 THEN 'High' WHEN p >= 0.4e0 THEN 'Elevated' WHEN p >= 0.25e0 THEN 'Moderate' ELSE 'Low' END AS RiskTier,
        count(*) AS count FROM pz GROUP BY 1""")
 def q_tier_counts(spark, d):
-    pred = sc.prediction_frame(sc.predict_linear(_featured_o(spark, d), SCORE_MODEL, "id"), "id")
+    pred = sc.prediction_frame(sc.predict_linear(_model_rows(spark, d), SCORE_MODEL, "id"), "id")
     return seg.tier_counts(pred)
 
 
@@ -1122,7 +1127,7 @@ SELECT id, rank, feature, shap_value, feature_value,
   b AS base_value
 FROM rk CROSS JOIN base WHERE rank <= 12""")
 def q_linear_contributions_top12(spark, d):
-    fx = _featured_o(spark, d)
+    fx = _model_rows(spark, d)
     means = {k: round(v, 6) for k, v in sc.background_means(fx, _FEATS).items()}
     out = sc.linear_contributions(fx, SCORE_MODEL, "id", means=means)
     return out.select("id", "rank", "feature", "shap_value", "feature_value", "direction", "base_value")
