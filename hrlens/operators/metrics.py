@@ -91,8 +91,9 @@ def _distinct_scores(scores: DataFrame, by: Sequence[str], label: str, score: st
 
 
 def cumulative(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
-               score: str = "p") -> DataFrame:
-    """Per (group, distinct score s): pos, neg and tp/fp = counts with score ≥ s, plus P, N.
+               score: str = "p", bucket: bool = False) -> DataFrame:
+    """Per (group, distinct score s): pos, neg and tp/fp = counts with score ≥ s, plus P, N (and on
+    request the score's bucket ``b``).
 
     Exact two-level running sum (bucket totals + in-bucket window), see module doc.  The cut
     points are ``BUCKETS - 1`` numbers per table, shared by all groups.
@@ -110,7 +111,7 @@ def cumulative(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "
     inb = Window.partitionBy(*by, "b").orderBy(F.desc("s")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (d.join(t, [*by, "b"])
-             .select(*by, "s", "pos", "neg", "P", "N",
+             .select(*by, *(["b"] if bucket else []), "s", "pos", "neg", "P", "N",
                      (F.col("pos_above") + F.sum("pos").over(inb)).alias("tp"),
                      (F.col("neg_above") + F.sum("neg").over(inb)).alias("fp")))
 
@@ -154,6 +155,28 @@ def roc_points(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "
     return pts.unionByName(start)
 
 
+def roc_vertices(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
+                 score: str = "p") -> DataFrame:
+    """M6 as plotted: ``roc_points`` without the points on a straight line between their neighbours.
+
+    A point lies on one when the next lower score adds the same positives and negatives as the point's
+    own; the first and the last score always stay.  The next score of a bucket's last row is the first
+    of the next bucket, so only one row a bucket crosses buckets.
+    """
+    by = list(by)
+    c = cumulative(scores, by, label, score, bucket=True)
+    own = F.struct("pos", "neg")
+    below = Window.partitionBy(*by).orderBy(F.desc("b"))
+    first = c.groupBy(*by, "b").agg(F.max_by(own, "s").alias("_f")).select(*by, "b", F.lead("_f").over(below).alias("_over"))
+    c = c.join(first, [*by, "b"])
+    after = F.coalesce(F.lead(own).over(Window.partitionBy(*by, "b").orderBy(F.desc("s"))), F.col("_over"))
+    at_start = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    kept = c.withColumn("_next", after).filter(at_start | F.col("_next").isNull() | (F.col("_next") != own))
+    pts = kept.select(*by, F.col("s").alias("threshold"), safe_div("fp", "N").alias("fpr"), safe_div("tp", "P").alias("tpr"))
+    start = c.select(*by).distinct().select(*by, F.lit(float("inf")).alias("threshold"), lit_d(0.0).alias("fpr"), lit_d(0.0).alias("tpr"))
+    return pts.unionByName(start)
+
+
 def pr_points(scores: DataFrame, by: Sequence[str] = ("model",), label: str = "y",
               score: str = "p") -> DataFrame:
     """M6: (threshold, precision, recall) per distinct score, plus the (recall 0, precision 1) end."""

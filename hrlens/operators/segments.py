@@ -153,24 +153,34 @@ def histogram_density(df: DataFrame, column: str, target: str = "Attrition",
             .orderBy(target, "bin"))
 
 
-def box_stats(df: DataFrame, column: str, target: str = "Attrition",
-              positive: str = "Yes", negative: str = "No", whis: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers (extreme points inside the 1.5·IQR fences), flier count per status,
-    all from the value counts per status."""
+def _boxes(df: DataFrame, column: str, target: str, positive: str, negative: str, whis: float) -> DataFrame:
+    """Value counts per status with the status's quartiles and fences."""
     status = F.when(col(target) == positive, "Left").when(col(target) == negative, "Stayed")
     counts = value_counts(df.select(status.alias("Status"), col(column)).filter(F.col("Status").isNotNull()), [column], ["Status"])
     q = quantiles(counts, ["Status"], [0.25, 0.5, 0.75]).select(
         "Status", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.select("*", (F.col("q1") - lit_d(whis) * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                  (F.col("q3") + lit_d(whis) * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    x = F.col("value")
-    inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
-    return (counts.join(q, "Status").groupBy("Status", "q1", "median", "q3")
+    return counts.join(q, "Status").withColumn("inside", (F.col("value") >= F.col("lo_fence")) & (F.col("value") <= F.col("hi_fence")))
+
+
+def box_stats(df: DataFrame, column: str, target: str = "Attrition",
+              positive: str = "Yes", negative: str = "No", whis: float = 1.5) -> DataFrame:
+    """Quartiles, whiskers (extreme points inside the 1.5·IQR fences), flier count per status,
+    all from the value counts per status."""
+    x, inside = F.col("value"), F.col("inside")
+    return (_boxes(df, column, target, positive, negative, whis).groupBy("Status", "q1", "median", "q3")
             .agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
                  F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_fliers"))
             .orderBy("Status"))
 
 
+def box_fliers(df: DataFrame, column: str, target: str = "Attrition",
+               positive: str = "Yes", negative: str = "No", whis: float = 1.5) -> DataFrame:
+    """The points outside the fences, ``Status, value, n`` (rows with that value)."""
+    return _boxes(df, column, target, positive, negative, whis).filter("not inside").select("Status", "value", "n")
+
+
 def mean_score_by_dimension(df: DataFrame, target: str = "Attrition",
                             columns: Sequence[str] = SATISFACTION_COLUMNS) -> DataFrame:
     """Melt the score columns, mean per (target, dimension); nulls skipped."""

@@ -152,6 +152,20 @@ def q_box_stats(spark, d):
     return seg.box_stats(O(spark, d), "Age")
 
 
+@register("box_fliers", """
+WITH data AS (SELECT CASE WHEN Attrition = 'Yes' THEN 'Left' WHEN Attrition = 'No' THEN 'Stayed' END AS Status,
+                     MonthlyIncome::DOUBLE * MonthlyIncome::DOUBLE * MonthlyIncome::DOUBLE * MonthlyIncome::DOUBLE AS x FROM o),
+d AS (SELECT * FROM data WHERE Status IS NOT NULL AND x IS NOT NULL),
+q AS (SELECT Status, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM d GROUP BY Status),
+f AS (SELECT Status, q1 - 1.5e0 * (q3 - q1) AS lo_fence, q3 + 1.5e0 * (q3 - q1) AS hi_fence FROM q)
+SELECT d.Status, x AS value, count(*) AS n FROM d JOIN f ON d.Status = f.Status
+WHERE NOT (x >= lo_fence AND x <= hi_fence) GROUP BY d.Status, x""")
+def q_box_fliers(spark, d):
+    """The income's fourth power has a long tail, so that there are points outside the fences."""
+    m = F.col("MonthlyIncome").cast("double")
+    return seg.box_fliers(O(spark, d).withColumn("x", m * m * m * m), "x")
+
+
 @register("mean_score_unpivot", """
 SELECT Attrition, Dimension, round_even(avg(Score), 6) AS Score FROM (
   SELECT Attrition, 'JobSatisfaction' AS Dimension, JobSatisfaction AS Score FROM o
@@ -593,6 +607,18 @@ def q_roc_points(spark, d):
                       _round("tpr").alias("tpr"))
 
 
+@_score("roc_vertices", f"""WITH {_CUM_SQL},
+seq AS (SELECT *, row_number() OVER w AS k, lead(pos) OVER w AS np, lead(neg) OVER w AS nn FROM (
+  SELECT model, s, tp, fp, P, N, tp - coalesce(lag(tp) OVER v, 0) AS pos, fp - coalesce(lag(fp) OVER v, 0) AS neg
+  FROM cum WINDOW v AS (PARTITION BY model ORDER BY s DESC)) x WINDOW w AS (PARTITION BY model ORDER BY s DESC))
+SELECT model, round_even(s, 6) AS threshold, round_even(fp / nullif(N, 0)::DOUBLE, 6) AS fpr,
+       round_even(tp / nullif(P, 0)::DOUBLE, 6) AS tpr FROM seq WHERE k = 1 OR np IS NULL OR np <> pos OR nn <> neg
+UNION ALL SELECT DISTINCT model, 'inf'::DOUBLE, 0e0, 0e0 FROM c""")
+def q_roc_vertices(spark, d):
+    pts = mt.roc_vertices(C(spark, d))
+    return pts.select("model", _round("threshold").alias("threshold"), _round("fpr").alias("fpr"), _round("tpr").alias("tpr"))
+
+
 @_score("pr_points", f"""WITH {_CUM_SQL}
 SELECT model, round_even(s, 6) AS threshold, round_even(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision,
        round_even(coalesce(tp / nullif(P, 0)::DOUBLE, 1), 6) AS recall FROM cum

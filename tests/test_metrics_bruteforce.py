@@ -110,3 +110,19 @@ def test_quantiles_equal_numpy(spark):
         want = np.quantile([x for j, x in rows if j == k], [0.0, 0.25, 0.5, 0.9, 1.0])
         assert np.allclose(got[k], want, rtol=1e-12)
     assert 8 not in got
+
+
+def test_roc_vertices_keep_the_area_and_drop_straight_points(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(mt, "BUCKETS", 8)   # neighbours in other buckets
+    rng = np.random.default_rng(4)
+    rows = [("m", int(y), float(p)) for y, p in zip(rng.integers(0, 2, 600), rng.integers(0, 200, 600) / 200)]
+    rows += [("flat", i % 2, i // 2 / 50) for i in range(100)]
+    df = spark.createDataFrame(rows, "model string, y int, p double")
+    got, every = mt.roc_vertices(df).collect(), mt.roc_points(df).collect()
+    for m in ("m", "flat"):
+        pts = sorted({(r["fpr"], r["tpr"]) for r in got if r["model"] == m})
+        full = sorted({(r["fpr"], r["tpr"]) for r in every if r["model"] == m})
+        area = lambda p: sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(p, p[1:]))
+        assert set(pts) <= set(full) and len(pts) < len(full) and abs(area(pts) - area(full)) < 1e-12
+    assert len([r for r in got if r["model"] == "flat"]) == 3   # start, first score, last score

@@ -68,3 +68,19 @@ def test_scoring_with_given_means_adds_no_shuffle(spark):
 def test_threshold_search_reduces_before_window(spark):
     p = plan(mt.optimal_threshold(C.C(spark, SF_SMALL)))
     assert "SinglePartition" not in p
+
+
+def test_split_and_folds_read_the_table_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = (spark.range(3000).select("id", (F.col("id") % 7 == 0).cast("int").alias("label"))
+          .mapInArrow(count, "id long, label int"))
+    sp.stratified_split(df, "label", ["id"], small=100).write.format("noop").mode("overwrite").save()
+    assert read.value == 6000
+    sp.stratified_folds(df, "label", ["id"], k=5, small=100).write.format("noop").mode("overwrite").save()
+    assert read.value == 12000
