@@ -216,19 +216,25 @@ def tree_plan(name: str, grid: Sequence[dict], folds: Sequence[int], weights: di
 
 
 def search(spec: ModelSpec, train: DataFrame, nominal: Sequence[str], numeric: Sequence[str], label: str = "label",
-           folds: int = 5, seed: int = 42) -> list[float]:
-    """Mean area under ROC over the folds of every candidate of ``spec.grid``, in its order."""
+           folds: int = 5, seed: int = 42, shared: dict | None = None) -> list[float]:
+    """Mean area under ROC over the folds of every candidate of ``spec.grid``, in its order.
+    ``shared`` keeps the encoded and binned tables between searches over the same ``train``."""
     library_on_workers(train.sparkSession)
-    states = {f: enc.fit_encoder(train.filter(F.col("fold") != f), nominal, numeric, scale=list(numeric) if spec.scale else None, impute=True)
-              for f in range(folds)}
-    table = fold_table(train, states, label)
-    weights = fold_weights(table, range(folds))
+    shared = {} if shared is None else shared
+    if spec.scale not in shared:
+        states = {f: enc.fit_encoder(train.filter(F.col("fold") != f), nominal, numeric, scale=list(numeric) if spec.scale else None, impute=True)
+                  for f in range(folds)}
+        table = fold_table(train, states, label)
+        shared[spec.scale] = states, table, fold_weights(table, range(folds))
+    states, table, weights = shared[spec.scale]
     if spec.name == "logistic_regression":
         fits = logistic.fit_many(table, [(c["C"], f) for c in spec.grid for f in range(folds)], {f: w for f, (w, _) in weights.items()})
         scores = logistic.held_out_scores(table, fits)
         names = [repr(c["C"]) for c in spec.grid]
     else:
-        bins = trees.binned(table, [f"x{f}" for f in range(folds)])
+        if "bins" not in shared:
+            shared["bins"] = trees.binned(table, [f"x{f}" for f in range(folds)])
+        bins = shared["bins"]
         ensembles, cuts = tree_plan(spec.name, spec.grid, range(folds), weights, {f: len(s.output_names()) for f, s in states.items()}, seed)
         scores = trees.held_out_scores(bins, ensembles, trees.grow(bins, ensembles), cuts)
         names = [str(i) for i in range(len(spec.grid))]
@@ -258,11 +264,12 @@ def fit_candidate(spec: ModelSpec, candidate: dict, train: DataFrame, nominal: S
 
 
 def train_single_model(spec: ModelSpec, train: DataFrame, nominal: Sequence[str],
-                       numeric: Sequence[str], label: str = "label", folds: int = 5, seed: int = 42) -> TrainedModel:
+                       numeric: Sequence[str], label: str = "label", folds: int = 5, seed: int = 42,
+                       shared: dict | None = None) -> TrainedModel:
     """L1 + L7: grid search with stratified CV (mean ROC-AUC over ``fold`` 0..folds-1), then the best
     candidate (ties: the first) fitted on all rows of ``train``."""
     grid = spec.grid or [{}]
-    mean = search(spec, train, nominal, numeric, label, folds, seed)
+    mean = search(spec, train, nominal, numeric, label, folds, seed, shared)
     best = max(range(len(grid)), key=lambda i: (mean[i], -i))
     model, state, n = fit_candidate(spec, grid[best], train, nominal, numeric, label, seed)
     return TrainedModel(spec.name, model, state, float(mean[best]), grid[best], n, list(zip(grid, mean)))
@@ -308,7 +315,8 @@ def run_training(table: DataFrame, nominal: Sequence[str], numeric: Sequence[str
     Returns the models and the score table (model, id, y, p, split).
     """
     prepared = prepare(table.filter(F.col("split") == "train"), label, [id_col], folds)
-    trained = [train_single_model(spec, prepared, nominal, numeric, label, folds, seed)
+    shared: dict = {}
+    trained = [train_single_model(spec, prepared, nominal, numeric, label, folds, seed, shared)
                for spec in model_specs(full_grid) if not models or spec.name in models]
     return trained, score_all(trained, table, id_col, label)
 
