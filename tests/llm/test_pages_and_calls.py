@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from hrlens.llm import main_text as mt
 from hrlens.llm import queries, tool_calls, url_filter
@@ -129,8 +130,9 @@ def test_linking_of_nothing(spark):
     assert tool_calls.link(calls, results, {}).count() == 0
 
 
-def test_url_lists_equal_brute_force(spark):
-    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+@pytest.mark.parametrize("bucket", [3600 * 5, 86400, 10**9])
+def test_url_lists_equal_brute_force(spark, bucket):
+    day = lambda n: datetime(2024, 1, 1) + timedelta(hours=6 * n)
     rng = random.Random(9)
     hosts = ["a.example.com", "b.a.example.com", "example.com", "other.org", "xa.example.com"]
     kinds = [("host", h) for h in hosts] + [("domain", h) for h in hosts] + [("prefix", f"{h}/{p}") for h in hosts for p in ("x", "x/y", "")]
@@ -170,7 +172,7 @@ def test_url_lists_equal_brute_force(spark):
         want.append((i, url, t, (block > 0 and allow == 0, block, allow, sorted({f"{k[0]} {k[2]}:{k[3]}" for k in hit}))))
     cdf = spark.createDataFrame([(*c, 3) for c in caps], "page_id long, url string, fetched timestamp, url_filter int")
     edf = spark.createDataFrame(entries, "list string, allow boolean, kind string, pattern string, action string, ts timestamp")
-    out = url_filter.filter_captures(cdf, edf)
+    out = url_filter.filter_captures(cdf, edf, bucket_seconds=bucket)
     assert out.columns == ["page_id", "url", "fetched", "url_filter", "url_filter_"]
     got = [(r["page_id"], r["url"], r["fetched"], tuple(r["url_filter_"])) for r in out.collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
@@ -178,3 +180,19 @@ def test_url_lists_equal_brute_force(spark):
     assert {r["url_filter_"]["blocked"] for r in url_filter.filter_captures(cdf, edf.limit(0)).collect()} == {False}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_capture_meets_one_row_per_rule_however_long_the_history(spark):
+    entries = spark.range(2000).selectExpr(
+        "'L' list", "false allow", "'host' kind", "'hot.org' pattern", "if(id % 2 = 0, 'add', 'remove') action",
+        "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int) * 5) ts")
+    captures = spark.range(3000).selectExpr("id", "'http://hot.org/' || id url", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(id * 3 as int), 30) fetched")
+    valid = url_filter.intervals(entries).collect()
+    assert len(valid) == 1000 and all((r["valid_to"] - r["valid_from"]) == timedelta(hours=5) for r in valid)
+    out = url_filter.filter_captures(captures, entries)
+    keyed = captures.select("url", F.col("fetched").alias("t"), url_filter._bucket(F.col("fetched"), 86400).alias("bucket"), F.lit("host:hot.org").alias("key"))
+    probes = url_filter._probes(keyed, url_filter.bucketed_intervals(entries))
+    assert probes.groupBy("list", "key", "bucket").count().filter("count > 1").isEmpty()
+    assert probes.agg(F.max(F.size("spans"))).first()[0] <= 4  # a day's starts and the interval before
+    assert {r["id"]: r["url_filter"]["blocked"] for r in out.collect()} == {
+        i: ((timedelta(hours=3 * i, minutes=30) // timedelta(hours=5)) % 2 == 0 and 3 * i < 10_000) for i in range(3000)}
