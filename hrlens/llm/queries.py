@@ -67,13 +67,13 @@ SCHEMAS = {
 
 def tool_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) derived from whole conversations: every assistant turn is a call that may use
-    the assistant's call before, every user turn the result of the call before it, any other turn a
+    the assistant's call before (or, rarely, the one after it: a cycle), every user turn the result of the call before it, any other turn a
     result without a call.  A fifth of the calls is recorded late, a few have broken arguments."""
     ident = lambda back: F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), F.col("turn") - back)
     pick = F.crc32(ident(0))
     name = F.element_at(F.array(*[F.lit(x) for x in ("search", "lookup", "summarise", "draw")]), (pick % 4 + 1).cast("int"))
     args = F.to_json(F.struct(F.col("text").alias("query"), (F.col("turn") % 12 - 1).alias("limit"),
-                              F.when(F.col("turn") > 2, F.struct(ident(2).alias("$ref"))).alias("context")))
+                              F.when(F.col("turn") > 2, F.struct(F.when(pick % 53 == 0, ident(-2)).otherwise(ident(2)).alias("$ref"))).alias("context")))
     calls = conversations.filter("role = 'assistant'").select(
         "conv_id", ident(0).alias("call_id"), (F.col("turn") + F.when(pick % 5 == 0, 4).otherwise(0)).alias("turn"),
         name.alias("name"), F.when(pick % 97 == 0, F.substring(args, 1, 20)).otherwise(args).alias("arguments"))

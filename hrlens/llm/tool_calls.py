@@ -2,10 +2,16 @@
 
 Calls and results are hash-joined on (conversation, identifier).  A call's arguments are validated
 against its tool's schema; ``{"$ref": "<call id>"}`` anywhere in them means that the call uses
-another call's result.  Calls are ordered topologically: ``step`` starts as the recorded turn and a
-call that is recorded at or before one it uses is pushed behind it, until nothing moves.  Only calls
-that moved in the last round push others, so the rounds follow the longest run of disorder and not
-the length of a conversation, and no conversation is ever gathered in one task.
+another call's result.  Calls are ordered topologically: ``step`` is the recorded turn, or one more
+than the last step of the calls it uses if that is later.
+
+Conversations of up to ``GROUP_ITEMS`` calls and references (all but few) are ordered one row each:
+calls whose used calls are all placed are placed, and what can't be placed is on a cycle or behind
+one.  Longer ones are never gathered in one task: ``step`` starts as the turn and a call recorded at
+or before one it uses is pushed behind it.  Only calls that moved in the last round push others, and
+each round writes the calls that moved so far, so the rounds follow the longest run of disorder in
+one conversation.  A conversation that is pushed for more rounds than calls moved in it has a cycle
+and leaves the rounds; all conversations share them.
 
 Each row carries the exchange as canonical JSON: sorted keys, no spaces, no escapes beyond JSON's.
 
@@ -13,8 +19,8 @@ Defined cases: repeated identifiers keep the earliest record (by turn, then cont
 result are ``pending``, results without call ``orphan``; records with a null conversation or
 identifier are returned one by one and never linked; null or broken arguments, unknown tools and
 unknown references are errors of the call; a call on or behind a cycle is ``cyclic``, keeps its
-turn as step and sorts behind the others; a call is never moved by a reference to itself beyond
-that mark; empty tables give no rows.  Only the named columns are read.
+turn as step and sorts behind the others; a call that uses itself is a cycle; a call without a turn
+is placed as if recorded at turn 0; empty tables give no rows.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -29,6 +35,9 @@ from pyspark.sql import functions as F
 
 from hrlens.llm.store import staged
 
+#: calls and references of a conversation that one task orders at once; a bound on memory, not on results
+GROUP_ITEMS = 20_000
+
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -143,41 +152,86 @@ def _earliest(rows: DataFrame, names: list[str]) -> DataFrame:
     return best.unionByName(rows.filter(~named).select("conv_id", "call_id", *names))
 
 
-def _steps(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """``conv_id, call_id, step, cyclic`` of the identified calls."""
-    steps = calls.filter("conv_id is not null and call_id is not null").select("conv_id", "call_id", F.col("turn").alias("step"))
-    edges = staged(edges, "tool-edges")
+def _place(ids: list[str], turns: list[int], refs: list[list[str]]) -> tuple[list[int], list[bool]]:
+    """(step, on or behind a cycle) of one conversation's calls; unknown references don't count."""
+    at = {x: i for i, x in enumerate(ids)}
+    used = [{at[r] for r in rs if r in at} for rs in refs]
+    users: list[list[int]] = [[] for _ in ids]
+    for i, parents in enumerate(used):
+        for p in parents:
+            users[p].append(i)
+    steps, left = list(turns), [len(p) for p in used]
+    ready = [i for i, n in enumerate(left) if not n]
+    for i in ready:  # grows while calls become free
+        for j in users[i]:
+            steps[j] = max(steps[j], steps[i] + 1)
+            left[j] -= 1
+            if not left[j]:
+                ready.append(j)
+    return steps, [n > 0 for n in left]
+
+
+def _place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        conv, ids, step, cyclic = [], [], [], []
+        for conv_id, listed in zip(batch["conv_id"], batch["calls"]):
+            calls = listed.as_py()  # one conversation at a time
+            names = [c["call_id"] for c in calls]
+            steps, bad = _place(names, [c["turn"] for c in calls], [c["refs"] or [] for c in calls])
+            conv += [conv_id.as_py()] * len(names)
+            ids += names
+            step += steps
+            cyclic += bad
+        yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(ids, pa.string()), pa.array(step, pa.int64()),
+                                          pa.array(cyclic, pa.bool_())], names=["conv_id", "call_id", "step", "cyclic"])
+
+
+def _push(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """``conv_id, call_id, step, cyclic`` of long conversations, by joins in rounds."""
     key = ["conv_id", "call_id"]
-    step_of = lambda s, as_key, as_step: s.select("conv_id", F.col("call_id").alias(as_key), F.col("step").alias(as_step))
-    moved, rounds, cyclic = None, 0, None
-    front = steps
+    base = staged(calls.select(*key, F.col("turn").alias("step")), "tool-base")
+    edges = staged(edges, "tool-edges")
+    none = base.limit(0)
+    late, stuck, front, rounds = none, none.select(*key), base, 0
     while True:
-        need = (edges.join(step_of(front, "parent", "ps"), ["conv_id", "parent"])
+        need = (edges.join(front.select("conv_id", F.col("call_id").alias("parent"), F.col("step").alias("ps")), ["conv_id", "parent"])
                 .groupBy("conv_id", F.col("child").alias("call_id")).agg((F.max("ps") + 1).alias("need")))
-        front = staged(need.join(steps, key).filter("need > step").select(*key, F.col("need").alias("step")), "tool-front")
+        now = need.join(base, key).join(late.withColumnRenamed("step", "later"), key, "left")
+        front = staged(now.filter(F.col("need") > F.coalesce("later", "step")).select(*key, F.col("need").alias("step")), "tool-front")
         if front.isEmpty():
             break
         rounds += 1
-        moved = staged(front.select(*key) if moved is None else moved.unionByName(front.select(*key)).distinct(), "tool-moved")
-        if rounds > moved.count():  # a chain of pushes without a cycle can't be longer
-            cyclic = moved
-            break
-        steps = staged(steps.join(front.withColumnRenamed("step", "later"), key, "left")
-                       .select(*key, F.coalesce("later", "step").alias("step")), "tool-steps")
-    if cyclic is None:
-        return steps.withColumn("cyclic", F.lit(False))
-    # what a cycle still moves in the last round is on it or behind it; all of that keeps its turn
-    stuck = staged(front.select(*key).distinct(), "tool-stuck")
-    while True:
-        more = staged(edges.join(stuck.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi")
+        late = staged(late.unionByName(front).groupBy(*key).agg(F.max("step").alias("step")), "tool-late")
+        # a chain of pushes without a cycle can't be longer than the calls it moved; every cycle has a call in the front
+        turning = staged(front.join(late.groupBy("conv_id").count().filter(F.col("count") < rounds), "conv_id", "left_semi"), "tool-turning")
+        if not turning.isEmpty():
+            stuck = staged(stuck.unionByName(turning.select(*key)), "tool-stuck")
+            front = front.join(turning.select("conv_id").distinct(), "conv_id", "left_anti")
+    more = stuck
+    while not more.isEmpty():  # what such a call leads to is on the cycle or behind it
+        more = staged(edges.join(more.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi")
                       .select("conv_id", F.col("child").alias("call_id")).distinct().join(stuck, key, "left_anti"), "tool-behind")
-        if more.isEmpty():
-            break
         stuck = staged(stuck.unionByName(more), "tool-stuck")
-    return steps.join(stuck.withColumn("c", F.lit(True)), key, "left").select(*key, "step", F.coalesce("c", F.lit(False)).alias("cyclic"))
+    return (base.join(late.withColumnRenamed("step", "later"), key, "left").join(stuck.withColumn("c", F.lit(True)), key, "left")
+            .select(*key, F.coalesce("later", "step").alias("step"), F.coalesce("c", F.lit(False)).alias("cyclic")))
+
+
+def _steps(calls: DataFrame, edges: DataFrame, group_items: int) -> DataFrame:
+    """``conv_id, call_id, step, cyclic`` of the identified calls."""
+    calls = (calls.filter("conv_id is not null and call_id is not null")
+             .select("conv_id", "call_id", F.coalesce("turn", F.lit(0)).alias("turn"), "refs"))
+    long = staged(calls.groupBy("conv_id").agg(F.sum(1 + F.size("refs")).alias("items")).filter(F.col("items") > group_items)
+                  .select("conv_id"), "tool-long")
+    some = not long.isEmpty()
+    short = calls.join(long, "conv_id", "left_anti") if some else calls
+    placed = (short.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "turn", "refs")).alias("calls"))
+              .mapInArrow(_place_all, "conv_id long, call_id string, step long, cyclic boolean"))
+    if not some:
+        return placed
+    return placed.unionByName(_push(calls.join(long, "conv_id", "left_semi"), edges.join(long, "conv_id", "left_semi")))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], group_items: int = GROUP_ITEMS) -> DataFrame:
     """One row per identified call or orphan result.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON); ``results``: conv_id, call_id, turn,
@@ -194,7 +248,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     known = parsed.filter("conv_id is not null and call_id is not null").select("conv_id", F.col("call_id").alias("parent"))
     wanted = parsed.filter("conv_id is not null and call_id is not null").select(
         "conv_id", F.col("call_id").alias("child"), F.explode("refs").alias("parent"))
-    steps = _steps(parsed, wanted.join(known, ["conv_id", "parent"]))
+    steps = _steps(parsed, wanted.join(known, ["conv_id", "parent"]), group_items)
     lost = (wanted.join(known, ["conv_id", "parent"], "left_anti").groupBy("conv_id", F.col("child").alias("call_id"))
             .agg(F.collect_set(F.concat(F.lit("unknown reference "), "parent")).alias("lost")))
     key = ["conv_id", "call_id"]
