@@ -3,9 +3,10 @@
 One pass over whole texts.  Rolling hashes of word windows of several lengths mark repeated
 windows inside each document; a window of ``n`` words can only repeat where its first ``n - 1``
 words repeat, so every longer length looks at the survivors of the one before.  The measures are
-the share of word characters in lines that occurred earlier in the same document, and, outside of
-such lines, the share inside windows that occurred earlier.  A text with more than ``SYMBOL_LIMIT``
-markup symbols a word fails too.
+the share of word characters of the whole text in lines that occurred earlier in the same document,
+and the share inside windows that occurred earlier; the published limits hold for these.  What
+windows cover outside of repeated lines is returned too (``fresh_dup_*``) and decides nothing.  A
+text with more than ``SYMBOL_LIMIT`` markup symbols a word fails too.
 
 Defined cases: a null or blank text has no words and fails the base rule; ties, repeated rows and
 repeated ids are judged row by row; an empty table gives no rows; only the id and text columns
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrlens.llm.textkit import U, mix, slices, span_hashes, windows, words
+from hrlens.llm.textkit import U, mix, rolling_windows, slices, span_hashes, words
 
 # Published repetition limits (window length -> largest share of characters)
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -82,26 +83,25 @@ def measure(s) -> dict[str, np.ndarray]:
     np.add.at(in_line, np.searchsorted(w.start, stop[later]), -1)
     fresh = np.cumsum(in_line[:-1]) == 0
 
-    at, h = windows(w, 3)
-    repeated, _ = _groups(mix(h + salt[w.doc[at]]))
-    out["n_repeat_words"] = per_doc(w.doc[_covered(at[repeated], 3, len(w.doc))])
-    alive = np.zeros(len(w.doc), bool)
-    alive[at[repeated]] = True
-    for n in range(4, max(NGRAM_LIMITS) + 1):
-        at, h = windows(w, n)
+    alive = np.ones(len(w.doc), bool)
+    for n, at, h in rolling_windows(w, 3, max(NGRAM_LIMITS)):
         use = alive[at]
         at, h = at[use], h[use]
         repeated, later = _groups(mix(h + salt[w.doc[at]]))
         alive = np.zeros(len(w.doc), bool)
         alive[at[repeated]] = True
+        if n == 3:
+            out["n_repeat_words"] = per_doc(w.doc[_covered(at[repeated], 3, len(w.doc))])
         if n in NGRAM_LIMITS:
-            hit = _covered(at[later], n, len(w.doc)) & fresh
+            hit = _covered(at[later], n, len(w.doc))
             out[f"dup_{n}gram_chars"] = per_doc(w.doc[hit], chars[hit])
+            hit &= fresh
+            out[f"fresh_dup_{n}gram_chars"] = per_doc(w.doc[hit], chars[hit])
     return out
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars",
-           *(f"dup_{n}gram_chars" for n in NGRAM_LIMITS)]
+           *(f"{kind}dup_{n}gram_chars" for n in NGRAM_LIMITS for kind in ("", "fresh_"))]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,16 +131,22 @@ def words(s: Slice, lower: bool = False) -> Words:
     return Words(doc, start, end, span_hashes(data, start, end))
 
 
+def rolling_windows(w: Words, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, index of the first word, hash) of every window inside one document, for each length
+    from ``first`` to ``last``; a length adds one word's term to the sums of the one before."""
+    h = np.zeros(len(w.hash), U)
+    for k in range(1, last + 1):
+        n = max(0, len(w.hash) - k + 1)
+        h = h[:n]
+        h += w.hash[k - 1:k - 1 + n] * _COEF[k - 1]
+        if k >= first:
+            at = np.flatnonzero(w.doc[:n] == w.doc[k - 1:k - 1 + n])
+            yield k, at, mix(h[at] + U(k))
+
+
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first word, hash) of every window of ``k`` words inside one document."""
-    if len(w.hash) < k:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    last = len(w.hash) - k + 1
-    at = np.flatnonzero(w.doc[:last] == w.doc[k - 1:])
-    h = np.zeros(last, U)
-    for t in range(k):
-        h += w.hash[t:last + t] * _COEF[t]
-    return at, mix(h[at] + U(k))
+    return next((at, h) for _, at, h in rolling_windows(w, k, k))
 
 
 def shingle_sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:

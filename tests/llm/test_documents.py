@@ -39,7 +39,8 @@ def _quality(text):
     out = {"n_words": len(w), "word_chars": chars, "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_dup_lines": len(later),
            "n_repeat_words": len(cover(3, True)), "dup_line_chars": sum(len(x) for y in later for x in WORD.findall(y))}
     for n in repetition.NGRAM_LIMITS:
-        out[f"dup_{n}gram_chars"] = sum(len(w[i]) for i in cover(n, False) if fresh[i])
+        out[f"dup_{n}gram_chars"] = sum(len(w[i]) for i in cover(n, False))
+        out[f"fresh_dup_{n}gram_chars"] = sum(len(w[i]) for i in cover(n, False) if fresh[i])
     out["base_failed"] = len(w) < 50 or 100 * out["n_repeat_words"] > 50 * len(w)
     out["kept"] = not out["base_failed"] and out["n_symbols"] <= 0.1 * len(w) and out["dup_line_chars"] <= 0.2 * chars and all(
         out[f"dup_{n}gram_chars"] <= x * chars for n, x in repetition.NGRAM_LIMITS.items())
@@ -49,11 +50,21 @@ def _quality(text):
 def test_repetition_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in small(spark).collect() if len(r["text"]) < 6000]
     rows += [x for x in odd_rows() if len(x[1] or "") < 1000]
+    long = "\n".join(f"line {i} of many says {i * 7919 % 104729} and {i * 31 % 997}" for i in range(4000))
+    rows += [(8999, long + "\n" + long[-9000:], "en", "s")]
+    # 19 % of the characters in a repeated line and 9 % in other repeated windows: over the limit together
+    parts = ["".join(c * 4 for c in x) for x in ("abcdefghij", "klmnopqrst")]
+    line, other = (" ".join(x[i:i + 4] + k for i in range(0, 40, 4)) for x, k in zip(parts, "uv"))
+    fill = " ".join(f"{i:05d}" for i in range(80))
+    rows += [(8998, f"{line}\n{fill}\n{line}\n{other} x {other}", "en", "s")]
     rows += [(9000, "spam and eggs and more of this and that thing " * 30, "en", "s"), (9001, "one line of it all\n" * 40, "en", "s")]
     docs = documents(spark, rows)
     got = repetition.quality(docs).collect()
     want = Counter((i, tuple(sorted(_quality(t).items()))) for i, t, *_ in rows)
     assert Counter((r["doc_id"], tuple(sorted((k, v) for k, v in r.asDict().items() if k != "doc_id"))) for r in got) == want
+    both = next(r for r in got if r["doc_id"] == 8998)
+    assert both["dup_line_chars"] <= 0.2 * both["word_chars"] and both["fresh_dup_10gram_chars"] <= 0.1 * both["word_chars"] < both["dup_10gram_chars"]
+    assert not both["base_failed"] and not both["kept"]
     assert repetition.quality(documents(spark, [])).count() == 0
     assert repetition.quality(documents(spark, odd_rows())).count() == len(odd_rows())
 
