@@ -1,15 +1,20 @@
 """Operator 3: main text of web pages by tag-path ratios.
 
 A page is cut into text blocks, each with the path of block elements (and their class words) from
-the root.  Text length, punctuation and link text are summed per path.  Three ratios per path (text
-per node, punctuation per node, share of text outside links) are fused into one score, the scores
-are smoothed along the page, and blocks above the threshold select the content paths.  Where an
-``article`` or ``main`` holds a good part of the selected text, selection stays inside of these.  The
-content is the smallest element that holds all selected blocks, or the outermost element around it
-that is marked as content and holds no other article; all its blocks (headings, short paragraphs,
-lists, references) come with it unless they stand in an element that is marked as something else.
-Only where that element is the unmarked page itself, link lists before the first selected block are
-taken for navigation.
+the root.  Text length, punctuation and link text are summed per path.  The ratios per path (text
+per node, punctuation per node, share of text outside links, share of the page's longest path) are
+fused into one score, which is 0 for a path that is marked as something else than content (``nav``,
+``class="cookie"``, ...).  Scores are smoothed along the page, and paths with a
+block above the threshold are selected: their blocks are the main text.
+
+Other blocks come in by their neighbourhood to selected ones.  The region is the smallest element
+that holds all selected blocks, or the outermost element around it that is marked as content and
+holds no other article.  Its headings, short paragraphs and lists come in, except those in a part of
+their own without any selected block (an unmarked sidebar, notice or comment section) and those
+marked as something else; in an ``article`` or ``main`` unmarked parts come in too.  A heading that
+stands right before the text comes in wherever it stands.  Where an ``article`` or ``main`` holds a
+good part of the selected text, selection stays inside of these.  Where the region is the unmarked
+page itself, link lists before the first selected block are taken for navigation.
 
 Defined cases: a null or empty page gives an empty text; broken markup is read as far as it goes;
 character references are decoded; white space inside a block becomes one space; blocks are joined
@@ -54,6 +59,7 @@ _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：¿¡]")
+_HEADING = re.compile("h[1-6]")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -71,7 +77,6 @@ class Block:
     node: Node
     text: str
     linked: int
-    score: float = 0.0
 
 
 def _marks(tag: str, attrs: str, inside: Node) -> tuple[bool, bool, str]:
@@ -210,29 +215,43 @@ def _smooth(values: list[float]) -> list[float]:
             for i in range(n)]
 
 
-def main_blocks(blocks: list[Block]) -> list[Block]:
-    """The blocks of the main text, in page order."""
-    own = [b for b in blocks if not b.node.other]
-    if not own:
-        return []
-    paths: dict[str, list[float]] = {}
-    for b in own:
-        p = paths.setdefault(b.node.path, [0, 0, 0, 0])
+LEAST_SHARE = 0.35  # of the best score, for a path to be selected
+
+
+def path_scores(blocks: list[Block]) -> dict[tuple[str, bool], float]:
+    """Fused ratios per (path, marked as something else)."""
+    paths: dict[tuple[str, bool], list[int]] = {}
+    for b in blocks:
+        p = paths.setdefault((b.node.path, b.node.other), [0, 0, 0, 0])
         p[0] += 1
         p[1] += len(b.text)
         p[2] += len(_PUNCT.findall(b.text))
         p[3] += min(b.linked, len(b.text))
-    score = {}
-    for path, (n, chars, marks, linked) in paths.items():
-        score[path] = math.log1p(chars / n) * math.log1p(1 + marks / n) * (1 - linked / chars) * math.log1p(n)
-    for b, s in zip(own, _smooth([score[b.node.path] for b in own])):
-        b.score = 0.5 * s + 0.5 * score[b.node.path]
-    weight = sum(len(b.text) for b in own)
-    mean = sum(b.score * len(b.text) for b in own) / weight
-    spread = math.sqrt(sum((b.score - mean) ** 2 * len(b.text) for b in own) / weight)
-    least = max(mean - spread, 0.35 * max(b.score for b in own))
-    good = {b.node.path for b in own if b.score >= least and score[b.node.path] >= 0.5 * least}
-    chosen = [b for b in own if b.node.path in good] or [max(own, key=lambda b: b.score)]
+    longest = max((p[1] for (_, other), p in paths.items() if not other), default=1)
+    return {key: math.log1p(chars / n) * math.log1p(1 + marks / n) * (1 - linked / chars) * math.sqrt(min(1.0, chars / longest))
+            * (not key[1]) for key, (n, chars, marks, linked) in paths.items()}
+
+
+def selected_paths(blocks: list[Block]) -> set[tuple[str, bool]]:
+    """Paths with a block whose smoothed score reaches the threshold."""
+    score = path_scores(blocks)
+    key = [(b.node.path, b.node.other) for b in blocks]
+    fused = [0.5 * s + 0.5 * score[k] for k, s in zip(key, _smooth([score[k] for k in key]))]
+    least = LEAST_SHARE * max(fused)
+    return {k for k, s in zip(key, fused) if s >= least and score[k] >= 0.5 * least and score[k] > 0}
+
+
+def _is_part(node: Node) -> bool:
+    return node.tag in PARTS or _HEADING.fullmatch(node.tag) is not None
+
+
+def main_blocks(blocks: list[Block]) -> list[Block]:
+    """The blocks of the main text, in page order."""
+    if not any(not b.node.other for b in blocks):
+        return []
+    good = selected_paths(blocks)
+    own = [b for b in blocks if not b.node.other or (b.node.path, True) in good]
+    chosen = [b for b in own if (b.node.path, b.node.other) in good] or [max(own, key=lambda b: len(b.text) - b.linked)]
     marked = [b for b in chosen if any(n.content and n.tag in ("article", "main") for n in _line(b.node))]
     if sum(len(b.text) for b in marked) >= 0.3 * sum(len(b.text) for b in chosen):
         chosen = marked
@@ -240,17 +259,31 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     for b in chosen[1:]:
         shared &= {id(n) for n in _line(b.node)}
     root = next(n for n in _line(chosen[0].node) if id(n) in shared)
-    while root.parent is not None and (root.tag in PARTS or re.fullmatch("h[1-6]", root.tag)):
+    while root.parent is not None and _is_part(root):
         root = root.parent
     article = next((n for n in _line(root) if n.tag == "article"), None)
     for n in [n for n in _line(root) if n.content and n.tag not in ("body", "html")]:
         if article is None or not any(_apart(b.node, article, n) for b in own):
             root = n
-    inside = [b for b in own if any(n is root for n in _line(b.node))]
-    if root.content or root.tag not in ("body", "html", ""):
-        return inside
-    first = next(i for i, b in enumerate(inside) if b is chosen[0])
-    return [b for i, b in enumerate(inside) if i > first or b is chosen[0] or b.linked <= 0.6 * len(b.text)]
+    picked = {id(b) for b in chosen}
+    holds = {id(n) for b in chosen for n in _line(b.node)}  # elements with a selected block
+    whole = root.content and root.tag in ("article", "main")
+
+    def near(b: Block) -> bool:
+        line = list(_line(b.node))
+        if not any(n is root for n in line):
+            return False
+        parts = line[:next(i for i, n in enumerate(line) if n is root)]
+        # a table cell that holds blocks of its own is layout, one that holds text is data
+        return whole or all(id(n) in holds or n.content or _is_part(n) and (n is b.node or n.tag not in ("td", "th")) for n in parts)
+
+    first = next(i for i, b in enumerate(own) if id(b) in picked)
+    page = not root.content and root.tag in ("body", "html", "")
+    keep = [id(b) in picked or near(b) and not (page and i < first and b.linked > 0.6 * len(b.text)) for i, b in enumerate(own)]
+    for i in range(len(own) - 2, -1, -1):  # headings right before what is kept
+        if keep[i + 1] and not whole and _HEADING.fullmatch(own[i].node.tag) and own[i].linked <= 0.6 * len(own[i].text):
+            keep[i] = True
+    return [b for b, k in zip(own, keep) if k]
 
 
 def _apart(node: Node, article: Node, above: Node) -> bool:

@@ -146,7 +146,14 @@ def rolling_windows(w: Words, first: int, last: int) -> Iterator[tuple[int, np.n
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first word, hash) of every window of ``k`` words inside one document."""
-    return next((at, h) for _, at, h in rolling_windows(w, k, k))
+    if len(w.hash) < k:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    last = len(w.hash) - k + 1
+    at = np.flatnonzero(w.doc[:last] == w.doc[k - 1:])
+    h = np.zeros(last, U)
+    for t in range(k):
+        h += w.hash[t:last + t] * _COEF[t]
+    return at, mix(h[at] + U(k))
 
 
 def shingle_sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:

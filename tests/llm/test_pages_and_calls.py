@@ -51,6 +51,38 @@ def test_main_text_is_whole(page, more):
     assert mt.main_text(page) == "\n\n".join([*ARTICLE, *more])
 
 
+# pages whose class names mean nothing and that have no article: only the paths' scores tell the text
+MORE = [f"Paragraph {i} of the text proper, with a clause or two; it says something, at some length, and then it stops." for i in range(12)]
+TEXT = f"<p>{ARTICLE[1]}</p><p>{ARTICLE[2]}</p>" + "".join(f"<p>{x}</p>" for x in MORE)
+WANTED = [*ARTICLE[1:3], *MORE]
+NOTE = "<p>We keep small files on your device, so that we know you.</p><p>More about it.</p>"
+SAID = "".join(f"<div class='q{c}'><p>{w}</p></div>" for c, w in zip("ab", ("Nice read!", "I don't agree, sorry.")))
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<body><div class="k1"><p>{LONG}</p></div><div class="x7"><h1>A heading</h1>{TEXT}</div>', ["A heading", *WANTED]),
+    (f'<body><div class="k1">{NOTE}</div><div class="x7"><h1>A heading</h1>{TEXT}</div><div class="k2">{SAID}</div>', ["A heading", *WANTED]),
+    (f'<body><div class="w"><div class="x7">{TEXT}</div><div class="k"><h3>Elsewhere</h3><p>{LONG}</p>{MENU}</div></div>', WANTED),
+    (f'<body><div class="w"><div class="m">{MENU}</div><div class="x7">{TEXT}<div class="k"><p>Buy our lamps, they are cheap.</p></div><p>{MORE[0]}</p></div></div>',
+     [*WANTED, MORE[0]]),
+    (f'<body><div class="w"><div class="h"><h1>A heading</h1></div><div class="x7">{TEXT}<h2>Sources</h2>{LINKS}</div></div><div class="z"><p>{LONG}</p></div>',
+     ["A heading", *WANTED, "Sources", *REFERENCES]),
+    (f'<body><table class="g"><tr><td class="k">{MENU}<p>{LONG}</p></td><td class="x"><h1>A heading</h1>{TEXT}</td></tr></table>', ["A heading", *WANTED]),
+])
+def test_path_scores_select_the_text(page, want, monkeypatch):
+    assert mt.main_text(page) == "\n\n".join(want)
+    monkeypatch.setattr(mt, "selected_paths", lambda blocks: {(b.node.path, b.node.other) for b in blocks})
+    assert mt.main_text(page) != "\n\n".join(want)
+
+
+def test_scores_and_not_marks_alone_decide():
+    page = f'<body><nav><p>{LONG}</p></nav><div>{TEXT}</div><aside><p>{LONG}</p></aside>'
+    assert mt.main_text(page) == "\n\n".join(WANTED)
+    blocks = mt.blocks_of(page)
+    score = mt.path_scores(blocks)
+    assert {k for k in score if not k[1]} == mt.selected_paths(blocks) and {score[k] for k in score if k[1]} == {0}
+
+
 def test_main_text_of_odd_pages(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "just words"), (4, "u", "<p>a<p>b &amp &#x41;&bogus; <br>c"), (5, "u", "<nav>menu</nav>"),
              (6, "u", "<<<>>> <p <div> text. <"), (7, "u", "<script>never closed <p>x"), (7, "u", "<script>never closed <p>x"),
