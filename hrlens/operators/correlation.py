@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, label01, lit_d
+from ..session import written
 
 
 def _present(c: str) -> Column:
@@ -118,8 +119,7 @@ def redundancy_decisions(pairs: list[tuple[str, str, float]], importance: dict[s
     less important side (ties keep both; a missing importance counts as 0.0).  One dict per drop:
     dropped_feature, kept_feature, correlation, dropped_importance, kept_importance, reason.
 
-    Sequential by definition, and its input is the handful of flagged pairs
-    (at most k²/2 for k features), so it runs on the driver over that small list.
+    The fold over a list, for pairs at hand; ``resolve_redundancy`` gives the same on tables.
     """
     gone: dict[str, dict] = {}
     for a, b, r in pairs:
@@ -131,3 +131,45 @@ def redundancy_decisions(pairs: list[tuple[str, str, float]], importance: dict[s
                      "dropped_importance": weight[low], "kept_importance": weight[high],
                      "reason": f"|r| {r:.4f} with {high}; importance {weight[low]:.6f} < {weight[high]:.6f}"}
     return list(gone.values())
+
+
+DECISION_COLS = ["dropped_feature", "kept_feature", "correlation", "dropped_importance", "kept_importance", "reason"]
+
+
+def resolve_redundancy(pairs: DataFrame, importance: DataFrame) -> DataFrame:
+    """The decisions of ``redundancy_decisions`` for a pair table (feature_a, feature_b,
+    correlation, ia, ib; order: ia, ib) and an importance table (feature, importance), by joins.
+
+    A feature without importance (left join) weighs 0.0.  Rounds settle all pairs at once that are the
+    first open pair of both their features, so nothing earlier can touch them; a dropped feature takes
+    its later pairs with it.  Rounds follow the longest chain of pairs, not their number, and no pair
+    reaches the driver.
+    """
+    weight = importance.groupBy("feature").agg(F.max("importance").cast("double").alias("w"))
+    side = lambda f, w: weight.select(F.col("feature").alias(f), F.col("w").alias(w))
+    open_pairs = written(
+        pairs.join(side("feature_a", "wa"), "feature_a", "left").join(side("feature_b", "wb"), "feature_b", "left")
+        .select("feature_a", "feature_b", "correlation", F.struct("ia", "ib").alias("place"),
+                F.coalesce("wa", F.lit(0.0)).alias("wa"), F.coalesce("wb", F.lit(0.0)).alias("wb")), "redundant-pairs")
+    a_goes = F.col("wa") < F.col("wb")
+    pick = lambda x, y: F.when(a_goes, F.col(x)).otherwise(F.col(y))
+    drops = None
+    while not open_pairs.isEmpty():
+        first = (open_pairs.select(F.explode(F.array("feature_a", "feature_b")).alias("f"), "place")
+                 .groupBy("f").agg(F.min("place").alias("first")))
+        of = lambda f, name: first.select(F.col("f").alias(f), F.col("first").alias(name))
+        marked = written(open_pairs.join(of("feature_a", "fa"), "feature_a").join(of("feature_b", "fb"), "feature_b")
+                         .withColumn("ready", (F.col("fa") == F.col("place")) & (F.col("fb") == F.col("place"))), "redundant-marked")
+        now = marked.filter("ready and wa <> wb").select(
+            pick("feature_a", "feature_b").alias("dropped_feature"), pick("feature_b", "feature_a").alias("kept_feature"), "correlation",
+            F.least("wa", "wb").alias("dropped_importance"), F.greatest("wa", "wb").alias("kept_importance"))
+        drops = now if drops is None else drops.unionByName(now)
+        gone = now.select(F.col("dropped_feature").alias("g"))
+        open_pairs = written(marked.filter("not ready").join(gone, F.col("feature_a") == F.col("g"), "left_anti")
+                             .join(gone, F.col("feature_b") == F.col("g"), "left_anti")
+                             .select("feature_a", "feature_b", "correlation", "place", "wa", "wb"), "redundant-open")
+    if drops is None:
+        drops = open_pairs.select(F.col("feature_a").alias("dropped_feature"), F.col("feature_b").alias("kept_feature"), "correlation",
+                                  F.col("wa").alias("dropped_importance"), F.col("wb").alias("kept_importance"))
+    return drops.withColumn("reason", F.format_string(
+        "|r| %.4f with %s; importance %.6f < %.6f", "correlation", "kept_feature", "dropped_importance", "kept_importance")).select(*DECISION_COLS)

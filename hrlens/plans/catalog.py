@@ -809,6 +809,32 @@ def q_redundant_pairs(spark, d):
     return corr.redundant_pairs(_more_numbers(O(spark, d)), RED_COLS)
 
 
+_WEIGHED = RED_COLS[:-1]  # the last feature has no importance and weighs 0
+
+
+@register("redundancy_decisions", """SELECT * FROM (WITH RECURSIVE k AS (SELECT *, 65 - Age AS YearsToRetirement,
+  CASE WHEN id % 9 = 0 THEN NULL ELSE qty + id % 3 END AS QtyKnown FROM o),
+t AS (""" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}::DOUBLE, {b}::DOUBLE)) AS r, {i} AS ia, {j} AS ib FROM k"
+    for i, a in enumerate(RED_COLS) for j, b in enumerate(RED_COLS) if i < j) + """),
+w AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS f, count(DISTINCT {c})::DOUBLE AS w FROM k" for c in _WEIGHED) + """),
+p AS (SELECT row_number() OVER (ORDER BY ia, ib) AS n, a, b, round_even(r, 4) AS r, coalesce(x.w, 0e0) AS wa, coalesce(y.w, 0e0) AS wb
+      FROM t LEFT JOIN w x ON x.f = a LEFT JOIN w y ON y.f = b WHERE r >= 0.02 AND NOT isnan(r)),
+fold AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS gone UNION ALL
+  SELECT p.n, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) OR wa = wb THEN gone
+                   WHEN wa < wb THEN list_append(gone, a) ELSE list_append(gone, b) END
+  FROM fold JOIN p ON p.n = fold.n + 1),
+d AS (SELECT CASE WHEN wa < wb THEN a ELSE b END AS dropped_feature, CASE WHEN wa < wb THEN b ELSE a END AS kept_feature,
+        r AS correlation, least(wa, wb) AS dropped_importance, greatest(wa, wb) AS kept_importance
+      FROM p JOIN fold ON fold.n = p.n - 1 WHERE wa <> wb AND NOT list_contains(gone, a) AND NOT list_contains(gone, b))
+SELECT *, printf('|r| %.4f with %s; importance %.6f < %.6f', correlation, kept_feature, dropped_importance, kept_importance) AS reason FROM d) x""")
+def q_redundancy_decisions(spark, d):
+    """Which feature of a correlated pair goes; distinct values stand for the importance."""
+    o = _more_numbers(O(spark, d))
+    weights = o.agg(*[F.count_distinct(c).cast("double").alias(c) for c in _WEIGHED]).unpivot([], _WEIGHED, "feature", "importance")
+    return corr.resolve_redundancy(corr.redundant_pairs(o, RED_COLS, 0.02), weights)
+
+
 # ---------------------------------------------------------------- splits (X*) and class weights
 
 @register("stratified_split_sizes", f"""WITH {_split_sql(_LAB_SQL, H1)}
@@ -1327,6 +1353,28 @@ def q_preprocessed_table(spark, d):
     return pre.withColumn("MonthlyIncome", _round("MonthlyIncome"))
 
 
+_REGION_FEATURES = ", ".join([*(f"Region_{v}" for v in _CATS["Region"][1:]), "MonthlyIncome", "Age"])
+
+
+@register("preprocessing_log", f"""WITH d AS ({DUP_SQL}),
+u AS (SELECT * EXCLUDE (src, rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src) AS rn FROM d) t WHERE rn = 1),
+c AS (SELECT (SELECT count(*) FROM d) AS n_in, (SELECT count(*) FROM u) AS n_kept, (SELECT count(*) FROM u WHERE Attrition = 'Yes') AS pos,
+        (SELECT {_MISSING_SUM} FROM u) AS gaps),
+g AS (SELECT coalesce(string_agg("column", ', ' ORDER BY k), '') AS names FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {i} AS k, count(*) FILTER (WHERE {_miss(c, t)}) AS missing FROM u" for i, (c, t) in enumerate(O_SCHEMA)) + f""") m WHERE missing > 0)
+SELECT 1 AS position, 'input' AS step, n_in AS n_rows, {len(O_SCHEMA)} AS n_columns, 0::BIGINT AS n_changed, 'rows as read' AS detail FROM c
+UNION ALL SELECT 2, 'deduplicate', n_kept, {len(O_SCHEMA)}, n_in - n_kept, 'first row per id' FROM c
+UNION ALL SELECT 3, 'missing', n_kept, {len(O_SCHEMA)}, gaps, names FROM c CROSS JOIN g
+UNION ALL SELECT 4, 'drop', n_kept, {len(O_SCHEMA) - 1}, 1, 'StandardHours' FROM c
+UNION ALL SELECT 5, 'target', n_kept, {len(O_SCHEMA)}, pos, 'Yes is 1, No is 0' FROM c
+UNION ALL SELECT 6, 'encode', n_kept, {len(_CATS["Region"]) + 4}, {len(_CATS["Region"]) + 1}, '{_REGION_FEATURES}' FROM c""")
+def q_preprocessing_log(spark, d):
+    """Q17: the decision log of a preprocessing run on a table with duplicates."""
+    _, log = pl.logged_preprocessing(duplicates_view(O(spark, d)), "id", ["src"], ["StandardHours"], ["Region"],
+                                     ["MonthlyIncome", "Age"], scale=["MonthlyIncome"])
+    return log
+
+
 @register("cleaned_table", "SELECT * EXCLUDE (StandardHours, WorkLifeBalance, qty, max_discount) FROM o")
 def q_cleaned_table(spark, d):
     """Q9: drop, no-missing check, label check."""

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as cl
@@ -22,7 +22,7 @@ from ..operators import metrics as mt
 from ..operators import profile as pf
 from ..operators import score as sc
 from ..operators import split as sp
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources import io
 from . import modeling as ml
 
@@ -74,10 +74,9 @@ def run_feature_engineering(df: DataFrame, id_col: str, nominal: Sequence[str],
     ftrain = featured.filter(F.col("split") == "train")
     candidates = list(numeric) + fe.ENGINEERED
     imp = ml.rf_importance(ftrain, nominal, candidates, "label", num_trees, max_depth, seed)
-    importance = {r["feature"]: r["importance"] for r in imp.collect()}
-    pairs = [(r["feature_a"], r["feature_b"], r["correlation"]) for r in
-             corr.redundant_pairs(ftrain, candidates, threshold).collect()]
-    decisions = corr.redundancy_decisions(pairs, importance)
+    pairs = written(corr.redundant_pairs(ftrain, candidates, threshold), "redundant")
+    # one row per dropped feature at most
+    decisions = [r.asDict() for r in corr.resolve_redundancy(pairs, imp).collect()]
     dropped = [d["dropped_feature"] for d in decisions]
     selected = [c for c in list(nominal) + candidates if c not in dropped]
     if out_dir:
@@ -211,3 +210,36 @@ def decision_log(spark, report: dict) -> DataFrame:
         ("encode", f"{report['preprocessed_columns']} columns, {len(report['output_features'])} features"),
     ]
     return spark.createDataFrame(rows, "step string, detail string")
+
+
+def logged_preprocessing(df: DataFrame, id_col: str, order_cols: Sequence[str], drop: Sequence[str],
+                         nominal: Sequence[str], numeric: Sequence[str], scale: Sequence[str] = (),
+                         target: str = "Attrition", positive: str = "Yes", negative: str = "No") -> tuple[DataFrame, DataFrame]:
+    """T7 with its decision log (Q17) as a table: (preprocessed, log).
+
+    The log's figures are observed metrics of the two passes that write the steps, so it costs no scan
+    of its own: ``position, step, n_rows, n_columns, n_changed, detail``.  ``n_changed`` is what the step
+    took or flagged: repeated rows, missing cells, dropped columns, positive labels, new features.
+    """
+    read, kept, made = Observation(), Observation(), Observation()
+    body = [f for f in df.schema.fields if f.name not in order_cols]
+    count = F.count(F.lit(1)).alias("n")
+    gaps = [F.sum(pf.is_missing(f.name, f.dataType.typeName()).cast("long")).alias(f"m{i}") for i, f in enumerate(body)]
+    dedup = written(cl.handle_duplicates(df.observe(read, count), id_col, order_cols).observe(kept, count, *gaps), "deduplicated")
+    cleaned = cl.drop_uninformative(dedup, drop)
+    labelled = cl.encode_target(cleaned, target, positive, negative)
+    state = enc.fit_encoder(labelled, nominal, numeric, scale=list(scale) or None)
+    pre = written(enc.transform_features(labelled, state, keep=[id_col, target, "Attrition_label"])
+                  .observe(made, count, F.sum("Attrition_label").alias("positive")), "preprocessed")
+    n_in, n_kept, n_made = read.get["n"], kept.get["n"], made.get["n"]
+    missing = {f.name: kept.get[f"m{i}"] or 0 for i, f in enumerate(body)}
+    dropped = [c for c in drop if c in dedup.columns]
+    steps = [("input", n_in, len(body), 0, "rows as read"),
+             ("deduplicate", n_kept, len(body), n_in - n_kept, f"first row per {id_col}"),
+             ("missing", n_kept, len(body), sum(missing.values()), ", ".join(c for c in missing if missing[c])),
+             ("drop", n_kept, len(cleaned.columns), len(dropped), ", ".join(dropped)),
+             ("target", n_kept, len(labelled.columns), made.get["positive"] or 0, f"{positive} is 1, {negative} is 0"),
+             ("encode", n_made, len(pre.columns), len(state.output_names()), ", ".join(state.output_names()))]
+    log = df.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(steps, 1)],
+                                          "position int, step string, n_rows long, n_columns int, n_changed long, detail string")
+    return pre, log

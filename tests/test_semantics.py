@@ -56,6 +56,19 @@ def test_resolve_redundancy_greedy():
     assert got[0]["dropped_importance"] == 0.1 and got[0]["kept_importance"] == 0.5
 
 
+def test_redundancy_by_joins_equals_the_fold(spark):
+    import random
+    rng = random.Random(8)
+    for n, p in ((9, 0.5), (14, 0.25), (5, 0.0)):
+        names = [f"f{i}" for i in range(n)]
+        pairs = [(names[i], names[j], rng.choice([.95, .99, 1.0]), i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < p]
+        imp = {f: rng.choice([.1, .2, .2, .3, .5]) for f in names[1:]}
+        want = corr.redundancy_decisions([x[:3] for x in pairs], imp)
+        got = corr.resolve_redundancy(spark.createDataFrame(pairs, "feature_a string, feature_b string, correlation double, ia int, ib int"),
+                                      spark.createDataFrame(list(imp.items()), "feature string, importance double"))
+        assert sorted(map(str, (r.asDict() for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_dedup_hot_id_keeps_first(spark):
     rows = [(1, 0, "a")] + [(1, k, "b") for k in range(1, 50)] + [(2, 3, "c"), (2, 1, "d")]
     df = spark.createDataFrame(rows, "id int, ord int, v string").repartition(5)
