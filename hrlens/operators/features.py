@@ -107,3 +107,18 @@ def engineered_feature_catalog(spark) -> DataFrame:
         ("job_stability_index", "TotalWorkingYears / max(NumCompaniesWorked, 1)"),
     ]
     return spark.createDataFrame(rows, "feature string, formula string")
+
+
+def engineered_feature_report(df: DataFrame) -> DataFrame:
+    """Q16: the catalog beside what the derived columns of ``df`` hold: values, nulls and their range, from
+    one aggregate pass.  A derived column that ``df`` lacks has no figures."""
+    held = [f for f in ENGINEERED if f in df.columns]
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, f in enumerate(held):
+        aggs += [F.count(f).alias(f"n{i}"), F.min(f).cast("double").alias(f"lo{i}"), F.max(f).cast("double").alias(f"hi{i}")]
+    per = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("values"), (F.col("rows") - F.col(f"n{i}")).alias("nulls"),
+                             F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max")) for i, f in enumerate(held)])
+    if not held:
+        per = per.cast("array<struct<feature:string,values:bigint,nulls:bigint,min:double,max:double>>")
+    figures = df.agg(*aggs).select(F.explode(per).alias("p")).select("p.*")
+    return engineered_feature_catalog(df.sparkSession).join(figures, "feature", "left")

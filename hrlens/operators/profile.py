@@ -12,6 +12,7 @@ Quantiles are exact and come from value counts and running sums
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -256,6 +257,56 @@ def schema_check(df: DataFrame, registry: dict[str, str]) -> DataFrame:
                .orderBy("column"))
 
 
+class FeatureSpec(NamedTuple):
+    """What is registered about a column; ``lower`` and ``upper`` bound its numbers, ``values`` lists its
+    texts (``|`` between them)."""
+
+    column: str
+    kind: str
+    description: str
+    action: str
+    justification: str
+    lower: float | None = None
+    upper: float | None = None
+    values: str | None = None
+
+
+def feature_registry(df: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
+    """Q14: the registry beside what the table holds: type, missing cells, numeric range, cells outside the
+    registered bounds or values, and a status: ``missing`` (registered, absent), ``unregistered``,
+    ``constant`` (one value, though not registered as such), ``outside`` (some cells are) or ``ok``.
+
+    All figures come from one aggregate pass.  The registry's text is as long as the table is wide.
+    """
+    spark = df.sparkSession
+    spec_of = {s.column: s for s in specs}
+    num = set(numeric_columns(df))
+    zero = F.lit(0).cast("long")
+    aggs = []
+    for i, (c, t) in enumerate(df.dtypes):
+        x, s = col(f"`{c}`"), spec_of.get(c)
+        x = F.when(~is_missing(x, t), x)
+        outside = F.lit(False)
+        if s is not None and c in num:
+            outside = (x < lit_d(s.lower) if s.lower is not None else outside) | (x > lit_d(s.upper) if s.upper is not None else outside)
+        elif s is not None and s.values is not None:
+            outside = ~x.isin(s.values.split("|"))
+        aggs += [F.coalesce(F.sum(x.isNull().cast("long")), zero).alias(f"m{i}"), (F.min(x) == F.max(x)).alias(f"c{i}"),
+                 *[(f(x) if c in num else F.lit(None)).cast("double").alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max))],
+                 F.coalesce(F.sum(F.when(outside, 1)), zero).cast("long").alias(f"o{i}")]
+    per = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"m{i}").alias("missing"), F.col(f"lo{i}").alias("min"),
+                             F.col(f"hi{i}").alias("max"), F.col(f"o{i}").alias("outside"), F.col(f"c{i}").alias("constant"))
+                    for i, (c, t) in enumerate(df.dtypes)])
+    held = df.agg(*aggs).select(F.explode(per).alias("p")).select("p.*")
+    registry = spark.createDataFrame([s[:5] for s in specs],
+                                     "column string, kind string, description string, action string, justification string")
+    status = (F.when(F.col("dtype").isNull(), "missing").when(F.col("kind").isNull(), "unregistered")
+              .when(F.col("constant") & (F.col("kind") != "constant"), "constant").when(F.col("outside") > 0, "outside").otherwise("ok"))
+    return (registry.join(held, "column", "full")
+            .select("column", "kind", "description", "action", "justification", "dtype", "missing", "min", "max", "outside", status.alias("status"))
+            .orderBy("column"))
+
+
 def column_groups(df: DataFrame, groups: dict[str, list[str]], approx: bool = False) -> DataFrame:
     """Q15: domain group → column with dtype and distinct count (joined to Q2)."""
     spark = df.sparkSession

@@ -7,6 +7,7 @@ written independently in plain SQL against the same proxy views.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -262,6 +263,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ..operators import clean as cl  # noqa: E402
 from ..operators import profile as pf  # noqa: E402
+from ..operators import sketches as sk  # noqa: E402
+from ..session import scratch_path  # noqa: E402
 from ..sources.proxies import DUP_SQL, bad_label_view, duplicates_view  # noqa: E402
 
 O_SCHEMA = [("id", "bigint"), ("Attrition", "string"), ("Department", "string"),
@@ -371,12 +374,40 @@ def q_category_counts(spark, d):
     return pf.category_counts(O(spark, d), O_STR)
 
 
-@register("cardinality_ranking", " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS unique_values FROM o""" for c in O_STR))
+_CARDINALITY_SQL = " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS unique_values FROM o""" for c in O_STR)
+
+
+@register("cardinality_ranking", _CARDINALITY_SQL)
 def q_cardinality_ranking(spark, d):
     return pf.cardinality_ranking(O(spark, d), O_STR)
 
 
+def _sketches(spark, d) -> str:
+    """Sketches of view O by region, stored in two steps: the second one meets only parts that are new."""
+    path = scratch_path(spark, f"sketches-{uuid.uuid4().hex}")
+    sk.update(O(spark, d).filter("Region < 'B'"), "Region", path)
+    sk.update(O(spark, d), "Region", path)
+    return path
+
+
+@register("schema_overview_sketched")
+def q_schema_overview_sketched(spark, d):
+    """Q2 in the cheap mode (rows-only: distinct counts are estimates, tested against the exact ones)."""
+    return sk.schema_overview(spark, _sketches(spark, d))
+
+
+@register("cardinality_ranking_sketched", _CARDINALITY_SQL)
+def q_cardinality_ranking_sketched(spark, d):
+    """Q12 in the cheap mode; sketches of so few values count them exactly."""
+    return sk.cardinality_ranking(spark, _sketches(spark, d), O_STR)
+
+
+@register("column_groups_sketched")
+def q_column_groups_sketched(spark, d):
+    """Q15 in the cheap mode (rows-only, as above)."""
+    return sk.column_groups(spark, _sketches(spark, d), GROUPS_O)
+
+
 @register("bad_labels", """
 WITH b AS (SELECT * REPLACE (CASE WHEN id % 97 = 0 THEN 'Maybe' ELSE Attrition END AS Attrition) FROM o)
 SELECT Attrition, count(*) AS rows FROM b
@@ -1288,6 +1319,59 @@ def q_schema_check(spark, d):
     return pf.schema_check(O(spark, d), REGISTRY_O)
 
 
+_SCALE4 = ("scores from 1 to 4, ordered", "keep as a number", 1, 4)
+SPECS_O = [pf.FeatureSpec(*x) for x in (
+    ("id", "identifier", "order key", "leave out of models", "one value a row carries no pattern"),
+    ("Attrition", "target", "whether the order is finished", "encode as 0 and 1", "what models predict", None, None, "Yes|No"),
+    ("Department", "nominal", "market segment", "one-hot", "no order among segments", None, None, "AUTOMOBILE|BUILDING|FURNITURE|HOUSEHOLD|MACHINERY"),
+    ("JobRole", "nominal", "priority", "one-hot", "read as names here"),
+    ("Region", "nominal", "customer's region", "one-hot", "names known so far", None, None, "AFRICA|AMERICA|ASIA|EUROPE"),
+    ("OverTime", "binary", "every third key", "one-hot", "two names", None, None, "Yes|No"),
+    ("Age", "continuous", "years", "keep", "from 18 to 60", 18, 60),
+    ("MonthlyIncome", "continuous", "a part of the total price", "scale", "wide range", 0, None),
+    ("YearsAtCompany", "continuous", "years", "keep", "below 15", 0, 14),
+    ("TotalWorkingYears", "continuous", "years", "keep", "checked for over 20", 0, 20),
+    ("YearsInCurrentRole", "continuous", "years", "keep", "not above the years at the company", 0, 14),
+    ("YearsWithCurrManager", "continuous", "years", "keep", "not above the years at the company", 0, 14),
+    ("YearsSinceLastPromotion", "continuous", "years", "keep", "below 7", 0, 6),
+    ("NumCompaniesWorked", "continuous", "count", "keep", "below 10", 0, 9),
+    *((c, "ordinal", "answer", _SCALE4[1], _SCALE4[0], *_SCALE4[2:])
+      for c in ("JobSatisfaction", "EnvironmentSatisfaction", "RelationshipSatisfaction", "WorkLifeBalance", "Education")),
+    ("StandardHours", "constant", "hours a fortnight", "drop", "one value in all rows", 80, 80),
+    ("n_lines", "continuous", "lines of the order", "keep", "count", 0, None),
+    ("max_discount", "continuous", "largest discount of a line", "keep", "a share", 0, 1),
+)]
+
+
+def _sql_text(x) -> str:
+    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+
+
+def _held_sql(c: str, t: str) -> str:
+    s = next((s for s in SPECS_O if s.column == c), None)
+    x = f"CASE WHEN NOT {_miss(c, t)} THEN {c} END"
+    outside = "false"
+    if s is not None and t != "string":
+        outside = " OR ".join([f"{x} < {s.lower}"] * (s.lower is not None) + [f"{x} > {s.upper}"] * (s.upper is not None)) or outside
+    elif s is not None and s.values is not None:
+        outside = f"{x} NOT IN ({', '.join(_sql_text(v) for v in s.values.split('|'))})"
+    low, high = (f"CAST({f}({x}) AS DOUBLE)" if t != "string" else "CAST(NULL AS DOUBLE)" for f in ("min", "max"))
+    return (f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) FILTER (WHERE {_miss(c, t)}) AS missing, {low} AS min, {high} AS max,
+count(*) FILTER (WHERE {outside}) AS outside, count(DISTINCT {x}) = 1 AS constant FROM o""")
+
+
+@register("feature_registry", f"""WITH s("column", kind, description, action, justification) AS (VALUES {', '.join(
+    '(' + ', '.join(_sql_text(x) for x in s[:5]) + ')' for s in SPECS_O)}),
+h AS ({' UNION ALL '.join(_held_sql(c, t) for c, t in O_SCHEMA)})
+SELECT "column", kind, description, action, justification, dtype, missing, min, max, outside,
+  CASE WHEN dtype IS NULL THEN 'missing' WHEN kind IS NULL THEN 'unregistered' WHEN constant AND kind <> 'constant' THEN 'constant'
+       WHEN outside > 0 THEN 'outside' ELSE 'ok' END AS status
+FROM s FULL JOIN h USING ("column")""")
+def q_feature_registry(spark, d):
+    """Q14: the registry held against every cell of view O."""
+    return pf.feature_registry(O(spark, d), SPECS_O)
+
+
 GROUPS_O = {"Demographics": ["Age", "Region"], "Job": ["Department", "JobRole", "OverTime"],
             "Compensation": ["MonthlyIncome"],
             "Tenure": ["YearsAtCompany", "TotalWorkingYears", "YearsInCurrentRole", "YearsWithCurrManager",
@@ -1314,6 +1398,26 @@ _FE_CTES = _FE_SQL[:_FE_SQL.index("SELECT id,\n")].rstrip()
 _SAT = ["JobSatisfaction", "EnvironmentSatisfaction", "RelationshipSatisfaction", "WorkLifeBalance"]
 
 
+_FORMULAS = {
+    "promotion_stagnation_ratio": "YearsSinceLastPromotion / max(YearsAtCompany, 1)",
+    "role_tenure_share": "YearsInCurrentRole / max(YearsAtCompany, 1)",
+    "manager_tenure_share": "YearsWithCurrManager / max(YearsAtCompany, 1)",
+    "income_vs_role_median": "MonthlyIncome / median MonthlyIncome of the JobRole (train rows)",
+    "compensation_per_experience": "MonthlyIncome / max(TotalWorkingYears, 1)",
+    "avg_satisfaction_score": "mean of the non-null satisfaction columns",
+    "burnout_risk_flag": "OverTime = 'Yes' and WorkLifeBalance <= 2",
+    "job_stability_index": "TotalWorkingYears / max(NumCompaniesWorked, 1)"}
+
+
+@register("engineered_feature_report", f"""WITH e AS ({_FE_SQL})
+""" + " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, {_sql_text(text)} AS formula, count({f}) AS "values", count(*) - count({f}) AS nulls,
+CAST(min({f}) AS DOUBLE) AS min, CAST(max({f}) AS DOUBLE) AS max FROM e""" for f, text in _FORMULAS.items()))
+def q_engineered_feature_report(spark, d):
+    """Q16: the catalog beside the derived columns of all rows."""
+    return fe.engineered_feature_report(_featured_o(spark, d)).withColumns({c: _round(c) for c in ("min", "max")})
+
+
 @register("feature_sanity_rates", f"""{_FE_CTES},
 f AS (SELECT ({Y})::DOUBLE AS y,
         CAST(coalesce(OverTime = 'Yes' AND WorkLifeBalance <= 2, false) AS INTEGER) AS b,
