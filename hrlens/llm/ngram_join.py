@@ -14,8 +14,11 @@ passage share.  A set leaves out its smallest segments as long as the units of t
 Of two similar sets, the one that leaves out more satisfies the pigeonhole with its own segments,
 and the other one indexes these too, since a shared segment has the same size in both.
 
-A signature's holders are candidates.  They are never expanded into all pairs: a parity bitmap of
-each set bounds the true difference from below and drops pairs that cannot qualify, pairs already
+A signature's holders are candidates.  A very frequent signature is spread over tasks and cut into
+blocks; in the first pass a block meets itself and its group's first block only, which connects
+copies in a number of block pairs linear in the group.  Groups that are one component then are done; in the
+others the second pass compares all blocks.  Holders are never expanded into all pairs: a parity bitmap
+of each set bounds the true difference from below and drops pairs that cannot qualify, pairs already
 connected are skipped, and only the rest is verified exactly on the whole texts.
 
 Defined cases: null, empty and blank texts have the empty set, link with nothing and are their own
@@ -46,6 +49,8 @@ THIN_PRICE = 5.0      # the same for a one-element segment
 SMALLEST = 3          # segments of so many elements are indexed in any case
 BROADCAST_KEYS = 200_000  # of 32 characters
 BLOCK = 1024        # members of a signature's group that one task compares with one another
+HELD = 1 << 16      # holders of one signature that a task keeps before it sends them on
+TASK_BITS = 24      # block numbers of cut groups carry the task above so many bits
 NEAREST = 3         # partners that a member asks for in the first pass, in each of its ...
 ASKED = 2           # ... largest groups
 
@@ -200,51 +205,82 @@ def _describe(k: int, num: int, den: int, arrow_schema: pa.Schema):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature-sorted rows -> (grp, blk, uid) of every signature with two holders or more.
+def _groups(block: int, held: int):
+    """Rows dealt by ranges of (signature, uid) and sorted -> (grp, blk, size, cut, uid) of every
+    signature with two holders or more, in blocks of ``block`` holders.
 
-    Groups with the same holders get the same ``grp`` and are emitted once per task.  A group is
-    streamed in blocks of ``BLOCK`` holders, so none is ever held whole; holders that belong to a
-    group longer than a block keep the signature as its name.
+    Groups with the same holders get the same ``grp`` and are emitted once per task.  The first and the
+    last signature of a task may have holders in other tasks, and one with more than ``held`` holders
+    is not kept: their holders go out as they come, marked as ``cut``, under the signature as name
+    and with block numbers of this task; ``size`` is then the number sent so far.
     """
-    names = ["grp", "blk", "size", "uid"]
-    seen: set[tuple] = set()
-
-    def flush(sig: np.ndarray, uid: np.ndarray) -> list[tuple]:
-        cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
-        size = np.diff(cut)
-        many = size > 1
-        if not many.any():
-            return []
-        keep = np.repeat(many, size)
-        u = uid[keep]
-        starts = np.concatenate(([0], np.cumsum(size[many])))
-        name = mix(np.add.reduceat(mix(u.view(U) + U(3)), starts[:-1])).view(np.int64)
-        local = np.repeat(np.arange(len(name)), size[many])
-        blk = (np.arange(len(u)) - np.repeat(starts[:-1], size[many])) // BLOCK
-        fresh = np.array([x not in seen for x in name.tolist()])
-        seen.update(name[fresh].tolist())
-        if len(seen) > 300_000:
-            seen.clear()
-        use = fresh[local]
-        return [name[local][use], blk[use], size[many][local][use], u[use]]
-
-    tail_s, tail_u = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        s = np.concatenate((tail_s, batch["sig"].to_numpy(zero_copy_only=False)))
-        u = np.concatenate((tail_u, batch["uid"].to_numpy(zero_copy_only=False)))
-        cut = int(np.searchsorted(s, s[-1])) if len(s) else 0
-        if cut:
-            same = np.concatenate(([False], (s[1:cut] == s[:cut - 1]) & (u[1:cut] == u[:cut - 1])))
-            out = flush(s[:cut][~same], u[:cut][~same])
-            if out and len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
-        tail_s, tail_u = s[cut:], u[cut:]
-    if len(tail_s):
-        same = np.concatenate(([False], (tail_s[1:] == tail_s[:-1]) & (tail_u[1:] == tail_u[:-1])))
-        out = flush(tail_s[~same], tail_u[~same])
-        if out and len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["grp", "blk", "size", "cut", "uid"]
+        place = TaskContext.get().partitionId() + 1 << TASK_BITS
+        seen: set[tuple] = set()
+        sent = 0
+
+        def whole(sig: np.ndarray, uid: np.ndarray) -> list[np.ndarray]:
+            cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
+            size = np.diff(cut)
+            many = size > 1
+            if not many.any():
+                return []
+            keep = np.repeat(many, size)
+            u = uid[keep]
+            starts = np.concatenate(([0], np.cumsum(size[many])))
+            name = mix(np.add.reduceat(mix(u.view(U) + U(3)), starts[:-1])).view(np.int64)
+            local = np.repeat(np.arange(len(name)), size[many])
+            blk = (np.arange(len(u)) - np.repeat(starts[:-1], size[many])) // block
+            fresh = np.array([x not in seen for x in name.tolist()])
+            seen.update(name[fresh].tolist())
+            if len(seen) > 300_000:
+                seen.clear()
+            use = fresh[local]
+            return [name[local][use], blk[use], size[many][local][use], np.zeros(int(use.sum()), bool), u[use]]
+
+        def part(sig: int, uid: np.ndarray) -> list[np.ndarray]:
+            nonlocal sent
+            n = len(uid)
+            blk = place + (sent + np.arange(n)) // block
+            sent += n
+            return [np.full(n, sig), blk, np.full(n, sent), np.ones(n, bool), uid]
+
+        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if cols and len(cols[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+
+        none = np.zeros(0, np.int64)
+        held_s, held_u = none, none  # holders of the last signature so far
+        going = before = None        # signature whose holders go out as they come; last row
+        for batch in batches:
+            s, u = (batch[c].to_numpy(zero_copy_only=False) for c in ("sig", "uid"))
+            if not len(s):
+                continue
+            if before is None:
+                going = s[0]
+            new = np.concatenate(([before != (s[0], u[0])], (s[1:] != s[:-1]) | (u[1:] != u[:-1])))
+            before = (s[-1], u[-1])
+            s, u = np.concatenate((held_s, s[new])), np.concatenate((held_u, u[new]))
+            held_s, held_u = none, none
+            if going is not None:
+                lead = int(np.searchsorted(s, going, side="right"))
+                yield from out(part(going, u[:lead]))
+                s, u = s[lead:], u[lead:]
+                if not len(s):
+                    continue
+                going, sent = None, 0
+            cut = int(np.searchsorted(s, s[-1]))
+            if cut:
+                yield from out(whole(s[:cut], u[:cut]))
+            held_s, held_u = s[cut:], u[cut:]
+            if len(held_s) > held:
+                going = held_s[0]
+                yield from out(part(going, held_u))
+                held_s, held_u = none, none
+        if len(held_s):
+            yield from out(part(held_s[0], held_u))
+    return run
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -375,8 +411,13 @@ def _resolve(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         gives_back(_describe(k, num, den, arrow)),
         "uid long, doc_id long, tkey string, n long, rep long, sigs array<long>, map binary"), "ngram-sets")
     sigs = table.filter("uid = rep and n > 0").select(F.explode("sigs").alias("sig"), "uid")
-    groups = staged(sigs.repartition("sig").sortWithinPartitions("sig", "uid")
-                    .mapInArrow(gives_back(_groups), "grp long, blk long, size long, uid long").distinct(), "ngram-groups")
+    groups = staged(sigs.repartitionByRange("sig", "uid").sortWithinPartitions("sig", "uid")
+                    .mapInArrow(gives_back(_groups(BLOCK, HELD)), "grp long, blk long, size long, cut boolean, uid long").distinct(), "ngram-groups")
+    # block numbers of cut groups: a row per task and group, two a task besides very long groups
+    runs = (groups.filter("cut").groupBy("grp", F.shiftright("blk", TASK_BITS).alias("task"))
+            .agg(F.min("blk").alias("low"), F.max("blk").alias("high"), F.count("*").alias("n")))
+    heads = runs.groupBy("grp").agg(F.min("low").alias("head"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    runs = _checked(staged(runs.join(heads, "grp").select("grp", "low", "high", "head"), "ngram-runs"))
     facts = table.filter("uid = rep and n > 0").select("uid", "n", "map")
     member = facts.join(groups.select("uid").distinct(), "uid", "left_semi")
 
@@ -401,9 +442,13 @@ def _resolve(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
             open_groups = (rows.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
                            .filter("r0 <> r1").select("grp"))
             rows = rows.join(open_groups, "grp", "left_semi").withColumn("asks", F.lit(True)).join(member, "uid")
+        high = F.floor((F.col("size") - 1) / BLOCK)
+        rows = (rows.join(runs, "grp", "left").filter("not cut or head is not null")
+                .withColumn("head", F.coalesce("head", F.lit(0).cast("long")))
+                .withColumn("other", F.explode(F.sequence(F.coalesce("low", F.lit(0).cast("long")), F.coalesce("high", high)))))
+        if roots is None:
+            rows = rows.filter("other = blk or other = head or blk = head")
         rows = rows.select(
-            "grp", "uid", "blk", "n", "root", "map", "asks",
-            F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK))).alias("other")).select(
             "grp", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"),
             "uid", "blk", "n", "root", "map", "asks")
         return (rows.repartition("grp", "b1", "b2").sortWithinPartitions("grp", "b1", "b2", "uid")

@@ -121,9 +121,11 @@ def test_jaccard_join_equals_brute_force(spark, k, num, den):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == _jaccard_want(rows, k, num, den)
 
 
-def test_jaccard_join_of_a_drifting_group_in_blocks(spark, monkeypatch):
-    """A chain of copies whose ends are far apart, with groups longer than a block."""
+@pytest.mark.parametrize("held", [1 << 16, 12])
+def test_jaccard_join_of_a_drifting_group_in_blocks(spark, monkeypatch, held):
+    """A chain of copies whose ends are far apart, with groups longer than a block, also longer than a task keeps."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "HELD", held)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
     rows = []
@@ -136,6 +138,30 @@ def test_jaccard_join_of_a_drifting_group_in_blocks(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == _jaccard_want(rows, 2, 4, 5)
 
 
+@pytest.mark.parametrize("held", [1 << 16, 50])
+def test_frequent_signatures_are_spread_over_tasks(spark, held):
+    """Blocks of at most eight holders that together hold each group once, whole or cut by tasks."""
+    rng = random.Random(held)
+    sigs = [(7, u) for u in range(400)] + [(s, rng.randrange(10 ** 6)) for s in range(8, 60) for _ in range(s % 5)] + [(-3, 5), (99, 5)]
+    df = spark.createDataFrame(sigs + sigs[:30], "sig long, uid long")
+    got = (df.repartitionByRange(4, "sig", "uid").sortWithinPartitions("sig", "uid")
+           .mapInArrow(ngram_join._groups(8, held), "grp long, blk long, size long, cut boolean, uid long").collect())
+    groups, blocks = {}, {}
+    for r in got:
+        groups.setdefault(r["grp"], []).append(r["uid"])
+        blocks.setdefault((r["grp"], r["blk"]), []).append(r["uid"])
+    assert max(map(len, blocks.values())) <= 8
+    assert len({r["blk"] >> ngram_join.TASK_BITS for r in got if r["grp"] == 7}) > 1
+    want = {}
+    for s, u in sigs:
+        want.setdefault(s, set()).add(u)
+    assert sorted(groups[7]) == sorted(want[7])
+    many = {tuple(sorted(v)) for v in want.values() if len(v) > 1}
+    assert many <= {tuple(sorted(v)) for v in groups.values()}
+    # a group that is not cut holds two or more; cut ones keep the signature as their name
+    assert all(len(v) > 1 for g, v in groups.items() if g not in want)
+
+
 def test_layouts_satisfy_the_pigeonhole():
     used = 0
     for num, den in ((85, 100), (4, 5), (1, 2), (9, 10)):
