@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from hrlens.llm.store import free_name, staged
-from hrlens.llm.textkit import U, give_back, gives_back, mix
+from hrlens.llm.textkit import U, drop_caches, give_back, gives_back, mix
 
 ORDER = 4
 MODEL_ENTRIES = 1 << 20
@@ -480,6 +480,7 @@ def drop_rejected(docs: DataFrame, folds: int = 4, held_fold: int = 2, id_col: s
 
     @arrow_udf("boolean")
     def accepts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_caches()
         scorer = Scorer(shared.value)
         table = np.stack([limits[x] for x in scorer.langs]) if limits else np.zeros((1, 64))
         for texts in batches:

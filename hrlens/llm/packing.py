@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hrlens.llm.store import staged
 from hrlens.llm.textkit import gives_back, slices
-from hrlens.llm.tokens import tokenizer
+from hrlens.llm.tokens import CACHE, tokenizer
 
 SIZE = 4096
 GROUP = 4096     # pieces that one task packs together
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, with_
     default."""
     ids = ", ids array<int>" if with_ids else ""
     pieces = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-                    .mapInArrow(gives_back(_pieces(size, vocabulary, with_ids)),
+                    .mapInArrow(gives_back(_pieces(size, vocabulary, with_ids), keeps=CACHE),
                                 "uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ids), "pack-pieces")
     full = pieces.filter(F.col("length") == size).select(
         "uid", (F.col("uid") + F.lit(1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -59,10 +59,24 @@ def give_back() -> None:
         pass
 
 
-def gives_back(run: Callable) -> Callable:
-    """A batch function that gives memory back when its task ends."""
+#: Empties a cache that this process keeps from task to task, by the cache's name.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def drop_caches(keeps: str | None = None) -> None:
+    """Empties every cache but ``keeps``: a worker that goes on to another operator does not hold
+    what the one before it kept."""
+    for name in [x for x in caches if x != keeps]:
+        caches.pop(name)()
+        give_back()
+
+
+def gives_back(run: Callable, keeps: str | None = None) -> Callable:
+    """A batch function that gives memory back when its task ends, and starts without the caches of
+    others (``keeps`` names its own)."""
     @wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        drop_caches(keeps)
         try:
             yield from run(batches)
         finally:

@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-from hrlens.llm.textkit import Slice, U, _LOWER, span_hashes, words
+from hrlens.llm.textkit import Slice, U, _LOWER, caches, give_back, span_hashes, words
 
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = "<|startoftext|>"
@@ -22,6 +22,7 @@ CACHED_WORDS = 1_500_000
 JOINED = 1000
 _LETTER_OR_DIGIT = np.zeros(256, bool)
 _LETTER_OR_DIGIT[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+CACHE = "word tokenizer"
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
@@ -38,9 +39,9 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         self.known = np.zeros(0, U)      # sorted word hashes
-        self.slot = np.zeros(0, np.int64)  # their place in starts and counts
+        self.slot = np.zeros(0, np.int32)  # their place in starts and counts
         self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
+        self.counts = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -62,12 +63,12 @@ class WordTokenizer:
         if len(self.known) + len(hashes) > CACHED_WORDS and len(self.known):
             raise OverflowError
         got = self.encode(texts)
-        counts = np.array([len(x) for x in got], np.int64)
+        counts = np.array([len(x) for x in got], np.int32)
         base = len(self.ids)
-        self.starts = np.concatenate((self.starts, base + np.cumsum(counts) - counts))
+        self.starts = np.concatenate((self.starts, base + np.cumsum(counts, dtype=np.int64) - counts))
         self.ids = np.concatenate((self.ids, np.array([t for x in got for t in x], np.uint32)))
         place = np.searchsorted(self.known, hashes)  # both sorted
-        self.slot = np.insert(self.slot, place, len(self.counts) + np.arange(len(hashes)))
+        self.slot = np.insert(self.slot, place, len(self.counts) + np.arange(len(hashes), dtype=np.int32))
         self.known = np.insert(self.known, place, hashes)
         self.counts = np.concatenate((self.counts, counts))
 
@@ -113,7 +114,7 @@ class WordTokenizer:
                 self._learn(uniq, [(folded if kind[j] else raw)[start[j]:end[j]].decode() for j in first.tolist()])
             place, _ = self._places(uniq)
         place = place[back]
-        n = self.counts[place]
+        n = self.counts[place].astype(np.int64)
         at_id = np.arange(int(n.sum())) + np.repeat(self.starts[place] - (np.cumsum(n) - n), n)
         return self.ids[at_id], np.bincount(w.doc[at], n, minlength=s.n).astype(np.int64)
 
@@ -123,4 +124,6 @@ def tokenizer(path: str | None = None) -> WordTokenizer:
     key = path or VOCABULARY
     if key not in _loaded:
         _loaded[key] = WordTokenizer(path)
+        give_back()   # parsing the file takes twice what stays
+    caches[CACHE] = _loaded.clear
     return _loaded[key]

@@ -73,3 +73,13 @@ def test_token_cache_restarts(monkeypatch):
     for t in texts:
         for s in slices(pa.array([t])):
             assert coder.ids_of(s)[0].tolist() == coder.library.encode(t, add_special_tokens=False).ids
+
+
+def test_a_worker_drops_the_caches_of_the_operator_before():
+    """The tokenizer and its words stay for the packing tasks of a worker, not for what follows them."""
+    from hrlens.llm import textkit, tokens
+    first = tokens.tokenizer()
+    own = textkit.gives_back(lambda batches: iter([tokens.tokenizer()]), keeps=tokens.CACHE)
+    assert list(own(iter(())))[0] is first
+    assert list(textkit.gives_back(lambda batches: iter([len(tokens._loaded)]))(iter(()))) == [0]
+    assert list(own(iter(())))[0] is not first
