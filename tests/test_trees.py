@@ -215,3 +215,21 @@ def test_search_scores_every_candidate(spark, data):
         got = ml.search(spec, df, ["k"], ["u", "v", "w"], folds=3)
         assert len(got) == len(spec.grid) and all(0.6 < a < 1 for a in got)
     assert [len(s.grid) for s in ml.model_specs()] == [4, 45, 54, 108]
+
+
+@pytest.mark.parametrize("columns", [None, 3])
+def test_passes_do_not_grow_with_the_number_of_nodes(table, monkeypatch, columns):
+    """Levels that would need many passes leave their small nodes to tasks that grow them to the end."""
+    e = [tr.Ensemble("gini", 1, (1.0, 1.7), trees=2, depth=30, min_leaf=m, columns=columns, rows="poisson" if columns else None) for m in (1, 4)]
+    want = tr.grow(table, e)
+    monkeypatch.setattr(tr, "CELLS", int(table.layout(1)[-1]) * 8)
+    monkeypatch.setattr(tr, "SMALL", 300)
+    context, passes = type(table.rows.sparkSession.sparkContext), []
+    send = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: (passes.append(1), send(self, value))[1])
+    got = tr.grow(table, e)
+    assert len(passes) < 40
+    for a, b in zip(sum(want, []), sum(got, [])):
+        assert (a.feature, a.cut, a.left, a.depth, a.place) == (b.feature, b.cut, b.left, b.depth, b.place)
+        assert np.array(a.stats) == pytest.approx(np.array(b.stats), rel=1e-9, abs=1e-9)
+        assert a.gain == pytest.approx(b.gain, rel=1e-6, abs=1e-9) and not b.open
