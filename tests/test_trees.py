@@ -233,3 +233,45 @@ def test_passes_do_not_grow_with_the_number_of_nodes(table, monkeypatch, columns
         assert (a.feature, a.cut, a.left, a.depth, a.place) == (b.feature, b.cut, b.left, b.depth, b.place)
         assert np.array(a.stats) == pytest.approx(np.array(b.stats), rel=1e-9, abs=1e-9)
         assert a.gain == pytest.approx(b.gain, rel=1e-6, abs=1e-9) and not b.open
+
+
+def test_importance_is_that_of_a_forest_whatever_the_partitions(spark, data):
+    """Close to Spark ML's forest of the same size; the draws go by row, so partitions change nothing."""
+    from pyspark.ml.classification import RandomForestClassifier
+    x, y, _ = data
+    few = np.column_stack([x[:, 0].round(), x[:, 1], x[:, 2].round().clip(0, 3), x[:, 6] // 3])   # bins are the values
+    df = spark.createDataFrame([(i, int(y[i]), "ab"[int(x[i, 3])], *map(float, few[i])) for i in range(N)],
+                               "id int, label int, k string, u double, v double, w double, z double")
+    names = ["u", "v", "w", "z"]
+    got, other = ([tuple(r) for r in ml.rf_importance(df.repartition(p), ["k"], names, num_trees=40, max_depth=6).collect()] for p in (3, 7))
+    assert got == other and sum(v for _, v in got) == pytest.approx(1, abs=1e-5)
+    state, _, rows, _ = ml._encoded(False, df, ["k"], names, "label")
+    want = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=40, maxDepth=6, seed=1).fit(rows)
+    for name, v in ml.importances(want, state.output_names()):
+        assert dict(got)[name] == pytest.approx(v, abs=0.03)
+
+
+def test_forest_sums_hold_the_columns_looked_at(table, monkeypatch):
+    """A task's sums, handed over in parts, add up to those of the rows; no other column's cells are sent."""
+    e = tr.Ensemble("gini", 1, (0.7, 1.6), trees=2, columns=3, rows="poisson", seed=5)
+    x, y, fold, h = _inputs(table, 1)
+    first = table.layout(1)
+    t = {"feature": np.array([0, -1, -1]), "cut": np.array([9, 0, 0]), "left": np.array([1, 0, 0]), "depth": np.array([0, 1, 1])}
+    looks = tr._columns_of_nodes(e, 1, [2, 3], D)
+    assert [v.tolist() for v in looks] == [tr._columns_of(e, 1, p, D).tolist() for p in (2, 3)]
+    monkeypatch.setattr(tr, "FLUSH", 700)
+    parts = [tr.pa.RecordBatch.from_pylist([{"h": h[a:a + 300].tobytes(), "y": y[a:a + 300].astype(np.int32).tobytes(), "x1": x[a:a + 300].astype(np.uint8).tobytes(),
+                                             "fold": fold[a:a + 300].astype(np.int32).tobytes()}]) for a in range(0, N, 300)]
+    got, n = {}, 0
+    for batch in tr._forest_histograms([e], {0: first}, [(0, 1, t, np.array([1, 2]), looks)])(iter(parts)):
+        n += 1
+        for r in batch.to_pylist():
+            got[r["node"]] = got.get(r["node"], 0) + np.frombuffer(r["cells"]).reshape(-1, 3)
+    assert n == 3
+    times = tr._drawn(e, 1, h)
+    assert times.tolist() == np.searchsorted(tr._POISSON, tr.uniform(h.view(np.uint64), e.seed * 7_919 + 1), side="right").tolist()
+    for j in (0, 1):
+        rows = np.flatnonzero((times > 0) & (fold != 1) & ((x[:, 0] > 9) == j))
+        w = times[rows] * np.where(y[rows] == 1, 1.6, 0.7)
+        want = [np.stack([np.bincount(x[rows, c], v, first[c + 1] - first[c]) for v in (w * (y[rows] == 0), w * (y[rows] == 1), np.ones(len(rows)))], 1) for c in looks[j]]
+        assert got[j] == pytest.approx(np.concatenate(want))
