@@ -48,6 +48,32 @@ def test_constant_column_correlation_is_null(spark):
     assert r[("a", "k")] is None and abs(r[("a", "b")]) > 0.99
 
 
+def test_correlations_are_pairwise_complete_and_summed_in_tasks(spark):
+    """Null and NaN are left out pair by pair, infinite values give NaN with their own column's pairs only; no
+    aggregate expression per pair (a few hundred took 70 microseconds a row and half a minute to plan)."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 12))
+    x[:, 1] += 3 * x[:, 0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[5, 11] = np.inf
+    names = [f"c{i}" for i in range(12)]
+    rows = [(i, *[None if np.isnan(v) and (i + j) % 2 else float(v) for j, v in enumerate(r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    pairs = corr.correlation_pairs(df, names)
+    got = {(r.ia, r.ib): r.r for r in pairs.collect()}
+    assert len(got) == 66
+    for (i, j), r in got.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        if j == 11:
+            assert np.isnan(r)
+        else:
+            assert abs(r - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-12
+    nothing = corr.correlation_pairs(df.filter("id < 0"), names).collect()
+    assert len(nothing) == 66 and all(r.r is None for r in nothing)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("sum(") < 40
+
+
 def test_resolve_redundancy_greedy():
     pairs = [("A", "B", .95), ("B", "C", .94), ("C", "D", .93), ("E", "F", .99)]
     imp = {"A": 0.5, "B": 0.1, "C": 0.3, "D": 0.2, "E": 0.1, "F": 0.1}

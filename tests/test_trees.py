@@ -275,3 +275,19 @@ def test_forest_sums_hold_the_columns_looked_at(table, monkeypatch):
         w = times[rows] * np.where(y[rows] == 1, 1.6, 0.7)
         want = [np.stack([np.bincount(x[rows, c], v, first[c + 1] - first[c]) for v in (w * (y[rows] == 0), w * (y[rows] == 1), np.ones(len(rows)))], 1) for c in looks[j]]
         assert got[j] == pytest.approx(np.concatenate(want))
+
+
+def test_blocks_are_cut_and_dealt_evenly(spark, table):
+    """A large batch does not become one large block, and one partition's blocks go to all cores."""
+    sizes = [b.num_rows for b in tr._blocks(iter([tr.pa.RecordBatch.from_pydict({"v": np.arange(n)}) for n in (100_000, 10_000, 10_000, 5)]))]
+    assert sum(sizes) == 120_005 and max(sizes) <= 1.5 * tr.BLOCK
+    packed = tr._packed(table.rows.coalesce(1), [1])
+    assert packed.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sum(len(r["y"]) // 4 for r in packed.collect()) == N
+
+
+def test_draws_at_the_borders_are_exact():
+    h = np.arange(300_000, dtype=np.int64) * 982_451_653
+    e = tr.Ensemble("gini", 1, rows="poisson", seed=9)
+    got = tr._poisson(e, 3, h)
+    assert got.tolist() == np.searchsorted(tr._POISSON, tr.uniform(h.view(np.uint64), e.seed * 7_919 + 3), side="right").tolist()
