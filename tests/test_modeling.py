@@ -122,3 +122,20 @@ def test_role_medians_state_round_trip(spark):
     io.save_feature_state(state, path)
     back = io.load_feature_state(spark, path)
     assert back.n_roles == state.n_roles and back.medians.exceptAll(state.medians).count() == 0
+
+
+def test_encoders_of_all_folds_from_one_pass(spark):
+    """The same as one fit per fold, with gaps, a column that is empty outside a fold and a category of one fold only."""
+    rows = [(i, "ab"[i % 2] if i % 7 else None, "only" if i % 3 == 1 else None, float(i * i) if i % 5 else None, float(i) if i % 3 == 0 else None, 4, i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, k string, l string, x double, z double, c int, fold int")
+    got = enc.fit_encoders(df, ["k", "l"], ["x", "z", "c"], [0, 1, 2, None], scale=["x", "z", "c"])
+    for f, pair in got.items():
+        inside = df if f is None else df.filter(F.col("fold") != f)
+        for state, scale in zip(pair, (None, ["x", "z", "c"])):
+            want = enc.fit_encoder(inside, ["k", "l"], ["x", "z", "c"], scale=scale, impute=True)
+            assert (state.nominal, state.passthrough, state.output_names()) == (want.nominal, want.passthrough, want.output_names())
+            assert state.fill == pytest.approx(want.fill)
+            for c in (want.scaler.moments if scale else ()):
+                assert state.scaler.moments[c] == pytest.approx(want.scaler.moments[c])
+    with pytest.raises(ValueError):
+        enc.fit_encoders(df, ["k", "l"], ["x"], [None], max_categories=2)

@@ -291,3 +291,24 @@ def test_draws_at_the_borders_are_exact():
     e = tr.Ensemble("gini", 1, rows="poisson", seed=9)
     got = tr._poisson(e, 3, h)
     assert got.tolist() == np.searchsorted(tr._POISSON, tr.uniform(h.view(np.uint64), e.seed * 7_919 + 3), side="right").tolist()
+
+
+def test_single_trees_are_searched_in_few_passes(table, monkeypatch):
+    """Small nodes of single trees are grown and scored where their rows meet: two passes in place of one a level, the
+    same scores for every cut, and no node below a waiting one on the driver."""
+    es = [tr.Ensemble("gini", f, (0.7, 1.6), min_leaf=m) for f in (0, 1) for m in (1, 6)]
+    cuts = [tr.Cut(f"{k} {depth} {least}", k, 1, depth, least) for k in range(4) for depth in (2, 5, 30) for least in (2, 40)]
+    monkeypatch.setattr(tr, "SMALL", 0)
+    whole = tr.grow(table, es)
+    want = _scores(tr.held_out_scores(table, es, whole, cuts))
+    monkeypatch.setattr(tr, "SMALL", N)
+    passes, level = [], tr._level
+    monkeypatch.setattr(tr, "_level", lambda *a: (passes.append(1), level(*a))[1])
+    later: dict = {}
+    top = tr.grow(table, es, later)
+    assert len(passes) <= 2 and sorted(later) == [0, 1, 2, 3]
+    assert sum(len(t.feature) for ts in top for t in ts) < 0.2 * sum(len(t.feature) for ts in whole for t in ts)
+    assert _scores(tr.held_out_scores(table, es, top, cuts, later)) == want
+    for a, b in zip(whole, tr.grow(table, es)):
+        assert (a[0].feature, a[0].cut, a[0].left, a[0].place) == (b[0].feature, b[0].cut, b[0].left, b[0].place)
+        assert np.array(a[0].stats) == pytest.approx(np.array(b[0].stats), rel=1e-9, abs=1e-9)
