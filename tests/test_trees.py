@@ -298,10 +298,10 @@ def test_single_trees_are_searched_in_few_passes(table, monkeypatch):
     same scores for every cut, and no node below a waiting one on the driver."""
     es = [tr.Ensemble("gini", f, (0.7, 1.6), min_leaf=m) for f in (0, 1) for m in (1, 6)]
     cuts = [tr.Cut(f"{k} {depth} {least}", k, 1, depth, least) for k in range(4) for depth in (2, 5, 30) for least in (2, 40)]
-    monkeypatch.setattr(tr, "SMALL", 0)
+    monkeypatch.setattr(tr, "SINGLE", 0)
     whole = tr.grow(table, es)
     want = _scores(tr.held_out_scores(table, es, whole, cuts))
-    monkeypatch.setattr(tr, "SMALL", N)
+    monkeypatch.setattr(tr, "SINGLE", N)
     passes, level = [], tr._level
     monkeypatch.setattr(tr, "_level", lambda *a: (passes.append(1), level(*a))[1])
     later: dict = {}
@@ -312,3 +312,18 @@ def test_single_trees_are_searched_in_few_passes(table, monkeypatch):
     for a, b in zip(whole, tr.grow(table, es)):
         assert (a[0].feature, a[0].cut, a[0].left, a[0].place) == (b[0].feature, b[0].cut, b[0].left, b[0].place)
         assert np.array(a[0].stats) == pytest.approx(np.array(b[0].stats), rel=1e-9, abs=1e-9)
+
+
+def test_ranked_borders_are_the_quantiles(spark, data, monkeypatch):
+    """Exact with few distinct values, near the rank with many, and the same however the summaries are merged."""
+    x, _, fold = data
+    df = spark.createDataFrame([(int(fold[i]), x[i].tolist(), (x[i] * 2).tolist()) for i in range(N)], "fold int, x0 array<double>, x1 array<double>").repartition(3, "fold")
+    want = lambda v, at: sorted({float(v[at(k, len(v))]) for k in range(1, 64)} - {float(v[-1])})
+    got = tr.ranked_borders(df, {"x0": D, "x1": D})
+    for f, times in (("x0", 1), ("x1", 2)):
+        v = np.sort(times * x[fold != int(f[1])], axis=0)
+        assert got[f] == [want(v[:, j], lambda k, n: -(-k * n // 64) - 1) for j in range(D)]
+    monkeypatch.setattr(tr, "POINTS", 100)
+    v, n = tr._summary(np.arange(1000.0)[::-1].copy(), np.ones(1000, np.int64))
+    assert len(v) <= 100 and n.sum() == 1000 and v[-1] == 999 and n.max() <= 10 and (np.cumsum(n) == v + 1).all()
+    assert tr.ranked_borders(df.filter("fold = 5"), {"x0": 2}) == {"x0": [[], []]}
